@@ -85,6 +85,20 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return value[room], pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination, without a threaded linear algebra library (one stalled in a driver beside a JVM)."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], axis=1)
+    for i in range(n):
+        pivot = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0.0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
 def patterns(demand: dict[int, int], room: int = LENGTH // UNIT) -> list[tuple[dict[int, int], int]]:
     """Patterns (pieces of each size class) and how often each is used; together they hold exactly the demand."""
     sizes = np.array(sorted(k for k, n in demand.items() if n), dtype=np.int64)
@@ -92,21 +106,21 @@ def patterns(demand: dict[int, int], room: int = LENGTH // UNIT) -> list[tuple[d
         return []
     wanted = np.array([demand[k] for k in sizes.tolist()], dtype=np.float64)
     basis = np.diag(room // sizes).astype(np.float64)
-    inverse = np.linalg.inv(basis)
+    inverse = inverted(basis)
     for turn in range(MOST_ROUNDS):
         value, pattern = best_pattern(inverse.sum(axis=0), sizes, room)
         if value <= 1 + 1e-7:
             break
-        used, step = inverse @ wanted, inverse @ pattern
+        used, step = (inverse * wanted).sum(axis=1), (inverse * pattern).sum(axis=1)
         ratio = np.where(step > 1e-9, np.maximum(used, 0) / np.where(step > 1e-9, step, 1), np.inf)
         leaving = int(np.argmin(ratio))
         basis[:, leaving] = pattern
         row = inverse[leaving] / step[leaving]
         inverse -= np.outer(step, row)
         inverse[leaving] = row
-        if turn % 64 == 63:
-            inverse = np.linalg.inv(basis)
-    times = np.floor(np.maximum(np.linalg.solve(basis, wanted), 0) + 1e-9).astype(np.int64)
+        if turn % 256 == 255:
+            inverse = inverted(basis)
+    times = np.floor(np.maximum((inverted(basis) * wanted).sum(axis=1), 0) + 1e-9).astype(np.int64)
     left, out = wanted.astype(np.int64), []
     for column, n in zip(basis.T.astype(np.int64), times.tolist(), strict=True):
         if (n := min([n, *(left[column > 0] // column[column > 0]).tolist()])) > 0:

@@ -79,9 +79,10 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3
     """Newton's method; both classes weigh as they occur."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
-        w = w + np.linalg.solve((x * s[:, None]).T @ x + ridge * np.eye(len(w)) * len(x) / 100, x.T @ (y - p) - ridge * len(x) / 100 * w)
+        hessian = np.einsum("ni,nj->ij", x * s[:, None], x) + ridge * np.eye(len(w)) * len(x) / 100
+        w = w + np.linalg.solve(hessian, (x * (y - p)[:, None]).sum(axis=0) - ridge * len(x) / 100 * w)
     return w
 
 
@@ -113,7 +114,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
         for batch in slices(batches):
             if tool:
                 f = np.array([tool.features(t) for t in texts(batch)])
-                out = 1 / (1 + np.exp(-np.clip(expanded(f, m["mean"], m["scale"]) @ m["weights"], -30, 30)))
+                out = 1 / (1 + np.exp(-np.clip((expanded(f, m["mean"], m["scale"]) * m["weights"]).sum(axis=1), -30, 30)))
             else:
                 out = np.full(batch.num_rows, m["constant"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out)], ["doc_id", "held_out", "score"])
