@@ -39,7 +39,7 @@ from veilspark.llm.common import slices, texts, written
 WINDOW, GRAM = 200, 32
 PLACES = WINDOW - GRAM + 1
 #: Bytes hashed at once; segments of one collection before its windows are counted one by one; segments a batch.
-PART_BYTES, HOT_SEGMENTS, BATCH_SEGMENTS = 1 << 20, 20_000, 20_000
+PART_BYTES, HOT_SEGMENTS, BATCH_SEGMENTS = 1 << 20, 1000, 20_000
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 BYTE_VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
