@@ -58,6 +58,7 @@ class DigestIndex:
             "digests",
         )
         firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("times").alias("first_count"))
+        firsts = written(firsts, "first-digests")  # else the optimizer moves the anti-join below the aggregate, where copies meet in one task
         known = self.read()
         new_here = firsts.join(known.select("digest"), "digest", "left_anti").select("digest", F.lit(True).alias("new_here"))
         new_here = written(new_here, "new-digests")
