@@ -3,9 +3,11 @@
 A text's lattice has an edge for every piece that matches at a place (bytes where a character is no piece). The
 forward pass sums the weights of all segmentations up to each place; the backward pass draws the last piece in
 proportion to what leads to it, then the one before, and so on: an exact draw among all segmentations. No piece
-holds a space after another character, so that a lattice falls apart before each run of spaces; equal parts
-share their forward pass, and all parts of a batch are drawn together, one piece of each a round. A draw
-depends on the row key, the part's place and the round alone, never on batches or partitions.
+holds a space after another character, so that a lattice falls apart before each run of spaces. Equal parts of
+a batch share their forward pass, and a worker keeps those of short parts, KEPT_GROUPS characters at most; the
+passes of all new parts advance together, one column of their lattices a round. All parts of a batch are drawn
+together as well, one piece of each a round. A draw depends on the row key, the part's place and the round
+alone, never on batches or partitions.
 
 The vocabulary has ranks, not probabilities. A piece of rank r weighs (r + 1) ** -sharpness (Zipf's law for 1),
 a byte as much as the last piece.
@@ -20,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +32,29 @@ from pyspark.sql import DataFrame
 
 from veilspark.llm.common import slices, texts
 
-PART = re.compile(r" *[^ ]+| +")
-MOST_PARTS = 200_000
+#: Parts of up to so many characters advance together and are kept; characters of kept parts a worker.
+SHORT_PART, KEPT_GROUPS = 48, 2_000_000
+SMALL, LIFT = 1e-150, 1e150
+
+
+class Edges(NamedTuple):
+    """Lattices of parts, one after another. Each character ends a group of edges; a part's groups follow each other.
+
+    chars: groups of each part; count: edges of each group; start: the place in the part where an edge begins;
+    piece: its id, or -1 - code point; share: the group's probability up to and with this edge.
+    """
+
+    chars: np.ndarray
+    count: np.ndarray
+    start: np.ndarray
+    piece: np.ndarray
+    share: np.ndarray
+
+    def then(self, other: Edges) -> Edges:
+        return Edges(*(np.concatenate(pair) for pair in zip(self, other, strict=True)))
+
+
+NO_EDGES = Edges(*(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32, np.float64)))
 
 
 class Vocabulary:
@@ -38,65 +62,135 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
         self.ids: dict[str, int] = {}
-        self.raw: list[bytes] = []
-        self.byte_ids = [0] * 256
+        raw: list[bytes] = []
+        self.byte_ids = np.zeros(256, dtype=np.int64)
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[1:-1], 16)] = i
-                self.raw.append(bytes([int(piece[1:-1], 16)]))
+                raw.append(bytes([int(piece[1:-1], 16)]))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.raw.append(b"")
+                raw.append(b"")
             else:
                 text = piece.replace("▁", " ")
                 if re.search("[^ ] ", text):
                     raise ValueError(f"the piece {piece!r} has a space inside")
                 self.ids[text] = i
-                self.raw.append(text.encode())
+                raw.append(text.encode())
+        self.raw = pa.array(raw, pa.large_binary())
         self.longest = max(map(len, self.ids))
         self.log = -sharpness * np.log(np.arange(self.size) + 1.0)
         self.log[self.byte_ids] = self.log[-1]
         self.log -= np.log(np.exp(self.log).sum())
-        self.weight = np.exp(self.log).tolist()
-        self.parts: dict[str, tuple] = {}
-
-    def lattice(self, part: str) -> tuple[list[int], list[int], list[float], int]:
-        """Edges by their end: start, piece (or -1 - code point), cumulative probability plus the end's number; the last end.
-
-        The forward pass holds relative weights, scaled up whenever they get small.
-        """
-        if part in self.parts:
-            return self.parts[part]
-        get, weight, alpha, n = self.ids.get, self.weight, [1.0], len(part)
-        starts, pieces, cumulative = [], [], []
-        for end in range(1, n + 1):
-            total, first = 0.0, len(starts)
-            for start in range(max(0, end - self.longest), end):
-                piece = get(part[start:end])
-                if piece is not None:
-                    w = alpha[start] * weight[piece]
-                elif start == end - 1:
-                    piece = -1 - ord(part[start])
-                    w = alpha[start] * weight[self.byte_ids[0]] ** len(part[start].encode())
-                else:
-                    continue
-                total += w
-                starts.append(start)
-                pieces.append(piece)
-                cumulative.append(total)
-            for i in range(first, len(starts)):
-                cumulative[i] = end - 1 + cumulative[i] / total
-            cumulative[-1] = float(end)
-            alpha.append(total)
-            if total < 1e-150:
-                for i in range(max(0, end - self.longest), end + 1):
-                    alpha[i] *= 1e150
-        out = (starts, pieces, cumulative, n)
-        if n <= 48:
-            if len(self.parts) >= MOST_PARTS:
-                self.parts.clear()
-            self.parts[part] = out
-        return out
+        self.weight = np.exp(self.log)
+        self._index()
+        self.known: dict[bytes, int] = {}
+        self.kept = NO_EDGES
+
+    def _index(self) -> None:
+        """The pieces' prefixes as numbered nodes: (node, code point) pairs, sorted, and where they lead."""
+        nodes, steps, ends = {"": 0}, {}, [-1]
+        for text, piece in self.ids.items():
+            for i, c in enumerate(text):
+                if text[: i + 1] not in nodes:
+                    nodes[text[: i + 1]] = len(nodes)
+                    ends.append(-1)
+                    steps[nodes[text[:i]] << 21 | ord(c)] = nodes[text[: i + 1]]
+            ends[nodes[text]] = piece
+        self.step_keys = np.array(sorted(steps), dtype=np.int64)
+        self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], dtype=np.int64)
+        self.node_piece = np.array(ends, dtype=np.int64)
+
+    def lattices(self, parts: list[bytes]) -> Edges:
+        """The forward pass of each part."""
+        if not parts:
+            return NO_EDGES
+        line = [p.decode() for p in parts]
+        chars = np.array([len(p) for p in line], dtype=np.int64)
+        point = np.frombuffer("".join(line).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        part = np.repeat(np.arange(len(parts)), chars)
+        begin = np.cumsum(chars) - chars
+        place = np.arange(len(point)) - begin[part]
+        left = chars[part] - place
+        at, node, found = np.arange(len(point)), np.zeros(len(point), dtype=np.int64), []
+        for depth in range(self.longest):
+            key = node << 21 | point[at + depth]
+            step = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            hit = self.step_keys[step] == key
+            piece = np.where(hit, self.node_piece[self.step_to[step]], -1)
+            if not depth:
+                whole = np.where(piece < 0, -1 - point, piece)
+                found.append((at, at, whole))
+            else:
+                whole = piece >= 0
+                found.append((at[whole], at[whole] + depth, piece[whole]))
+            on = hit & (left[at] > depth + 1)
+            at, node = at[on], self.step_to[step[on]]
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end * (self.longest + 1) + self.longest - (end - start))
+        start, end, piece = start[order], end[order], piece[order]
+        wide = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
+        weight = np.where(piece >= 0, self.weight[piece], self.weight[self.byte_ids[0]] ** wide[end])
+        count = np.bincount(end, minlength=len(point))
+        value = self._forward(chars, begin, part, place, count, start, end, weight)
+        first, total, share = np.cumsum(count) - count, np.zeros(len(point)), np.empty(len(start))
+        for k in range(int(count.max())):
+            some = np.flatnonzero(count > k)
+            total[some] += value[first[some] + k]
+            share[first[some] + k] = total[some]
+        share /= total[end]
+        share[first + count - 1] = 1.0
+        return Edges(chars, count, place[start].astype(np.int32), piece.astype(np.int32), share)
+
+    def _forward(self, chars, begin, part, place, count, start, end, weight) -> np.ndarray:  # noqa: ANN001
+        """What leads through each edge, relative to the others of its group; small weights are lifted on the way."""
+        alpha = np.zeros(len(part) + len(chars))  # of the places between characters, one more than a part has characters
+        alpha[begin + np.arange(len(chars))] = 1.0
+        source, target = start + part[start], np.arange(len(part)) + part + 1
+        value, first = np.empty(len(start)), np.cumsum(count) - count
+        short = chars[part] <= SHORT_PART
+        groups = np.flatnonzero(short)
+        groups = groups[np.argsort(place[groups], kind="stable")]
+        edges = np.flatnonzero(short[end])
+        edges = edges[np.argsort(place[end[edges]], kind="stable")]
+        g = e = 0
+        for many in np.bincount(place[groups]).tolist() if len(groups) else ():
+            column = groups[g : g + many]
+            mine = edges[e : e + int(count[column].sum())]
+            g, e = g + many, e + len(mine)
+            value[mine] = alpha[source[mine]] * weight[mine]
+            alpha[target[column]] = np.add.reduceat(value[mine], np.cumsum(count[column]) - count[column])
+            low = column[alpha[target[column]] < SMALL]
+            for back in range(self.longest + 1 if len(low) else 0):
+                alpha[target[low[place[low] + 1 >= back]] - back] *= LIFT
+        for p in np.flatnonzero(chars > SHORT_PART).tolist():
+            low, high = int(begin[p]), int(begin[p] + chars[p])
+            a, b = int(first[low]), int(first[high - 1] + count[high - 1])
+            begins, weights, sums, out = (start[a:b] - low).tolist(), weight[a:b].tolist(), [1.0], []
+            i = 0
+            for many in count[low:high].tolist():
+                values = [sums[begins[j]] * weights[j] for j in range(i, i + many)]
+                i += many
+                out += values
+                sums.append(sum(values))
+                if sums[-1] < SMALL:
+                    for j in range(max(0, len(sums) - 1 - self.longest), len(sums)):
+                        sums[j] *= LIFT
+            value[a:b] = out
+        return value
+
+    def edges_of(self, parts: list[bytes]) -> tuple[np.ndarray, Edges]:
+        """The number of each part in the edges that are returned with them."""
+        if len(self.kept.count) > KEPT_GROUPS:
+            self.known, self.kept = {}, NO_EDGES
+        new = [p for p in parts if p not in self.known]
+        once = [p for p in new if len(p) > SHORT_PART]
+        new = [p for p in new if len(p) <= SHORT_PART]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        if new:
+            self.kept = self.kept.then(self.lattices(new))
+        numbers = dict(zip(once, range(len(self.known), len(self.known) + len(once)), strict=True))
+        return np.array([numbers[p] if p in numbers else self.known[p] for p in parts], dtype=np.int64), self.kept.then(self.lattices(once)) if once else self.kept
 
 
 @cache
@@ -111,35 +205,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sample(v: Vocabulary, raw: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def split(raw: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct parts of all texts (each after its dummy space), and for each part its number, text and place."""
+    data = b"".join([b" " + t for t in raw])
+    ends = np.cumsum([len(t) + 1 for t in raw])
+    begins = np.concatenate([[0], ends[:-1]])
+    space = np.frombuffer(data, dtype=np.uint8) == 32
+    opens = space.copy()
+    opens[1:] &= ~space[:-1]
+    opens[begins] = True
+    opens[begins[ends - begins > 1] + 1] = False
+    cuts = np.flatnonzero(opens)
+    offsets = np.append(cuts, len(data))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    owner = np.searchsorted(ends, cuts, side="right")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), owner, (np.arange(len(cuts)) - np.searchsorted(cuts, begins)[owner]).astype(np.uint64)
+
+
+def sample(v: Vocabulary, raw: list[bytes], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after another, and how many each has."""
-    kinds: dict[str, int] = {}
-    which, places, owner = [], [], []
-    for row, text in enumerate(raw):
-        parts = PART.findall(" " + text)
-        which += [kinds.setdefault(p, len(kinds)) for p in parts]
-        places.append(np.arange(len(parts), dtype=np.uint64))
-        owner.append(np.full(len(parts), row))
-    starts, pieces, cumulative, last, base = [], [], [], [], [0]
-    for part in kinds:
-        s, p, c, n = v.lattice(part)
-        starts += s
-        pieces += p
-        cumulative.append(np.array(c) + base[-1])
-        base.append(base[-1] + n)
-        last.append(n)
-    starts, pieces, cumulative = np.array(starts), np.array(pieces), np.concatenate(cumulative)
-    base, last = np.array(base[:-1]), np.array(last)
-    which, owner, places = np.array(which), np.concatenate(owner), np.concatenate(places)
+    parts, which, owner, places = split(raw)
+    numbers, edges = v.edges_of(parts)
+    which = numbers[which]
+    base = np.cumsum(edges.chars) - edges.chars
+    stop = np.cumsum(edges.count)
     stream = mixed(mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(seed))[owner] + places * np.uint64(0x9E3779B97F4A7C15))
-    at, live, end = np.arange(len(which)), base[which], last[which]
+    at, live, end = np.arange(len(which)), base[which], edges.chars[which]
     found_at, found_piece, turn = [], [], 0
     while len(at):
         u = (mixed(stream[at] + np.uint64(turn)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        edge = np.searchsorted(cumulative, live + (end - 1) + u, side="right")
+        group = live + end - 1
+        high = stop[group] - 1
+        low = high - edges.count[group] + 1
+        for _ in range(v.longest.bit_length()):  # the first edge of the group whose share is over u
+            middle = (low + high) >> 1
+            over = edges.share[middle] > u
+            high, low = np.where(over, middle, high), np.where(over, low, np.minimum(middle + 1, high))
         found_at.append(at)
-        found_piece.append(pieces[edge])
-        end = starts[edge]
+        found_piece.append(edges.piece[high])
+        end = edges.start[high]
         more = end > 0
         at, live, end = at[more], live[more], end[more]
         turn += 1
@@ -147,23 +251,27 @@ def sample(v: Vocabulary, raw: list[str], keys: np.ndarray, seed: int) -> tuple[
     for a in found_at:
         counts[a] += 1
     ends = np.cumsum(counts)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    out = np.empty(int(ends[-1]), dtype=np.int64)
     for turn, (a, p) in enumerate(zip(found_at, found_piece, strict=True)):
         out[ends[a] - 1 - turn] = p
-    sizes = np.bincount(owner, weights=counts, minlength=len(raw)).astype(np.int64)
-    if len(out) and out.min() < 0:  # characters outside the vocabulary become their bytes
-        line, row, flat, rows = out.tolist(), np.repeat(np.arange(len(raw)), sizes).tolist(), [], []
-        for piece, r in zip(line, row, strict=True):
-            ids = [piece] if piece >= 0 else [v.byte_ids[b] for b in chr(-1 - piece).encode()]
-            flat += ids
-            rows += [r] * len(ids)
-        out, sizes = np.array(flat), np.bincount(rows, minlength=len(raw))
-    return out, sizes
+    row = np.repeat(owner, counts)
+    if out.min() < 0:  # characters outside the vocabulary become their bytes
+        strange = np.flatnonzero(out < 0)
+        codes = [chr(-1 - p).encode() for p in out[strange].tolist()]
+        times = np.ones(len(out), dtype=np.int64)
+        times[strange] = [len(c) for c in codes]
+        spread = np.repeat(out < 0, times)
+        out, row = np.repeat(out, times), np.repeat(row, times)
+        out[spread] = v.byte_ids[np.frombuffer(b"".join(codes), dtype=np.uint8)]
+    return out, np.bincount(row, minlength=len(raw))
 
 
-def decode(v: Vocabulary, ids: list[int]) -> str:
-    """The text of a segmentation, without its dummy space."""
-    return b"".join([v.raw[i] for i in ids])[1:].decode()
+def decode(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The texts of segmentations, one after another in ids, without their dummy spaces."""
+    pieces = v.raw.take(pa.array(ids))
+    offsets, ends = np.frombuffer(pieces.buffers()[1], dtype=np.int64)[: len(ids) + 1], np.cumsum(sizes)
+    data = pieces.buffers()[2].to_pybytes()
+    return [data[a + 1 : b] for a, b in zip(offsets[ends - sizes].tolist(), offsets[ends].tolist(), strict=True)]
 
 
 def sampled_segmentations(docs: DataFrame, path: str | None = None, seed: int = 23, sharpness: float = 1.0, with_ids: bool = False) -> DataFrame:
@@ -173,19 +281,18 @@ def sampled_segmentations(docs: DataFrame, path: str | None = None, seed: int =
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, sharpness)
-        for batch in slices(batches, most=1 << 20):
-            raw = [t.decode() for t in texts(batch)]
+        for batch in slices(batches):
+            raw = texts(batch)
             keys = np.array([-1 if k is None else k for k in batch.column("doc_id").to_pylist()], dtype=np.int64)
             ids, sizes = sample(v, raw, keys, seed)
             ends = np.cumsum(sizes)
-            line, log = ids.tolist(), np.concatenate([[0.0], np.cumsum(v.log[ids])])
             bounds = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
-            packed = ids.astype("<u4").tobytes()
+            packed = memoryview(ids.astype("<u4").tobytes())
             columns = [
                 batch.column("doc_id"), pa.array(sizes), pa.array([zlib.crc32(packed[4 * a : 4 * b]) for a, b in bounds], pa.int64()),
-                pa.array(log[ends] - log[ends - sizes]), pa.array([decode(v, line[a:b]) == t for (a, b), t in zip(bounds, raw, strict=True)]),
+                pa.array(np.add.reduceat(v.log[ids], ends - sizes)), pa.array([a == b for a, b in zip(decode(v, ids, sizes), raw, strict=True)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array([line[a:b] for a, b in bounds], pa.list_(pa.int64()))] if with_ids else []), names)
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array([ids[a:b].tolist() for a, b in bounds], pa.list_(pa.int64()))] if with_ids else []), names)
 
     kinds = "doc_id long, n_pieces long, ids_crc32 long, log_prob double, lossless boolean" + (", ids array<long>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(draw, kinds)
