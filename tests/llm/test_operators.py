@@ -246,8 +246,46 @@ def test_sampling_follows_the_lattice():
     import public_tokenizers
 
     v = sp_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
-    ids, sizes = sp_sampling.sample(v, ["the"] * 20_000, np.arange(20_000), 1)
+    ids, sizes = sp_sampling.sample(v, [b"the"] * 20_000, np.arange(20_000), 1)
     found = Counter(tuple(x) for x in np.split(ids, np.cumsum(sizes)[:-1]))
     weights = {p: math.prod(v.weight[i] for i in p) for p in found}
     total = sum(weights.values())
     assert all(abs(n / 20_000 - weights[p] / total) < 0.015 for p, n in found.items())
+
+
+def test_forward_pass_against_direct_sums():
+    import public_tokenizers
+
+    v = sp_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    parts = [" water", "   ", "x", " é日▁", "the" * 30, "日" * 60, " " + "\U0001f600" * 20]  # those over SHORT_PART advance alone
+    edges = v.lattices([p.encode() for p in parts])
+    group = edge = 0
+    for part, chars in zip(parts, edges.chars.tolist(), strict=True):
+        assert chars == len(part)
+        sums = [math.log(1.0)]
+        for end in range(1, len(part) + 1):
+            ways = []
+            for start in range(max(0, end - v.longest), end):
+                if part[start:end] in v.ids:
+                    ways.append((start, sums[start] + v.log[v.ids[part[start:end]]]))
+                elif start == end - 1:
+                    ways.append((start, sums[start] + v.log[-1] * len(part[start].encode())))
+            top = max(w for _, w in ways)
+            total = sum(math.exp(w - top) for _, w in ways)
+            sums.append(top + math.log(total))
+            n = edges.count[group]
+            assert edges.start[edge : edge + n].tolist() == [s for s, _ in ways]
+            np.testing.assert_allclose(edges.share[edge : edge + n], np.cumsum([math.exp(w - top) for _, w in ways]) / total, rtol=1e-9)
+            group, edge = group + 1, edge + n
+    assert group == len(edges.count) and edge == len(edges.piece)
+
+
+def test_draws_do_not_depend_on_batches():
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    raw, keys = [t.encode() for _, t, *_ in corpus() if t is not None][:70] + ["é▁ü  日本 ".encode(), b"", b"  "], np.arange(73)
+    v = sp_sampling.Vocabulary(path, 1.0)
+    ids, sizes = sp_sampling.sample(v, raw, keys, 5)
+    alone = [sp_sampling.sample(sp_sampling.Vocabulary(path, 1.0) if i < 3 else v, [t], keys[i : i + 1], 5)[0] for i, t in enumerate(raw)]
+    assert np.array_equal(ids, np.concatenate(alone)) and sp_sampling.decode(v, ids, sizes) == raw

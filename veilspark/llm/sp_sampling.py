@@ -100,6 +100,9 @@ class Vocabulary:
         self.step_keys = np.array(sorted(steps), dtype=np.int64)
         self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], dtype=np.int64)
         self.node_piece = np.array(ends, dtype=np.int64)
+        self.first_node = np.zeros(0x110000, dtype=np.int32)  # by code point; 0: no piece begins so
+        root = self.step_keys < 1 << 21
+        self.first_node[self.step_keys[root]] = self.step_to[root]
 
     def lattices(self, parts: list[bytes]) -> Edges:
         """The forward pass of each part."""
@@ -112,26 +115,32 @@ class Vocabulary:
         begin = np.cumsum(chars) - chars
         place = np.arange(len(point)) - begin[part]
         left = chars[part] - place
-        at, node, found = np.arange(len(point)), np.zeros(len(point), dtype=np.int64), []
-        for depth in range(self.longest):
+        at, node = np.arange(len(point)), self.first_node[point].astype(np.int64)
+        piece = np.where(node > 0, self.node_piece[node], -1)
+        found = [(at, np.where(piece < 0, -1 - point, piece))]
+        on = (node > 0) & (left > 1)
+        at, node = at[on], node[on]
+        for depth in range(1, self.longest):
             key = node << 21 | point[at + depth]
             step = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
             hit = self.step_keys[step] == key
-            piece = np.where(hit, self.node_piece[self.step_to[step]], -1)
-            if not depth:
-                whole = np.where(piece < 0, -1 - point, piece)
-                found.append((at, at, whole))
-            else:
-                whole = piece >= 0
-                found.append((at[whole], at[whole] + depth, piece[whole]))
-            on = hit & (left[at] > depth + 1)
-            at, node = at[on], self.step_to[step[on]]
-        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(end * (self.longest + 1) + self.longest - (end - start))
-        start, end, piece = start[order], end[order], piece[order]
+            at, node = at[hit], self.step_to[step[hit]]
+            piece = self.node_piece[node]
+            found.append((at[piece >= 0], piece[piece >= 0]))
+            on = left[at] > depth + 1
+            at, node = at[on], node[on]
+        count = np.zeros(len(point), dtype=np.int64)
+        for depth, (at, _) in enumerate(found):
+            count[at + depth] += 1
+        next_edge = np.cumsum(count) - count
+        start, piece = (np.empty(int(count.sum()), dtype=np.int64) for _ in range(2))
+        for depth, (at, pieces) in reversed(list(enumerate(found))):  # the longest first, a group's edges by their start
+            edge = next_edge[at + depth]
+            start[edge], piece[edge] = at, pieces
+            next_edge[at + depth] += 1
+        end = np.repeat(np.arange(len(point)), count)
         wide = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
         weight = np.where(piece >= 0, self.weight[piece], self.weight[self.byte_ids[0]] ** wide[end])
-        count = np.bincount(end, minlength=len(point))
         value = self._forward(chars, begin, part, place, count, start, end, weight)
         first, total, share = np.cumsum(count) - count, np.zeros(len(point)), np.empty(len(start))
         for k in range(int(count.max())):
@@ -150,9 +159,9 @@ class Vocabulary:
         value, first = np.empty(len(start)), np.cumsum(count) - count
         short = chars[part] <= SHORT_PART
         groups = np.flatnonzero(short)
-        groups = groups[np.argsort(place[groups], kind="stable")]
+        groups = groups[np.argsort(place[groups].astype(np.uint8), kind="stable")]
         edges = np.flatnonzero(short[end])
-        edges = edges[np.argsort(place[end[edges]], kind="stable")]
+        edges = edges[np.argsort(place[end[edges]].astype(np.uint8), kind="stable")]
         g = e = 0
         for many in np.bincount(place[groups]).tolist() if len(groups) else ():
             column = groups[g : g + many]
