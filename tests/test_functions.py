@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import casing, scoring, text
-from veilspark.operators import graph, rewrite, stores
-from veilspark.sources import files
+from veilspark.operators import graph, restore, rewrite, stores
+from veilspark.sources import files, sinks
 
 
 def one(spark, column):
@@ -75,3 +76,21 @@ def test_files(spark, tmp_path):
     got = {r["file"]: (r["text"], r["is_binary"]) for r in files.text_files(spark, str(tmp_path)).collect()}
     assert got == {"src/a.js": ("let a = 1\n", False), "src/b.bin": (None, True)}
     assert one(spark, files.excluded(F.lit("vendor/x.js"), ["vendor/*"])) and not one(spark, files.excluded(F.lit("src/x.js"), ["vendor/*"]))
+
+
+def test_reverse_rules(spark):
+    kind = "entity_id string, ghost string, real string, identifier string"
+    rules = restore.reverse_rules(spark.createDataFrame([("a", "vendor-a", "Sky Route", "skyRoute"), ("b", "host-a.example", "h1.corp", None), ("c", "", "x", None)], kind))
+    assert [(r.ghost_segments, r.real_segments, r.lossy) for r in rules] == [(["host", "a"], ["h1", "corp"], False), (["vendor", "a"], ["sky", "route"], True)]
+    with pytest.raises(ValueError, match="one ghost"):
+        restore.reverse_rules(spark.createDataFrame([("a", "g", "x", None), ("b", "g", "y", None)], kind))
+    assert one(spark, restore.restored(F.lit(None).cast("string"), rules)) is None and one(spark, restore.restored(F.lit(""), rules)) == ""
+
+
+def test_sinks(spark, tmp_path):
+    for _ in range(2):
+        sinks.append_log(sinks.run_metrics(spark.range(1).withColumn("ts", F.lit("2024-01-01 00:00:00"))), str(tmp_path / "log"))
+    got = spark.read.json(str(tmp_path / "log")).collect()
+    assert [(r["schema"], r["ts"][:10]) for r in got] == [(1, "2024-01-01")] * 2
+    with pytest.raises(ValueError, match="inside"):
+        sinks.outside(str(tmp_path / "a" / ".." / "b"), str(tmp_path))

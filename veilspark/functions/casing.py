@@ -85,3 +85,21 @@ def fuzzy_ratios():
         return pd.Series([round(max(indel_ratio(x.lower(), y.lower()), indel_ratio(words(x), words(y))), 4) for x, y in zip(a, b, strict=True)])
 
     return run
+
+
+def respeller(pairs: list[tuple[list[str], list[str]]]):
+    """A pandas UDF over text: in each identifier, runs of a pair's first segments become its second, longest runs first."""
+    ordered = sorted(pairs, key=lambda p: -sum(map(len, p[0])))
+    identifier = re.compile(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+|[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
+
+    def respelled(found: re.Match) -> str:
+        token = found[0]
+        for stem, alias in ordered:
+            token = splice(token, stem, alias)
+        return token
+
+    @F.pandas_udf("string")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda t: None if t is None else identifier.sub(respelled, t))
+
+    return run

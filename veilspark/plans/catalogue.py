@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
-from veilspark.operators import graph, rewrite, stores
-from veilspark.sources import files
+from veilspark.operators import graph, restore, rewrite, stores
+from veilspark.sources import files, sinks
 from veilspark.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,3 +408,60 @@ def q_stream_screen(spark, sf_dir):
     stream = logs.screened(logs.parquet_stream(spark, sf_dir, "documents.parquet"))
     n = F.size(F.filter("hits", lambda h: h["kind"] == "email")).cast("long")
     return logs.drained(spark, stream.select("doc_id", n.alias("n_emails")).filter("n_emails > 0"), "stream_screen", "append")
+
+
+#: Aliases on their way back: entity, ghost, real, identifier.
+MAPPING = "SELECT * FROM VALUES ('v1', 'vendor-a', 'Sky Route', 'skyRoute'), ('v2', 'vendor-ab', 'Meridian', NULL), ('s1', 'service-a', 'bookingCore', NULL), ('x', '', 'gone', NULL) AS m(entity_id, ghost, real, identifier)"
+WORD_RULES = [restore.Rule("w1", "que", "client$b", ["que"], ["client", "b"]), restore.Rule("w2", "the", "vendor-a", ["the"], ["vendor", "a"])]
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bque\b', 'client$b', 'g'), '\bthe\b', 'vendor-a', 'g')) AS restored_md5 FROM documents""")
+def q_reverse_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(restore.restored(F.col("text"), WORD_RULES, casings=False)).alias("restored_md5"))
+
+
+@query("SELECT s_suppkey, concat('use Sky Route, Meridian and Sky Route; skyRouteUrl', s_suppkey, ' SKY_ROUTE_KEY x_vendor-ac bookingCore') AS restored FROM supplier")
+def q_reverse_translate(spark, sf_dir):
+    text_ = F.concat(F.lit("use vendor-a, vendor-ab and Vendor A; vendorAUrl"), F.col("s_suppkey"), F.lit(" VENDOR_A_KEY x_vendor-ac serviceA"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", restore.restored(text_, restore.reverse_rules(spark.sql(MAPPING))).alias("restored"))
+
+
+def change_lines(spark, sf_dir):
+    k = F.col("s_suppkey")
+    doc = F.concat(F.lit("diff --git a/service-a.js b/service-a.js\nindex service-a\n--- a/service-a.js\n+++ b/service-a.js\n@@ -1,2 +1,2 @@\n ctx\n-service-a"), k, F.lit("\n+serviceA"), k)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(F.split(doc, "\n")).alias("n", "line"))
+
+
+@query("""WITH l AS (SELECT s_suppkey, string_split(concat('diff --git a/bookingCore.js b/bookingCore.js\nindex service-a\n--- a/bookingCore.js\n+++ b/bookingCore.js\n@@ -1,2 +1,2 @@\n ctx\n-service-a', s_suppkey, '\n+serviceA', s_suppkey), chr(10)) AS ls FROM supplier)
+SELECT s_suppkey, generate_subscripts(ls, 1)::INT - 1 AS n, unnest(ls) AS restored FROM l""")
+def q_diff_reversal(spark, sf_dir):
+    return restore.restored_lines(change_lines(spark, sf_dir), "line", restore.reverse_rules(spark.sql(MAPPING))).select("s_suppkey", "n", "restored")
+
+
+@query("SELECT s_suppkey, CAST(1 AS BIGINT) AS n_files, CAST(1 AS BIGINT) AS n_hunks FROM supplier")
+def q_diff_sizes(spark, sf_dir):
+    return restore.diff_sizes(change_lines(spark, sf_dir), "s_suppkey", "line")
+
+
+@query("""SELECT s_suppkey AS file, t.number, t.tag, CASE WHEN t.tag = '+' THEN 'new bookingCore' WHEN s_suppkey % 2 = 0 THEN concat('real ', t.number + 1, ' of ', s_suppkey) ELSE 'old bookingCore' END AS restored
+FROM supplier, (VALUES (1, ' '), (2, '-'), (3, '+'), (4, ' ')) AS t(number, tag) WHERE NOT (s_suppkey % 2 = 0 AND t.number = 4)
+UNION ALL SELECT s_suppkey, 4, ' ', concat('real 4 of ', s_suppkey) FROM supplier WHERE s_suppkey % 2 = 0""")
+def q_anchored_replay(spark, sf_dir):
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"))
+    changes = keys.select("file", F.posexplode(F.array(*map(F.lit, " -+ "))).alias("number", "tag")).withColumn("number", F.col("number") + 1)
+    content = F.when(F.col("tag") == "+", "new service-a").otherwise("old service-a")
+    changes = changes.select("file", "number", F.lit(1).alias("hunk"), F.lit(2).alias("old_start"), "tag", content.alias("content"))
+    public = keys.select("file", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).withColumn("line", F.lit("x"))
+    real = keys.select("file", F.explode(F.sequence(F.lit(1), (F.lit(5) + F.col("file") % 2).cast("int"))).alias("n"))
+    real = real.withColumn("line", F.concat(F.lit("real "), F.col("n"), F.lit(" of "), F.col("file")))
+    return restore.replayed(changes, public, real, restore.reverse_rules(spark.sql(MAPPING))).select("file", "number", "tag", "restored")
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 600 THEN concat(substr(text, 1, 600), '[+', length(text) - 600, ' chars]') ELSE text END AS clipped FROM documents""")
+def q_clipped_log(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.clipped(F.col("text")).alias("clipped"))
+
+
+@query("SELECT c_custkey, 'seen' AS event, sha256(c_name) AS real_sha256 FROM customer")
+def q_audit_events(spark, sf_dir):
+    return sinks.audit_events(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "seen")
