@@ -61,3 +61,12 @@ def episodes(log: DataFrame, stream: str, order: list[str], opener: Column) -> D
 def episode_clock(log: DataFrame, keys: list[str], order: list[str], ts: str) -> DataFrame:
     first = F.first(ts, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return log.withColumn("elapsed", F.round((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 1e6, 1))
+
+
+def decision_records(rows: DataFrame) -> DataFrame:
+    """Rows (surface, reviewer_action, key, entity_id, level, proposed_level) as log records: unknown actions fail the job;
+    the key is the given one, the entity or the surface's digest; an escalation without a level is restricted."""
+    known = F.col("reviewer_action").isin("accept", "ignore", "escalate")
+    level = F.coalesce("level", F.when(F.col("reviewer_action") == "escalate", "restricted"), "proposed_level")
+    action = F.when(known, F.col("reviewer_action")).otherwise(F.raise_error(F.concat(F.lit("no such action: "), F.coalesce("reviewer_action", F.lit("null")))))
+    return rows.withColumn("key", F.coalesce("key", "entity_id", F.concat(F.lit("sha256:"), F.sha2("surface", 256)))).withColumn("level", level).withColumn("reviewer_action", action)

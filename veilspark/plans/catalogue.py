@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
-from veilspark.operators import graph, restore, rewrite, stores
+from veilspark.operators import graph, restore, rewrite, source, stores
 from veilspark.sources import files, sinks
 from veilspark.streaming import logs
 
@@ -465,3 +465,37 @@ def q_clipped_log(spark, sf_dir):
 @query("SELECT c_custkey, 'seen' AS event, sha256(c_name) AS real_sha256 FROM customer")
 def q_audit_events(spark, sf_dir):
     return sinks.audit_events(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "seen")
+
+
+SOURCE_RULES = [("skyRoute", "vendorA"), ("booking-core", "service-a")]
+
+
+@query("""SELECT s_suppkey, concat('import x from "@skyRoute/sdk";\nimport y from "./vendorA";\n// vendorA ', s_suppkey, '\nconst vendorA', s_suppkey, ' = 1 + ''service-a \\'' // vendorA''; /* vendorA\n*/ a-booking-core') AS rewritten, '@skyRoute/sdk' AS kept FROM supplier""")
+def q_source_rewrite(spark, sf_dir):
+    k = F.col("s_suppkey")
+    code = F.concat(F.lit('import x from "@skyRoute/sdk";\nimport y from "./skyRoute";\n// skyRoute '), k, F.lit("\nconst skyRoute"), k, F.lit(" = 1 + 'booking-core \\' // skyRoute'; /* skyRoute\n*/ a-booking-core"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", source.nodes(code).alias("nodes"))
+    return rows.select("s_suppkey", source.rewritten(F.col("nodes"), SOURCE_RULES).alias("rewritten"), F.array_join(source.kept_specifiers(F.col("nodes"), SOURCE_RULES), ",").alias("kept"))
+
+
+@query("""SELECT doc_id, md5(text) AS text_md5 FROM documents""")
+def q_source_nodes_whole(spark, sf_dir):
+    """Lexing loses nothing: the pieces of every text make it up."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", source.nodes(F.col("text"), hash_comments=True).alias("nodes"))
+    return rows.select("doc_id", F.md5(source.rewritten(F.col("nodes"), [])).alias("text_md5"))
+
+
+@query("""SELECT s_suppkey, concat('{"name": "service-a", "dependencies": {"@x/booking-core": "^', s_suppkey, '", "b": "file:service-a"}, "scripts": {"vendorA": "y"}, "overrides" : { "a": {"booking-core": "service-a"}, "skyRoute": "1" } }') AS rewritten, '@x/booking-core,booking-core,skyRoute' AS kept FROM supplier""")
+def q_package_rewrite(spark, sf_dir):
+    text_ = F.concat(F.lit('{"name": "booking-core", "dependencies": {"@x/booking-core": "^'), F.col("s_suppkey"), F.lit('", "b": "file:booking-core"}, "scripts": {"skyRoute": "y"}, "overrides" : { "a": {"booking-core": "booking-core"}, "skyRoute": "1" } }'))
+    out, kept = source.rewritten_package(source.package_pieces(text_), SOURCE_RULES)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", out.alias("rewritten"), F.array_join(kept, ",").alias("kept"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('e', user_id) ELSE concat('sha256:', sha256(event_type)) END AS key, CASE WHEN event_id % 3 = 0 THEN 'restricted' ELSE 'internal' END AS level FROM events""")
+def q_decision_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("surface"), F.lit(None).cast("string").alias("key"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("e"), F.col("user_id"))).alias("entity_id"),
+        F.lit(None).cast("string").alias("level"), F.lit("internal").alias("proposed_level"), F.when(F.col("event_id") % 3 == 0, "escalate").otherwise("accept").alias("reviewer_action"),
+    )
+    return stores.decision_records(rows).select("event_id", "key", "level")
