@@ -14,8 +14,9 @@ The collection is cut so that each part stays small, and no string that repeats
    if its suffix shares 200 bytes with a neighbour's when its column is reached.
 
 Between the steps Spark's sorted shuffle files hold the sequences, read in order. A collection of over
-HOT_SEGMENTS segments is not put in one task: its windows are counted by 128-bit digests instead, spread by
-digest, which gives the same answer.
+HOT_SEGMENTS segments is not put in one task. Its windows fall into two halves by the distance of their anchor,
+and those of a half that are equal hold equal bytes around the anchor, so that these bytes divide it: such parts
+are collections of their own, halved again where they are still too large. Halves of one window are counted.
 
 Defined results: null text is empty; matches lie in one document; texts under 200 bytes have no windows;
 repeated rows repeat each other's strings; an empty table gives no rows; other columns are ignored by the
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import slices, texts, written
+from veilspark.llm.common import lookup, slices, texts, written
 
 WINDOW, GRAM = 200, 32
 PLACES = WINDOW - GRAM + 1
-#: Bytes hashed at once; segments of one collection before its windows are counted one by one; segments a batch.
-PART_BYTES, HOT_SEGMENTS, BATCH_SEGMENTS = 1 << 20, 20_000, 20_000
+#: Bytes hashed at once; segments of one collection before it is split; segments a batch.
+PART_BYTES, HOT_SEGMENTS, BATCH_SEGMENTS = 1 << 20, 1_000, 20_000
 MULTIPLIER, MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 BYTE_VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -179,24 +181,26 @@ def repeating_windows(bucket: np.ndarray, data: bytes, begins: np.ndarray, sizes
 
 
 def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments sorted by anchor: the window ranges (first, last, from the segment's start) that repeat."""
-    columns = ["anchor", "sum1", "sum2", "begin", "segment"]
+    """From segments sorted by bucket: the window ranges (first, last, from the segment's start) that repeat."""
+    columns = ["bucket", "anchor", "sum1", "sum2", "low", "high", "begin", "segment"]
 
     def answered(table: pa.Table) -> pa.RecordBatch:
         raw = [x.as_py() for x in table.column("segment")]
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
-        anchor, one, two, begin = (table.column(c).to_numpy() for c in columns[:4])
-        runs = repeating_windows(anchor, b"".join(raw), np.cumsum(sizes) - sizes, sizes, begin.astype(np.int64))
-        i = runs[:, 0]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[i], one[i], two[i], runs[:, 1], runs[:, 2])], ["anchor", "sum1", "sum2", "first", "last"])
+        bucket, anchor, one, two, low, high, begin = (table.column(c).to_numpy() for c in columns[:7])
+        found = repeating_windows(bucket, b"".join(raw), np.cumsum(sizes) - sizes, sizes, begin.astype(np.int64))
+        first, last = np.maximum(found[:, 1], (begin - high)[found[:, 0]]), np.minimum(found[:, 2], (begin - low)[found[:, 0]])
+        own = first <= last  # windows of other distances are marked with their own half
+        i = found[own, 0]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[i], one[i], two[i], first[own], last[own])], ["anchor", "sum1", "sum2", "first", "last"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch.select(columns))
         if sum(b.num_rows for b in held) >= BATCH_SEGMENTS:
             table = pa.Table.from_batches(held).combine_chunks()
-            anchor = table.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
+            bucket = table.column("bucket").to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))
             if cut:
                 yield answered(table.slice(0, cut))
             held = table.slice(cut).combine_chunks().to_batches()
@@ -204,13 +208,26 @@ def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answered(pa.Table.from_batches(held))
 
 
-def window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment twice, for the lower and the upper half of its anchor distances low..high, if it has windows there.
+
+    All windows of the distances low..high hold the bytes from `low` before the anchor to where the one of `high`
+    ends; key is their digest. With low = high that is the one window.
+    """
+    same = ["anchor", "sum1", "sum2", "begin", "segment"]
     for batch in batches:
-        for i, raw in enumerate(x.as_py() for x in batch.column("segment")):
-            many = len(raw) - WINDOW + 1
-            sums = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + WINDOW]) for a in range(many)]), dtype=np.int64).reshape(-1, 2)
-            same = [pa.array(np.full(many, batch.column(c)[i].as_py())) for c in ("anchor", "sum1", "sum2", "n")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(many)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["anchor", "sum1", "sum2", "n", "first", "w1", "w2"])
+        row, keys, lows, highs = [], [], [], []
+        lists = [batch.column(c).to_pylist() for c in ("low", "high", "begin", "segment")]
+        for i, (low, high, begin, segment) in enumerate(zip(*lists, strict=True)):
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                if a <= begin and b >= begin + WINDOW - len(segment):
+                    row.append(i)
+                    keys.append(xxhash.xxh3_128_digest(bytes([a, b]) + segment[begin - a : begin - b + WINDOW]))
+                    lows.append(a)
+                    highs.append(b)
+        taken = batch.select(same).take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), *taken.columns], ["key", "low", "high", *same])
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +250,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def shared_windows(cut: DataFrame) -> DataFrame:
+    """anchor, sum1, sum2, first, last: the windows that different segments of cut share.
+
+    A collection that is too large for one task is split in two by anchor distance and, in each half, by the bytes
+    that all windows of such distances hold; so on, until each part fits or is one window, met several times.
+    """
+    partitions = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = "anchor long, sum1 long, sum2 long, first long, last long"
+    rows = cut.select(F.unhex(F.lpad(F.hex("anchor"), 16, "0")).alias("key"), F.lit(0).alias("low"), F.lit(PLACES - 1).alias("high"), "anchor", "sum1", "sum2", "begin", "segment")
+    fitting, single = [], []
+    while True:
+        sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("high") - F.col("low")).alias("spread")).filter("kinds > 1"), "collection-sizes")
+        fits, one = F.col("kinds") <= HOT_SEGMENTS, F.col("spread") == 0
+        met = lookup(rows, sizes, "key", "kinds")
+        fitting.append(met.filter(fits & ~one).withColumn("bucket", F.xxhash64("key")).drop("key", "kinds", "spread"))
+        start = (F.col("begin") - F.col("low")).cast("long")
+        single.append(met.filter(one).select("anchor", "sum1", "sum2", start.alias("first"), start.alias("last")))
+        if sizes.filter(~fits & ~one).isEmpty():
+            break
+        split = met.filter(~fits & ~one).select("low", "high", "anchor", "sum1", "sum2", "begin", "segment")
+        rows = written(split.mapInArrow(halves, "key binary, low int, high int, anchor long, sum1 long, sum2 long, begin int, segment binary"), "halves")
+    together, alone = reduce(DataFrame.unionByName, fitting), reduce(DataFrame.unionByName, single)
+    return together.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(collections, kind).unionByName(alone)
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """id, print, ranges: for documents with repeating strings, the byte ranges (begin, end) that these cover, with overlaps."""
     rows = keyed(docs).select("id", "print", "text")
@@ -248,16 +290,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     wanted = wanted.groupBy("id", "print").agg(F.collect_list("w").alias("wanted"))  # as many as a document has segments
     kind = "anchor long, sum1 long, sum2 long, n long, begin int, segment binary"
     cut = written(rows.hint("merge").join(wanted, ["id", "print"]).select("text", "wanted").mapInArrow(cut_segments, kind).dropDuplicates(name), "segment-bytes")
-    hot = mixed.filter(F.col("kinds") > HOT_SEGMENTS)
-    usual = cut.join(mixed.filter(F.col("kinds") <= HOT_SEGMENTS).select("anchor"), "anchor")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = usual.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(collections, "anchor long, sum1 long, sum2 long, first long, last long")
-    windows = cut.join(hot.select("anchor"), "anchor", "left_semi").mapInArrow(window_digests, "anchor long, sum1 long, sum2 long, n long, first long, w1 long, w2 long")
-    windows = written(windows, "hot-windows")
-    counts = written(windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2"), "hot-counts")
-    others = windows.join(counts, ["w1", "w2"]).select(*name, "first", F.col("first").alias("last"))
     whole = distinct.filter("n > 1").select(*name, F.lit(0).cast("long").alias("first"), F.shiftright(F.col("one.place"), 12).bitwiseAND(4095).alias("last"))
-    marks = written(whole.unionByName(some).unionByName(others), "marks")
+    marks = written(whole.unionByName(shared_windows(cut)), "marks")
     low = F.shiftright("place", 24)
     return (
         found.hint("merge").join(marks, name)
