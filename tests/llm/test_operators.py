@@ -1,6 +1,7 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import random
 import math
 import re
 import zlib
@@ -142,6 +143,24 @@ def test_suffix_dedup(docs, empty, monkeypatch, hot):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("hot", [2, 9])
+def test_common_passages_in_many_surroundings(spark, monkeypatch, hot):
+    """Large collections are divided, at both ends of passages and at changes within, without losing a window."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+    rng = random.Random(3)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    passages = [word(n, "abcdef ") for n in (150, 190, 260, 420)]
+    raw = []
+    for i in range(60):
+        p = passages[i % 4]
+        p = p[: 90 + i] + "X" + p[91 + i :] if i % 7 == 0 else p
+        raw.append(word(40 + i, "xy") + p + word(170, "uv" if i % 3 else "u") + passages[0])
+    want = {i: (int(f.sum()), hashlib.sha256(np.frombuffer(t.encode(), dtype=np.uint8)[~f].tobytes()).hexdigest()) for i, (t, f) in enumerate(zip(raw, removed_flags([t.encode() for t in raw])))}
+    got = suffix_dedup.removal_digests(spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")).toPandas()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got.itertuples()} == want
+    assert sum(n for n, _ in want.values()) > 5000
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 700)
     rng = np.random.default_rng(0)

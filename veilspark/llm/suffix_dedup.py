@@ -14,9 +14,9 @@ The collection is cut so that each part stays small, and no string that repeats
    if its suffix shares 200 bytes with a neighbour's when its column is reached.
 
 Between the steps Spark's sorted shuffle files hold the sequences, read in order. A collection of over
-HOT_SEGMENTS segments is not put in one task. Its windows fall into two halves by the distance of their anchor,
-and those of a half that are equal hold equal bytes around the anchor, so that these bytes divide it: such parts
-are collections of their own, halved again where they are still too large. Halves of one window are counted.
+HOT_SEGMENTS segments is not put in one task: its segments are compared with one of them, which settles all
+windows that one has; the rest is divided by the distance of the anchor and the bytes around it that equal windows
+hold alike, into collections of their own (`shared_windows`).
 
 Defined results: null text is empty; matches lie in one document; texts under 200 bytes have no windows;
 repeated rows repeat each other's strings; an empty table gives no rows; other columns are ignored by the
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +209,26 @@ def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answered(pa.Table.from_batches(held))
 
 
-def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each segment twice, for the lower and the upper half of its anchor distances low..high, if it has windows there.
+def shared_bytes(x: bytes, y: bytes) -> int:
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if x[:middle] == y[:middle] else (low, middle - 1)
+    return low
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds left and right: the bytes before and behind the anchor that a segment shares with the first of its collection."""
+    for batch in batches:
+        first = batch.column("first").to_pylist()
+        pairs = [(s, b, f["segment"], f["begin"]) for s, b, f in zip(batch.column("segment").to_pylist(), batch.column("begin").to_pylist(), first, strict=True)]
+        left = [shared_bytes(s[:b][::-1], t[:c][::-1]) for s, b, t, c in pairs]
+        right = [shared_bytes(s[b + GRAM :], t[c + GRAM :]) for s, b, t, c in pairs]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.int32()), pa.array(right, pa.int32())], [*batch.schema.names, "left", "right"])
+
+
+def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment once for every part of its anchor distances low..high that has windows not shared with the first.
 
     All windows of the distances low..high hold the bytes from `low` before the anchor to where the one of `high`
     ends; key is their digest. With low = high that is the one window.
@@ -217,11 +236,12 @@ def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = ["anchor", "sum1", "sum2", "begin", "segment"]
     for batch in batches:
         row, keys, lows, highs = [], [], [], []
-        lists = [batch.column(c).to_pylist() for c in ("low", "high", "begin", "segment")]
-        for i, (low, high, begin, segment) in enumerate(zip(*lists, strict=True)):
-            middle = (low + high) // 2
-            for a, b in ((low, middle), (middle + 1, high)):
-                if a <= begin and b >= begin + WINDOW - len(segment):
+        lists = [batch.column(c).to_pylist() for c in ("low", "high", "begin", "segment", "left", "right", "cuts")]
+        for i, (low, high, begin, segment, left, right, cuts) in enumerate(zip(*lists, strict=True)):
+            inner = sorted({c for c in cuts if low < c <= high}) or [(low + high) // 2 + 1]
+            for a, b in zip([low, *inner], [*(c - 1 for c in inner), high], strict=True):
+                least, most = max(a, begin + WINDOW - len(segment)), min(b, begin)
+                if least <= most and (least < PLACES - 1 - right or most > left):
                     row.append(i)
                     keys.append(xxhash.xxh3_128_digest(bytes([a, b]) + segment[begin - a : begin - b + WINDOW]))
                     lows.append(a)
@@ -253,26 +273,39 @@ def keyed(docs: DataFrame) -> DataFrame:
 def shared_windows(cut: DataFrame) -> DataFrame:
     """anchor, sum1, sum2, first, last: the windows that different segments of cut share.
 
-    A collection that is too large for one task is split in two by anchor distance and, in each half, by the bytes
-    that all windows of such distances hold; so on, until each part fits or is one window, met several times.
+    In a collection that is too large for one task all segments are compared with one of it, the first. That answers
+    for the windows shared with the first. The rest is divided by anchor distance, in turn where most segments part
+    from the first and in the middle, and in each part by the bytes that all windows of such distances hold.
+    Parts that fit are collections, parts of one window are met several times, others are divided again.
     """
     partitions = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = "anchor long, sum1 long, sum2 long, first long, last long"
-    rows = cut.select(F.unhex(F.lpad(F.hex("anchor"), 16, "0")).alias("key"), F.lit(0).alias("low"), F.lit(PLACES - 1).alias("high"), "anchor", "sum1", "sum2", "begin", "segment")
-    fitting, single = [], []
-    while True:
+    name = ["anchor", "sum1", "sum2"]
+    kind = "key binary, low int, high int, anchor long, sum1 long, sum2 long, begin int, segment binary"
+    rows = cut.select(F.unhex(F.lpad(F.hex("anchor"), 16, "0")).alias("key"), F.lit(0).alias("low"), F.lit(PLACES - 1).alias("high"), *name, "begin", "segment")
+    fitting, marks = [], []
+    for turn in count():
         sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("high") - F.col("low")).alias("spread")).filter("kinds > 1"), "collection-sizes")
         fits, one = F.col("kinds") <= HOT_SEGMENTS, F.col("spread") == 0
         met = lookup(rows, sizes, "key", "kinds")
         fitting.append(met.filter(fits & ~one).withColumn("bucket", F.xxhash64("key")).drop("key", "kinds", "spread"))
         start = (F.col("begin") - F.col("low")).cast("long")
-        single.append(met.filter(one).select("anchor", "sum1", "sum2", start.alias("first"), start.alias("last")))
+        marks.append(met.filter(one).select(*name, start.alias("first"), start.alias("last")))
         if sizes.filter(~fits & ~one).isEmpty():
             break
-        split = met.filter(~fits & ~one).select("low", "high", "anchor", "sum1", "sum2", "begin", "segment")
-        rows = written(split.mapInArrow(halves, "key binary, low int, high int, anchor long, sum1 long, sum2 long, begin int, segment binary"), "halves")
-    together, alone = reduce(DataFrame.unionByName, fitting), reduce(DataFrame.unionByName, single)
-    return together.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(collections, kind).unionByName(alone)
+        large = written(met.filter(~fits & ~one).select("key", "low", "high", *name, "begin", "segment"), "large-collections")
+        firsts = large.groupBy("key").agg(F.min(F.struct(*name, "begin", "segment")).alias("first"), F.count(F.lit(1)).alias("kinds"))
+        beside = lookup(large, firsts, "key", "kinds").filter(F.struct(*name) != F.struct(*[f"first.{c}" for c in name])).select(*large.columns, "first")
+        beside = written(beside.mapInArrow(compared, f"{kind}, first struct<anchor: long, sum1: long, sum2: long, begin: int, segment: binary>, left int, right int"), "compared")
+        least, most = F.greatest("low", PLACES - 1 - F.col("right")), F.least("high", "left")
+        ranges = lambda begin: [(begin - most).cast("long").alias("first"), (begin - least).cast("long").alias("last")]
+        equal = beside.filter(least <= most)
+        marks.append(equal.select(*name, *ranges(F.col("begin"))))
+        marks.append(equal.select(*[f"first.{c}" for c in name], *ranges(F.col("first.begin"))).distinct())
+        partings = F.array(PLACES - 1 - F.mode("right"), F.mode("left") + 1) if turn % 2 == 0 else F.array().cast("array<int>")
+        cuts = beside.groupBy("key").agg(partings.alias("cuts"), F.count(F.lit(1)).alias("kinds"))
+        rows = written(lookup(beside.drop("first"), cuts, "key", "kinds").mapInArrow(divided, kind), "divided")
+    together = reduce(DataFrame.unionByName, fitting).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return reduce(DataFrame.unionByName, marks, together.mapInArrow(collections, "anchor long, sum1 long, sum2 long, first long, last long"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
