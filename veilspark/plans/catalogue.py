@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
-from veilspark.operators import graph, restore, rewrite, source, stores
+from veilspark.operators import discover, gates, graph, restore, rewrite, source, stores
 from veilspark.sources import files, sinks
 from veilspark.streaming import logs
 
@@ -274,14 +274,14 @@ EDGES_SQL = """edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('
 UNION SELECT DISTINCT concat('o', l_orderkey), concat('p', l_partkey) FROM lineitem UNION SELECT DISTINCT concat('p', l_partkey), concat('s', l_suppkey) FROM lineitem)"""
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT concat('c', c_custkey) AS node, CAST(0.95 AS DOUBLE) AS score, 0 AS hops FROM customer WHERE c_custkey <= 3
+@query(f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT concat('c', c_custkey) AS node, round(0.95::DOUBLE - c_custkey % 5 * 0.1::DOUBLE, 2) AS score, 0 AS hops FROM customer
 UNION ALL SELECT e.dst, round(w.score * 0.85::DOUBLE, 4), w.hops + 1 FROM w JOIN edges e ON e.src = w.node WHERE w.hops < 3)
 SELECT node, max(score) AS score, min(hops) AS hops FROM w GROUP BY node""")
 def q_taint(spark, sf_dir):
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst")).distinct()
     edges = edge(orders, "c", "o_custkey", "o", "o_orderkey").unionByName(edge(items, "o", "l_orderkey", "p", "l_partkey")).unionByName(edge(items, "p", "l_partkey", "s", "l_suppkey"))
-    seeds = table(spark, sf_dir, "customer").filter("c_custkey <= 3").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.lit(0.95).alias("score"))
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.round(0.95 - F.col("c_custkey") % 5 * 0.1, 2).alias("score"))
     return graph.taint(edges, seeds)
 
 
@@ -499,3 +499,79 @@ def q_decision_records(spark, sf_dir):
         F.lit(None).cast("string").alias("level"), F.lit("internal").alias("proposed_level"), F.when(F.col("event_id") % 3 == 0, "escalate").otherwise("accept").alias("reviewer_action"),
     )
     return stores.decision_records(rows).select("event_id", "key", "level")
+
+
+EMAIL_SQL = "m AS (SELECT doc_id AS file, unnest(regexp_extract_all(text, '" + SHAPES_RE2["email"] + "')) AS surface FROM documents)"
+
+
+@query(f"""WITH {HITS_SQL}, {EMAIL_SQL}
+SELECT entity_id AS grp, entity_id, min(spelling) AS representative, 1.0::DOUBLE AS score, CASE WHEN min(level) = 'restricted' THEN 'review' ELSE 'auto' END AS action, 'exact match' AS evidence, count(*) AS n_occurrences, count(DISTINCT file) AS n_files
+FROM hits JOIN e USING (spelling) GROUP BY entity_id UNION ALL
+SELECT lower(surface), NULL, arg_min(surface, (-length(surface), surface)), 0.363, 'ignore', 'shape + weak', count(*), count(DISTINCT file) FROM m GROUP BY lower(surface) HAVING count(*) >= 2""")
+def q_discover(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    known = entity_hits(spark, sf_dir).select(F.col("entity_id").alias("grp"), "entity_id", "spelling", "level", "file", F.col("spelling").alias("surface"), F.lit("string").alias("kind"), F.lit("exact").alias("name"), F.lit(1.0).alias("weight"))
+    none, surface = F.lit(None).cast("string"), F.explode(F.regexp_extract_all("text", F.lit(text.shape_pattern("email")), F.lit(0))).alias("surface")
+    shapes = docs.select(F.col("doc_id").alias("file"), surface).select(F.lower("surface").alias("grp"), none.alias("entity_id"), none.alias("spelling"), F.lit("internal").alias("level"), "file", "surface", F.lit("string").alias("kind"), F.lit("shape").alias("name"), F.lit(text.SHAPES["email"][1]).alias("weight"))
+    return discover.candidates(known.unionByName(shapes))
+
+
+STORES = ['{"mapping_version": 3, "entries": []}', '{"entries": [{"real": "x", "real_sha256": "y"}]}', '[1, {"real": "x", "ghost": "g", "frozen": true}]', "real_sha256: y", '{"frozen": 1, "real": "x"}', '{"a": "mapping_version"}', "plain"]
+
+
+@query("SELECT s_suppkey, s_suppkey % 7 < 4 AS leaks FROM supplier")
+def q_mapping_leak(spark, sf_dir):
+    doc = F.element_at(F.array(*map(F.lit, STORES)), (F.col("s_suppkey") % len(STORES) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", gates.mapping_shaped(doc).alias("leaks"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'v1' ELSE '' END AS leaked, CASE s_suppkey % 3 WHEN 0 THEN 'SERVICE_Z' ELSE 'SERVICE_Z, serviceB' END AS unmapped FROM supplier WHERE s_suppkey % 3 < 2""")
+def q_patch_checks(spark, sf_dir):
+    ends = ["-serviceB\n+SERVICE_Z Sky Route", "+serviceB SERVICE_Z Sky Routes", "-SERVICE_Z Sky Route\n+services SERVICES"]
+    doc = F.concat(F.lit("+++ b/Sky Route\n ctx service-a vendorA\n"), F.element_at(F.array(*map(F.lit, ends)), (F.col("s_suppkey") % 3 + 1).cast("int")))
+    lines = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.split(doc, "\n")).alias("line"))
+    return gates.patch_rejections(lines, "s_suppkey", "line", {"Sky Route": "v1", "Meridian": "v2"}, ["service-a", "vendor-a"], ["service", "vendor"])
+
+
+@query("""SELECT s_suppkey, concat('host', s_suppkey) AS surface, 0.48::DOUBLE AS weight, true AS present FROM supplier UNION ALL SELECT s_suppkey, 'hos', 0.6, false FROM supplier""")
+def q_claims(spark, sf_dir):
+    k = F.col("s_suppkey")
+    reply = F.concat(F.lit('Here: [{"surface": "host'), k, F.lit('", "confidence": 0.8}, {"surface": ""}, 7, {"surface": "hos", "confidence": 4}, {"surface": "host'), k, F.lit('"}] so far'))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("to host"), k, F.lit(".")).alias("text"), reply.alias("reply"))
+    return gates.claim_weights(rows, "s_suppkey", "text", "reply")
+
+
+SCREEN_SQL = "f AS (SELECT round(o_totalprice % 1000 / 1000, 4) AS score, o_orderstatus AS evidence, CASE WHEN o_totalprice % 1000 >= 450 OR o_custkey % 3 = 0 THEN 'review' ELSE 'ignore' END AS action FROM orders)"
+
+
+@query(f"WITH {SCREEN_SQL} SELECT count(*) FILTER (action <> 'ignore') AS n_flagged, count(*) FILTER (action <> 'ignore') > 0 AS blocked, max(score) AS top_score, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) FILTER (action <> 'ignore') AS evidence FROM f")
+def q_screen_summary(spark, sf_dir):
+    score = F.round(F.col("o_totalprice") % 1000 / 1000, 4)
+    signals = F.array(F.struct(F.lit("shape").alias("name"), score.alias("weight")))
+    level = F.when(F.col("o_custkey") % 3 == 0, "restricted").otherwise("internal")
+    action = F.when(F.col("o_totalprice") % 1000 >= 450, "review").otherwise("ignore")
+    return gates.screen_summary(table(spark, sf_dir, "orders").select(score.alias("score"), F.col("o_orderstatus").alias("evidence"), gates.floored(action, level, signals).alias("action")))
+
+
+CASES_SQL = "c AS (SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS baseline, count(*) AS compile FROM part GROUP BY p_brand)"
+GAIN_SQL = "CASE WHEN baseline <= 0 THEN '—' ELSE concat('-', baseline - compile, ' (', CAST(round_even(100 * (baseline - compile) / baseline, 0) AS BIGINT), '%)') END"
+
+
+@query(f"""WITH {CASES_SQL} SELECT p_brand, {GAIN_SQL} AS gain, concat('| ', p_brand, ' | ', baseline, ' | ', compile, ' |') AS line, concat('"', p_brand, ', ""', baseline, '""', '"') AS field FROM c""")
+def q_eval_report(spark, sf_dir):
+    cases = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum("p_size").alias("baseline"), F.count(F.lit(1)).alias("compile"))
+    field = F.concat("p_brand", F.lit(', "'), "baseline", F.lit('"'))
+    return cases.select("p_brand", gates.improvement(F.col("baseline"), F.col("compile")).alias("gain"), gates.markdown_row(*map(F.col, cases.columns)).alias("line"), gates.csv_field(field).alias("field"))
+
+
+@query(f"WITH {CASES_SQL} SELECT CAST(sum(baseline) AS BIGINT) AS baseline, CAST(sum(compile) AS BIGINT) AS compile, sum(compile) <= 0 AND sum(baseline) > sum(compile) AS passed FROM c")
+def q_leak_gate(spark, sf_dir):
+    cases = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum("p_size").alias("baseline"), F.count(F.lit(1)).alias("compile"))
+    return gates.verdict(cases, "baseline", "compile")
+
+
+@query(f"WITH {OVERLAY_SQL} SELECT file, s_suppkey % 2 = 0 AS corroborated FROM overlay")
+def q_corroborated(spark, sf_dir):
+    body = F.when(F.col("s_suppkey") % 2 == 0, F.col("text")).otherwise(F.lit("booking of suppliers"))
+    segments = F.flatten(F.transform(text.tokens(body), text.segments))
+    return overlay(spark, sf_dir).select("file", discover.corroborated(segments, [["booking", "core"], ["nobody"]]).alias("corroborated"))
