@@ -228,6 +228,43 @@ def test_class_lm(docs, empty, monkeypatch):
     assert class_lm.scores(empty.withColumn("held_out", F.lit(True)), *class_lm.fit(empty)).count() == 0
 
 
+def test_class_lm_classes_cover_all_training_words(docs, monkeypatch):
+    monkeypatch.setattr(class_lm, "KNOWN", 20)
+    marked = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))
+    model, rare = class_lm.fit(marked.filter("not held_out"))
+    got = class_lm.scores(marked.select("doc_id", "text", "held_out"), model, rare).toPandas()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = [(i, [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", t.translate(low)) if w] + [None]) for i, t in texts()]
+    trained = [ws for i, ws in lines if i is None or i % 7 != 2]
+    c = Counter(w for ws in trained for w in ws)
+    kind = dict(zip(model["words"], model["classes"].tolist())) | {r["word"]: r["class"] for r in rare.toPandas().to_dict("records")} | {None: class_lm.CLASSES}
+    assert set(kind) == set(c) and len(kind) > len(model["words"]) + 1
+    of = lambda w: kind[w] if w in kind else model["classes"][len(model["words"]) + 1 + zlib.crc32(w[-2:]) % class_lm.ENDINGS]
+    grid, mass, size = np.zeros((class_lm.SIZE, class_lm.SIZE)), np.ones(class_lm.SIZE), class_lm.SIZE
+    for ws in trained:
+        for a, b in zip([None, *ws], ws):
+            grid[of(a), of(b)] += 1
+    for w, times in c.items():
+        mass[of(w)] += times + 1
+    share = (grid.sum(axis=0) + 1) / (grid.sum() + size)
+    move = (grid + class_lm.SMOOTHING * share) / (grid.sum(axis=1, keepdims=True) + class_lm.SMOOTHING)
+    cost = lambda a, b: math.log10((c[b] + 1) * (class_lm.LAMBDA * move[of(a), of(b)] / mass[of(b)] + (1 - class_lm.LAMBDA) / (sum(c.values()) + len(c) + 1)))
+    want = sorted(round(sum(cost(a, b) for a, b in zip([None, *ws], ws)), 5) for _, ws in lines)
+    assert np.allclose(sorted(got.score), want, atol=1e-4)
+
+
+@pytest.mark.parametrize("known", [8, 200_000])
+def test_class_lm_tells_words_of_one_ending_apart(spark, monkeypatch, known):
+    """Rare words that end alike take the class of their neighbours, known or not."""
+    monkeypatch.setattr(class_lm, "KNOWN", known)
+    rows = [(f"red q{i}ing blue",) for i in range(12)] * 9 + [(f"z{i}ing la",) for i in range(12)] * 9 + [("red sun blue",), ("moon la",)] * 300
+    rows += [(f"word{i}x",) for i in range(1200)] * 10  # with these, the words in question are no seeds
+    model, rare = class_lm.fit(spark.createDataFrame(rows, "text string"))
+    kind = dict(zip(model["words"], model["classes"].tolist())) | {r["word"]: r["class"] for r in rare.toPandas().to_dict("records")}
+    q, z = ({k for w, k in kind.items() if w.startswith(x) and w.endswith(b"ing")} for x in (b"q", b"z"))
+    assert len([w for w in kind if w.endswith(b"ing")]) == 24 and not q & z
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -308,3 +345,24 @@ def test_draws_do_not_depend_on_batches():
     ids, sizes = sp_sampling.sample(v, raw, keys, 5)
     alone = [sp_sampling.sample(sp_sampling.Vocabulary(path, 1.0) if i < 3 else v, [t], keys[i : i + 1], 5)[0] for i, t in enumerate(raw)]
     assert np.array_equal(ids, np.concatenate(alone)) and sp_sampling.decode(v, ids, sizes) == raw
+
+
+def test_best_class_gains_most_mutual_information():
+    rng = np.random.default_rng(5)
+    size = class_lm.SIZE
+    grid = rng.integers(0, 40, (size, size)).astype(float)
+    xlx = lambda x: float(class_lm.x_log_x(x).sum())
+    for _ in range(20):
+        old, n, sides = int(rng.integers(0, class_lm.CLASSES)), 6, []
+        for side in (0, size):
+            sides += [side + int(c) for c in rng.choice(rng.choice(size, 3), n)]
+        base = grid + 10 * (np.arange(size) == old)[:, None] + 10 * (np.arange(size) == old)[None, :]
+        moved = []
+        for k in range(class_lm.CLASSES):
+            now = base.copy()
+            for cell in sides:
+                for to, sign in ((old, -1), (k, 1)):
+                    now[(cell, to) if cell < size else (to, cell - size)] += sign
+            moved.append(xlx(now) - xlx(now.sum(axis=0)) - xlx(now.sum(axis=1)))
+        cells, counts = np.unique(sides, return_counts=True)
+        assert class_lm.best_classes(np.array([len(cells)]), cells, counts.astype(float), np.array([old]), base)[0] == int(np.argmax(moved))

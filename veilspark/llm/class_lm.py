@@ -1,16 +1,18 @@
 """Scoring with a class-based bigram language model (Brown) and its unigram base.
 
-Items are the FREQUENT most frequent words and, for all others, ENDINGS groups by a checksum of their last two
-bytes. Exchange clustering moves each item to the class that gains most average mutual information of
-neighbouring classes, from bigram counts of all training documents. A token costs
+The classes are seeded: exchange clustering moves each of the FREQUENT most frequent words, and each of ENDINGS groups
+of all others by a checksum of their last two bytes, to the class that gains most average mutual information of
+neighbouring classes, from bigram counts of all training documents. Every other training word then goes to the class
+that gains most from its own neighbours: the at most KNOWN most counted ones in ROUNDS rounds, the rest in one. The
+group of its ending gives the class of a word only where training has no such word. A token costs
 
     P(w | h) = LAMBDA * P(class | class before) * (c(w) + 1) / (N_class + V_class + 1) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)
 
 which sums to one over the words and one unknown for each class. Every document ends with an end token, which
 also stands before its first word.
 
-Word counts cover all training documents. The at most KNOWN most counted words are broadcast; a word beyond
-them is looked up by a join, after each document has added up its repetitions.
+Word counts and classes cover all training documents. The at most KNOWN most counted words are broadcast; a word beyond
+them is looked up by a join, with its count and class.
 
 Defined results: null text is empty, n_tokens 1; without training documents N = V = 0 and every score is 0 for
 each token; repeated rows score alike; an empty table gives no rows; other columns are ignored.
@@ -18,21 +20,27 @@ each token; repeated rows score alike; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import slices, texts, written
 
-FREQUENT, ENDINGS, CLASSES, SWEEPS = 1000, 200, 40, 4
+FREQUENT, ENDINGS, CLASSES, SWEEPS, ROUNDS = 1000, 200, 40, 4, 2
 KNOWN, LAMBDA, SMOOTHING, MOST_HELD = 200_000, 0.9, 40.0, 300_000
 END = FREQUENT + ENDINGS
 ITEMS = END + 1
+#: Classes with that of the end; what stands before and after a word, by class.
+SIZE = CLASSES + 1
+SIDES = 2 * SIZE
+#: Words whose gains are computed at a time: with SIDES cells each, about 20 MB.
+AT_ONCE = 800
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -157,93 +165,258 @@ def exchange_classes(pairs: np.ndarray) -> np.ndarray:
     return classes
 
 
+def best_classes(sizes: np.ndarray, cells: np.ndarray, n: np.ndarray, old: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """For each word the class of greatest gain, all others staying where they are in grid, which counts it under old.
+
+    A word has sizes[i] of the cells (class before, or SIZE + class after; distinct, together n times).
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    every = np.arange(len(sizes))
+    others = np.concatenate([grid[:, :CLASSES], grid.T[:, :CLASSES]])[cells]
+    others[np.arange(len(cells)), old[owner]] -= n
+    gain = np.add.reduceat(x_log_x(others + n[:, None]) - x_log_x(others), np.cumsum(sizes) - sizes, axis=0)
+    sides = np.bincount(owner * SIDES + cells, weights=n, minlength=len(sizes) * SIDES).reshape(-1, 2, SIZE)
+    before, after = sides[:, 0, :CLASSES], sides[:, 1, :CLASSES]
+    w, k = np.nonzero((before > 0) & (after > 0))  # both change one cell of the grid
+    a, b, own = before[w, k], after[w, k], old[w] == k
+    corner = grid[k, k]
+    gain[w, k] -= x_log_x(corner - a * own + a) - x_log_x(corner - a * own) + x_log_x(corner - b * own + b) - x_log_x(corner - b * own)
+    corner = np.maximum(corner - (a + b) * own, 0)
+    gain[w, k] += x_log_x(corner + a + b) - x_log_x(corner)
+    times = sides[:, 0].sum(axis=1)
+    for axis in (0, 1):
+        total = np.repeat(grid.sum(axis=axis)[None, :CLASSES], len(sizes), axis=0)
+        total[every, old] -= times
+        gain -= x_log_x(total + times[:, None]) - x_log_x(total)
+    gain[every, old] += 1e-6  # a tie moves nothing
+    return gain.argmax(axis=1)
+
+
+def line_of(held: list[bytes], get, many: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """The words of texts in a line, an end (None) around each; their places among the many known words, `many` for the
+    end, beyond it by ending for all others; and where those others stand."""
+    flat: list = [None]
+    for text in held:
+        flat += tokens(text)
+        flat.append(None)
+    at = np.array([get(w, -1) for w in flat], dtype=np.int64)
+    missed = np.flatnonzero(at < 0)
+    at[missed] = [many + 1 + zlib.crc32(flat[j][-2:]) % ENDINGS for j in missed.tolist()]
+    return flat, at, missed
+
+
+NEIGHBOURS = "grid int, id long, word binary, other binary, old int, cell int, n long"
+
+
+def class_neighbours(training: DataFrame, words: list[bytes], own: np.ndarray, cold: bool) -> DataFrame:
+    """Counts of neighbours by class over all rows of training, in rows of these kinds:
+
+    grid (pairs of classes); without cold also id, old, cell: a known word that is no seed, its class, a side.
+    With cold, grid + SIZE**2 (pairs of classes of known words alone), word, old, cell (left * SIDES + right, a side being
+    SIZE more if not of a known word), and word, other: both not known, neighbours.
+    """
+    shared = training.sparkSession.sparkContext.broadcast((words, own))
+    fields = [f.split()[0] for f in NEIGHBOURS.split(", ")]
+    kinds = {"grid": pa.int32(), "id": pa.int64(), "word": pa.binary(), "other": pa.binary(), "old": pa.int32(), "cell": pa.int32(), "n": pa.int64()}
+
+    def rows(**given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[f], kinds[f]) if f in given else pa.nulls(len(given["n"]), kinds[f]) for f in fields], fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = shared.value
+        many = len(known)
+        index: dict = {w: i for i, w in enumerate(known)} | {None: many}
+        pairs, keys, held = np.zeros(2 * SIZE * SIZE, dtype=np.int64), [], 0
+        sides: Counter = Counter()
+        both: Counter = Counter()
+
+        def known_rows():
+            at, n = np.unique(np.concatenate(keys), return_counts=True)
+            for i in range(0, len(at), 1 << 18):
+                part = at[i : i + (1 << 18)]
+                yield rows(id=part // SIDES, old=own[part // SIDES].astype(np.int32), cell=(part % SIDES).astype(np.int32), n=n[i : i + (1 << 18)])
+
+        def cold_rows():
+            word, code = zip(*sides, strict=True)
+            code = np.array(code)
+            yield rows(word=word, old=(code // SIDES**2).astype(np.int32), cell=(code % SIDES**2).astype(np.int32), n=list(sides.values()))
+            if both:
+                word, other = zip(*both, strict=True)
+                yield rows(word=word, other=other, n=list(both.values()))
+
+        for batch in slices(batches):
+            flat, at, missed = line_of(texts(batch), index.get, many)
+            kind, hot = own[at], at <= many
+            cells = kind[:-1] * SIZE + kind[1:]
+            pairs[: SIZE * SIZE] += np.bincount(cells, minlength=SIZE * SIZE)
+            if cold:
+                pairs[SIZE * SIZE :] += np.bincount(cells[hot[:-1] & hot[1:]], minlength=SIZE * SIZE)
+                side = kind + SIZE * ~hot
+                code = (kind[missed] * SIDES + side[missed - 1]) * SIDES + side[missed + 1]
+                sides.update(zip([flat[j] for j in missed.tolist()], code.tolist(), strict=True))
+                both.update((flat[j], flat[j + 1]) for j in missed[~hot[missed + 1]].tolist())
+                if len(sides) + len(both) > MOST_HELD:
+                    yield from cold_rows()
+                    sides.clear()
+                    both.clear()
+            else:
+                chosen = np.flatnonzero((at >= FREQUENT) & (at < many))
+                keys += [at[chosen] * SIDES + kind[chosen - 1], at[chosen] * SIDES + SIZE + kind[chosen + 1]]
+                held += 2 * len(chosen)
+                if held > 1 << 22:
+                    yield from known_rows()
+                    keys, held = [], 0
+        if sides:
+            yield from cold_rows()
+        if held:
+            yield from known_rows()
+        met = np.flatnonzero(pairs)
+        yield rows(grid=met.astype(np.int32), n=pairs[met])
+
+    return written(training.select("text").mapInArrow(count, NEIGHBOURS), "class-neighbours")
+
+
+def grids(found: DataFrame) -> np.ndarray:
+    """The class pairs of all words, and of known words alone."""
+    out = np.zeros(2 * SIZE * SIZE)
+    for row in found.filter("grid is not null").groupBy("grid").agg(F.sum("n").alias("n")).collect():
+        out[row["grid"]] = row["n"]
+    return out.reshape(2, SIZE, SIZE)
+
+
+def assigned(sides: DataFrame, key: str, grid: np.ndarray) -> DataFrame:
+    """key, class and c of every word in sides (key, old, cell, n), cells as in best_classes, SIDES more if not of a known
+    word; and rows without a key, whose class is a cell of the grid: the pairs with known words under the new classes."""
+    kind = sides.schema[key].dataType.simpleString().replace("bigint", "long")
+    shared = sides.sparkSession.sparkContext.broadcast(grid)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, met = shared.value, np.zeros(SIZE * SIZE)
+        fields = [key, "class", "c"]
+        for whole in batches:
+            for i in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(i, AT_ONCE)
+                lists, old = batch.column("sides"), batch.column("old").to_numpy()
+                sizes, flat = pa.compute.list_value_length(lists).to_numpy(), lists.flatten()
+                cells, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.float64)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                code, place = np.unique(owner * SIDES + cells % SIDES, return_inverse=True)  # by cell, whether or not of a known word
+                total = np.bincount(place, weights=n)
+                new = best_classes(np.bincount(code // SIDES, minlength=len(sizes)), code % SIDES, total, old, grid)
+                times = np.bincount(owner[cells % SIDES < SIZE], weights=n[cells % SIDES < SIZE], minlength=len(sizes))
+                hot = cells < SIDES
+                side, mine = cells[hot], new[owner[hot]]
+                met += np.bincount(np.where(side < SIZE, side * SIZE + mine, mine * SIZE + side - SIZE), weights=n[hot], minlength=SIZE * SIZE)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(new.astype(np.int32)), pa.array(times.astype(np.int64))], fields)
+        cell = np.flatnonzero(met)
+        nothing = pa.nulls(len(cell), pa.int64() if kind == "long" else pa.binary())
+        yield pa.RecordBatch.from_arrays([nothing, pa.array(cell.astype(np.int32)), pa.array(met[cell].astype(np.int64))], fields)
+
+    by_word = sides.groupBy(key, "old", "cell").agg(F.sum("n").alias("n")).groupBy(key, "old").agg(F.collect_list(F.struct("cell", "n")).alias("sides"))
+    return by_word.mapInArrow(choose, f"{key} {kind}, class int, c long")
+
+
 def fit(training: DataFrame) -> tuple[dict, DataFrame]:
-    """What scoring needs in every task, and the table of all word counts."""
+    """What scoring needs in every task, and the table of all words that it does not hold: word, class, c."""
     counts = word_counts(training)
     documents = training.count()
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total) + documents, kinds + (documents > 0)
     known = most_counted(counts, KNOWN)
-    frequent = {w: i or FREQUENT_ZERO for i, (w, _) in enumerate(known[:FREQUENT])}
-    pairs = neighbour_counts(training, frequent)
-    classes = exchange_classes(pairs)
-    by_ending = counts.groupBy((F.lit(FREQUENT) + F.crc32(F.substring("word", -2, 2)) % ENDINGS).cast("int").alias("item")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    item_n, item_v = np.zeros(ITEMS), np.zeros(ITEMS)
-    for row in by_ending:
-        item_n[row["item"]], item_v[row["item"]] = row["n"], row["v"]
-    for i, (w, c) in enumerate(known[:FREQUENT]):
-        item_n[i], item_v[i] = c, 1
-        item_n[ending(w)] -= c
-        item_v[ending(w)] -= 1
-    item_n[END], item_v[END] = documents, documents > 0
-    size = CLASSES + 1
-    grid = class_pairs(pairs, classes)
-    share = (grid.sum(axis=0) + 1) / (grid.sum() + size)
+    words, many = [w for w, _ in known], len(known)
+    frequent = {w: i or FREQUENT_ZERO for i, w in enumerate(words[:FREQUENT])}
+    seeds = exchange_classes(neighbour_counts(training, frequent))
+    by_ending = seeds[FREQUENT : FREQUENT + ENDINGS]
+    own = np.array([seeds[i] if i < FREQUENT else seeds[ending(w)] for i, w in enumerate(words)] + [CLASSES, *by_ending], dtype=np.int64)
+    for _ in range(ROUNDS if many > FREQUENT else 0):
+        found = class_neighbours(training, words, own, cold=False)
+        sides = found.filter("id is not null").select("id", "old", "cell", "n").repartition("id")
+        moved = assigned(sides, "id", grids(found)[0]).filter("id is not null").select("id", "class").toPandas()  # KNOWN rows at most
+        own[moved["id"].to_numpy()] = moved["class"].to_numpy()
+    found = class_neighbours(training, words, own, cold=True)
+    whole, grid = grids(found)
+    sides = found.filter("old is not null").select("word", "old", "cell", "n").repartition("word")
+    left, right = F.floor(F.col("cell") / SIDES).cast("int"), F.col("cell") % SIDES
+    # a side of a word that is not known comes as SIZE more; in a cell it is SIDES more
+    coded = lambda side, base: F.when(side < SIZE, side + base).otherwise(side - SIZE + base + SIDES)
+    sides = sides.select("word", "old", F.explode(F.array(coded(left, 0), coded(right, SIZE))).alias("cell"), "n")
+    chosen = written(assigned(sides, "word", whole), "word-classes")
+    rare = chosen.filter("word is not null")
+    pairs = found.filter("other is not null").select("word", "other", "n").hint("merge").join(rare.select("word", F.col("class").alias("a")), "word")
+    pairs = pairs.hint("merge").join(rare.select(F.col("word").alias("other"), F.col("class").alias("b")), "other").select((F.col("a") * SIZE + F.col("b")).alias("cell"), "n")
+    met = chosen.filter("word is null").select(F.col("class").alias("cell"), F.col("c").alias("n")).unionByName(pairs)
+    for row in met.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        grid[row["cell"] // SIZE, row["cell"] % SIZE] += row["n"]
+    mass = np.bincount(own[:many], weights=[c + 1 for _, c in known], minlength=SIZE) + 1.0
+    for row in rare.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        mass[row["class"]] += row["n"] + row["v"]
+    mass[CLASSES] += documents + (documents > 0)
+    share = (grid.sum(axis=0) + 1) / (grid.sum() + SIZE)
     transition = (grid + SMOOTHING * share) / (grid.sum(axis=1, keepdims=True) + SMOOTHING)
-    mass = np.bincount(classes, weights=item_n + item_v, minlength=size) + 1
     log_cell = np.log10(LAMBDA * transition / mass + (1 - LAMBDA) / (n + v + 1))
     if not documents:
         log_cell[:] = 0.0
     model = {
-        "words": [w for w, _ in known], "counts": np.array([c for _, c in known], dtype=np.int64), "classes": classes.astype(np.int64),
+        "words": words, "counts": np.array([c for _, c in known], dtype=np.int64), "classes": own,
         "log_cell": log_cell, "n": n, "v": v, "documents": documents,
     }
-    return model, counts
+    return model, rare
 
 
-
-def scores(docs: DataFrame, model: dict, counts: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, model: dict, rare: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, held_out): n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "word", "times"]
+    fields = ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "word", "other", "code"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        index = {w: i for i, w in enumerate(m["words"])}
-        many = len(index)
-        log_count = np.append(np.log10(m["counts"] + 1.0), 0.0)
-        item_class = m["classes"]
-        own = np.array([item_class[i] if i < FREQUENT else item_class[ending(w)] for i, w in enumerate(m["words"])] + [-1], dtype=np.int64)
-        by_ending = item_class[FREQUENT : FREQUENT + ENDINGS]
-        end_class, end_log = item_class[END], np.log10(m["documents"] + 1.0)
+        many = len(m["words"])
+        index: dict = {w: i for i, w in enumerate(m["words"])} | {None: many}
+        log_count = np.concatenate([np.log10(m["counts"] + 1.0), [np.log10(m["documents"] + 1.0)], np.zeros(ENDINGS)])
         for batch in slices(batches):
             row, doc_id, held_out = (batch.column(c) for c in ("row", "doc_id", "held_out"))
-            sizes, known, logs, totals, cold = [], [], [], [], []
-            for i, text in enumerate(texts(batch)):
-                words = tokens(text)
-                at = np.array([index.get(w, many) for w in words], dtype=np.int64)
-                kind = own[at]
-                missed = np.flatnonzero(at == many).tolist()
-                if missed:
-                    rare = Counter(words[j] for j in missed)
-                    kind[missed] = [by_ending[zlib.crc32(words[j][-2:]) % ENDINGS] for j in missed]
-                    cold += [(i, w, c) for w, c in rare.items()]
-                line = np.concatenate([[end_class], kind, [end_class]])
-                log = log_count[at].sum() + end_log
-                sizes.append(len(words) + 1)
-                known.append(len(words) - len(missed) + (m["documents"] > 0))
-                logs.append(log)
-                totals.append(m["log_cell"][line[:-1], line[1:]].sum() + (log if m["documents"] else 0.0))
-            nothing = pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([row, doc_id, held_out, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(totals, pa.float64()), nothing, pa.nulls(len(sizes), pa.int64())], fields)
-            if cold:
-                owner, word, times = zip(*cold, strict=True)
-                rows = len(cold)
-                gone = [pa.nulls(rows, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([row.take(pa.array(owner)), *gone, pa.array(word, pa.binary()), pa.array(times, pa.int64())], fields)
+            flat, at, missed = line_of(texts(batch), index.get, many)
+            kind, hot = m["classes"][at], at <= many
+            ends = np.flatnonzero(at == many)
+            starts, sizes = ends[:-1], np.diff(ends)
+            seen = hot.copy()
+            seen[ends] = m["documents"] > 0
+            add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+            logs = add(log_count[at[1:]])
+            totals = logs + add(np.where(hot[:-1] & hot[1:], m["log_cell"][kind[:-1], kind[1:]], 0.0))
+            nothing = [pa.nulls(len(sizes), k) for k in (pa.binary(), pa.binary(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([row, doc_id, held_out, pa.array(sizes), pa.array(add(seen[1:].astype(np.int64))), pa.array(logs), pa.array(totals), *nothing], fields)
+            # CLASSES + 1 stands for a neighbour that is not known
+            side = np.where(hot, kind, SIZE)
+            two = missed[~hot[missed + 1]]
+            for places, code, others in (
+                (missed, (kind[missed] * 64 + side[missed - 1]) * 64 + side[missed + 1], None),
+                (two, kind[two] * 64 + kind[two + 1], [flat[j + 1] for j in two.tolist()]),
+            ):
+                if len(places):
+                    gone = [pa.nulls(len(places), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    owner = row.take(pa.array(np.searchsorted(ends, places) - 1))
+                    other = pa.array(others, pa.binary()) if others else pa.nulls(len(places), pa.binary())
+                    yield pa.RecordBatch.from_arrays([owner, *gone, pa.array([flat[j] for j in places.tolist()], pa.binary()), other, pa.array(code.astype(np.int32))], fields)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, word binary, times long"
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, word binary, other binary, code int"
     scored = written(rows.mapInArrow(score, kinds), "scored")
-    cold = scored.filter("word is not null").select("row", "word", "times").hint("merge").join(counts, "word")
-    cold = cold.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"))
-    cold = written(cold, "cold-words")
-    more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
+    log_cell = F.from_json(F.lit(json.dumps(model["log_cell"].ravel().tolist())), "array<double>")
+    cost = lambda a, b: F.when((a < SIZE) & (b < SIZE), F.get(log_cell, (a * SIZE + b).cast("int"))).otherwise(0.0)
+    place = lambda i: F.shiftright("code", 6 * i).bitwiseAND(63)
+    either: Column = F.coalesce("class", place(2))
+    one = scored.filter("word is not null and other is null").select("row", "word", "code").hint("merge").join(rare, "word", "left")
+    one = one.select("row", F.col("c").isNotNull().cast("long").alias("more"), F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)).alias("logs"), (cost(place(1), either) + cost(either, place(0))).alias("cells"))
+    two = scored.filter("other is not null").select("row", "word", "other", "code").hint("merge").join(rare, "word", "left").select("row", "other", "code", F.coalesce("class", place(1)).alias("a"))
+    two = two.hint("merge").join(rare.withColumnRenamed("word", "other"), "other", "left").select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("logs"), cost(F.col("a"), F.coalesce("class", place(0))).alias("cells"))
+    cold = written(one.unionByName(two).groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"), F.sum("cells").alias("cells")), "cold-words")
+    more, logs, cells = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0)), F.coalesce("cells", F.lit(0.0))
     return (
         scored.filter("word is null").hint("merge").join(cold, "row", "left")
         .select(
             "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
             (F.col("log_counts") + logs - F.col("n_tokens") * float(np.log10(model["n"] + model["v"] + 1.0))).alias("base_score"),
-            (F.col("score") + logs).alias("score"),
+            (F.col("score") + logs + cells).alias("score"),
         )
     )
