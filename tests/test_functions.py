@@ -34,6 +34,11 @@ def test_decoding(spark):
     assert one(spark, text.decoded_base64(F.lit("k='bWVyaWRpYW4gYWVybyBzeXN0'"))) == ["meridian aero syst"]
 
 
+def test_decoding_reads_both_quotes(spark):
+    assert one(spark, text.folded_concats(F.lit("""x = "sky" + 'ro"ute' + "a"; 'b' + "it's" """))) == ['skyro"utea', "bit's"]
+    assert one(spark, text.folded_joins(F.lit("""["a", 'b'] . join( "_" ) ['c'] .join( '-' ) [ "d", ].join("") ["e", f].join("")"""))) == ["a_b", "c", "d"]
+
+
 def test_noisy_or_and_classify(spark):
     score = lambda *w: one(spark, scoring.noisy_or(F.array(*map(F.lit, w))))
     assert score(0.5, 0.5) == 0.75 and score(1.0, 0.2) == 1.0 and score(0.0) == 0.0

@@ -306,6 +306,15 @@ def q_decode_join(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.get(text.folded_joins(joined), 0).alias("joined"), F.get(text.folded_concats(added), 0).alias("concatenated"))
 
 
+@query("SELECT s_suppkey, concat('sky_route_', s_suppkey, '|it''s-', s_suppkey) AS joined, concat('skyroute', s_suppkey, '|a\"b', s_suppkey) AS concatenated FROM supplier")
+def q_decode_quotes(spark, sf_dir):
+    """Either quotes, mixed, and white space where the language allows it."""
+    k = F.col("s_suppkey")
+    joined = F.concat(F.lit('x = ["sky", \'route\', "'), k, F.lit('"] . join( "_" ); y = [ "it\'s", \''), k, F.lit("', ].join('-')"))
+    added = F.concat(F.lit('x = "sky" + \'route\'\n  + "'), k, F.lit('"; y = \'a"b\'+"'), k, F.lit('";'))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(text.folded_joins(joined), "|").alias("joined"), F.array_join(text.folded_concats(added), "|").alias("concatenated"))
+
+
 @query("""WITH s AS (SELECT user_id AS grp, event_type AS name, max(round(abs(value) / 300, 3)) AS w FROM events GROUP BY ALL)
 SELECT grp, arg_max(name, (w, name)) AS strongest, count(*) AS n_signals, max(w) AS weight FROM s GROUP BY grp""")
 def q_candidate_rollup(spark, sf_dir):
