@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,28 @@ def test_casing():
     assert casing.indel_ratio("abcd", "abcd") == 100.0
 
 
+def test_fuzzy_ratio(spark):
+    def common(a, b):
+        return max((len(x) for n in range(len(a) + 1) for x in itertools.combinations(a, n) if all(c in it for it in [iter(b)] for c in x)), default=0)
+
+    def ratio(a, b):
+        return 200 * common(a, b) / (len(a) + len(b))
+
+    def best(a, b):  # no word in common, so that the token set compares sorted words
+        words = [" ".join(sorted(set(x.split()))) for x in (a, b)]
+        short, long = sorted((a, b), key=len)
+        windows = [long[i:j] for i in range(len(long)) for j in range(i + 1, len(long) + 1) if j - i == len(short) or (j - i < len(short) and (i == 0 or j == len(long)))]
+        return max(ratio(a, b), ratio(*words), *([ratio(short, w) for w in windows] if len(a) >= 0.6 * len(b) else []))
+
+    for a, b in [("skyrote", "skyroute"), ("erosys", "zz aerosyst"), ("route sky", "skyy routes"), ("abcdef", "xabdefghijklm")]:
+        assert casing.fuzzy_ratio(a, b) == pytest.approx(best(a, b))
+    assert casing.fuzzy_ratio("Meridian Aero", "meridian aero systems") == 100.0
+    assert casing.token_set_ratio("aa bb", "aa cc") == pytest.approx(60.0)
+    assert casing.fuzzy_ratio("aero", "aeros") == casing.fuzzy_ratio("Systems", "systems") == casing.fuzzy_ratio("apiGateway2", "api gateway") == 0.0
+    rows = spark.createDataFrame([("meridian aero", "meridian aero systems"), (None, "meridian")], "a string, b string")
+    assert [r[0] for r in rows.select(casing.fuzzy_ratios()("a", "b")).collect()] == [100.0, 0.0]
+
+
 def test_spans_longest_wins(spark):
     span = lambda a, b, g: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(0).alias("rank"), F.lit(g).alias("ghost"))
     picked = rewrite.picked_spans(F.array(span(0, 3, "x"), span(2, 9, "LONG"), span(9, 10, "!")))

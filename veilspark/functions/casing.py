@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from veilspark.functions.text import PIECES
+
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
 
@@ -76,13 +78,55 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+#: No surface of these segments and numbers alone is compared, and none shorter than LEAST_FUZZY.
+FUZZY_STOP_WORDS = frozenset(
+    "client clients provider providers service services vendor vendors config endpoint api url key secret data systems system core app platform"
+    " gateway internal flight search request response default primary main base http https".split()
+)
+LEAST_FUZZY = 6
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """The best of the common words, and those with either side's others, among each other; 100 where one side has no others."""
+    one, two = set(a.split()), set(b.split())
+    if not one or not two:
+        return 0.0
+    both, left, right = (" ".join(sorted(x)) for x in (one & two, one - two, two - one))
+    if both and not (left and right):
+        return 100.0
+    gap = bool(both)
+    rows = [(len(left) + len(right) - 2 * common_subsequence(left, right), 2 * (len(both) + gap) + len(left) + len(right))]
+    if both:
+        rows += [(gap + len(x), 2 * len(both) + gap + len(x)) for x in (left, right)]
+    return max(100.0 * (1 - far / size) for far, size in rows)
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter text with a window of its length in the longer one, or less at an end."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0 if long else 100.0
+    m = len(short)
+    best = max(indel_ratio(short, long[max(i, 0) : i + m]) for i in range(1 - m, len(long)))
+    return max(best, *(indel_ratio(long, short[max(i, 0) : i + m]) for i in range(1 - m, m))) if m == len(long) else best
+
+
+def fuzzy_ratio(surface: str, target: str) -> float:
+    """The best of the plain, token-set and (for a surface of 0.6 of the target at least) partial ratio; 0 for what is not compared."""
+    parts = [p.lower() for p in re.findall(PIECES, surface)]
+    if min(len(surface), len(target)) < LEAST_FUZZY or parts and all(p in FUZZY_STOP_WORDS or p.isdigit() for p in parts):
+        return 0.0
+    a, b = surface.lower(), target.lower()
+    best = max(indel_ratio(a, b), token_set_ratio(a, b))
+    return max(best, partial_ratio(a, b)) if len(a) >= 0.6 * len(b) else best
+
+
 def fuzzy_ratios():
-    """A pandas UDF of two columns: the better of the plain ratio and that of the sorted distinct words."""
+    """A pandas UDF of two columns, surface and target: fuzzy_ratio, 0 for nulls."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        words = lambda s: " ".join(sorted(set(s.lower().split())))
-        return pd.Series([round(max(indel_ratio(x.lower(), y.lower()), indel_ratio(words(x), words(y))), 4) for x, y in zip(a, b, strict=True)])
+        return pd.Series([0.0 if x is None or y is None else round(fuzzy_ratio(x, y), 4) for x, y in zip(a, b, strict=True)])
 
     return run
 

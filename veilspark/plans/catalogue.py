@@ -346,9 +346,14 @@ def q_trigram_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scoring.trigram_cosine(F.col("p_name"), F.lit("large brushed copper")).alias("similarity"))
 
 
+#: Names and aliases of the profiles that surfaces are held against.
+FUZZY_NAMES = "SELECT * FROM VALUES ('finish_lbc', 'large brushed copper'), ('finish_lbc', 'large brushed copper fittings'), ('finish_sps', 'small polished steel') AS p(entity_id, target)"
+
+
 @query()
 def q_fuzzy(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("ratio", fuzzy_ratios()("p_name", F.lit("large brushed copper")))
+    names = table(spark, sf_dir, "part").select("p_name").distinct().crossJoin(F.broadcast(spark.sql(FUZZY_NAMES)))
+    names = names.withColumn("ratio", fuzzy_ratios()("p_name", "target")).groupBy("p_name", "entity_id").agg(F.max("ratio").alias("ratio"))
     return names.withColumn("weight", scoring.fuzzy_weight(F.col("ratio")))
 
 
