@@ -226,6 +226,8 @@ def test_class_lm(docs, empty, monkeypatch):
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got.itertuples()) == want
     assert (got.train_tokens == n).all() and got.score.sum() > got.base_score.sum()
     assert class_lm.scores(empty.withColumn("held_out", F.lit(True)), *class_lm.fit(empty)).count() == 0
+    once = class_lm.fitted_scores(marked.select("doc_id", "text", "held_out")).toPandas()
+    assert np.allclose(sorted(once.score), sorted(got.score)) and np.allclose(sorted(once.base_score), sorted(got.base_score))
 
 
 def test_class_lm_classes_cover_all_training_words(docs, monkeypatch):
@@ -240,7 +242,7 @@ def test_class_lm_classes_cover_all_training_words(docs, monkeypatch):
     kind = dict(zip(model["words"], model["classes"].tolist())) | {r["word"]: r["class"] for r in rare.toPandas().to_dict("records")} | {None: class_lm.CLASSES}
     assert set(kind) == set(c) and len(kind) > len(model["words"]) + 1
     of = lambda w: kind[w] if w in kind else model["classes"][len(model["words"]) + 1 + zlib.crc32(w[-2:]) % class_lm.ENDINGS]
-    grid, mass, size = np.zeros((class_lm.SIZE, class_lm.SIZE)), np.ones(class_lm.SIZE), class_lm.SIZE
+    grid, mass, size = np.zeros((class_lm.SIZE, class_lm.SIZE)), (np.arange(class_lm.SIZE) < class_lm.CLASSES).astype(float), class_lm.SIZE
     for ws in trained:
         for a, b in zip([None, *ws], ws):
             grid[of(a), of(b)] += 1
@@ -248,7 +250,10 @@ def test_class_lm_classes_cover_all_training_words(docs, monkeypatch):
         mass[of(w)] += times + 1
     share = (grid.sum(axis=0) + 1) / (grid.sum() + size)
     move = (grid + class_lm.SMOOTHING * share) / (grid.sum(axis=1, keepdims=True) + class_lm.SMOOTHING)
-    cost = lambda a, b: math.log10((c[b] + 1) * (class_lm.LAMBDA * move[of(a), of(b)] / mass[of(b)] + (1 - class_lm.LAMBDA) / (sum(c.values()) + len(c) + 1)))
+    cost = lambda a, b: math.log10((c[b] + 1) * (class_lm.LAMBDA * move[of(a), of(b)] / mass[of(b)] + (1 - class_lm.LAMBDA) / (sum(c.values()) + len(c) + class_lm.CLASSES)))
+    for before in (None, *list(c)[:5]):  # over all words, the end and an unknown for each class P sums to one
+        unknown = sum(class_lm.LAMBDA * move[of(before), k] / mass[k] + (1 - class_lm.LAMBDA) / (sum(c.values()) + len(c) + class_lm.CLASSES) for k in range(class_lm.CLASSES))
+        assert abs(sum(10 ** cost(before, w) for w in c) + unknown - 1) < 1e-9
     want = sorted(round(sum(cost(a, b) for a, b in zip([None, *ws], ws)), 5) for _, ws in lines)
     assert np.allclose(sorted(got.score), want, atol=1e-4)
 

@@ -53,7 +53,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = quality_classifier.held_out(7, 2)
     docs = documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out"))
-    return class_lm.scores(docs, *class_lm.fit(docs.filter("not held_out")))
+    return class_lm.fitted_scores(docs)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

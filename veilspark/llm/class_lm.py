@@ -1,15 +1,16 @@
 """Scoring with a class-based bigram language model (Brown) and its unigram base.
 
-The classes are seeded: exchange clustering moves each of the FREQUENT most frequent words, and each of ENDINGS groups
-of all others by a checksum of their last two bytes, to the class that gains most average mutual information of
-neighbouring classes, from bigram counts of all training documents. Every other training word then goes to the class
-that gains most from its own neighbours: the at most KNOWN most counted ones in ROUNDS rounds, the rest in one. The
-group of its ending gives the class of a word only where training has no such word. A token costs
+Texts are tokenised once into arrays of word ids, from which all further passes count. Exchange clustering works in two
+steps. On the driver it moves each of the FREQUENT most frequent words, and each of ENDINGS groups of all others by a
+checksum of their last two bytes, to the class that gains most average mutual information of neighbouring classes. Then
+ROUNDS rounds of grouped aggregates move each of the at most KNOWN most counted words to the class that gains most from
+its own neighbours, and a last round does so for all other training words. The group of its ending gives the class of a
+word only where training has no such word. A token costs
 
-    P(w | h) = LAMBDA * P(class | class before) * (c(w) + 1) / (N_class + V_class + 1) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)
+    P(w | h) = LAMBDA * P(class | class before) * (c(w) + 1) / (N_class + V_class + 1) + (1 - LAMBDA) * (c(w) + 1) / (N + V + CLASSES)
 
-which sums to one over the words and one unknown for each class. Every document ends with an end token, which
-also stands before its first word.
+which sums to one over the words, the end and one unknown for each class of words (the end has a class alone, without
+an unknown). Every document ends with an end token, which also stands before its first word.
 
 Word counts and classes cover all training documents. The at most KNOWN most counted words are broadcast; a word beyond
 them is looked up by a join, with its count and class.
@@ -39,8 +40,8 @@ ITEMS = END + 1
 #: Classes with that of the end; what stands before and after a word, by class.
 SIZE = CLASSES + 1
 SIDES = 2 * SIZE
-#: Words whose gains are computed at a time: with SIDES cells each, about 20 MB.
-AT_ONCE = 800
+#: Words whose gains are computed at a time: with SIDES cells each, about 20 MB. Ids of texts that a step handles.
+AT_ONCE, IDS_AT_ONCE = 800, 1 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -49,7 +50,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    return FREQUENT + zlib.crc32(word[-2:]) % ENDINGS
+    return zlib.crc32(word[-2:]) % ENDINGS
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,32 +89,71 @@ def most_counted(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(map(bytes, rows["word"]), rows["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def neighbour_counts(training: DataFrame, frequent: dict[bytes, int]) -> np.ndarray:
-    """How often each item follows each, over all rows of training."""
-    shared = training.sparkSession.sparkContext.broadcast(frequent)
+def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """row, doc_id, held_out, ids and cold for every row of docs (doc_id, held_out, text).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, cells = shared.value.get, np.zeros(ITEMS * ITEMS, dtype=np.int64)
+    ids: the place of each word among the known words, len(words) for the end, beyond it by ending for all others;
+    cold: those others, in order.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = len(shared.value)
+        index: dict = {w: i for i, w in enumerate(shared.value)} | {None: many}
         for batch in slices(batches):
-            line = [END]
+            flat: list = [None]
             for text in texts(batch):
-                line += [get(w) or ending(w) for w in tokens(text)]
-                line.append(END)
-            items = np.array(line, dtype=np.int64) % FREQUENT_ZERO
-            cells += np.bincount(items[:-1] * ITEMS + items[1:], minlength=len(cells))
-        met = np.flatnonzero(cells)
-        for i in range(0, len(met), 1 << 18):
-            part = met[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part])], ["cell", "n"])
+                flat += tokens(text)
+                flat.append(None)
+            at = np.array([index.get(w, -1) for w in flat], dtype=np.int32)
+            missed = np.flatnonzero(at < 0)
+            cold = [flat[j] for j in missed.tolist()]
+            at[missed] = [many + 1 + ending(w) for w in cold]
+            ends = np.flatnonzero(at == many)
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[1:]))
+            others = pa.ListArray.from_arrays(pa.array(np.searchsorted(missed, ends).astype(np.int32)), pa.array(cold, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "held_out")), ids, others], ["row", "doc_id", "held_out", "ids", "cold"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
+    return written(rows.mapInArrow(encode, "row long, doc_id long, held_out boolean, ids array<int>, cold array<binary>"), "encoded")
+
+
+def lines(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of encoded rows, their ids in a line with an end before each text, and where the ends stand."""
+    for batch in batches:
+        sizes = pa.compute.list_value_length(batch.column("ids")).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // IDS_AT_ONCE)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            part = batch.slice(a, b - a)
+            if part.num_rows:
+                yield part, np.concatenate([[many], part.column("ids").flatten().to_numpy().astype(np.int64)]), np.concatenate([[0], np.cumsum(sizes[a:b], dtype=np.int64)])
+
+
+def key_counts(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].astype(np.int64)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], ["key", "n"])
+
 
-    rows = training.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # ITEMS**2 rows at most
-    out = np.zeros(ITEMS * ITEMS)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(ITEMS, ITEMS)
+def pair_counts(coded: DataFrame, group: np.ndarray, many: int, hot_too: bool = False) -> np.ndarray:
+    """How often each group follows each, over all rows of coded; group: by id. With hot_too also for known words alone."""
+    shared, size = coded.sparkSession.sparkContext.broadcast(group), int(group.max()) + 1
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((1 + hot_too) * size * size, dtype=np.int64)
+        for _, at, _ in lines(batches, many):
+            of = shared.value[at]
+            pair = of[:-1] * size + of[1:]
+            cells[: size * size] += np.bincount(pair, minlength=size * size)
+            if hot_too:
+                hot = at <= many
+                cells[size * size :] += np.bincount(pair[hot[:-1] & hot[1:]], minlength=size * size)
+        met = np.flatnonzero(cells)
+        yield from key_counts(met, cells[met])
 
-#: Item 0 is written as FREQUENT_ZERO in dictionaries, so that `or` tells it from no entry.
-FREQUENT_ZERO = ITEMS
+    rows = coded.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # cells of the table at most
+    out = np.zeros((1 + hot_too) * size * size)
+    out[rows["key"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(1 + hot_too, size, size)
 
 
 def x_log_x(x: np.ndarray) -> np.ndarray:
@@ -121,9 +161,8 @@ def x_log_x(x: np.ndarray) -> np.ndarray:
 
 
 def class_pairs(pairs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    size = CLASSES + 1
-    cells = classes[:, None] * size + classes[None, :]
-    return np.bincount(cells.ravel(), weights=pairs.ravel(), minlength=size * size).reshape(size, size)
+    cells = classes[:, None] * SIZE + classes[None, :]
+    return np.bincount(cells.ravel(), weights=pairs.ravel(), minlength=SIZE * SIZE).reshape(SIZE, SIZE)
 
 
 def exchange_classes(pairs: np.ndarray) -> np.ndarray:
@@ -192,231 +231,194 @@ def best_classes(sizes: np.ndarray, cells: np.ndarray, n: np.ndarray, old: np.nd
     return gain.argmax(axis=1)
 
 
-def line_of(held: list[bytes], get, many: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """The words of texts in a line, an end (None) around each; their places among the many known words, `many` for the
-    end, beyond it by ending for all others; and where those others stand."""
-    flat: list = [None]
-    for text in held:
-        flat += tokens(text)
-        flat.append(None)
-    at = np.array([get(w, -1) for w in flat], dtype=np.int64)
-    missed = np.flatnonzero(at < 0)
-    at[missed] = [many + 1 + zlib.crc32(flat[j][-2:]) % ENDINGS for j in missed.tolist()]
-    return flat, at, missed
+def moved_words(coded: DataFrame, own: np.ndarray, many: int) -> np.ndarray:
+    """own after one round: each known word that is no seed goes to its best class, all others staying where they are."""
+    shared = coded.sparkSession.sparkContext.broadcast(own)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of the class table as key -1 - cell, sides of words as key id * SIDES + side."""
+        own = shared.value
+        grid, sides = np.zeros(SIZE * SIZE, dtype=np.int64), np.zeros(many * SIDES, dtype=np.int32)
+        for _, at, _ in lines(batches, many):
+            kind = own[at]
+            grid += np.bincount(kind[:-1] * SIZE + kind[1:], minlength=SIZE * SIZE)
+            chosen = np.flatnonzero((at >= FREQUENT) & (at < many))
+            np.add.at(sides, at[chosen] * SIDES + kind[chosen - 1], 1)
+            np.add.at(sides, at[chosen] * SIDES + SIZE + kind[chosen + 1], 1)
+        for base, cells in ((0, sides), (None, grid)):
+            met = np.flatnonzero(cells)
+            yield from key_counts(met if base == 0 else -1 - met, cells[met])
+
+    found = written(coded.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word-sides")
+    grid = np.zeros(SIZE * SIZE)
+    for row in found.filter("key < 0").collect():  # SIZE**2 rows at most
+        grid[-1 - row["key"]] = row["n"]
+    table = coded.sparkSession.sparkContext.broadcast(grid.reshape(SIZE, SIZE))
 
-NEIGHBOURS = "grid int, id long, word binary, other binary, old int, cell int, n long"
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(i, AT_ONCE)
+                sizes, flat = pa.compute.list_value_length(batch.column("sides")).to_numpy(), batch.column("sides").flatten()
+                old = shared.value[batch.column("id").to_numpy()]
+                new = best_classes(sizes, flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.float64), old, table.value)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(new.astype(np.int32))], ["id", "class"])
+
+    cell = F.struct((F.col("key") % SIDES).cast("int").alias("cell"), "n")
+    words = found.filter("key >= 0").groupBy(F.floor(F.col("key") / SIDES).alias("id")).agg(F.collect_list(cell).alias("sides"))  # SIDES cells a word at most
+    moved = words.mapInArrow(choose, "id long, class int").toPandas()  # KNOWN rows at most
+    out = own.copy()
+    out[moved["id"].to_numpy()] = moved["class"].to_numpy()
+    return out
 
 
-def class_neighbours(training: DataFrame, words: list[bytes], own: np.ndarray, cold: bool) -> DataFrame:
-    """Counts of neighbours by class over all rows of training, in rows of these kinds:
+def cold_places(coded: DataFrame, own: np.ndarray, many: int) -> DataFrame:
+    """A row for each place of a word that is not known: row, held_out, word, code, other.
 
-    grid (pairs of classes); without cold also id, old, cell: a known word that is no seed, its class, a side.
-    With cold, grid + SIZE**2 (pairs of classes of known words alone), word, old, cell (left * SIDES + right, a side being
-    SIZE more if not of a known word), and word, other: both not known, neighbours.
+    code: (guess * 128 + left) * 128 + right, the class by its ending and the classes of its neighbours, SIZE more for
+    those that are not known either and so have but a guess; other: the word behind it, if that is one of these.
     """
-    shared = training.sparkSession.sparkContext.broadcast((words, own))
-    fields = [f.split()[0] for f in NEIGHBOURS.split(", ")]
-    kinds = {"grid": pa.int32(), "id": pa.int64(), "word": pa.binary(), "other": pa.binary(), "old": pa.int32(), "cell": pa.int32(), "n": pa.int64()}
+    shared = coded.sparkSession.sparkContext.broadcast(own)
 
-    def rows(**given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(given[f], kinds[f]) if f in given else pa.nulls(len(given["n"]), kinds[f]) for f in fields], fields)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at, ends in lines(batches, many):
+            missed = np.flatnonzero(at > many)
+            kind = shared.value[at]
+            side = kind + SIZE * (at > many)
+            word, owner = part.column("cold").flatten(), np.searchsorted(ends, missed) - 1
+            behind = np.where(at[missed + 1] > many, np.arange(len(missed)) + 1, -1)
+            other = word.take(pa.array(behind, mask=behind < 0))
+            code = (kind[missed] * 128 + side[missed - 1]) * 128 + side[missed + 1]
+            owned = [part.column(c).take(pa.array(owner)) for c in ("row", "held_out")]
+            yield pa.RecordBatch.from_arrays([*owned, word, pa.array(code.astype(np.int32)), other], ["row", "held_out", "word", "code", "other"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value
-        many = len(known)
-        index: dict = {w: i for i, w in enumerate(known)} | {None: many}
-        pairs, keys, held = np.zeros(2 * SIZE * SIZE, dtype=np.int64), [], 0
-        sides: Counter = Counter()
-        both: Counter = Counter()
-
-        def known_rows():
-            at, n = np.unique(np.concatenate(keys), return_counts=True)
-            for i in range(0, len(at), 1 << 18):
-                part = at[i : i + (1 << 18)]
-                yield rows(id=part // SIDES, old=own[part // SIDES].astype(np.int32), cell=(part % SIDES).astype(np.int32), n=n[i : i + (1 << 18)])
-
-        def cold_rows():
-            word, code = zip(*sides, strict=True)
-            code = np.array(code)
-            yield rows(word=word, old=(code // SIDES**2).astype(np.int32), cell=(code % SIDES**2).astype(np.int32), n=list(sides.values()))
-            if both:
-                word, other = zip(*both, strict=True)
-                yield rows(word=word, other=other, n=list(both.values()))
+    return written(coded.filter(F.size("cold") > 0).mapInArrow(places, "row long, held_out boolean, word binary, code int, other binary"), "cold-places")
 
-        for batch in slices(batches):
-            flat, at, missed = line_of(texts(batch), index.get, many)
-            kind, hot = own[at], at <= many
-            cells = kind[:-1] * SIZE + kind[1:]
-            pairs[: SIZE * SIZE] += np.bincount(cells, minlength=SIZE * SIZE)
-            if cold:
-                pairs[SIZE * SIZE :] += np.bincount(cells[hot[:-1] & hot[1:]], minlength=SIZE * SIZE)
-                side = kind + SIZE * ~hot
-                code = (kind[missed] * SIDES + side[missed - 1]) * SIDES + side[missed + 1]
-                sides.update(zip([flat[j] for j in missed.tolist()], code.tolist(), strict=True))
-                both.update((flat[j], flat[j + 1]) for j in missed[~hot[missed + 1]].tolist())
-                if len(sides) + len(both) > MOST_HELD:
-                    yield from cold_rows()
-                    sides.clear()
-                    both.clear()
-            else:
-                chosen = np.flatnonzero((at >= FREQUENT) & (at < many))
-                keys += [at[chosen] * SIDES + kind[chosen - 1], at[chosen] * SIDES + SIZE + kind[chosen + 1]]
-                held += 2 * len(chosen)
-                if held > 1 << 22:
-                    yield from known_rows()
-                    keys, held = [], 0
-        if sides:
-            yield from cold_rows()
-        if held:
-            yield from known_rows()
-        met = np.flatnonzero(pairs)
-        yield rows(grid=met.astype(np.int32), n=pairs[met])
-
-    return written(training.select("text").mapInArrow(count, NEIGHBOURS), "class-neighbours")
-
-
-def grids(found: DataFrame) -> np.ndarray:
-    """The class pairs of all words, and of known words alone."""
-    out = np.zeros(2 * SIZE * SIZE)
-    for row in found.filter("grid is not null").groupBy("grid").agg(F.sum("n").alias("n")).collect():
-        out[row["grid"]] = row["n"]
-    return out.reshape(2, SIZE, SIZE)
-
-
-def assigned(sides: DataFrame, key: str, grid: np.ndarray) -> DataFrame:
-    """key, class and c of every word in sides (key, old, cell, n), cells as in best_classes, SIDES more if not of a known
-    word; and rows without a key, whose class is a cell of the grid: the pairs with known words under the new classes."""
-    kind = sides.schema[key].dataType.simpleString().replace("bigint", "long")
-    shared = sides.sparkSession.sparkContext.broadcast(grid)
+
+def cold_classes(cold: DataFrame, grid: np.ndarray) -> DataFrame:
+    """word, class, c of every word of cold places in training; grid: pairs of classes, those of such words by their guesses."""
+    shared = cold.sparkSession.sparkContext.broadcast(grid)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid, met = shared.value, np.zeros(SIZE * SIZE)
-        fields = [key, "class", "c"]
         for whole in batches:
             for i in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(i, AT_ONCE)
-                lists, old = batch.column("sides"), batch.column("old").to_numpy()
-                sizes, flat = pa.compute.list_value_length(lists).to_numpy(), lists.flatten()
-                cells, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.float64)
+                sizes, flat = pa.compute.list_value_length(batch.column("codes")).to_numpy(), batch.column("codes").flatten()
+                code, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.float64)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                code, place = np.unique(owner * SIDES + cells % SIDES, return_inverse=True)  # by cell, whether or not of a known word
-                total = np.bincount(place, weights=n)
-                new = best_classes(np.bincount(code // SIDES, minlength=len(sizes)), code % SIDES, total, old, grid)
-                times = np.bincount(owner[cells % SIDES < SIZE], weights=n[cells % SIDES < SIZE], minlength=len(sizes))
-                hot = cells < SIDES
-                side, mine = cells[hot], new[owner[hot]]
-                met += np.bincount(np.where(side < SIZE, side * SIZE + mine, mine * SIZE + side - SIZE), weights=n[hot], minlength=SIZE * SIZE)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(new.astype(np.int32)), pa.array(times.astype(np.int64))], fields)
-        cell = np.flatnonzero(met)
-        nothing = pa.nulls(len(cell), pa.int64() if kind == "long" else pa.binary())
-        yield pa.RecordBatch.from_arrays([nothing, pa.array(cell.astype(np.int32)), pa.array(met[cell].astype(np.int64))], fields)
-
-    by_word = sides.groupBy(key, "old", "cell").agg(F.sum("n").alias("n")).groupBy(key, "old").agg(F.collect_list(F.struct("cell", "n")).alias("sides"))
-    return by_word.mapInArrow(choose, f"{key} {kind}, class int, c long")
+                left, right = (code >> 7 & 127) % SIZE, (code & 127) % SIZE
+                cells, place = np.unique(np.concatenate([owner * SIDES + left, owner * SIDES + SIZE + right]), return_inverse=True)
+                total = np.bincount(place, weights=np.concatenate([n, n]))
+                old = (code >> 14)[np.cumsum(sizes) - sizes]
+                new = best_classes(np.bincount(cells // SIDES, minlength=len(sizes)), cells % SIDES, total, old, shared.value)
+                times = np.bincount(owner, weights=n, minlength=len(sizes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new.astype(np.int32)), pa.array(times)], ["word", "class", "c"])
+
+    by_code = cold.filter("not held_out").select("word", "code").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
+    by_word = by_code.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("codes"))  # SIDES**2 codes a word at most
+    return written(by_word.mapInArrow(choose, "word binary, class int, c long"), "cold-classes")
+
+
+def placed(cold: DataFrame, rare: DataFrame) -> DataFrame:
+    """row, held_out, c, before, after: the pairs of classes that the words of cold places make with what is around them."""
+    guess, left, right = F.shiftright("code", 14), F.shiftright("code", 7).bitwiseAND(127), F.col("code").bitwiseAND(127)
+    mine = F.coalesce("class", guess)
+    one = cold.drop("other").hint("merge").join(rare, "word", "left").select(
+        "row", "held_out", "c", F.when(left < SIZE, left * SIZE + mine).alias("before"), F.when(right < SIZE, mine * SIZE + right).alias("after")
+    )
+    two = cold.filter("other is not null").hint("merge").join(rare, "word", "left").select("row", "held_out", "other", mine.alias("a"), (right - SIZE).alias("b"))
+    two = two.hint("merge").join(rare.select(F.col("word").alias("other"), "class"), "other", "left").select(
+        "row", "held_out", F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("before"), (F.col("a") * SIZE + F.coalesce("class", "b")).alias("after")
+    )
+    return written(one.unionByName(two), "cold-pairs")
 
 
-def fit(training: DataFrame) -> tuple[dict, DataFrame]:
-    """What scoring needs in every task, and the table of all words that it does not hold: word, class, c."""
-    counts = word_counts(training)
+def learned(coded: DataFrame, counts: DataFrame, known: list[tuple[bytes, int]]) -> tuple[dict, DataFrame, DataFrame]:
+    """The model, the table of all training words that it does not hold (word, class, c), and the cold pairs of all rows of coded."""
+    training = coded.filter("not held_out")
     documents = training.count()
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total) + documents, kinds + (documents > 0)
-    known = most_counted(counts, KNOWN)
     words, many = [w for w, _ in known], len(known)
-    frequent = {w: i or FREQUENT_ZERO for i, w in enumerate(words[:FREQUENT])}
-    seeds = exchange_classes(neighbour_counts(training, frequent))
-    by_ending = seeds[FREQUENT : FREQUENT + ENDINGS]
-    own = np.array([seeds[i] if i < FREQUENT else seeds[ending(w)] for i, w in enumerate(words)] + [CLASSES, *by_ending], dtype=np.int64)
+    by_ending = np.array([ending(w) for w in words], dtype=np.int64)
+    item = np.concatenate([np.where(np.arange(many) < FREQUENT, np.arange(many), FREQUENT + by_ending), [END], FREQUENT + np.arange(ENDINGS)]).astype(np.int64)
+    seeds = exchange_classes(pair_counts(training, item, many)[0])
+    own = seeds[item]
     for _ in range(ROUNDS if many > FREQUENT else 0):
-        found = class_neighbours(training, words, own, cold=False)
-        sides = found.filter("id is not null").select("id", "old", "cell", "n").repartition("id")
-        moved = assigned(sides, "id", grids(found)[0]).filter("id is not null").select("id", "class").toPandas()  # KNOWN rows at most
-        own[moved["id"].to_numpy()] = moved["class"].to_numpy()
-    found = class_neighbours(training, words, own, cold=True)
-    whole, grid = grids(found)
-    sides = found.filter("old is not null").select("word", "old", "cell", "n").repartition("word")
-    left, right = F.floor(F.col("cell") / SIDES).cast("int"), F.col("cell") % SIDES
-    # a side of a word that is not known comes as SIZE more; in a cell it is SIDES more
-    coded = lambda side, base: F.when(side < SIZE, side + base).otherwise(side - SIZE + base + SIDES)
-    sides = sides.select("word", "old", F.explode(F.array(coded(left, 0), coded(right, SIZE))).alias("cell"), "n")
-    chosen = written(assigned(sides, "word", whole), "word-classes")
-    rare = chosen.filter("word is not null")
-    pairs = found.filter("other is not null").select("word", "other", "n").hint("merge").join(rare.select("word", F.col("class").alias("a")), "word")
-    pairs = pairs.hint("merge").join(rare.select(F.col("word").alias("other"), F.col("class").alias("b")), "other").select((F.col("a") * SIZE + F.col("b")).alias("cell"), "n")
-    met = chosen.filter("word is null").select(F.col("class").alias("cell"), F.col("c").alias("n")).unionByName(pairs)
-    for row in met.groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        grid[row["cell"] // SIZE, row["cell"] % SIZE] += row["n"]
-    mass = np.bincount(own[:many], weights=[c + 1 for _, c in known], minlength=SIZE) + 1.0
+        own = moved_words(training, own, many)
+    cold = cold_places(coded, own, many)
+    whole, grid = pair_counts(training, own, many, hot_too=True)
+    rare = cold_classes(cold, whole)
+    pairs = placed(cold, rare)
+    met = pairs.filter("not held_out").select(F.explode(F.array("before", "after")).alias("cell")).filter("cell is not null")
+    for row in met.groupBy("cell").count().collect():
+        grid[row["cell"] // SIZE, row["cell"] % SIZE] += row["count"]
+    mass = np.bincount(own[:many], weights=[c + 1 for _, c in known], minlength=SIZE) + (np.arange(SIZE) < CLASSES)
     for row in rare.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         mass[row["class"]] += row["n"] + row["v"]
-    mass[CLASSES] += documents + (documents > 0)
+    mass[CLASSES] = documents + 1
     share = (grid.sum(axis=0) + 1) / (grid.sum() + SIZE)
     transition = (grid + SMOOTHING * share) / (grid.sum(axis=1, keepdims=True) + SMOOTHING)
-    log_cell = np.log10(LAMBDA * transition / mass + (1 - LAMBDA) / (n + v + 1))
-    if not documents:
-        log_cell[:] = 0.0
+    log_cell = np.log10(LAMBDA * transition / mass + (1 - LAMBDA) / (n + v + CLASSES)) if documents else np.zeros((SIZE, SIZE))
     model = {
         "words": words, "counts": np.array([c for _, c in known], dtype=np.int64), "classes": own,
         "log_cell": log_cell, "n": n, "v": v, "documents": documents,
     }
-    return model, rare
+    return model, rare, pairs
+
+
+def fit(training: DataFrame) -> tuple[dict, DataFrame]:
+    """What scoring needs in every task, and the table of all words that it does not hold: word, class, c."""
+    counts = word_counts(training)
+    known = most_counted(counts, KNOWN)
+    coded = encoded(training.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), [w for w, _ in known])
+    return learned(coded, counts, known)[:2]
 
 
 def scores(docs: DataFrame, model: dict, rare: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, held_out): n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "word", "other", "code"]
+    coded = encoded(docs, model["words"])
+    return totals(coded, placed(cold_places(coded, model["classes"], len(model["words"])), rare), model)
+
+
+def fitted_scores(docs: DataFrame) -> DataFrame:
+    """As scores(docs, *fit(rows of docs that are not held out)), reading the texts of docs once less."""
+    docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    counts = word_counts(docs.filter("not held_out"))
+    known = most_counted(counts, KNOWN)
+    coded = encoded(docs, [w for w, _ in known])
+    model, _, pairs = learned(coded, counts, known)
+    return totals(coded, pairs, model)
+
+
+def totals(coded: DataFrame, pairs: DataFrame, model: dict) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast({k: model[k] for k in ("counts", "classes", "log_cell", "documents")})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        many = len(m["words"])
-        index: dict = {w: i for i, w in enumerate(m["words"])} | {None: many}
+        many = len(m["counts"])
         log_count = np.concatenate([np.log10(m["counts"] + 1.0), [np.log10(m["documents"] + 1.0)], np.zeros(ENDINGS)])
-        for batch in slices(batches):
-            row, doc_id, held_out = (batch.column(c) for c in ("row", "doc_id", "held_out"))
-            flat, at, missed = line_of(texts(batch), index.get, many)
-            kind, hot = m["classes"][at], at <= many
-            ends = np.flatnonzero(at == many)
-            starts, sizes = ends[:-1], np.diff(ends)
-            seen = hot.copy()
-            seen[ends] = m["documents"] > 0
+        for part, at, ends in lines(batches, many):
+            kind, hot, starts = m["classes"][at], at <= many, ends[:-1]
+            seen = hot[1:] & ((at[1:] < many) | (m["documents"] > 0))
             add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
             logs = add(log_count[at[1:]])
-            totals = logs + add(np.where(hot[:-1] & hot[1:], m["log_cell"][kind[:-1], kind[1:]], 0.0))
-            nothing = [pa.nulls(len(sizes), k) for k in (pa.binary(), pa.binary(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([row, doc_id, held_out, pa.array(sizes), pa.array(add(seen[1:].astype(np.int64))), pa.array(logs), pa.array(totals), *nothing], fields)
-            # CLASSES + 1 stands for a neighbour that is not known
-            side = np.where(hot, kind, SIZE)
-            two = missed[~hot[missed + 1]]
-            for places, code, others in (
-                (missed, (kind[missed] * 64 + side[missed - 1]) * 64 + side[missed + 1], None),
-                (two, kind[two] * 64 + kind[two + 1], [flat[j + 1] for j in two.tolist()]),
-            ):
-                if len(places):
-                    gone = [pa.nulls(len(places), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    owner = row.take(pa.array(np.searchsorted(ends, places) - 1))
-                    other = pa.array(others, pa.binary()) if others else pa.nulls(len(places), pa.binary())
-                    yield pa.RecordBatch.from_arrays([owner, *gone, pa.array([flat[j] for j in places.tolist()], pa.binary()), other, pa.array(code.astype(np.int32))], fields)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, word binary, other binary, code int"
-    scored = written(rows.mapInArrow(score, kinds), "scored")
+            cells = add(np.where(hot[:-1] & hot[1:], m["log_cell"][kind[:-1], kind[1:]], 0.0))
+            columns = [pa.array(x) for x in (np.diff(ends), add(seen.astype(np.int64)), logs, logs + cells)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "held_out")), *columns], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    hot = coded.select("row", "doc_id", "held_out", "ids").mapInArrow(score, kinds)
     log_cell = F.from_json(F.lit(json.dumps(model["log_cell"].ravel().tolist())), "array<double>")
-    cost = lambda a, b: F.when((a < SIZE) & (b < SIZE), F.get(log_cell, (a * SIZE + b).cast("int"))).otherwise(0.0)
-    place = lambda i: F.shiftright("code", 6 * i).bitwiseAND(63)
-    either: Column = F.coalesce("class", place(2))
-    one = scored.filter("word is not null and other is null").select("row", "word", "code").hint("merge").join(rare, "word", "left")
-    one = one.select("row", F.col("c").isNotNull().cast("long").alias("more"), F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)).alias("logs"), (cost(place(1), either) + cost(either, place(0))).alias("cells"))
-    two = scored.filter("other is not null").select("row", "word", "other", "code").hint("merge").join(rare, "word", "left").select("row", "other", "code", F.coalesce("class", place(1)).alias("a"))
-    two = two.hint("merge").join(rare.withColumnRenamed("word", "other"), "other", "left").select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("logs"), cost(F.col("a"), F.coalesce("class", place(0))).alias("cells"))
-    cold = written(one.unionByName(two).groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"), F.sum("cells").alias("cells")), "cold-words")
-    more, logs, cells = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0)), F.coalesce("cells", F.lit(0.0))
-    return (
-        scored.filter("word is null").hint("merge").join(cold, "row", "left")
-        .select(
-            "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
-            (F.col("log_counts") + logs - F.col("n_tokens") * float(np.log10(model["n"] + model["v"] + 1.0))).alias("base_score"),
-            (F.col("score") + logs + cells).alias("score"),
-        )
+    cost = lambda cell: F.coalesce(F.get(log_cell, cell), F.lit(0.0))
+    cold = pairs.groupBy("row").agg(
+        F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("cold_logs"), F.sum(cost("before") + cost("after")).alias("cold_cells")
+    )
+    cold = written(cold, "cold-sums")
+    more: Column = F.coalesce("more", F.lit(0))
+    logs, cells = F.coalesce("cold_logs", F.lit(0.0)), F.coalesce("cold_cells", F.lit(0.0))
+    return hot.hint("merge").join(cold, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
+        (F.col("logs") + logs - F.col("n_tokens") * float(np.log10(model["n"] + model["v"] + 1.0))).alias("base_score"),
+        (F.col("score") + logs + cells).alias("score"),
     )
