@@ -20,13 +20,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, a new one in local mode only."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspark-"))
     return context.getCheckpointDir()
 
 
+def own_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names with underscores in front, as many as it takes to differ from all columns in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

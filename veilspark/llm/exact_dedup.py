@@ -1,12 +1,14 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by digest.
 
-The index is a table (digest, first_id, first_count). A batch is reduced to one row for each digest
-before it meets the index; digests that a sort-merge anti-join does not find are appended.
+The index is a table (digest, first_id, batch). A batch is reduced to one row for each digest before it meets the
+index; digests that a sort-merge anti-join does not find are appended under the batch's name. What a batch itself
+brought counts as new to it, so that a job which failed after the append can be run again under the same name
+and gives the same rows.
 
 Defined results: null text equals the empty text; texts are equal when identical after every run of
 `[\\x20\\x09-\\x0D]` is one space; among equal texts the smallest doc_id stays (a null id only if there
 is no other), of repeated rows with that id one row; an empty batch appends nothing. Columns besides
-doc_id and text are carried by `distinct_documents` and ignored elsewhere.
+doc_id and text, whatever their names, are carried by `distinct_documents` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import lookup, written
+from veilspark.llm.common import lookup, own_names, written
 
 
 def normalised(text: Column) -> Column:
@@ -32,59 +34,81 @@ class DigestIndex:
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} (digest BINARY, first_id BIGINT, first_count BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {table} (digest BINARY, first_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, firsts: DataFrame) -> None:
-        """Append those of firsts (digest, first_id, first_count) that the index does not hold."""
-        fresh = firsts.hint("merge").join(self.read(), "digest", "left_anti")
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def add(self, firsts: DataFrame, batch: str) -> None:
+        """Append those of firsts (digest, first_id) that the index does not hold."""
+        fresh = firsts.select("digest", "first_id", F.lit(batch).alias("batch")).hint("merge").join(self.read(), "digest", "left_anti")
         fresh = written(fresh, "fresh-digests")  # a table can't be read and appended to in one job
         (
             fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table)
         )
 
-    def decide(self, docs: DataFrame) -> DataFrame:
+    def merged(self, firsts: DataFrame, batch: str) -> DataFrame:
+        """Adds firsts (digest, first_id, first_count), one row a digest; returns digest, group_size, keep_id, new_here.
+
+        keep_id is the id which the index holds, new_here whether this batch brought it.
+        """
+        self.add(firsts, batch)
+        held = self.read().select("digest", F.col("first_id").alias("keep_id"), (F.col("batch") == batch).alias("new_here"))
+        return written(firsts.select("digest", F.col("first_count").alias("group_size")).hint("merge").join(held, "digest"), "digest-groups")
+
+    def decide(self, docs: DataFrame, batch: str) -> DataFrame:
         """Adds a batch; returns a row for each of its rows: doc_id, digest, keep_id, group_size, kept.
 
-        group_size counts the equal rows of this batch, keep_id is the id which the index holds.
+        group_size counts the equal rows of this batch.
         """
-        rows = written(
-            docs.select("doc_id", digest(F.col("text")).alias("digest")).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times")),
-            "digests",
-        )
-        firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("times").alias("first_count"))
-        firsts = written(firsts, "first-digests")  # else the optimizer moves the anti-join below the aggregate, where copies meet in one task
-        known = self.read()
-        new_here = firsts.join(known.select("digest"), "digest", "left_anti").select("digest", F.lit(True).alias("new_here"))
-        new_here = written(new_here, "new-digests")
-        self.add(firsts)
-        groups = (
-            firsts.select("digest", F.col("first_count").alias("group_size"))
-            .join(self.read().select("digest", F.col("first_id").alias("keep_id")), "digest")
-            .join(new_here, "digest", "left")
-        )
-        groups = written(groups, "digest-groups")
-        return lookup(rows, groups, "digest", "group_size").select(
-            "doc_id", "digest", "keep_id", "group_size", "new_here", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
-        ).select(
-            "doc_id", "digest", "keep_id", "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1) & F.coalesce("new_here", F.lit(False))).alias("kept"),
-        )
+        rows, firsts = digested(docs)
+        return decided(rows, self.merged(firsts, batch))
+
+
+def digested(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (digest, doc_id, times), and digest, first_id, first_count of each digest."""
+    rows = docs.select("doc_id", digest(F.col("text")).alias("digest")).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    rows = written(rows, "digests")
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("times").alias("first_count"))
+    return rows, written(firsts, "first-digests")  # else the optimizer moves joins below the aggregate, where copies meet in one task
+
+
+def decided(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, kept for each row of rows (digest, doc_id, times), groups as from `merged`."""
+    each = lookup(rows, groups, "digest", "group_size").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return each.select(
+        "doc_id", "digest", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1) & F.col("new_here")).alias("kept")
+    )
+
+
+def decided_in_batches(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """As decide, for a table that comes in two batches, smaller ids first; group_size counts the equal rows of both."""
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
+    early = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+    rows, groups = [], []
+    for name, some in (("early", docs.filter(early)), ("late", docs.filter(~early))):
+        part, firsts = digested(some)
+        rows.append(part)
+        groups.append(index.merged(firsts, name))
+    together = groups[0].unionByName(groups[1]).groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.min("keep_id").alias("keep_id"))
+    together = written(together.withColumn("new_here", F.lit(True)), "groups-of-both")
+    return decided(rows[0].unionByName(rows[1]), together)
 
 
-def distinct_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def distinct_documents(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """The rows of docs, all columns, that are the first of their text in the batch and new to the index."""
     columns = docs.columns
-    digested = docs.withColumn("__digest", digest(F.col("text")))
-    firsts = digested.groupBy("__digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("first_count")).withColumnRenamed("__digest", "digest")
-    firsts = written(firsts, "first-rows")
-    fresh = written(firsts.hint("merge").join(index.read(), "digest", "left_anti").select("digest", "first_id"), "fresh-rows")
-    index.add(firsts)
-    first = (F.col("__digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    kept = digested.hint("merge").join(fresh, first, "left_semi").dropDuplicates(["doc_id", "__digest"])  # a repeated row stays once
+    mine, theirs, first = own_names(columns, "digest", "kept_digest", "first_id")
+    rows = docs.withColumn(mine, digest(F.col("text")))
+    firsts = rows.groupBy(F.col(mine).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("first_count"))
+    groups = index.merged(written(firsts, "first-rows"), batch)
+    fresh = written(groups.filter("new_here").select(F.col("digest").alias(theirs), F.col("keep_id").alias(first)), "fresh-rows")
+    same = (F.col(mine) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(first))
+    kept = rows.hint("merge").join(fresh, same, "left_semi").dropDuplicates(["doc_id", mine])  # a repeated row stays once
     return kept.select(*[F.col(f"`{c}`") for c in columns])
