@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import lookup, slices, texts, written
+from veilspark.llm.common import lookup, own_names, slices, texts, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -80,14 +80,15 @@ def fingerprints(raw: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprint_table(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns in more (strings) and fp (the fingerprint as a signed long)."""
+    names = ["doc_id", *more]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(texts(batch)).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fingerprints(texts(batch)).view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(*names, "text").mapInArrow(hashed, f"doc_id long, {''.join(f'{c} string, ' for c in more)}fp long")
 
 
 def syndrome(word: np.ndarray) -> np.ndarray:
@@ -237,11 +238,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")  # large star: larger neighbours to the smallest
-        pairs = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")  # large star: larger neighbours to the smallest
+        pairs = lookup(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         pairs = written(pairs, "stars")
-        least = written(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")  # small star: smaller neighbours and itself to the smallest
-        moved = pairs.join(least, "u")
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")  # small star: smaller neighbours and itself to the smallest
+        moved = lookup(pairs, least, "u", "n")
         pairs = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         pairs = written(pairs, "stars")
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -250,19 +251,31 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """fp, n, component_id for each fingerprint of rows (doc_id, fp), one row a document."""
+    each = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    roots = components(links(each))
+    rooted = written(each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("kinds")), "least-ids")
+    return written(lookup(rooted, least, "root", "kinds").select("fp", "n", "root", "component_id"), "groups")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
     rows = written(fingerprint_table(docs), "fingerprints")
-    each = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    roots = components(links(each))
-    rooted = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least-ids")
-    groups = written(rooted.join(least, "root").select("fp", "n", "component_id"), "groups")
-    return lookup(rows, groups, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return lookup(rows, grouped(rows), "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those that are near copies of a document with a smaller doc_id."""
-    dropped = near_groups(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    """One row of docs, all columns, for each group of near copies: the one with the smallest doc_id, of several of that
+    id the one whose text has the least digest (a null id only if there is no other); of repeated rows one."""
+    columns = docs.columns
+    mine, theirs, wanted = own_names(columns, "print", "kept_print", "kept_id")
+    marked = docs.withColumn(mine, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = written(fingerprint_table(marked.select("doc_id", "text", F.col(mine).alias("print")), "print"), "fingerprints")
+    group = lookup(rows, grouped(rows), "fp", "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
+    kept = written(group.groupBy("root").agg(first).select(F.col("first.doc_id").alias(wanted), F.col("first.print").alias(theirs)), "one-of-each")
+    same = (F.col(mine) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(wanted))
+    left = marked.hint("merge").join(kept, same, "left_semi").dropDuplicates(["doc_id", mine])
+    return left.select(*[F.col(f"`{c}`") for c in columns])
