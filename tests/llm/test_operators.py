@@ -63,7 +63,7 @@ def test_hypergeometric_law():
 
 def test_exact_dedup(spark, docs, empty):
     index = exact_dedup.DigestIndex(spark, "test_index", 4)
-    got = index.decide(docs).toPandas()
+    got = index.decide(docs, "a").toPandas()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
     groups = {}
     for i, t in texts():
@@ -72,10 +72,38 @@ def test_exact_dedup(spark, docs, empty):
     none = lambda v: None if v != v else int(v)
     assert Counter((none(r.doc_id), none(r.keep_id), r.group_size) for r in got.itertuples()) == want
     assert got.kept.sum() == len(groups)
-    assert index.decide(docs).toPandas().kept.sum() == 0  # all known by now
-    assert index.read().count() == len(groups) and index.decide(empty).count() == 0
-    kept = exact_dedup.distinct_documents(docs, exact_dedup.DigestIndex(spark, "test_index_2", 4))
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert index.decide(docs, "a").toPandas().kept.sum() == len(groups)  # the same batch again, as after a failure
+    assert index.decide(docs, "b").toPandas().kept.sum() == 0  # all known by now
+    assert index.read().count() == len(groups) and index.decide(empty, "c").count() == 0
+    twice = exact_dedup.DigestIndex(spark, "test_index_3", 4)
+    both = exact_dedup.decided_in_batches(docs, twice).toPandas()
+    twice.drop()
+    assert Counter((none(r.doc_id), none(r.keep_id), r.group_size) for r in both.itertuples()) == want and both.kept.sum() == len(groups)
+    assert exact_dedup.decided_in_batches(empty, exact_dedup.DigestIndex(spark, "test_index_4", 4)).count() == 0
+
+
+def test_distinct_documents(spark, docs, empty):
+    """Extra columns of any name are carried, and a job that failed after the append keeps its rows when run again."""
+    odd = docs.withColumn("digest", F.lit(1)).withColumn("first_id", F.lit("x")).withColumn("_digest", F.lit(2)).withColumn("KEEP_ID", F.lit(3))
+    index = exact_dedup.DigestIndex(spark, "test_index_2", 4)
+    groups = {re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in texts()}
+    for _ in range(2):
+        kept = exact_dedup.distinct_documents(odd, index, "first")
+        assert kept.columns == odd.columns and kept.count() == len(groups)
+    assert exact_dedup.distinct_documents(odd, index, "second").count() == 0
+    assert exact_dedup.distinct_documents(empty, index, "third").count() == 0
+
+
+def test_one_of_each(spark, docs, empty):
+    """A row that only shares its doc_id with a near copy stays; of repeated rows one stays; extra columns are carried."""
+    long = " ".join(WORDS * 4)
+    rows = [(1, long), (2, long), (2, "a text of its own that nothing else is like"), (3, "another text"), (3, "another text"), (None, long), (None, "no id and nothing like it here"), (4, None), (5, "")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_print", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("kept_id", F.lit(2))
+    got = simhash.one_of_each(odd)
+    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert got.columns == odd.columns
+    assert left == Counter({(1, long): 1, (2, rows[2][1]): 1, (3, "another text"): 1, (None, rows[6][1]): 1, (4, None): 1})
+    assert simhash.one_of_each(empty).count() == 0
 
 
 def test_simhash(docs, empty):
@@ -275,7 +303,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reader.encode_special_tokens = True
     got = packing.packed(docs).toPandas()
     ids = {i: e.ids + [0] for (i, _), e in zip(texts(), reader.encode_batch([t for _, t in texts()], add_special_tokens=False))}
     for r in got[got.doc_id.notna()].itertuples():
@@ -285,6 +312,18 @@ def test_packing(docs, empty):
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist() and s.length.sum() <= 1024
     assert packing.packed(empty).count() == 0
+    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 1024) + 2  # a class holds up to 7 tokens more than a piece
+    assert 50256 in ids[78]  # the special token's string is one id
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|><|endoftext|>b  <|endoftext|> c", "<|endoftext|", "x  <|endoftext|>\n\n y", " <|endoftext|> "])
+def test_special_token_strings_are_cut_as_tokenizers_does(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mine = packing.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode(text, allowed_special="all")
+    assert mine == reader.encode(text, add_special_tokens=False).ids
 
 
 def test_patterns_cover_the_demand():

@@ -7,8 +7,8 @@ program's prices, until none is worth more than its sequence. Patterns are round
 over are patterned greedily. Pieces, ranked in their class, then take the places of the patterns.
 
 The driver holds counts for each length class (and salt), never pieces. A class of any size is ranked in salted
-parts. Ids are those of the named vocabulary; tiktoken computes them here, as tokenizers takes 4.5 times as long
-(tests compare the two).
+parts. Ids are those that tokenizers gives with add_special_tokens=False, so that the closing token's own string in a
+text is its one id; tiktoken computes them here, as tokenizers takes 4.5 times as long (tests compare the two).
 
 Defined results: null text is the empty text, one piece of the closing id; repeated rows are packed each; ties
 of length go by doc_id; an empty table gives no rows; other columns are ignored.
@@ -17,38 +17,43 @@ of length go by doc_id; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import slices, texts, written
 
 LENGTH, UNIT, CLOSING = 1024, 8, 0
 ROWS_EACH, SALTS = 5_000_000, (16, 4096)
-MOST_ROUNDS = 4000
+#: The vocabulary's one special token.
+SPECIAL = {"<|endoftext|>": 50256}
+#: Rounds without a better cover after which the linear program is taken to turn in a circle.
+IDLE_ROUNDS = 2000
 
 
 @cache
 def encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def pieces_of(docs: DataFrame, path: str) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = partial(encoding(path).encode, allowed_special="all")
         for batch in slices(batches, most=1 << 20):
             rows, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(texts(batch)):
@@ -107,11 +112,16 @@ def patterns(demand: dict[int, int], room: int = LENGTH // UNIT) -> list[tuple[d
     wanted = np.array([demand[k] for k in sizes.tolist()], dtype=np.float64)
     basis = np.diag(room // sizes).astype(np.float64)
     inverse = inverted(basis)
-    for turn in range(MOST_ROUNDS):
+    best, idle = np.inf, 0
+    for turn in count():
         value, pattern = best_pattern(inverse.sum(axis=0), sizes, room)
         if value <= 1 + 1e-7:
             break
         used, step = (inverse * wanted).sum(axis=1), (inverse * pattern).sum(axis=1)
+        best, idle = (used.sum(), 0) if used.sum() < best - 1e-9 * abs(used.sum()) else (best, idle + 1)
+        if idle > IDLE_ROUNDS:
+            warnings.warn(f"column generation stopped at {best:.1f} sequences; patterns still pay {value - 1:.2g} more than their sequence", stacklevel=2)
+            break
         ratio = np.where(step > 1e-9, np.maximum(used, 0) / np.where(step > 1e-9, step, 1), np.inf)
         leaving = int(np.argmin(ratio))
         basis[:, leaving] = pattern
@@ -137,6 +147,18 @@ def patterns(demand: dict[int, int], room: int = LENGTH // UNIT) -> list[tuple[d
     return [({int(s): int(c) for s, c in zip(sizes, column, strict=True) if c}, n) for column, n in out]
 
 
+def last_not_over(sorted_values: Column, x: Column) -> Column:
+    """The place of the last value that is not over x, found by halving (the first one is not)."""
+    none = F.struct(F.lit(0).alias("low"), F.size(sorted_values).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        over = F.get(sorted_values, middle) > x
+        return F.when(s["high"] - s["low"] <= 1, s).otherwise(F.struct(F.when(over, s["low"]).otherwise(middle).alias("low"), F.when(over, middle).otherwise(s["high"]).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), none, halve, lambda s: s["low"])
+
+
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece."""
     spark = docs.sparkSession
@@ -148,18 +170,20 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = pieces.groupBy("size", "salt").count().toPandas().sort_values(["size", "salt"], ignore_index=True)  # 128 * SALTS[1] rows at most
     counts["before"] = counts.groupby("size")["count"].cumsum() - counts["count"]
     demand = {int(k): int(n) for k, n in counts.groupby("size")["count"].sum().items()}
-    places, first = [], 0
-    used = dict.fromkeys(demand, 0)
+    places: dict[int, list[tuple[int, int, int]]] = {}
+    used, first = dict.fromkeys(demand, 0), 0
     for pattern, times in patterns(demand):
         for size, each in pattern.items():
-            places.append((size, used[size], used[size] + each * times, each, first))
+            places.setdefault(size, []).append((used[size], each, first))
             used[size] += each * times
         first += times
     ranks = spark.createDataFrame(counts[["size", "salt", "before"]].astype({"size": "int32", "salt": "int32", "before": "int64"}), "size int, salt int, before long")
-    places = spark.createDataFrame(pd.DataFrame(places, columns=["size", "low", "high", "each", "first"]).astype("int64"), "size long, low long, high long, each long, first long").withColumn("size", F.col("size").cast("int"))
+    lists = [(size, *map(list, zip(*rows, strict=True))) for size, rows in places.items()]  # one row for each of LENGTH // UNIT sizes
+    places_of = spark.createDataFrame(lists, "size int, lows array<long>, eaches array<long>, firsts array<long>")
     order = Window.partitionBy("size", "salt").orderBy("length", "doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("n", F.row_number().over(order) - 1).join(F.broadcast(ranks), ["size", "salt"]).withColumn("rank", F.col("before") + F.col("n"))
-    placed = ranked.join(F.broadcast(places), "size").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    placed = ranked.join(F.broadcast(places_of), "size").withColumn("i", last_not_over(F.col("lows"), F.col("rank")))
+    placed = placed.select("*", F.get("lows", "i").alias("low"), F.get("eaches", "i").alias("each"), F.get("firsts", "i").alias("first"))
     at = F.col("rank") - F.col("low")
     placed = placed.withColumn("sequence_id", (F.col("first") + F.floor(at / F.col("each"))).cast("long")).withColumn("turn", at % F.col("each"))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "turn").rowsBetween(Window.unboundedPreceding, -1)
