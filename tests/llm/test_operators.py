@@ -214,6 +214,43 @@ def test_language_id(docs, empty):
     assert language_id.identify(empty, language_id.train(docs)).count() == 0
 
 
+def test_language_id_code_lengths_against_direct_escapes(docs, monkeypatch):
+    """The frozen costs of method C, followed context by context, with steps that cut texts."""
+    monkeypatch.setattr(language_id, "STEP", 97)
+    trained = [(t, lang) for _, t, lang, *_ in corpus()[:30]]
+    model = language_id.train(docs.filter("doc_id < 30"))
+    counts: dict = {}
+    for t, lang in trained:
+        data = b"\0\0\0" + t.encode()
+        for i in range(3, len(data)):
+            for order in range(4):
+                counts.setdefault((lang, data[i - order : i]), Counter())[data[i]] += 1
+
+    def bits(lang, context, byte):
+        c = counts.get((lang, context))
+        lower = 8.0 if not context else None
+        if not c:
+            return bits(lang, context[1:], byte) if context else lower
+        total, kinds = sum(c.values()), len(c)
+        if c[byte]:
+            return -math.log2(c[byte] / (total + kinds))
+        return -math.log2(kinds / (total + kinds)) + (bits(lang, context[1:], byte) if context else lower)
+
+    raw = [t.encode() for _, t in texts() if t][:12] + ["é▁ü zürich".encode(), b"x" * 300]
+    got = language_id.code_lengths(raw, model)
+    for text, row in zip(raw, got):
+        data = b"\0\0\0" + text
+        for lang, value in zip(model["langs"], row):
+            assert abs(sum(bits(lang, data[i - 3 : i], data[i]) for i in range(3, len(data))) - value) < 1e-6 * max(1, value)
+
+
+def test_language_id_ties_go_to_the_first_language(spark):
+    rows = [(1, "abc abc abc", "zz"), (2, "abc abc abc", "aa"), (3, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["__lang_pred"], r["__score"]) for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert got[3] == ("aa", 0.5)
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = np.random.default_rng(9)
     good = [(100 + i, " ".join(rng.choice(WORDS, 80))) for i in range(60)]
@@ -357,7 +394,8 @@ def test_forward_pass_against_direct_sums():
     import public_tokenizers
 
     v = sp_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
-    parts = [" water", "   ", "x", " é日▁", "the" * 30, "日" * 60, " " + "\U0001f600" * 20]  # those over SHORT_PART advance alone
+    letters = random.Random(4).choices("abcdeinorst", k=2500)
+    parts = [" water", "   ", "x", " é日▁", "the" * 30, "日" * 60, " " + "\U0001f600" * 20, "".join(letters), "x" * 1024, "ab" * 128, "日本" * 700]  # long ones advance in blocks
     edges = v.lattices([p.encode() for p in parts])
     group = edge = 0
     for part, chars in zip(parts, edges.chars.tolist(), strict=True):
@@ -380,6 +418,19 @@ def test_forward_pass_against_direct_sums():
     assert group == len(edges.count) and edge == len(edges.piece)
 
 
+def test_long_texts_without_spaces_cost_as_others():
+    import time
+
+    import public_tokenizers
+
+    v = sp_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    rng = random.Random(6)
+    for text in ("".join(rng.choices("abcdefgh日本", k=400_000)), "x" * 500_000):
+        began = time.process_time()
+        ids, sizes = sp_sampling.sample(v, [text.encode(), b"a b"], np.array([1, 2]), 3)
+        assert time.process_time() - began < 12 and sp_sampling.decode(v, ids, sizes) == [text.encode(), b"a b"]
+
+
 def test_draws_do_not_depend_on_batches():
     import public_tokenizers
 

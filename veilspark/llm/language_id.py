@@ -4,7 +4,7 @@ For each language, counts of what byte follows each context of up to ORDER bytes
 byte costs -log2 of its probability in the longest known context, else an escape (method C: the number of
 distinct successors against all) and its cost in the next shorter one, down to all bytes alike. The counts
 are frozen after training, so costs are looked up: a text costs the sum over all its bytes, and the cheapest
-language wins.
+language wins. All contexts of the sample are kept.
 
 Defined results: `und` with score 0 if text is null or holds no letter, or if nothing could be learned; ties
 go to the language first in order; repeated rows score alike; an empty table gives no rows; other columns
@@ -13,7 +13,6 @@ are ignored.
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +25,8 @@ from veilspark.llm.common import slices, texts
 ORDER = 3
 #: The bounded sample: training documents a language, spread by a hash of doc_id.
 SAMPLE_DOCUMENTS = 300
-#: The most contexts of ORDER bytes that get rows of their own: those met most often.
-MOST_CONTEXTS = 12_000
-
-
+#: Bytes whose costs are looked up at a time.
+STEP = 1 << 16
 
 
 def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +57,13 @@ def train(docs: DataFrame) -> dict:
 
 
 def context_trees(counted, langs: list[str]) -> dict:
-    """Cost tables: one row for each context met (of any length, longest first to be tried), one column for each byte."""
+    """Every context met, of each length, with its parent (one byte shorter), its escape cost, and the costs of the bytes met in it.
+
+    Costs have one column for each language. What bytes a context has met is a mask over the symbols, in words of 64;
+    the cost of one stands at its word's first row plus how many lower symbols of the word the context has met.
+    """
     seen = np.unique(np.concatenate([[0], (counted["code"].to_numpy() & 255)]))
-    symbol = np.full(256, len(seen), dtype=np.int64)  # bytes never met share the last column
+    symbol = np.full(256, len(seen), dtype=np.int64)  # bytes never met share the last symbol, which no context has met
     symbol[seen] = np.arange(len(seen))
     width, letters = len(seen) + 1, len(langs)
     code, n = counted["code"].to_numpy(), counted["n"].to_numpy()
@@ -70,57 +71,91 @@ def context_trees(counted, langs: list[str]) -> dict:
     parts = [symbol[(code >> (8 * i)) & 255] for i in range(ORDER, -1, -1)]
     byte = parts[-1]
 
-    table = np.full((1, width, letters), np.log2(256.0))  # no context at all: all bytes alike
-    rows_of: list[np.ndarray] = []
-    below = np.zeros(1, dtype=np.int64)  # row of each context of the next shorter length, by its index
+    words = -(-width // 64)
+    masks, firsts, escapes, parents, costs = [], [], [], [], []
+    tree = lambda: {"words": words} | {k: np.concatenate(v) for k, v in {"mask": masks, "first": firsts, "escape": escapes, "parent": parents, "cost": costs}.items()}
+    held, rows = 0, 0  # contexts and costs of shorter lengths
+    below = np.zeros(1, dtype=np.int64)  # number of each context of the next shorter length, by its index
     for order in range(ORDER + 1):
         index = np.zeros(len(code), dtype=np.int64)
         for part in parts[ORDER - order : ORDER]:
             index = index * width + part
-        met, inverse = np.unique(index, return_inverse=True)
-        if len(met) > MOST_CONTEXTS:
-            weight = np.bincount(inverse, weights=n)
-            met = np.sort(met[np.argsort(-weight, kind="stable")[:MOST_CONTEXTS]])
-        keep = np.isin(index, met)
-        at = np.searchsorted(met, index[keep])
-        counts = np.zeros((len(met), width, letters))
-        np.add.at(counts, (at, byte[keep], lang[keep]), n[keep])
-        total, kinds = counts.sum(axis=1), (counts > 0).sum(axis=1)
-        shorter = below[met % max(1, width ** (order - 1))] if order else np.zeros(len(met), dtype=np.int64)
-        base = table[shorter]
+        met, at = np.unique(index, return_inverse=True)
+        cells, place = np.unique(at * width + byte, return_inverse=True)  # (context, byte), in order
+        counts = np.bincount(place * letters + lang, weights=n, minlength=len(cells) * letters).reshape(-1, letters)
+        owner, met_byte = cells // width, cells % width
+        first = np.searchsorted(owner, np.arange(len(met)))
+        total, kinds = np.add.reduceat(counts, first), np.add.reduceat((counts > 0).astype(np.int64), first)
         with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)[:, None, :]
-            direct = -np.log2(counts / (total + kinds)[:, None, :])
-        rows = np.where(counts > 0, direct, escape + base)
-        first = len(table)
-        table = np.concatenate([table, rows])
-        row = below[np.arange(width**order) % max(1, width ** (order - 1))] if order else np.zeros(1, dtype=np.int64)
-        row = row.copy()
-        row[met] = first + np.arange(len(met))
-        rows_of.append(row)
-        below = row
-    return {"langs": langs, "symbol": symbol.astype(np.int32), "width": width, "row": below.astype(np.int32), "table": table.reshape(-1, letters).astype(np.float32)}
+            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            direct = -np.log2(counts / (total + kinds)[owner])
+        shorter = below[met % width ** (order - 1)] if order else np.full(len(met), -1)
+        mask = np.zeros((len(met), words), dtype=np.uint64)
+        np.bitwise_or.at(mask, (owner, met_byte >> 6), np.uint64(1) << (met_byte & 63).astype(np.uint64))
+        under = np.bitwise_count(mask).astype(np.int64)
+        if order:
+            base = lowered(tree(), shorter[owner], met_byte)
+        else:
+            base = np.full((len(cells), letters), np.log2(256.0))  # no context at all: all bytes alike
+        costs.append(np.where(counts > 0, direct, escape[owner] + base))
+        masks.append(mask.ravel())
+        firsts.append((rows + first[:, None] + np.cumsum(under, axis=1) - under).ravel())
+        escapes.append(escape)
+        parents.append(shorter)
+        number = below[np.arange(width**order) % width ** (order - 1)] if order else np.zeros(1, dtype=np.int64)
+        number[met] = held + np.arange(len(met))
+        below, held, rows = number, held + len(met), rows + len(cells)
+    return {"langs": langs, "symbol": symbol.astype(np.int32), "width": width, "number": below.astype(np.int32), **tree()}
+
+
+def lowered(tree: dict, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The cost of each symbol in its context, in bits under each language: escapes down to where it has been met."""
+    out, words = np.zeros((len(context), tree["cost"].shape[1])), tree["words"]
+    left = np.arange(len(context))
+    while len(left):
+        word, bit = context * words + (symbol >> 6), np.uint64(1) << (symbol & 63).astype(np.uint64)
+        own = tree["mask"][word]
+        row = tree["first"][word] + np.bitwise_count(own & (bit - np.uint64(1)))
+        hit = (own & bit) > 0
+        if len(left) == len(out):
+            out[hit] = tree["cost"][row[hit]]
+        else:
+            out[left[hit]] += tree["cost"][row[hit]]
+        left, context, symbol = left[~hit], context[~hit], symbol[~hit]
+        out[left] += tree["escape"][context]
+        context = tree["parent"][context]
+        nowhere = context < 0
+        out[left[nowhere]] += np.log2(256.0)
+        left, context, symbol = left[~nowhere], context[~nowhere], symbol[~nowhere]
+    return out
 
 
 def code_lengths(raw: list[bytes], model: dict) -> np.ndarray:
     """Bits of each text under each language."""
-    width, lead = model["width"], np.full(ORDER, model["symbol"][0], dtype=np.int32)
-    data = np.concatenate([np.concatenate([lead, model["symbol"][np.frombuffer(t, dtype=np.uint8)]]) for t in raw])
-    context = np.zeros(len(data) - ORDER, dtype=np.int32)
-    for i in range(ORDER):
-        context = context * width + data[i : len(data) - ORDER + i]
-    costs = model["table"][model["row"][context].astype(np.int64) * width + data[ORDER:]]
-    ends = np.cumsum([len(t) + ORDER for t in raw])
     out = np.zeros((len(raw), len(model["langs"])))
-    begins = np.concatenate([[0], ends[:-1]])
-    for i, (a, b) in enumerate(zip(begins, ends - ORDER, strict=True)):
-        if b > a:
-            out[i] = costs[a:b].sum(axis=0, dtype=np.float64)
+    lead = np.full(ORDER, model["symbol"][0], dtype=np.int32)
+    at = 0
+    while at < len(raw):  # texts of some STEP bytes at a time, a longer one in pieces
+        group, size = at, 0
+        while at < len(raw) and (at == group or size + len(raw[at]) <= STEP):
+            size += len(raw[at])
+            at += 1
+        data = np.concatenate([np.concatenate([lead, model["symbol"][np.frombuffer(t, dtype=np.uint8)]]) for t in raw[group:at]])
+        owner = np.repeat(np.arange(group, at), [len(t) for t in raw[group:at]])
+        place = np.concatenate([np.arange(len(t)) for t in raw[group:at]]) + ORDER * (owner - group + 1) + (np.cumsum([len(t) for t in raw[group:at]]) - [len(t) for t in raw[group:at]])[owner - group]
+        for i in range(0, len(place), STEP):
+            p, o = place[i : i + STEP], owner[i : i + STEP]
+            context = np.zeros(len(p), dtype=np.int64)
+            for k in range(ORDER, 0, -1):
+                context = context * model["width"] + data[p - k]
+            bits = lowered(model, model["number"][context].astype(np.int64), data[p].astype(np.int64))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(o) > 0]))
+            out[o[first]] += np.add.reduceat(bits, first)
     return out
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score (the posterior under equal priors) in front of their own columns' names: __lang_pred, __score."""
+    """docs with their columns (none may have these names) and __lang_pred and __score, the posterior under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -5,15 +5,16 @@ forward pass sums the weights of all segmentations up to each place; the backwar
 proportion to what leads to it, then the one before, and so on: an exact draw among all segmentations. No piece
 holds a space after another character, so that a lattice falls apart before each run of spaces. Equal parts of
 a batch share their forward pass, and a worker keeps those of short parts, KEPT_GROUPS characters at most; the
-passes of all new parts advance together, one column of their lattices a round. All parts of a batch are drawn
-together as well, one piece of each a round. A draw depends on the row key, the part's place and the round
-alone, never on batches or partitions.
+passes of all new parts advance together, one column of their lattices a round, long parts in blocks. The piece that
+ends at a place is drawn by a number that the row key, the part's place and that place give, never batches or
+partitions; so a long part's pieces can be drawn at all its places at once and followed from the end.
 
 The vocabulary has ranks, not probabilities. A piece of rank r weighs (r + 1) ** -sharpness (Zipf's law for 1),
 a byte as much as the last piece.
 
 Defined results: null text is the empty text, its segmentation the one dummy space; the same text under another
-key is drawn anew, repeated rows are drawn alike; an empty table gives no rows; other columns are ignored.
+key is drawn anew, repeated rows are drawn alike; a very long text costs in proportion to its length, with or without
+spaces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from pyspark.sql import DataFrame
 
 from veilspark.llm.common import slices, texts
 
-#: Parts of up to so many characters advance together and are kept; characters of kept parts a worker.
-SHORT_PART, KEPT_GROUPS = 48, 2_000_000
+#: Characters of a part that is kept, and of all that a worker keeps. Characters of a block, blocks whose maps are found at once.
+KEPT_PART, KEPT_GROUPS = 48, 2_000_000
+BLOCK, BLOCKS = 256, 512
 SMALL, LIFT = 1e-150, 1e150
 
 
@@ -152,49 +154,71 @@ class Vocabulary:
         return Edges(chars, count, place[start].astype(np.int32), piece.astype(np.int32), share)
 
     def _forward(self, chars, begin, part, place, count, start, end, weight) -> np.ndarray:  # noqa: ANN001
-        """What leads through each edge, relative to the others of its group; small weights are lifted on the way."""
-        alpha = np.zeros(len(part) + len(chars))  # of the places between characters, one more than a part has characters
-        alpha[begin + np.arange(len(chars))] = 1.0
-        source, target = start + part[start], np.arange(len(part)) + part + 1
-        value, first = np.empty(len(start)), np.cumsum(count) - count
-        short = chars[part] <= SHORT_PART
-        groups = np.flatnonzero(short)
-        groups = groups[np.argsort(place[groups].astype(np.uint8), kind="stable")]
-        edges = np.flatnonzero(short[end])
-        edges = edges[np.argsort(place[end[edges]].astype(np.uint8), kind="stable")]
+        """What leads through each edge, relative to the others of its group.
+
+        Parts fall into blocks of BLOCK characters, all of which advance together. What a block leads to depends on the
+        `longest` places up to its begin, linearly: the map of every block but a part's last is found first, then the
+        maps are applied one after another, then all blocks advance from what they begin with.
+        """
+        step = place // BLOCK
+        per = -(-chars // BLOCK)
+        first = np.cumsum(per) - per
+        block = first[part] + step
+        slot = start - begin[part[end]] - BLOCK * step[end] + self.longest - 1
+        states = np.zeros((int(per.sum()), self.longest, 1))
+        states[first, -1] = 1.0
+        at = np.concatenate([[0], np.cumsum(count)])
+        opens = np.concatenate([np.flatnonzero(np.diff(block, prepend=-1)), [len(block)]])  # the first character of each block
+        follows = np.flatnonzero(np.diff(np.repeat(np.arange(len(per)), per)) == 0)  # blocks that another follows
+        for i in range(0, len(follows), BLOCKS):
+            some = follows[i : i + BLOCKS]
+            low, high = some[0], some[-1] + 1
+            rows, edges = slice(opens[low], opens[high]), slice(at[opens[low]], at[opens[high]])
+            units = np.broadcast_to(np.eye(self.longest), (high - low, self.longest, self.longest))
+            maps = self._advance(block[rows] - low, place[rows] % BLOCK, count[rows], slot[edges], weight[edges], units)[0]
+            for b in some.tolist():
+                state = (maps[b - low] * states[b, :, 0]).sum(axis=1)
+                states[b + 1, :, 0] = state / state.max()
+        value = np.empty(len(start))
+        for low in range(0, len(states), BLOCKS * self.longest):
+            high = min(low + BLOCKS * self.longest, len(states))
+            rows, edges = slice(opens[low], opens[high]), slice(at[opens[low]], at[opens[high]])
+            value[edges] = self._advance(block[rows] - low, place[rows] % BLOCK, count[rows], slot[edges], weight[edges], states[low:high])[1]
+        return value
+
+    def _advance(self, block, column, count, slot, weight, states) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """All blocks from their states (block, place, way): the last places of each, and what leads through each edge (by the
+        first way). A column of all blocks a round; small weights are lifted on the way, for all ways alike."""
+        ahead = self.longest
+        alpha = np.zeros((len(states), ahead + BLOCK, states.shape[2]))
+        alpha[:, :ahead] = states
+        end = np.repeat(np.arange(len(count)), count)
+        groups = np.argsort(column.astype(np.uint8), kind="stable")
+        edges = np.argsort(column[end].astype(np.uint8), kind="stable")
+        value = np.empty(len(slot))
         g = e = 0
-        for many in np.bincount(place[groups]).tolist() if len(groups) else ():
-            column = groups[g : g + many]
-            mine = edges[e : e + int(count[column].sum())]
+        for c, many in enumerate(np.bincount(column).tolist()):
+            mine_groups = groups[g : g + many]
+            sizes = count[mine_groups]
+            mine = edges[e : e + int(sizes.sum())]
             g, e = g + many, e + len(mine)
-            value[mine] = alpha[source[mine]] * weight[mine]
-            alpha[target[column]] = np.add.reduceat(value[mine], np.cumsum(count[column]) - count[column])
-            low = column[alpha[target[column]] < SMALL]
-            for back in range(self.longest + 1 if len(low) else 0):
-                alpha[target[low[place[low] + 1 >= back]] - back] *= LIFT
-        for p in np.flatnonzero(chars > SHORT_PART).tolist():
-            low, high = int(begin[p]), int(begin[p] + chars[p])
-            a, b = int(first[low]), int(first[high - 1] + count[high - 1])
-            begins, weights, sums, out = (start[a:b] - low).tolist(), weight[a:b].tolist(), [1.0], []
-            i = 0
-            for many in count[low:high].tolist():
-                values = [sums[begins[j]] * weights[j] for j in range(i, i + many)]
-                i += many
-                out += values
-                sums.append(sum(values))
-                if sums[-1] < SMALL:
-                    for j in range(max(0, len(sums) - 1 - self.longest), len(sums)):
-                        sums[j] *= LIFT
-            value[a:b] = out
-        return value
+            led = alpha[block[end[mine]], slot[mine]] * weight[mine, None]
+            value[mine] = led[:, 0]
+            sums = np.add.reduceat(led, np.cumsum(sizes) - sizes)
+            at = block[mine_groups]
+            alpha[at, ahead + c] = sums
+            low = at[sums.max(axis=1) < SMALL]
+            if len(low):
+                alpha[low, c : c + ahead + 1] *= LIFT
+        return alpha[:, BLOCK:], value
 
     def edges_of(self, parts: list[bytes]) -> tuple[np.ndarray, Edges]:
         """The number of each part in the edges that are returned with them."""
         if len(self.kept.count) > KEPT_GROUPS:
             self.known, self.kept = {}, NO_EDGES
         new = [p for p in parts if p not in self.known]
-        once = [p for p in new if len(p) > SHORT_PART]
-        new = [p for p in new if len(p) <= SHORT_PART]
+        once = [p for p in new if len(p) > KEPT_PART]
+        new = [p for p in new if len(p) <= KEPT_PART]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         if new:
             self.kept = self.kept.then(self.lattices(new))
@@ -239,30 +263,49 @@ def sample(v: Vocabulary, raw: list[bytes], keys: np.ndarray, seed: int) -> tupl
     base = np.cumsum(edges.chars) - edges.chars
     stop = np.cumsum(edges.count)
     stream = mixed(mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(seed))[owner] + places * np.uint64(0x9E3779B97F4A7C15))
-    at, live, end = np.arange(len(which)), base[which], edges.chars[which]
-    found_at, found_piece, turn = [], [], 0
-    while len(at):
-        u = (mixed(stream[at] + np.uint64(turn)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        group = live + end - 1
+    chars = edges.chars[which]
+
+    def drawn(of: np.ndarray, base: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The edge drawn for each place `end` of part `of`: the first of its group whose share is over a number of its own."""
+        u = (mixed(stream[of] + end.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        group = base + end - 1
         high = stop[group] - 1
         low = high - edges.count[group] + 1
-        for _ in range(v.longest.bit_length()):  # the first edge of the group whose share is over u
+        for _ in range(v.longest.bit_length()):
             middle = (low + high) >> 1
             over = edges.share[middle] > u
             high, low = np.where(over, middle, high), np.where(over, low, np.minimum(middle + 1, high))
+        return high
+
+    at = np.flatnonzero(chars <= KEPT_PART)
+    live, end = base[which[at]], chars[at]
+    found_at, found_piece = [], []
+    while len(at):
+        edge = drawn(at, live, end)
         found_at.append(at)
-        found_piece.append(edges.piece[high])
-        end = edges.start[high]
+        found_piece.append(edges.piece[edge])
+        end = edges.start[edge].astype(np.int64)
         more = end > 0
         at, live, end = at[more], live[more], end[more]
-        turn += 1
     counts = np.zeros(len(which), dtype=np.int64)
     for a in found_at:
         counts[a] += 1
+    paths = {}
+    for p in np.flatnonzero(chars > KEPT_PART).tolist():  # drawn at all places, then followed from the end
+        n = int(chars[p])
+        edge = drawn(np.full(n, p), np.full(n, base[which[p]]), np.arange(1, n + 1))
+        before, place, path = edges.start[edge].tolist(), n, []
+        while place:
+            path.append(place - 1)
+            place = before[place - 1]
+        paths[p] = edges.piece[edge[path[::-1]]]
+        counts[p] = len(path)
     ends = np.cumsum(counts)
     out = np.empty(int(ends[-1]), dtype=np.int64)
     for turn, (a, p) in enumerate(zip(found_at, found_piece, strict=True)):
         out[ends[a] - 1 - turn] = p
+    for p, pieces in paths.items():
+        out[ends[p] - counts[p] : ends[p]] = pieces
     row = np.repeat(owner, counts)
     if out.min() < 0:  # characters outside the vocabulary become their bytes
         strange = np.flatnonzero(out < 0)
