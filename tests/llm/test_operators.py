@@ -259,10 +259,33 @@ def test_quality_classifier(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
     got = quality_classifier.quality_scores(rows, labels).toPandas()
     assert (got.predicted == (got.doc_id < 200)).mean() > 0.95 and got.score.between(0, 1).all()
+    # the trained path on null, empty and long texts, repeated rows and columns with clashing names
+    odd = rows.select("doc_id", "text").unionByName(docs.select("doc_id", "text")).withColumn("y", F.lit(1)).withColumn("before", F.lit(2)).withColumn("score", F.lit(3.0))
+    mixed = quality_classifier.quality_scores(odd, labels.unionByName(spark.createDataFrame([(100, 0), (101, None), (None, 1)], "doc_id long, quality int"))).toPandas()
+    assert len(mixed) == 120 + len(corpus()) and mixed.score.between(0, 1).all() and mixed[mixed.doc_id == 74].score.nunique() == 1
+    assert mixed[mixed.doc_id == 70].score.tolist() == mixed[mixed.doc_id == 71].score.tolist()
     none = quality_classifier.quality_scores(docs, labels.limit(0)).toPandas()
     assert (none.score == 0.5).all() and quality_classifier.quality_scores(empty, labels).count() == 0
 
 
+def test_quality_scores_are_those_of_the_normalised_differences():
+    """Recomputed from compressed sizes, without the operator's classes."""
+    import zstandard
+
+    rng = random.Random(2)
+    good = [" ".join(rng.choices(WORDS, k=90)).encode() for _ in range(80)]
+    bad = [" ".join(w.upper() + "#" for w in rng.choices(WORDS, k=90)).encode() for _ in range(80)]
+    model = quality_classifier.fit({0: bad, 1: good})
+    text = good[1][:200] + bad[1][:100]
+    f = []
+    for pair in model["pairs"]:
+        sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False).compress(text)) for raw in pair]
+        f.append((sizes[0] - sizes[1]) / sum(sizes))
+    assert np.allclose(quality_classifier.Compressors(model["pairs"]).differences(text), f, atol=2e-2)
+    z = quality_classifier.expanded(np.array([quality_classifier.Compressors(model["pairs"]).differences(t) for t in (good[3], bad[3])]), model["mean"], model["scale"])
+    assert z.shape[1] == len(model["weights"]) and (z @ model["weights"])[0] > 0 > (z @ model["weights"])[1]
+
+
 def test_quality_rules(spark, docs, empty):
     trusted = docs.filter("lang = 'en'").select("doc_id")
     got = quality_rules.judged(docs, trusted).toPandas()

@@ -1,11 +1,13 @@
-"""Quality by compression: a zstandard dictionary of good texts against one of bad texts.
+"""Quality by compression: zstandard dictionaries of good texts against those of bad texts.
 
-A text is compressed whole with either dictionary. What the sizes say, led by their normalised difference
-(bad - good) / (bad + good), goes through a logistic curve fitted on labelled rows that built no dictionary.
+A text is compressed whole with the dictionaries of both classes, in a few sizes. The normalised differences
+(bad - good) / (bad + good) of the compressed sizes, one for each size of dictionary, and nothing else, go through a
+logistic curve (with their squares and products) fitted on labelled rows that built no dictionary.
 
-Defined results: null text scores as the empty text; with no labelled row of one class every score is the
+Defined results: null text scores as the empty text; with under four labelled texts of one class every score is the
 share of good labels (0.5 without labels); conflicting or null labels of a document are each used, null ones
-dropped; repeated rows score alike; an empty table gives no rows; other columns are ignored.
+dropped; repeated rows score alike; very long texts are scored whole, but those over SAMPLE_BYTES teach nothing; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import slices, texts
 
-#: The bounded sample of labelled rows: texts a class, bytes a class for the dictionary, and the dictionary's size.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 3000, 4 << 20, 112_640, 3
+#: The bounded sample of labelled rows: texts and bytes a class. The dictionaries' sizes.
+SAMPLE_TEXTS, SAMPLE_BYTES, LEVEL = 3000, 8 << 20, 3
+DICTIONARIES = (8_000, 16_000, 30_000)
 
 
 def held_out(modulus: int, remainder: int):
@@ -29,50 +32,51 @@ def held_out(modulus: int, remainder: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> dict[int, list[bytes]]:
-    """At most SAMPLE_TEXTS whole texts for each class, spread by a hash of doc_id."""
-    marks = labels.filter(held_out(5, 0) == F.lit(False)).select("doc_id", F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
-    out = {}
-    for y in (0, 1):
-        ids = marks.filter(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_TEXTS)
-        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toLocalIterator()
-        out[y], held = [], 0
-        for row in sorted(((r["doc_id"], r["text"] or "") for r in rows), key=lambda r: hash_order(r[0])):
-            if held < 3 * SAMPLE_BYTES:
-                out[y].append(row[1].encode())
-                held += len(out[y][-1])
-    return out
-
-
-def hash_order(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64)
+    """Whole texts for each class, spread by a hash of doc_id: SAMPLE_TEXTS and about SAMPLE_BYTES at most. One pass over docs."""
+    marks = labels.filter(~F.coalesce(held_out(5, 0), F.lit(True))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
+    order = (F.xxhash64("__id"), "__id")
+    chosen = [marks.filter(F.col("y") == y).distinct().orderBy(*order).limit(SAMPLE_TEXTS) for y in (0, 1)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("__id"))
+    size = F.octet_length("text")
+    before = F.sum(size).over(Window.partitionBy("y").orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.filter(size <= SAMPLE_BYTES).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SAMPLE_BYTES)
+    out: dict[int, list] = {0: [], 1: []}
+    for row in rows.select("y", "before", "text").collect():  # under 2 * 2 * SAMPLE_BYTES
+        out[row["y"]].append((row["before"], row["text"].encode()))
+    return {y: [t for _, t in sorted(found)] for y, found in out.items()}
 
 
 class Compressors:
-    def __init__(self, dictionaries: list[bytes]):
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.by_class = []
-        for raw in dictionaries:
-            data = zstandard.ZstdCompressionDict(raw)
-            data.precompute_compress(level=LEVEL)
-            self.by_class.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False))
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = [[self.with_dictionary(raw) for raw in pair] for pair in pairs]
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        bad, good = (len(c.compress(text)) for c in self.by_class)
-        n = len(text) + 8
-        return ((bad - good) / (bad + good), (bad - good) / n, good / n, np.log(n))
+    @staticmethod
+    def with_dictionary(raw: bytes) -> zstandard.ZstdCompressor:
+        data = zstandard.ZstdCompressionDict(raw)
+        data.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
+    def differences(self, text: bytes) -> list[float]:
+        sizes = [[len(c.compress(text)) for c in pair] for pair in self.pairs]
+        return [(bad - good) / (bad + good) for bad, good in sizes]
 
-def build_dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train one."""
-    held, used = 0, []
+
+def first_bytes(samples: list[bytes], most: int) -> list[bytes]:
+    """Whole samples of about `most` bytes together."""
+    out, held = [], 0
     for x in samples:
-        if x and held < SAMPLE_BYTES:
-            used.append(x)
+        if x and held < most:
+            out.append(x)
             held += len(x)
+    return out
+
+
+def build_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary, or the texts themselves where there are too few to train one."""
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, held // 8)), used, threads=1).as_bytes()
+        return zstandard.train_dictionary(size, samples, threads=1).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(used)[-DICTIONARY_BYTES:]
+        return b"\n".join(samples)[-size:] or b"\n"
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3) -> np.ndarray:
@@ -87,20 +91,25 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3
 
 
 def expanded(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((f - mean) / scale, -8, 8)
-    return np.column_stack([np.ones(len(z)), z, z**2, z[:, :1] * z[:, 2:], z[:, 1:2] * z[:, 2:]])
+    """One, the scaled differences, and their products with each other and themselves."""
+    z = np.clip((f - mean) / scale, -6, 6)
+    some = range(z.shape[1])
+    return np.column_stack([np.ones(len(z)), z, *(z[:, i] * z[:, j] for i in some for j in some if i <= j)])
 
 
 def fit(samples: dict[int, list[bytes]]) -> dict:
+    """Every other text builds dictionaries, of as many bytes for either class; the rest fits the curve."""
     good, bad = samples[1], samples[0]
     if len(good) < 4 or len(bad) < 4:
         return {"constant": len(good) / (len(good) + len(bad)) if good or bad else 0.5}
-    dictionaries = [build_dictionary(x[::2]) for x in (bad, good)]
-    tool = Compressors(dictionaries)
-    f = np.array([tool.features(t) for x in (bad, good) for t in x[1::2]])
+    least = max(1, min(sum(map(len, x[::2])) for x in (bad, good)))
+    taught = [first_bytes(x[::2], least) for x in (bad, good)]
+    pairs = [tuple(build_dictionary(x, size) for x in taught) for size in DICTIONARIES]
+    tool = Compressors(pairs)
+    f = np.array([tool.differences(t) for x in (bad, good) for t in x[1::2]])
     y = np.array([0.0] * len(bad[1::2]) + [1.0] * len(good[1::2]))
     mean, scale = f.mean(axis=0), f.std(axis=0) + 1e-9
-    return {"dictionaries": dictionaries, "mean": mean, "scale": scale, "weights": logistic(expanded(f, mean, scale), y)}
+    return {"pairs": pairs, "mean": mean, "scale": scale, "weights": logistic(expanded(f, mean, scale), y)}
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
@@ -110,10 +119,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        tool = Compressors(m["dictionaries"]) if "weights" in m else None
+        tool = Compressors(m["pairs"]) if "weights" in m else None
         for batch in slices(batches):
             if tool:
-                f = np.array([tool.features(t) for t in texts(batch)])
+                f = np.array([tool.differences(t) for t in texts(batch)])
                 out = 1 / (1 + np.exp(-np.clip((expanded(f, m["mean"], m["scale"]) * m["weights"]).sum(axis=1), -30, 30)))
             else:
                 out = np.full(batch.num_rows, m["constant"])
