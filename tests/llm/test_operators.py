@@ -302,6 +302,55 @@ def test_quality_rules(spark, docs, empty):
     assert not got[got.base_failed].kept.any() and quality_rules.judged(empty, trusted).count() == 0
 
 
+def test_quality_rules_ratio_and_lines(spark, monkeypatch):
+    """The verdict recomputed by exact n-grams hashed with Spark's own function; lines met again; a tie with the threshold is kept."""
+    rng = random.Random(8)
+    line = lambda words: " ".join(rng.choices(words, k=30))
+    rows = [(i, "\n".join([line(WORDS if i % 2 else MOTS) for _ in range(3)] + ["", " \t", line(WORDS)] * 2)) for i in range(30)]
+    again = line(WORDS)
+    rows += [(40, f"{again}\n{again}\n\n{line(MOTS)}\n{again}"), (41, None), (42, again)]
+    trusted = {i for i, _ in rows if i % 2} | {99}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("target", F.lit("x")).withColumn("w", F.lit(1))
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs, spark.createDataFrame([(i,) for i in trusted] * 2, "doc_id long")).collect()}
+    grams = {i: [(x,) for x in (t or "").split()] + list(zip((t or "").split(), (t or "").split()[1:])) for i, t in rows}
+    every = sorted({g for gs in grams.values() for g in gs})
+    hashed = spark.createDataFrame([(n, g[0], g[-1], len(g)) for n, g in enumerate(every)], "n int, a string, b string, k int")
+    hashed = hashed.select("n", F.pmod(F.when(F.col("k") == 1, F.xxhash64("a")).otherwise(F.xxhash64("a", "b")), F.lit(quality_rules.BUCKETS)).alias("h")).toPandas()
+    bucket = {every[n]: h for n, h in zip(hashed.n, hashed.h)}
+    raw, target = Counter(), Counter()
+    for i, gs in grams.items():
+        raw.update(bucket[g] for g in gs)
+        if i in trusted:
+            target.update(bucket[g] for g in gs)
+    r, t = sum(raw.values()) + quality_rules.BUCKETS, sum(target.values()) + quality_rules.BUCKETS
+    for i, text in rows:
+        mean = sum(math.log((target[bucket[g]] + 1) / t) - math.log((raw[bucket[g]] + 1) / r) for g in grams[i]) / max(1, len(grams[i]))
+        assert abs(got[i]["mean_ratio"] - mean) < 1e-9 and got[i]["kept"] == (not got[i]["base_failed"] and got[i]["mean_ratio"] >= quality_rules.THRESHOLD)
+        full = [x for x in (text or "").split("\n") if x.strip()]
+        assert got[i]["n_dup_lines"] == len(full) - len(set(full))
+    assert got[40]["n_dup_lines"] == 2 and len({x["kept"] for x in got.values()}) == 2
+    tie = quality_rules.judged(docs, spark.createDataFrame([(1,)], "doc_id long"), threshold=got[1]["mean_ratio"])
+    assert tie.filter("doc_id = 1").count() == 1
+
+
+def test_shards_are_placed_evenly():
+    """Over many seeds every row meets every shard and slot about as often."""
+    met = np.zeros((6, 2, 3), dtype=int)
+    rng = np.random.default_rng(0)
+    for seed in range(3000):
+        matrix = sharding.communication_matrix([2, 3, 1], [3, 3], seed)
+        assert matrix.sum(axis=0).tolist() == [3, 3] and matrix.sum(axis=1).tolist() == [2, 3, 1]
+        taken: list[list[int]] = [[], []]
+        for p, rows in enumerate(([0, 1], [2, 3, 4], [5])):
+            rows = rng.permutation(rows)
+            for t in (0, 1):
+                taken[t] += rows[sum(matrix[p, :t]) : sum(matrix[p, : t + 1])].tolist()
+        for t, rows in enumerate(taken):
+            for slot, row in enumerate(rng.permutation(rows)):
+                met[row, t, slot] += 1
+    assert abs(met - 500).max() < 100
+
+
 def test_class_lm(docs, empty, monkeypatch):
     monkeypatch.setattr(class_lm, "KNOWN", 20)
     marked = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))

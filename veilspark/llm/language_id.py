@@ -154,8 +154,8 @@ def code_lengths(raw: list[bytes], model: dict) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with their columns (none may have these names) and __lang_pred and __score, the posterior under equal priors."""
+def identify(docs: DataFrame, model: dict, pred: str = "__lang_pred", posterior: str = "__score") -> DataFrame:
+    """docs with their columns and these two: the language, and its posterior under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 score[pick] = weight[np.arange(len(best)), best] / weight.sum(axis=1)
                 for i, b in zip(np.flatnonzero(pick), best, strict=True):
                     lang[i] = m["langs"][b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, pred, posterior])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{kinds}, __lang_pred string, __score double")
+    return docs.mapInArrow(predict, f"{kinds}, `{pred}` string, `{posterior}` double")

@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 10_000
-#: Trusted documents, spread by a hash of doc_id: a bounded sample of labelled rows, so their ids can be broadcast.
-TRUSTED = 20_000
 THRESHOLD = -0.15
 SYMBOLS, SPACES = "#*$%&|<>", "\t\n\x0b\f\r "
 
@@ -57,8 +55,8 @@ def repeated_words(w: Column) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(target / raw) of each bucket, each with one added to its count."""
-    ids = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select(F.col("doc_id").alias("__id"), F.lit(1).alias("target"))
-    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left")
+    ids = trusted.select(F.col("doc_id").alias("__id")).distinct().withColumn("target", F.lit(1))  # all; Spark sees their size and broadcasts or shuffles
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("__id"), "left")
     grams = marked.select("target", words(F.col("text")).alias("w")).select("target", F.explode(ngrams(F.col("w"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target"))
     counts = counts.collect()  # BUCKETS rows at most

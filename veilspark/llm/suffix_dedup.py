@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import lookup, slices, texts, written
+from veilspark.llm.common import lookup, own_names, slices, texts, written
 
 WINDOW, GRAM = 200, 32
 PLACES = WINDOW - GRAM + 1
@@ -386,13 +386,14 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, all columns, with repeated strings taken out of text (characters only partly in one stay), n_chars counted anew."""
     names = docs.columns
-    ranges = written(repeated_ranges(docs.select("doc_id", "text")), "ranges").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("ranges").alias("__ranges"))
-    rows = docs.withColumn("__a", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("__b", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.hint("merge").join(ranges, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__print")), "left").select(*[F.col(f"`{c}`") for c in names], "__ranges")
+    their_id, their_print, found, mine, my_print = own_names(names, "their_id", "their_print", "ranges", "id", "print")
+    ranges = written(repeated_ranges(docs.select("doc_id", "text")), "ranges").select(F.col("id").alias(their_id), F.col("print").alias(their_print), F.col("ranges").alias(found))
+    rows = docs.withColumn(mine, F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(my_print, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = rows.hint("merge").join(ranges, (F.col(mine) == F.col(their_id)) & (F.col(my_print) == F.col(their_print)), "left").select(*[F.col(f"`{c}`") for c in names], found)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw, ranges = texts(batch), batch.column("__ranges").to_pylist()
+            raw, ranges = texts(batch), batch.column(found).to_pylist()
             left = [kept_bytes(t, whole_characters(t, runs(r))) if r else t for t, r in zip(raw, ranges, strict=True)]
             none = [x is None for x in batch.column("text").to_pylist()]
             columns = {c: batch.column(c) for c in names}
