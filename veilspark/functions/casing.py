@@ -1,58 +1,81 @@
-"""Casing-aware rewriting of identifiers, in pandas UDFs: the one part that column expressions can't say well."""
+"""Spelling an alias in the way that the name it replaces is spelled: in pandas UDFs, the one part that column expressions can't say well.
+
+A token falls into parts, spans of it. Only what lies between the first and the last part of a match is replaced.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import PIECES
+from veilspark.functions.text import PIECES, STOP_WORDS
+
+#: What may join the parts of a token, in order of precedence, and the parts of one that nothing joins.
+JOINERS = ("_", "-", ".", " ")
+HUMPS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+")
+
+#: Ways to spell the first word of an alias and all further ones.
+WAYS: dict[str, tuple[Callable[[str], str], Callable[[str], str]]] = {
+    "upper": (str.upper, str.upper), "lower": (str.lower, str.lower), "title": (str.capitalize, str.capitalize), "hump": (str.lower, str.capitalize),
+}
+
+
+class Spelling(NamedTuple):
+    spans: list[tuple[int, int]]
+    joiner: str
+    way: str
 
-_CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
+def spelling(token: str) -> Spelling:
+    """The spans of a token's parts, and how an alias in it is joined and spelled.
 
-def analyze(token: str) -> tuple[list[str], str, str]:
-    """Segments, separator and case (upper, title, lower, camel, pascal) of a token."""
-    for separator in ("_", "-", ".", " "):
-        if separator in token:
-            parts = [p for p in token.split(separator) if p]
-            return parts, separator, case_of(parts)
+    Parts of a joined token are what its first joiner leaves. Else a token of one case is one part, in which an alias of
+    several words is joined by dashes, and any other falls into humps, joined by nothing.
+    """
+    joiner = next((j for j in JOINERS if j in token), None)
+    if joiner:
+        spans = [m.span() for m in re.finditer(f"[^{re.escape(joiner)}]+", token)]
+        words = [w for a, b in spans if any(map(str.isalpha, w := token[a:b]))]
+        way = "upper" if words and all(map(str.isupper, words)) else "title" if words and all(w[:1].isupper() for w in words) else "lower"
+        return Spelling(spans, joiner, way)
     if token.isupper() or token.islower():
-        return [token], "", "upper" if token.isupper() else "lower"
-    parts = _CAMEL.findall(token)
-    return parts, "", ("pascal" if token[:1].isupper() else "camel") if len(parts) > 1 else case_of(parts)
+        return Spelling([(0, len(token))], "-", "upper" if token.isupper() else "lower")
+    return Spelling([m.span() for m in HUMPS.finditer(token)], "", "hump")
 
 
-def case_of(parts: list[str]) -> str:
-    words = [p for p in parts if any(map(str.isalpha, p))]
-    if words and all(p.isupper() for p in words):
-        return "upper"
-    return "title" if words and all(p[:1].isupper() for p in words) else "lower"
+def written_like(words: list[str], like: Spelling, opens_upper: bool) -> str:
+    """The words joined and spelled; the first hump begins as what it replaces."""
+    first, further = WAYS["title" if like.way == "hump" and opens_upper else like.way]
+    return like.joiner.join([first(w) if i == 0 else further(w) for i, w in enumerate(words)])
 
 
-def render(parts: list[str], separator: str, case: str, lead: bool = True) -> str:
-    """Segments in a style; lead: they open their token (matters for camel case)."""
-    low = [p.lower() for p in parts]
-    if case == "upper":
-        return (separator or ("_" if len(low) > 1 else "")).join(low).upper()
-    if case in ("camel", "pascal"):
-        head = low[0] if case == "camel" and lead else low[0].capitalize()
-        return head + "".join(p.capitalize() for p in low[1:])
-    if case == "title":
-        return (separator or ("-" if len(low) > 1 else "")).join(p.capitalize() for p in low)
-    return (separator or ("-" if len(low) > 1 else "")).join(low)
+def in_style_of(sample: str, words: list[str]) -> str:
+    """The words in the style of a whole sample."""
+    return written_like(words, spelling(sample), sample[:1].isupper())
+
+
+def parts_of(token: str) -> list[str]:
+    return [token[a:b].lower() for a, b in spelling(token).spans]
+
+
+def replacement(token: str, stem: list[str], words: list[str]) -> tuple[int, int, str] | None:
+    """begin, end and new text of the first run of the stem's parts in a token."""
+    like = spelling(token)
+    parts = [token[a:b].lower() for a, b in like.spans]
+    at = next((i for i in range(len(parts) - len(stem) + 1) if parts[i : i + len(stem)] == stem), None) if stem else None
+    if at is None:
+        return None
+    begin, end = like.spans[at][0], like.spans[at + len(stem) - 1][1]
+    return begin, end, written_like(words, like, token[begin].isupper())
 
 
 def splice(token: str, stem: list[str], alias: list[str]) -> str:
-    """The first run of the stem's segments in the token, replaced by the alias in the token's own style."""
-    parts, separator, case = analyze(token)
-    low, stem = [p.lower() for p in parts], [s.lower() for s in stem]
-    for i in range(len(low) - len(stem) + 1):
-        if low[i : i + len(stem)] == stem:
-            inner = render(alias, separator, case, lead=i == 0)
-            return separator.join([*parts[:i], inner, *parts[i + len(stem) :]])
-    return token
+    found = replacement(token, [s.lower() for s in stem], alias)
+    return token[: found[0]] + found[2] + token[found[1] :] if found else token
 
 
 def splicer(stem: list[str], alias: list[str]):
@@ -78,11 +101,8 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-#: No surface of these segments and numbers alone is compared, and none shorter than LEAST_FUZZY.
-FUZZY_STOP_WORDS = frozenset(
-    "client clients provider providers service services vendor vendors config endpoint api url key secret data systems system core app platform"
-    " gateway internal flight search request response default primary main base http https".split()
-)
+#: No surface of stop words and numbers alone is compared; fixed value: none shorter than this.
+FUZZY_STOP_WORDS = frozenset(STOP_WORDS)
 LEAST_FUZZY = 6
 
 
@@ -132,18 +152,24 @@ def fuzzy_ratios():
 
 
 def respeller(pairs: list[tuple[list[str], list[str]]]):
-    """A pandas UDF over text: in each identifier, runs of a pair's first segments become its second, longest runs first."""
-    ordered = sorted(pairs, key=lambda p: -sum(map(len, p[0])))
+    """A pandas UDF over lists of text: in each identifier, runs of a pair's first parts become its second, longest runs first; no
+    part of what was put in is taken again."""
+    ordered = sorted(([p.lower() for p in stem], words) for stem, words in pairs if stem)
+    ordered.sort(key=lambda p: -sum(map(len, p[0])))
     identifier = re.compile(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+|[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
 
     def respelled(found: re.Match) -> str:
-        token = found[0]
-        for stem, alias in ordered:
-            token = splice(token, stem, alias)
+        token, taken = found[0], []
+        for stem, words in ordered:
+            hit = replacement(token, stem, words)
+            if hit and all(hit[1] <= a or b <= hit[0] for a, b, _ in taken):
+                taken.append(hit)
+        for a, b, text in sorted(taken, reverse=True):
+            token = token[:a] + text + token[b:]
         return token
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def run(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda t: None if t is None else identifier.sub(respelled, t))
+        return lines.map(lambda some: None if some is None else [identifier.sub(respelled, t) for t in some])
 
     return run

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.sources.sinks import stored
+
 
 def taint(edges: DataFrame, seeds: DataFrame, decay: float = 0.85, hops: int = 3, floor: float = 0.05) -> DataFrame:
-    """node, score, hops: the best score with which any seed (node, score) reaches a node over edges (src, dst)."""
-    frontier = seeds.groupBy("node").agg(F.max("score").alias("score")).withColumn("hops", F.lit(0))
-    reached = [frontier]
+    """node, score, hops, via: the best score with which any seed (node, score) reaches a node over edges (src, dst), in the
+    fewest hops, from the least of the seeds that give it.
+
+    Frontiers are written once, so that none is planned anew inside the next, and hold only what improved on its node.
+    """
+    least = lambda df: df.groupBy("node", "score").agg(F.min("via").alias("via")).groupBy("node").agg(F.max_by(F.struct("score", "via"), "score").alias("b")).select("node", "b.*")
+    frontier = stored(least(seeds.withColumn("via", F.col("node"))).withColumn("hops", F.lit(0)), "frontier")
+    reached = frontier
     for hop in range(1, hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.round(F.col("score") * decay, 4).alias("score"))
-        frontier = step.filter(F.col("score") >= floor).groupBy("node").agg(F.max("score").alias("score")).withColumn("hops", F.lit(hop))
-        reached.append(frontier)
-    every = reduce(DataFrame.unionByName, reached)
-    return every.groupBy("node").agg(F.max(F.struct("score", (-F.col("hops")).alias("h"))).alias("b")).select("node", "b.score", (-F.col("b.h")).alias("hops"))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.round(F.col("score") * decay, 4).alias("score"), "via")
+        step = least(step.filter(F.col("score") >= floor)).withColumn("hops", F.lit(hop))
+        held = reached.select("node", F.col("score").alias("held"))
+        frontier = stored(step.join(held, "node", "left").filter("held is null or score > held").drop("held"), "frontier")
+        reached = reached.join(frontier.select("node"), "node", "left_anti").unionByName(frontier)
+    return reached

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.casing import analyze, respeller
+from veilspark.functions.casing import parts_of, respeller
+from veilspark.functions.text import needle_pattern, segments
 
 #: How the lines of a diff that name files begin.
 HEADERS = ("--- ", "+++ ", "diff --git ", "rename from ", "rename to ", "copy from ", "copy to ")
@@ -17,50 +18,51 @@ HEADERS = ("--- ", "+++ ", "diff --git ", "rename from ", "rename to ", "copy fr
 MOST_RULES = 10_000
 
 
-class Rule(NamedTuple):
-    entity_id: str
-    ghost: str
-    real: str
-    ghost_segments: list[str]
-    real_segments: list[str]
+def best_identifier(values: Column) -> Column:
+    """Of several spellings in code the one of most parts, then the longest; null of none."""
+    return F.array_max(F.transform(values, lambda v: F.struct(F.size(segments(v)).alias("n"), F.char_length(v).alias("m"), v.alias("v"))))["v"]
 
-    @property
-    def lossy(self) -> bool:
-        """A name of several words; their case and number in prose don't come back."""
-        return " " in self.real
 
+def reverse_rules(mapping: DataFrame) -> DataFrame:
+    """ghost, real, code (the name's spelling in code), entity_id, lossy of entity_id, ghost, real and identifier (or null).
 
-def reverse_rules(mapping: DataFrame) -> list[Rule]:
-    """From entity_id, ghost, real and identifier (its spelling in code, or null); entries without a ghost are left out.
-
-    Raises ValueError for two entries of one ghost, and beyond MOST_RULES.
+    Entries without a ghost are left out. lossy: a name of several words, whose case and number in prose don't come back.
     """
-    rows = mapping.filter("ghost <> ''").select("entity_id", "ghost", "real", "identifier").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} entries in a mapping")
-    if len({r["ghost"] for r in rows}) < len(rows):
-        raise ValueError("ambiguous mapping: two entries have one ghost")
-    low = lambda token: [s.lower() for part in re.split(r"[^A-Za-z0-9]+", token) if part for s in analyze(part)[0]]
-    rules = [Rule(r["entity_id"], r["ghost"], r["real"], low(r["ghost"].split(".")[0]), low(r["identifier"] or r["real"])) for r in rows]
-    return sorted(rules, key=lambda r: (-len(r.ghost), r.ghost))
-
-
-def anchored(word: str) -> str:
-    return r"(?<![A-Za-z0-9_])" + re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", word) + r"(?![A-Za-z0-9_])"
+    return mapping.filter("ghost <> ''").select("ghost", "real", F.coalesce("identifier", "real").alias("code"), "entity_id", F.contains("real", F.lit(" ")).alias("lossy"))
 
 
-def restored(text: Column, rules: list[Rule], casings: bool = True) -> Column:
-    """Aliases replaced by real names: as written, longest first; their spaced display forms; and, with casings, inside
-    identifiers in the identifier's own style."""
-    words = [(r.ghost, r.real) for r in rules]
-    for r in sorted(rules, key=lambda r: -len(r.ghost_segments)):
-        if len(r.ghost_segments) > 1:
-            words += [(" ".join(map(form, r.ghost_segments)), r.real) for form in (str.capitalize, str.upper)]
-    out = reduce(lambda now, w: F.regexp_replace(now, anchored(w[0]), re.sub(r"([\\$])", r"\\\1", w[1])), words, text)
-    return respeller([(r.ghost_segments, r.real_segments) for r in rules])(out) if casings else out
-
-
-def restored_lines(lines: DataFrame, line: str, rules: list[Rule]) -> DataFrame:
+def unambiguous(rules: DataFrame) -> list[Row]:
+    """The rules, for the plan. Raises ValueError for two of one ghost, and beyond MOST_RULES."""
+    twice = rules.groupBy("ghost").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"ambiguous mapping: two entries have the alias {twice[0]['ghost']}")
+    rows = rules.orderBy(F.desc(F.char_length("ghost")), "ghost").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} entries in a mapping")
+    return rows
+
+
+def restored(text: Column, rules: list[Row], casings: bool = True) -> Column:
+    """Aliases replaced by real names: as written, longest first, with their spaced display forms; and, with casings, in
+    the identifiers between them in the identifier's own style. What was put in is not looked at again."""
+    names = {}
+    for r in rules:
+        parts = parts_of(r["ghost"])
+        if len(parts) > 1:
+            names |= {" ".join(map(form, parts)): r["real"] for form in (str.capitalize, str.upper)}
+    names |= {r["ghost"]: r["real"] for r in rules}
+    if not names:
+        return text
+    pattern, real = needle_pattern(list(names)), F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    between = F.split(text, pattern, -1)
+    if casings:
+        code = lambda r: [p for piece in re.split(r"[^A-Za-z0-9]+", r["code"]) if piece for p in parts_of(piece)]
+        between = respeller([(parts_of(r["ghost"].split(".")[0]), code(r)) for r in rules])(between)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.element_at(real, h))
+    return F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def restored_lines(lines: DataFrame, line: str, rules: list[Row]) -> DataFrame:
     """Lines of unified diffs with a column `restored`: headers whole, bodies after their tag, all others as they are."""
     value = F.col(line)
     header = reduce(lambda a, p: a | value.startswith(p), HEADERS, F.lit(False))
@@ -75,7 +77,7 @@ def diff_sizes(lines: DataFrame, source: str, line: str) -> DataFrame:
     return lines.groupBy(source).agg(many("diff --git ").alias("n_files"), many("@@").alias("n_hunks"))
 
 
-def replayed(changes: DataFrame, public: DataFrame, real: DataFrame, rules: list[Rule]) -> DataFrame:
+def replayed(changes: DataFrame, public: DataFrame, real: DataFrame, rules: list[Row]) -> DataFrame:
     """Changes of hunks against real files: file, number, hunk, tag, content, with a column `restored`.
 
     changes: file, number, hunk, old_start (of the hunk), tag, content. public, real: file, n, line (from 1). A line that

@@ -1,4 +1,4 @@
-"""Rewriting by rules: baseline redaction, choice of spans, splicing, and renamed paths."""
+"""Baseline redaction, choice of spans and splicing."""
 
 from __future__ import annotations
 
@@ -42,9 +42,5 @@ def spliced(text: Column, spans: Column) -> Column:
     return F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
 
 
-def renamed_path(path: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.array_join(F.transform(F.split(path, "/"), lambda part: redact(part, rules)[0]), "/")
-
-
 def residual_by_entity(hits: DataFrame) -> DataFrame:
     return hits.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("file").alias("n_files"))

@@ -1,12 +1,10 @@
-"""Rewriting of source files by their nodes: comments, strings and identifiers change, all else and foreign module names stay."""
+"""Source files cut into nodes, which rules rewrite by kind, and what flows where in them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.operators.rewrite import redact
-
 STRING = r'''"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+\'''' + r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 SPECIFIER = r'''(?:\bfrom\s+|\brequire\(\s*|\bimport\s+)(?:"[^"\n]*"|'[^'\n]*\')'''
 COMMENT, HASH_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/", r"#[^\n]*"
@@ -30,20 +28,8 @@ def nodes(text: Column, hash_comments: bool = False) -> Column:
 
 
 def first_party(specifier: Column) -> Column:
-    """Whether a piece ends in a quoted name that begins with a dot, a slash or a tilde."""
-    return specifier.rlike(r"""["'][./~][^"']*["']$""")
-
-
-def rewritten(pieces: Column, rules: list[tuple[str, str]]) -> Column:
-    """The text of nodes after redaction of all but other pieces and names of foreign modules."""
-    stays = lambda n: (n["kind"] == "other") | ((n["kind"] == "specifier") & ~first_party(n["text"]))
-    return F.array_join(F.transform(pieces, lambda n: F.when(stays(n), n["text"]).otherwise(redact(n["text"], rules)[0])), "")
-
-
-def kept_specifiers(pieces: Column, rules: list[tuple[str, str]]) -> Column:
-    """The foreign module names that a rule would have changed."""
-    hit = F.filter(pieces, lambda n: (n["kind"] == "specifier") & ~first_party(n["text"]) & (redact(n["text"], rules)[1] > 0))
-    return F.transform(hit, lambda n: F.regexp_extract(n["text"], r"""["']([^"']*)["']$""", 1))
+    """Whether a specifier, quoted or not, begins with a dot, a slash or a tilde."""
+    return F.regexp_replace(specifier, r"""^.*?["']?([^"']*)["']?$""", "$1").rlike("^[./~]")
 
 
 def package_pieces(text: Column) -> Column:
@@ -66,8 +52,37 @@ def package_pieces(text: Column) -> Column:
     return woven(F.transform(F.split(text, opening), piece(False)), blocks)
 
 
-def rewritten_package(pieces: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """The text with all but the names of dependencies redacted; and the names that a rule would have changed."""
-    out = F.array_join(F.transform(pieces, lambda p: F.when(p["key"], p["text"]).otherwise(redact(p["text"], rules)[0])), "")
-    kept = F.filter(pieces, lambda p: p["key"] & (redact(p["text"], rules)[1] > 0))
-    return out, F.transform(kept, lambda p: F.substring(p["text"], F.lit(2), F.char_length(p["text"]) - 2))
+def package_nodes(text: Column) -> Column:
+    """array<struct<kind, text>> of a package.json: names of dependencies as specifiers, all else as strings."""
+    return F.transform(package_pieces(text), lambda p: F.struct(F.when(p["key"], "specifier").otherwise("string").alias("kind"), p["text"].alias("text")))
+
+
+def file_nodes(file: Column, language: Column, text: Column) -> Column:
+    """The nodes of a file by its name and language: code by its nodes, package files by their keys, all else whole."""
+    return (
+        F.when(language.isin("javascript", "typescript", "tsx"), nodes(text)).when(language == "hcl", nodes(text, hash_comments=True))
+        .when(F.element_at(F.split(file, "/"), -1) == "package.json", package_nodes(text)).when(language == "scoped", F.array(F.struct(F.lit("string").alias("kind"), text.alias("text"))))
+        .otherwise(F.array(F.struct(F.lit("other").alias("kind"), text.alias("text"))))
+    )
+
+
+def edges(text: Column) -> Column:
+    """array<struct<src, dst>> of what flows where in code: x = y, x = 'text', x = new Y, x = f(y, ...), x = require('m'),
+    and of a call's arguments into a plain function. Strings are nodes "str:..."; a node has no edge to itself.
+
+    Read off assignments line by line: of an assigned expression every identifier and string leads to the name; nothing is
+    known of scopes.
+    """
+    name = "[A-Za-z_$][A-Za-z0-9_$]*"
+    found = F.regexp_extract_all(text, F.lit(rf"(?m)(?:\b(?:const|let|var)\s+)?({name})\s*=(?![=>])\s*([^;\n]+)"), F.lit(0))
+    left = lambda s: F.regexp_extract(s, rf"({name})\s*=(?![=>])", 1)
+    right = lambda s: F.regexp_replace(s, rf"^.*?{name}\s*=(?![=>])\s*", "")
+    strings = lambda e: F.transform(F.regexp_extract_all(e, F.lit("""'[^'\\n]*'|"[^"\\n]*\""""), F.lit(0)), lambda q: F.concat(F.lit("str:"), F.substring(q, F.lit(2), F.char_length(q) - 2)))
+    names = lambda e: F.filter(F.regexp_extract_all(F.regexp_replace(e, """'[^'\\n]*'|"[^"\\n]*\"""", ""), F.lit(name), F.lit(0)), lambda x: ~x.isin("new", "await", "require", "function", "typeof"))
+    into = lambda s: F.transform(F.concat(names(right(s)), strings(right(s))), lambda x: F.struct(x.alias("src"), left(s).alias("dst")))
+    calls = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_$.])({name})\(([^()]*)\)"), F.lit(0))
+    callee = lambda c: F.regexp_extract(c, rf"^({name})\(", 1)
+    given = lambda c: F.regexp_extract(c, r"\((.*)\)", 1)
+    passed = lambda c: F.transform(F.when(callee(c).isin("require", "if", "for", "while", "switch", "function", "return"), F.array().cast("array<string>")).otherwise(F.concat(names(given(c)), strings(given(c)))), lambda x: F.struct(x.alias("src"), callee(c).alias("dst")))
+    every = F.concat(F.flatten(F.transform(found, into)), F.flatten(F.transform(calls, passed)))
+    return F.array_distinct(F.filter(every, lambda e: e["src"] != e["dst"]))

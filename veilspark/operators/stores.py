@@ -14,42 +14,98 @@ def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def agreement(decisions: DataFrame) -> DataFrame:
-    """decisions (proposed, reviewer), one row a key: how often the reviewer did what was proposed."""
-    agree = ((F.col("proposed") == "auto") & (F.col("reviewer") == "accept")) | ((F.col("proposed") == "review") & F.col("reviewer").isin("accept", "escalate")) | (
-        (F.col("proposed") == "ignore") & (F.col("reviewer") == "ignore")
-    )
-    return decisions.groupBy("proposed").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("n_agree"), F.round(F.count_if(agree) / F.count(F.lit(1)), 3).alias("rate"),
-        F.count_if(F.col("reviewer") == "escalate").alias("escalations"),
+    """decisions (proposed, reviewer), one row a key: how often the reviewer kept what the scorer kept, and dropped what it
+    dropped. A row for each proposed action ("none" for null), and one for all with proposed null, each with overrides, the rest.
+    """
+    keeps = F.coalesce(F.col("proposed").isin("auto", "review"), F.lit(False)) == F.coalesce(F.col("reviewer").isin("accept", "escalate"), F.lit(False))
+    rows = decisions.select(F.coalesce("proposed", F.lit("none")).alias("proposed"), keeps.alias("agrees"), (F.col("reviewer") == "escalate").alias("escalated"))
+    n, n_agree = F.count(F.lit(1)), F.count_if("agrees")
+    return rows.rollup("proposed").agg(
+        n.alias("n"), n_agree.alias("n_agree"), F.when(n > 0, F.round(n_agree / n, 3)).alias("rate"), F.count_if("escalated").alias("escalations"), (n - n_agree).alias("overrides")
     )
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, value: str, frozen: str) -> DataFrame:
-    """A new snapshot: inserts, updates, and the old value kept (with conflict true) where a frozen one would change."""
+    """A new snapshot with what became of each row; the job fails where a frozen value would change (see `conflicts`)."""
     joined = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    conflict = F.coalesce(F.col(f"o.{frozen}") & (F.col(f"o.{value}") != F.col(f"n.{value}")), F.lit(False))
+    changes = F.coalesce(F.col(f"o.{frozen}") & (F.col(f"o.{value}") != F.col(f"n.{value}")), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("the frozen alias would change of "), F.col(f"o.{key}").cast("string"))).cast(old.schema[value].dataType)
     return joined.select(
-        F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key),
-        F.when(conflict, F.col(f"o.{value}")).otherwise(F.coalesce(F.col(f"n.{value}"), F.col(f"o.{value}"))).alias(value),
-        F.when(F.col(f"o.{key}").isNull(), "insert").when(F.col(f"n.{key}").isNull(), "keep").when(conflict, "conflict").otherwise("update").alias("outcome"),
+        F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key), F.when(changes, refused).otherwise(F.coalesce(F.col(f"n.{value}"), F.col(f"o.{value}"))).alias(value),
+        F.when(F.col(f"o.{key}").isNull(), "insert").when(F.col(f"n.{key}").isNull(), "keep").otherwise("update").alias("outcome"),
     )
 
 
+def conflicts(old: DataFrame, new: DataFrame, key: str, value: str, frozen: str) -> DataFrame:
+    """The keys whose frozen value new would change, with both values."""
+    both = old.filter(frozen).select(key, F.col(value).alias("held")).join(new.select(key, F.col(value).alias("wanted")), key)
+    return both.filter("held <> wanted")
+
+
 def letter_suffix(n: Column) -> Column:
     """a to z, then 1, 2, ... for n from 0."""
     return F.when(n < 26, F.chr((n + 97).cast("long"))).otherwise((n - 25).cast("string"))
 
 
-def allocated(new: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """An alias for each row: its prefix and the next free suffix."""
+def allocated(new: DataFrame, prefix: str, *order: str, taken: DataFrame | None = None) -> DataFrame:
+    """An alias for each row, in order: its prefix and the next suffix that no alias in taken (alias) has.
+
+    The free places of a prefix are found from its taken ones alone: row n goes n places further for each taken place up
+    to it, which a running count of the gaps gives.
+    """
     n = F.row_number().over(Window.partitionBy(prefix).orderBy(*order)) - 1
-    return new.withColumn("alias", F.concat(F.col(prefix), F.lit("-"), letter_suffix(n)))
+    rows = new.withColumn("_n", n.cast("long"))
+    if taken is None:
+        return rows.withColumn("alias", F.concat(F.col(prefix), F.lit("-"), letter_suffix(F.col("_n")))).drop("_n")
+    used = taken.select(F.regexp_extract("alias", "^(.*)-([a-z]|[1-9][0-9]*)$", 1).alias("_p"), F.regexp_extract("alias", "^(.*)-([a-z]|[1-9][0-9]*)$", 2).alias("_s")).filter("_s <> ''").distinct()
+    place = F.when(F.col("_s").rlike("^[a-z]$"), F.ascii("_s") - 97).otherwise(F.try_to_number("_s", F.lit("999999999999")).cast("long") + 25).cast("long")
+    used = used.withColumn("_place", place)
+    before = F.row_number().over(Window.partitionBy("_p").orderBy("_place")) - 1
+    gaps = used.withColumn("_free", F.col("_place") - before).groupBy("_p").agg(F.sort_array(F.collect_list("_free")).alias("_frees"))  # as many as aliases of a prefix
+    joined = rows.join(gaps, rows[prefix] == gaps["_p"], "left")
+    # the place of the n-th free one: n and the taken places that lie before it
+    shift = F.size(F.filter(F.coalesce("_frees", F.array().cast("array<bigint>")), lambda f: f <= F.col("_n")))
+    return joined.withColumn("alias", F.concat(F.col(prefix), F.lit("-"), letter_suffix(F.col("_n") + shift))).drop("_n", "_p", "_frees")
+
+
+def unique_ids(rows: DataFrame, base: str, *order: str, taken: DataFrame | None = None) -> DataFrame:
+    """base, base_2, base_3 ... in order, passing over ids in taken (unique_id) and bases that look like such an id."""
+    bases = rows.select(F.col(base).alias("unique_id")).distinct()
+    used = bases if taken is None else bases.unionByName(taken.select("unique_id")).distinct()
+    split = used.select(F.regexp_extract("unique_id", "^(.*)_([2-9]|[1-9][0-9]+)$", 1).alias("_b"), F.regexp_extract("unique_id", "^(.*)_([2-9]|[1-9][0-9]+)$", 2).alias("_k")).filter("_k <> ''")
+    split = split.select("_b", F.try_to_number("_k", F.lit("999999999999")).cast("long").alias("_place"))
+    if taken is not None:
+        split = split.unionByName(taken.select(F.col("unique_id").alias("_b"), F.lit(1).cast("long").alias("_place")))
+    split = split.distinct()
+    before = F.row_number().over(Window.partitionBy("_b").orderBy("_place"))
+    gaps = split.withColumn("_free", F.col("_place") - before + 1).groupBy("_b").agg(F.sort_array(F.collect_list("_free")).alias("_frees"))
+    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
+    joined = rows.withColumn("_n", n.cast("long")).join(gaps, F.col(base) == F.col("_b"), "left")
+    at = F.col("_n") + F.size(F.filter(F.coalesce("_frees", F.array().cast("array<bigint>")), lambda f: f <= F.col("_n")))
+    return joined.withColumn("unique_id", F.when(at == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), at.cast("string")))).drop("_n", "_b", "_frees")
 
 
-def unique_ids(rows: DataFrame, base: str, *order: str) -> DataFrame:
-    """base, base_2, base_3 ... in order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return rows.withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+def accepted(newest: DataFrame) -> DataFrame:
+    return newest.filter(F.col("reviewer_action").isin("accept", "escalate"))
+
+
+def ignored_keys(newest: DataFrame) -> DataFrame:
+    return newest.filter("reviewer_action = 'ignore'").select("key")
+
+
+def cleared(newest: DataFrame) -> DataFrame:
+    """Entities that were accepted by someone with a name."""
+    return newest.filter("reviewer_action = 'accept' and coalesce(approved_by, '') <> '' and entity_id is not null").select("entity_id", "approved_by")
+
+
+def history(log: DataFrame, key: str, value, *order: str) -> DataFrame:  # noqa: ANN001
+    return log.filter(F.col(key) == value).orderBy(*order)
+
+
+def with_decisions(candidates: DataFrame, newest: DataFrame) -> DataFrame:
+    """candidates (entity_id, surface) with the newest decision of their key, or null."""
+    key = F.coalesce("entity_id", F.concat(F.lit("sha256:"), F.sha2("surface", 256)))
+    return candidates.withColumn("key", key).join(newest.select("key", "reviewer_action", "approved_by"), "key", "left")
 
 
 def episodes(log: DataFrame, stream: str, order: list[str], opener: Column) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
-from veilspark.operators import discover, gates, graph, restore, rewrite, source, stores
+from veilspark.operators import compile as compiling
+from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, source, stores
 from veilspark.sources import files, sinks
 from veilspark.streaming import logs
 
@@ -31,7 +32,18 @@ OVERLAY = (
     " ' tenant tenant-eu-', s_suppkey, ' contract ABC-XY-', lpad(CAST(s_suppkey % 10000 AS STRING), 4, '0'), '-', lpad(CAST(s_nationkey AS STRING), 2, '0'),"
     " ' pkg @brand', s_nationkey, '/core mail ops', s_suppkey, '@example.com SUPPLIER_', s_suppkey, '_API_KEY bookingCore', s_suppkey)"
 )
-SHAPES_RE2 = {k: r"\b(?:" + p + r")\b" for k, (p, _) in text.SHAPES.items()} | {"scoped_npm_package": text.SHAPES["scoped_npm_package"][0]}
+#: The shapes for DuckDB, whose patterns know no look-around: written for it, and not taken from the library.
+SHAPES_RE2 = {
+    "rfc1918_ip": r"\b(?:10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3})\b",
+    "aws_account_id": r"\b[0-9]{12}\b", "aws_access_key_id": r"\bAKIA[0-9A-Z]{16}\b", "prefixed_secret": r"\b[a-z][a-z0-9]{1,15}_(?:live|test|prod|sk|pk)_[A-Za-z0-9]{12,}\b",
+    "named_secret": r"\b[a-z][a-z0-9-]{2,}-(?:client-secret|api-key|secret)-[A-Za-z0-9]{6,}\b", "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+    "contract_id": r"\b[A-Z]{2,5}-[A-Z]{2,3}-[0-9]{4}-[0-9]{2,4}\b", "tenant_id": r"\btenant-[a-z0-9]+(?:-[a-z0-9]+)+\b",
+    "internal_host": r"\b(?:[a-z0-9-]+\.)+(?:internal|intranet|corp|local)(?:\.[a-z]{2,})?\b", "scoped_npm_package": r"@[a-z0-9][a-z0-9-]*/[a-z0-9][a-z0-9._-]*",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+}
+#: Weights of the shapes, for the SQL alone.
+WEIGHTS_SQL = "CASE kind WHEN 'rfc1918_ip' THEN 0.40 WHEN 'aws_account_id' THEN 0.30 WHEN 'aws_access_key_id' THEN 0.55 WHEN 'prefixed_secret' THEN 0.55 WHEN 'named_secret' THEN 0.50 WHEN 'jwt' THEN 0.50 WHEN 'email' THEN 0.35 ELSE 0.45 END::DOUBLE"
+DOC_SHAPES_SQL = "h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit FROM documents" for k, p in SHAPES_RE2.items()) + ")"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,36 +109,55 @@ def q_shape_hits(spark, sf_dir):
     return rows.select("file", "h.kind", F.col("h.text").alias("hit"))
 
 
-@query("SELECT 'email' AS kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '" + SHAPES_RE2["email"] + "')) FROM documents) GROUP BY ALL")
+@query(f"WITH {DOC_SHAPES_SQL} SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM h GROUP BY kind")
 def q_shape_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.shape_hits(F.col("text"))).alias("h")).filter("h.kind = 'email'")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.shape_hits(F.col("text"))).alias("h"))
     return rows.groupBy("h.kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+@query(f"WITH {OVERLAY_SQL}, h AS (" + " UNION ALL ".join(f"SELECT file, text, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit FROM overlay" for k, p in SHAPES_RE2.items()) + """),
+p AS (SELECT file, kind, hit, instr(text, hit) - 1 AS start FROM h) SELECT file, string_agg(concat(start, ':', kind, ':', hit), ' ' ORDER BY start, -length(hit)) AS shapes FROM p GROUP BY file""")
+def q_placed_shapes(spark, sf_dir):
+    hits = F.transform(text.placed_shapes(F.col("text")), lambda h: F.concat_ws(":", h["start"].cast("string"), h["kind"], h["text"]))
+    return overlay(spark, sf_dir).select("file", F.array_join(hits, " ").alias("shapes"))
+
+
 CAMEL_SQL = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(tok, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([0-9]+)', ' \1 ', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
 
 
-@query(f"WITH {OVERLAY_SQL}, t AS (SELECT file, unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_.:/@][A-Za-z0-9]+)*')) AS tok FROM overlay) SELECT file, tok, array_to_string({CAMEL_SQL}, '-') AS norm, CAST(len({CAMEL_SQL}) AS BIGINT) AS n_segments FROM t")
+@query(f"WITH {OVERLAY_SQL}, t AS (SELECT file, unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_.:/@][A-Za-z0-9]+)+|[A-Za-z0-9]{{2,}}')) AS tok FROM overlay) SELECT file, tok, array_to_string({CAMEL_SQL}, '-') AS norm, CAST(len({CAMEL_SQL}) AS BIGINT) AS n_segments FROM t")
 def q_token_segments(spark, sf_dir):
     rows = overlay(spark, sf_dir).select("file", F.explode(text.tokens(F.col("text"))).alias("tok"))
     return rows.select("file", "tok", text.norm(F.col("tok")).alias("norm"), F.size(text.segments(F.col("tok"))).cast("long").alias("n_segments"))
 
 
-STOPS_SQL = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+#: Words that tell nothing, for the SQL alone.
+STOPS_SQL = (
+    "client clients provider providers service services vendor vendors config endpoint api url key secret data systems system core app platform gateway internal flight search request response"
+    " default primary main base http https server handler module export common create update delete option options params result status error message number object schema model route router"
+    " controller middleware validate validation logger logging token value index helper wrapper factory adapter manager context secondary package inventory schedule schedules email account"
+    " region header prod production development staging availability reset password verify refresh access bearer strategy callback connection collection document transport format console process"
+    " global window return await async class const function example sample test spec mock"
+)
 
 
-@query(f"""WITH s AS (SELECT lower(unnest(regexp_extract_all(p_name, '[A-Za-z0-9]+'))) AS segment FROM part)
-SELECT segment, count(*) AS n, length(segment) >= 5 AND NOT regexp_matches(segment, '^[0-9]+$') AND segment NOT IN ({STOPS_SQL}) AS distinctive FROM s GROUP BY segment""")
+@query(f"""WITH s AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS segment FROM documents)
+SELECT segment, count(*) AS n, length(segment) >= 5 AND NOT regexp_matches(segment, '^[0-9]+$') AND NOT list_contains(string_split('{STOPS_SQL}', ' '), segment) AS distinctive FROM s GROUP BY segment""")
 def q_distinctive_segments(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all("p_name", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("s")).select(F.lower("s").alias("segment"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("segment"))
     return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).withColumn("distinctive", text.distinctive(F.col("segment")))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 3 = 1 THEN 0 ELSE -1 END AS at FROM supplier""")
+RUN_SQL = "concat('-', array_to_string(regexp_extract_all(lower(p_name), '[a-z]+'), '-'), '-')"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN contains({RUN_SQL}, concat('-', w, '-')) THEN length(substr({RUN_SQL}, 1, instr({RUN_SQL}, concat('-', w, '-')))) - length(replace(substr({RUN_SQL}, 1, instr({RUN_SQL}, concat('-', w, '-'))), '-', '')) - 1 ELSE -1 END AS at
+FROM part, (SELECT array_to_string(list_slice(regexp_extract_all(lower(p_name), '[a-z]+'), 2, 3), '-') AS w FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)) AS n""")
 def q_contains_run(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier")
-    word = F.when(F.col("s_suppkey") % 3 == 0, "myBookingCoreUrl").when(F.col("s_suppkey") % 3 == 1, "BOOKING_CORE_URL").otherwise("bookingUrlCore")
-    return rows.select("s_suppkey", text.contains_run(text.segments(word), F.array(F.lit("booking"), F.lit("core"))).alias("at"))
+    """Where the second and third word of the first part's name run through all names."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.segments(F.col("p_name")).alias("s"))
+    first = rows.agg(F.min_by(F.slice("s", 2, 2), "p_partkey").alias("w"))
+    return rows.crossJoin(F.broadcast(first)).select("p_partkey", text.contains_run(F.col("s"), F.col("w")).alias("at"))  # one row
 
 
 KIND_CASES = [("const ", "definition"), ("// see ", "comment"), ("import x from", "import"), ("url = '", "string"), ("call(", "identifier")]
@@ -157,18 +188,27 @@ def q_classify(spark, sf_dir):
     return rows.select("o_orderkey", scoring.classify(F.col("score"), F.col("hard"), F.col("level"), F.col("resolved")).alias("action"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'exact match + acronym + shape' WHEN 1 THEN 'stem match' ELSE 'none' END AS label FROM customer")
+SIGNAL_NAMES = {"click": "shape", "view": "fuzzy", "purchase": "exact", "signup": "acronym", "error": "semantic"}
+NAME_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNAL_NAMES.items()) + " ELSE 'weak' END"
+LABEL_SQL = "CASE name WHEN 'shape' THEN 'structural shape' WHEN 'fuzzy' THEN 'lexical + AST' WHEN 'exact' THEN 'exact' WHEN 'acronym' THEN 'acronym' WHEN 'semantic' THEN 'semantic' ELSE 'weak / no evidence' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, {NAME_SQL} AS name, max(greatest(round(value / 200, 2) - 0.1, 0)) AS w FROM events WHERE event_id % 3 > 0 OR event_type = 'click' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, name) AS n, count(*) OVER (PARTITION BY user_id) AS many FROM s WHERE w > 0),
+l AS (SELECT user_id, CASE WHEN max(many) = 1 AND max(name) = 'semantic' THEN 'semantic only' ELSE string_agg({LABEL_SQL}, ' + ' ORDER BY n) FILTER (n <= 3) END AS label FROM r GROUP BY user_id)
+SELECT DISTINCT s.user_id, coalesce(label, 'weak / no evidence') AS label FROM s LEFT JOIN l USING (user_id)""")
 def q_evidence_label(spark, sf_dir):
-    signal = lambda n, w: F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))
-    many, one = F.array(signal("shape", 0.4), signal("exact", 1.0), signal("acronym", 0.7), signal("shape", 0.3), signal("weak", 0.02)), F.array(signal("stem", 0.85))
-    pick = F.when(F.col("c_custkey") % 3 == 0, many).when(F.col("c_custkey") % 3 == 1, one).otherwise(F.slice(one, 1, 0))
-    return table(spark, sf_dir, "customer").select("c_custkey", scoring.evidence_label(pick).alias("label"))
+    names = F.create_map(*[F.lit(x) for pair in SIGNAL_NAMES.items() for x in pair])
+    rows = table(spark, sf_dir, "events").filter("event_id % 3 > 0 or event_type = 'click'").select("user_id", F.coalesce(F.element_at(names, F.col("event_type")), F.lit("weak")).alias("name"), F.greatest(F.round(F.col("value") / 200, 2) - 0.1, F.lit(0)).alias("weight"))
+    best = rows.groupBy("user_id", "name").agg(F.max("weight").alias("weight"))
+    signals = best.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("name", "weight"))).alias("s"))
+    return signals.select("user_id", scoring.evidence_label(F.col("s")).alias("label"))
 
 
 STEMS = [("svc_booking", "booking core", 0), ("svc_supplier", "supplier", 1), ("svc_brand", "brand", 2)]
 
 
-@query(f"""WITH {OVERLAY_SQL}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_.:/@][A-Za-z0-9]+)*')) AS tok FROM overlay),
+@query(f"""WITH {OVERLAY_SQL}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_.:/@][A-Za-z0-9]+)+|[A-Za-z0-9]{{2,}}')) AS tok FROM overlay),
 s AS (SELECT tok, concat('-', array_to_string({CAMEL_SQL}, '-'), '-') AS n FROM t),
 m AS (SELECT tok, entity_id, ord, CASE WHEN contains(n, concat('-', replace(stem, ' ', '-'), '-')) THEN 0.85 WHEN NOT contains(stem, ' ') AND length(stem) >= 5 AND contains(n, concat('-', stem)) THEN 0.60 ELSE 0.0 END AS w FROM s, (VALUES {', '.join(map(str, STEMS))}) AS p(entity_id, stem, ord))
 SELECT tok, arg_max(entity_id, w * 100 - ord) AS entity_id, CAST(max(w) AS DOUBLE) AS weight FROM m WHERE w > 0 GROUP BY tok""")
@@ -214,18 +254,57 @@ def q_casing_rewrite(spark, sf_dir):
     return rows.join(F.broadcast(done), "token").select("s_suppkey", "rewritten")
 
 
+ENTITY_FIELDS = "id, real, kind, level, strategy, ghost, source, approved_by, rewrite_imports, match, ord"
+
+
+def configured(spark, *rows: str) -> DataFrame:
+    """Entities from SQL rows: id, real, kind, level, strategy, ghost, source, match (kind:value pairs joined by bars)."""
+    values = ", ".join(f"({r}, {i})" for i, r in enumerate(rows))
+    match = "transform(filter(split(m, '[|]'), x -> x <> ''), x -> named_struct('kind', split(x, ':', 2)[0], 'value', split(x, ':', 2)[1])) AS match"
+    return spark.sql(f"SELECT id, real, kind, level, strategy, ghost, source, CAST(NULL AS STRING) AS approved_by, false AS rewrite_imports, {match}, ord FROM VALUES {values} AS e(id, real, kind, level, strategy, ghost, source, m, ord)")
+
+
+#: Entities of prose: a word in all its casings, a name of several words that is removed, one that is not, and a literal.
+PROSE = (
+    "'vendor_the', 'the', 'vendor', 'internal', 'semantic_alias', 'vendor-a', 'seed', ''",
+    "'secret_cc', 'Licensed under CC BY-NC 4.0', 'secret', 'restricted', 'remove', '', 'seed', ''",
+    "'vendor_lic', 'Licensed under', 'vendor', 'confidential', 'semantic_alias', 'vendor-b', 'seed', ''",
+    "'domain_com', '.example.com', 'domain', 'confidential', 'synthetic_endpoint', '.host-a.test', 'seed', 'regex:[0-9]{4}-[0-9]{2}-[0-9]{2}'",
+)
+TRANSFORM_SQL = (
+    "regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(text, 'Licensed under CC BY-NC 4.0', ''), 'Licensed under', 'Vendor B'), '.example.com', '.host-a.test'),"
+    r" '[0-9]{4}-[0-9]{2}-[0-9]{2}', '.host-a.test', 'g'), 'the', 'vendor-a'), '\bThe\b', 'VendorA', 'g'), '\bTHE\b', 'VENDOR-A', 'g')"
+)
+
+
+@query(f"SELECT doc_id, md5({TRANSFORM_SQL}) AS out_md5, {TRANSFORM_SQL} <> text AS changed FROM documents")
+def q_transform_text(spark, sf_dir):
+    """Every whole document rewritten by rules."""
+    found = rules.taken(rules.rules(configured(spark, *PROSE)))
+    out = rules.joined(rules.transformed(rules.one_node("comment", F.col("text")), found))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("out")).select("doc_id", F.md5("out").alias("out_md5"), (F.col("out") != F.col("text")).alias("changed"))
+
+
 @query("SELECT page_id, replace(replace(url, 'example', 'site-a'), 'http', 'web') AS renamed FROM pages")
 def q_path_rename(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", rewrite.renamed_path(F.col("url"), [("example", "site-a"), ("http", "web")]).alias("renamed"))
+    found = rules.taken(rules.rules(configured(spark, "'d', 'example', 'domain', 'internal', 'generalize', 'site-a', 'seed', 'literal:http'").withColumn("ghost", F.lit("site-a"))))
+    found = [r._replace(ghost="web") if r.pattern == "http" else r for r in found]
+    return table(spark, sf_dir, "pages").select("page_id", rules.renamed(F.col("url"), found).alias("renamed"))
+
 
+REST_SQL = r"(len(regexp_extract_all({0}, '\bThe\b')) + len(regexp_extract_all({0}, '\bTHE\b')))"
+BASE_SQL = "replace(replace(replace(replace(text, 'Licensed under CC BY-NC 4.0', ''), 'Licensed under', 'vendor-b'), '.example.com', '.host-a.test'), 'the', 'vendor-a')"
+REAL_SQL = "sum(len(regexp_extract_all(text, '{}')))"
 
-@query(f"""WITH {HITS_SQL}, c AS (SELECT entity_id, count(*) AS n FROM hits JOIN e USING (spelling) GROUP BY entity_id)
-SELECT e.entity_id, e.level, coalesce(c.n, 0) AS real_occurrences, CASE WHEN e.level = 'restricted' THEN coalesce(c.n, 0) ELSE 0 END AS baseline_residual, coalesce(c.n, 0) > 0 AS exercised FROM e LEFT JOIN c USING (entity_id)""")
+
+@query(rf"""WITH h AS (SELECT unnest(regexp_extract_all(text, '\b(?:Licensed under CC BY-NC 4\.0|Licensed under|the)\b|\.example\.com\b')) AS s FROM documents),
+r AS (SELECT count(*) FILTER (s = 'the') AS t, count(*) FILTER (s = 'Licensed under') AS l, count(*) FILTER (s LIKE '%4.0') AS c FROM h),
+b AS (SELECT sum({REST_SQL.format(BASE_SQL)}) AS t, sum(len(regexp_extract_all({BASE_SQL}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))) AS d FROM documents)
+SELECT e.id AS entity_id, CAST(e.n AS BIGINT) AS real_occurrences, CAST(e.b AS BIGINT) AS baseline_residual, CAST(0 AS BIGINT) AS compile_residual, e.n > 0 OR e.b > 0 AS exercised, true AS passed, e.b > 0 AS hard
+FROM (SELECT 'vendor_the' AS id, r.t AS n, b.t AS b FROM r, b UNION ALL SELECT 'secret_cc', r.c, 0 FROM r UNION ALL SELECT 'vendor_lic', r.l, 0 FROM r) AS e""")
 def q_eval_cases(spark, sf_dir):
-    counts = entity_hits(spark, sf_dir).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    rows = entities(spark).join(counts, "entity_id", "left")
-    return rows.select("entity_id", "level", n.alias("real_occurrences"), F.when(F.col("level") == "restricted", n).otherwise(0).alias("baseline_residual"), (n > 0).alias("exercised"))
+    """What plain replacement and what rules leave in all documents, counted by scanning what they made of them."""
+    return evaluate.cases(table(spark, sf_dir, "documents").select("text"), configured(spark, *PROSE[:3])).drop("kind", "level")
 
 
 DECISIONS_SQL = "d AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS action, count(*) AS n_records FROM events GROUP BY user_id)"
@@ -238,36 +317,94 @@ def q_latest_decision(spark, sf_dir):
     return last.join(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_records")), "user_id").select("user_id", F.col("event_type").alias("action"), "n_records")
 
 
-AGREE_SQL = "CASE WHEN proposed = 'auto' THEN reviewer = 'accept' WHEN proposed = 'review' THEN reviewer IN ('accept', 'escalate') ELSE reviewer = 'ignore' END"
+AGREE_SQL = "(proposed IN ('auto', 'review')) = (reviewer IN ('accept', 'escalate'))"
 
 
 @query(f"""WITH r AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS k FROM events GROUP BY user_id),
 d AS (SELECT CASE user_id % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'review' ELSE 'ignore' END AS proposed, CASE k % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'ignore' ELSE 'escalate' END AS reviewer FROM r)
-SELECT proposed, count(*) AS n, count(*) FILTER ({AGREE_SQL}) AS n_agree, round(count(*) FILTER ({AGREE_SQL}) / count(*), 3) AS rate, count(*) FILTER (reviewer = 'escalate') AS escalations FROM d GROUP BY proposed""")
+SELECT proposed, count(*) AS n, count(*) FILTER ({AGREE_SQL}) AS n_agree, round(count(*) FILTER ({AGREE_SQL}) / count(*), 3) AS rate, count(*) FILTER (reviewer = 'escalate') AS escalations,
+count(*) FILTER (NOT {AGREE_SQL}) AS overrides FROM d GROUP BY ROLLUP (proposed)""")
 def q_agreement(spark, sf_dir):
     last = stores.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id")
     pick = lambda c, words: F.element_at(F.array(*map(F.lit, words)), (F.col(c) % 3 + 1).cast("int"))
     return stores.agreement(last.select(pick("user_id", ("auto", "review", "ignore")).alias("proposed"), pick("event_id", ("accept", "ignore", "escalate")).alias("reviewer")))
 
 
-@query("""WITH o AS (SELECT c_custkey AS id, concat('alias-', c_custkey) AS ghost, c_custkey % 5 = 0 AS frozen FROM customer WHERE c_custkey % 2 = 0),
-n AS (SELECT c_custkey AS id, concat('alias-', c_custkey % 7) AS ghost FROM customer WHERE c_custkey % 3 = 0)
-SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.frozen AND n.ghost IS NOT NULL AND o.ghost <> n.ghost THEN o.ghost ELSE coalesce(n.ghost, o.ghost) END AS ghost,
-CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'keep' WHEN o.frozen AND o.ghost <> n.ghost THEN 'conflict' ELSE 'update' END AS outcome FROM o FULL JOIN n ON o.id = n.id""")
+def decision_log(spark, sf_dir):
+    """Events as decisions: a key and a reviewer's action each, some with an approver."""
+    act = F.create_map(*[F.lit(x) for pair in {"purchase": "accept", "view": "ignore", "click": "accept", "error": "escalate"}.items() for x in pair])
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), "user_id").alias("key"), F.concat(F.lit("e"), "user_id").alias("entity_id"), "ts", "event_id", F.coalesce(F.element_at(act, F.col("event_type")), F.lit("ignore")).alias("reviewer_action"),
+        F.when(F.col("value") > 50, F.concat(F.lit("u"), F.col("event_id") % 10)).alias("approved_by"),
+    )
+
+
+LOG_SQL = """l AS (SELECT concat('e', user_id) AS key, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS i FROM events GROUP BY user_id)"""
+
+
+@query(f"""WITH {LOG_SQL} SELECT key, 'accepted' AS list, NULL AS approved_by FROM l WHERE t IN ('purchase', 'click', 'error') UNION ALL SELECT key, 'ignored', NULL FROM l WHERE t IN ('view', 'signup')
+UNION ALL SELECT key, 'cleared', concat('u', i % 10) FROM l WHERE t IN ('purchase', 'click') AND v > 50""")
+def q_decision_views(spark, sf_dir):
+    newest = stores.latest(decision_log(spark, sf_dir), "key", "ts", "event_id")
+    rows = lambda df, name, by=F.lit(None).cast("string"): df.select("key", F.lit(name).alias("list"), by.alias("approved_by"))
+    clear = stores.cleared(newest).withColumnRenamed("entity_id", "key")
+    return rows(stores.accepted(newest), "accepted").unionByName(rows(stores.ignored_keys(newest), "ignored")).unionByName(rows(clear, "cleared", F.col("approved_by")))
+
+
+@query(f"""WITH {LOG_SQL}, a AS (SELECT key, CASE t WHEN 'purchase' THEN 'accept' WHEN 'click' THEN 'accept' WHEN 'error' THEN 'escalate' ELSE 'ignore' END AS act FROM l)
+SELECT c_custkey, coalesce(act, 'none') AS decision FROM customer LEFT JOIN a ON key = concat('e', c_custkey)""")
+def q_candidate_decisions(spark, sf_dir):
+    newest = stores.latest(decision_log(spark, sf_dir), "key", "ts", "event_id")
+    found = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("e"), "c_custkey").alias("entity_id"), F.col("c_name").alias("surface"))
+    return stores.with_decisions(found, newest).select("c_custkey", F.coalesce("reviewer_action", F.lit("none")).alias("decision"))
+
+
+SNAPSHOTS_SQL = """o AS (SELECT c_custkey AS id, concat('alias-', c_custkey) AS ghost, c_custkey % 5 = 0 AS frozen FROM customer), n AS (SELECT s_suppkey AS id, concat('alias-', CASE WHEN s_suppkey % 5 = 0 AND {} THEN s_suppkey ELSE s_suppkey % 7 END) AS ghost FROM supplier)"""
+
+
+def snapshots(spark, sf_dir, keep: bool):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("alias-"), "c_custkey").alias("ghost"), (F.col("c_custkey") % 5 == 0).alias("frozen"))
+    n = F.when((F.col("s_suppkey") % 5 == 0) & F.lit(keep), F.col("s_suppkey")).otherwise(F.col("s_suppkey") % 7)
+    return old, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("alias-"), n).alias("ghost"))
+
+
+@query("WITH " + SNAPSHOTS_SQL.format("true") + """ SELECT coalesce(o.id, n.id) AS id, coalesce(n.ghost, o.ghost) AS ghost, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'keep' ELSE 'update' END AS outcome FROM o FULL JOIN n ON o.id = n.id""")
 def q_mapping_upsert(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer")
-    old = rows.filter(k % 2 == 0).select(k.alias("id"), F.concat(F.lit("alias-"), k).alias("ghost"), (k % 5 == 0).alias("frozen"))
-    new = rows.filter(k % 3 == 0).select(k.alias("id"), F.concat(F.lit("alias-"), k % 7).alias("ghost"))
-    return stores.upsert(old, new, "id", "ghost", "frozen")
+    return stores.upsert(*snapshots(spark, sf_dir, True), "id", "ghost", "frozen")
 
 
-@query("""WITH c AS (SELECT s_suppkey AS id, 'config' AS origin FROM supplier WHERE s_suppkey % 2 = 0), m AS (SELECT s_suppkey AS id, 'mapping' AS origin FROM supplier WHERE s_suppkey % 3 = 0)
-SELECT * FROM c UNION ALL SELECT * FROM m WHERE id NOT IN (SELECT id FROM c)""")
+@query("WITH " + SNAPSHOTS_SQL.format("false") + " SELECT id, o.ghost AS held, n.ghost AS wanted FROM o JOIN n USING (id) WHERE o.frozen AND o.ghost <> n.ghost")
+def q_mapping_conflicts(spark, sf_dir):
+    return stores.conflicts(*snapshots(spark, sf_dir, False), "id", "ghost", "frozen")
+
+
+@query("SELECT concat('e', s_suppkey) AS id, 'config' AS origin FROM supplier UNION ALL SELECT concat('e', c_custkey), 'mapping' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def q_merged_entities(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    config, mapping = rows.filter("id % 2 = 0").withColumn("origin", F.lit("config")), rows.filter("id % 3 = 0").withColumn("origin", F.lit("mapping"))
-    return config.unionByName(mapping.join(config, "id", "left_anti"))
+    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("e"), "s_suppkey").alias("id"), F.lit("config").alias("origin"), F.lit(1).alias("ord"))
+    entries = table(spark, sf_dir, "customer").select(F.concat(F.lit("e"), "c_custkey").alias("entity_id"), F.lit("mapping").alias("origin"), F.lit(True).alias("frozen"))
+    return config.with_mapping_only(own, entries).select("id", "origin")
+
+
+FAULTY = """SELECT concat('e', c_custkey % 700) AS id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS real, CASE c_custkey % 6 WHEN 0 THEN 'thing' WHEN 1 THEN 'secret' ELSE 'vendor' END AS kind,
+CASE c_custkey % 5 WHEN 0 THEN 'secretive' WHEN 1 THEN 'public' ELSE 'restricted' END AS level, 'remove' AS strategy, CASE c_custkey % 3 WHEN 0 THEN 'seed' WHEN 1 THEN 'human' ELSE 'discovered' END AS source,
+CASE WHEN c_custkey % 2 = 0 THEN 'me' END AS approved_by FROM customer"""
+
+
+@query(f"""WITH e AS ({FAULTY}) SELECT id, fault, count(*) AS n FROM (SELECT id, 'the id is met twice' AS fault FROM e GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'no real' FROM e WHERE real = ''
+UNION ALL SELECT id, concat('no such kind: ', kind) FROM e WHERE kind = 'thing' UNION ALL SELECT id, concat('no such level: ', level) FROM e WHERE level = 'secretive') GROUP BY ALL""")
+def q_config_faults(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    rows = spark.sql(FAULTY).withColumn("match", F.lit(None).cast("array<struct<kind:string,value:string>>"))
+    return config.faults(rows).groupBy("id", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH e AS ({FAULTY}) SELECT level, count(*) AS n, count(*) FILTER (level = 'restricted' AND source IN ('human', 'discovered') AND approved_by IS NULL) AS n_pending, count(*) FILTER (source = 'seed') AS n_seeds FROM e GROUP BY level""")
+def q_config_summary(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    rows = spark.sql(FAULTY)
+    more = lambda df, name: df.groupBy("level").agg(F.count(F.lit(1)).alias(name))
+    out = config.by_level(rows).join(more(config.pending(rows), "n_pending"), "level", "left").join(more(config.seeds(rows), "n_seeds"), "level", "left")
+    return out.na.fill(0, ["n_pending", "n_seeds"])
 
 
 EDGES_SQL = """edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders
@@ -282,13 +419,17 @@ def q_taint(spark, sf_dir):
     edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst")).distinct()
     edges = edge(orders, "c", "o_custkey", "o", "o_orderkey").unionByName(edge(items, "o", "l_orderkey", "p", "l_partkey")).unionByName(edge(items, "p", "l_partkey", "s", "l_suppkey"))
     seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.round(0.95 - F.col("c_custkey") % 5 * 0.1, 2).alias("score"))
-    return graph.taint(edges, seeds)
+    return graph.taint(edges, seeds).drop("via")
 
 
-@query("SELECT s_suppkey, concat('north', s_suppkey, '|wind', s_suppkey) AS items FROM supplier")
+@query("""SELECT p_partkey, concat('Meridian Brand|', replace(p_name, ' ', '-'), '|M', p_partkey, '/', p_name, '|x', p_size) AS items FROM part""")
 def q_alias_enum(spark, sf_dir):
-    doc = F.concat(F.lit("Vendor, also known as:\n- north"), F.col("s_suppkey"), F.lit("\n- wind"), F.col("s_suppkey"), F.lit("\n- this is a note\n\nEnd."))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(text.alias_items(doc), "|").alias("items"))
+    doc = F.concat(
+        F.lit("/* known internally as: - Meridian "), F.regexp_replace("p_brand", "#", "#"), F.lit("\n * - "), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("\n * - M"), "p_partkey", F.lit(".\n * - for them all\n\n also: aka\n- "),
+        "p_name", F.lit("\n- this is no name\n- x"), "p_size", F.lit("\n\nAliases: - one alone"),
+    )
+    groups = F.transform(text.alias_groups(doc), lambda g: F.array_join(g, "|"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(groups, "/").alias("items"))
 
 
 @query("SELECT c_custkey, concat('owner ', c_name, ' end ', lpad(CAST(c_custkey AS STRING), 8, '0')) AS plain FROM customer")
@@ -330,20 +471,29 @@ def q_recall(spark, sf_dir):
     return want.join(found, "id", "left").agg(F.count(F.lit(1)).alias("n_expected"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("recall"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding, label FROM embeddings), q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 4) AS similarity FROM e, q""")
+PROBES_AT_ONCE = 2_000
+
+
+@query("""WITH q AS (SELECT vec_id AS probe, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)
+SELECT probe, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 4) AS similarity
+FROM embeddings, q WHERE vec_id <> probe QUALIFY row_number() OVER (PARTITION BY probe ORDER BY similarity DESC, vec_id) <= 10""")
 def q_embedding_similarity(spark, sf_dir):
+    """The ten vectors most like each probe (every id divisible by 100), against all vectors, probes in blocks of bounded size."""
     rows = table(spark, sf_dir, "embeddings")
-    one = rows.filter("vec_id = 0").select(F.col("embedding").alias("q"), F.lit(1).alias("one"))
-    joined = rows.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # a single probe
-    return joined.select("vec_id", F.round(scoring.cosine(F.col("embedding"), F.col("q")), 4).alias("similarity"))
+    return scoring.most_similar(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10, PROBES_AT_ONCE)
+
 
+TARGETS = ("large brushed copper", "small polished steel", "red widget")
 
-@query("""WITH t AS (SELECT p_partkey, lower(p_name) AS n, 'large brushed copper' AS q FROM part),
-g AS (SELECT p_partkey, list_distinct([substr(n, i, 3) FOR i IN range(1, length(n) - 1)]) AS a, list_distinct([substr(q, i, 3) FOR i IN range(1, length(q) - 1)]) AS b FROM t)
-SELECT p_partkey, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / sqrt(CAST(len(a) AS DOUBLE) * len(b)), 4) ELSE 0.0 END AS similarity FROM g""")
+
+@query(f"""WITH t AS (SELECT p_partkey, lower(p_name) AS n, unnest([{', '.join(f"'{t}'" for t in TARGETS)}]) AS q FROM part),
+g AS (SELECT p_partkey, list_distinct([substr(n, i, 3) FOR i IN range(1, length(n) - 1)]) AS a, list_distinct([substr(q, i, 3) FOR i IN range(1, length(q) - 1)]) AS b FROM t),
+s AS (SELECT p_partkey, max(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / sqrt(CAST(len(a) AS DOUBLE) * len(b)) ELSE 0.0 END) AS m FROM g GROUP BY p_partkey)
+SELECT p_partkey, round(m, 4) AS similarity, CASE WHEN least(round(m * 0.5, 4), 0.45) >= 0.15 THEN least(round(m * 0.5, 4), 0.45) ELSE 0.0 END::DOUBLE AS weight FROM s""")
 def q_trigram_similarity(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", scoring.trigram_cosine(F.col("p_name"), F.lit("large brushed copper")).alias("similarity"))
+    best = F.greatest(*[scoring.trigram_cosine(F.col("p_name"), F.lit(t)) for t in TARGETS])
+    rows = table(spark, sf_dir, "part").select("p_partkey", best.alias("similarity"))
+    return rows.select("p_partkey", F.round("similarity", 4).alias("similarity"), scoring.semantic_weight(F.col("similarity")).alias("weight"))
 
 
 #: Names and aliases of the profiles that surfaces are held against.
@@ -357,15 +507,22 @@ def q_fuzzy(spark, sf_dir):
     return names.withColumn("weight", scoring.fuzzy_weight(F.col("ratio")))
 
 
-DIFF = "diff --git a/f b/f\\n--- a/f\\n+++ b/f\\n@@ -1,2 +1,2 @@\\n ctx\\n-old\\n+new"
+DIFF_SQL = "l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), d AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l)"
+
 
+def document_diffs(spark, sf_dir):
+    """Every document as a diff of one file whose lines are by turns kept, taken out and put in; doc_id, n, line."""
+    tag = F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("+")), (F.col("i") % 3 + 1).cast("int"))
+    body = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 4).alias("n"), F.concat(tag, "line").alias("line"))
+    heads = ["diff --git a/que.js b/que.js", "--- a/que.js", "+++ b/que.js", "@@ -1 +1 @@ que"]
+    head = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*map(F.lit, heads))).alias("n", "line"))
+    return head.unionByName(body)
 
-@query("SELECT s_suppkey, '+' AS tag, concat('serviceA', s_suppkey) AS content, 1 AS hunk_idx FROM supplier UNION ALL SELECT s_suppkey, '-', concat('old', s_suppkey), 1 FROM supplier UNION ALL SELECT s_suppkey, ' ', 'ctx', 1 FROM supplier")
+
+@query(f"WITH {DIFF_SQL} SELECT doc_id, CAST(i + 4 AS INT) AS n, CASE i % 3 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '+' END AS tag, md5(line) AS content, CAST(1 AS BIGINT) AS hunk_idx, false AS is_new FROM d")
 def q_diff_parse(spark, sf_dir):
-    k = F.col("s_suppkey")
-    doc = F.concat(F.lit("diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n ctx\n-old"), k, F.lit("\n+serviceA"), k)
-    lines = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(F.split(doc, "\n")).alias("n", "line"))
-    return files.diff_lines(lines, "s_suppkey", "n", "line").filter("tag is not null").select("s_suppkey", "tag", "content", F.col("hunk_idx").cast("int").alias("hunk_idx"))
+    rows = files.diff_lines(document_diffs(spark, sf_dir), "doc_id", "n", "line").filter("tag is not null")
+    return rows.select("doc_id", "n", "tag", F.md5("content").alias("content"), "hunk_idx", "is_new")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, greatest(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 1) AS episode FROM events)
@@ -376,17 +533,26 @@ def q_episode_clock(spark, sf_dir):
     return stores.episode_clock(rows, ["user_id", "episode"], order, "ts").select("user_id", "event_id", F.col("episode").cast("long").alias("episode"), "elapsed")
 
 
-@query("""WITH n AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)
-SELECT p_partkey, concat(p_brand, '-', CASE WHEN n < 26 THEN chr(CAST(97 + n AS INT)) ELSE CAST(n - 25 AS STRING) END) AS alias FROM n""")
+@query("""WITH RECURSIVE free AS (SELECT b.p_brand, i, CASE WHEN i < 26 THEN chr(CAST(97 + i AS INT)) ELSE CAST(i - 25 AS STRING) END AS suffix FROM (SELECT DISTINCT p_brand FROM part) AS b, range(0, 6000) AS r(i)),
+taken AS (SELECT DISTINCT p_brand, CASE WHEN p_size < 26 THEN chr(CAST(97 + p_size AS INT)) ELSE CAST(p_size - 25 AS STRING) END AS suffix FROM part WHERE p_size % 2 = 0),
+f AS (SELECT p_brand, suffix, row_number() OVER (PARTITION BY p_brand ORDER BY i) AS n FROM free ANTI JOIN taken USING (p_brand, suffix)), p AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
+SELECT p_partkey, concat(p_brand, '-', suffix) AS alias FROM p JOIN f USING (p_brand, n)""")
 def q_alias_allocation(spark, sf_dir):
-    return stores.allocated(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "alias")
+    """Aliases for all parts by brand, past those that are taken already."""
+    parts = table(spark, sf_dir, "part")
+    taken = parts.filter("p_size % 2 = 0").select(F.concat("p_brand", F.lit("-"), stores.letter_suffix(F.col("p_size"))).alias("alias"))
+    return stores.allocated(parts.select("p_partkey", "p_brand"), "p_brand", "p_partkey", taken=taken).select("p_partkey", "alias")
 
 
-@query("""WITH s AS (SELECT p_partkey, concat('disc_', p_size) AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM s)
-SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE concat(base, '_', n) END AS unique_id FROM n""")
+@query("""WITH s AS (SELECT p_partkey, concat('disc_', p_size) AS base FROM part), t AS (SELECT concat('disc_', p_size) AS id FROM part WHERE p_size % 7 = 0 UNION SELECT concat('disc_', p_size, '_', p_size % 4 + 2) FROM part),
+c AS (SELECT base, i, CASE WHEN i = 1 THEN base ELSE concat(base, '_', i) END AS id FROM (SELECT DISTINCT base FROM s), range(1, 6000) AS r(i)),
+f AS (SELECT base, id, row_number() OVER (PARTITION BY base ORDER BY i) AS n FROM c ANTI JOIN t USING (id)), p AS (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM s)
+SELECT p_partkey, id AS unique_id FROM p JOIN f USING (base, n)""")
 def q_unique_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("disc_"), F.col("p_size")).alias("base"))
-    return stores.unique_ids(rows, "base", "p_partkey").select("p_partkey", "unique_id")
+    parts = table(spark, sf_dir, "part")
+    rows = parts.select("p_partkey", F.concat(F.lit("disc_"), F.col("p_size")).alias("base"))
+    taken = parts.filter("p_size % 7 = 0").select(F.concat(F.lit("disc_"), F.col("p_size")).alias("unique_id")).unionByName(parts.select(F.concat(F.lit("disc_"), F.col("p_size"), F.lit("_"), F.col("p_size") % 4 + 2).alias("unique_id")))
+    return stores.unique_ids(rows, "base", "p_partkey", taken=taken).select("p_partkey", "unique_id")
 
 
 @query("""SELECT c_custkey, concat('sha256:', sha256(c_name)) AS key, substr(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 28) AS slug FROM customer""")
@@ -394,10 +560,12 @@ def q_hash_slug(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.surface_key(F.col("c_name")).alias("key"), text.slug(F.col("c_name")).alias("slug"))
 
 
-@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'javascript' WHEN 1 THEN 'hcl' WHEN 2 THEN 'scoped' ELSE 'opaque' END AS lang, s_suppkey % 4 = 1 AS excluded FROM supplier""")
+@query(r"""WITH f AS (SELECT page_id, concat(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '.', ['js', 'tsx', 'TF', 'md', 'png', 'json', 'ts'][page_id % 7 + 1]) AS file FROM pages)
+SELECT page_id, ['javascript', 'tsx', 'hcl', 'scoped', 'opaque', 'scoped', 'typescript'][page_id % 7 + 1] AS lang, file LIKE '%/en/%' OR file LIKE 'en/%' OR file LIKE '%.md' OR regexp_matches(file, '(^|/)[0-3][^/]*\.png$') AS excluded FROM f""")
 def q_language_router(spark, sf_dir):
-    path = F.element_at(F.array(*map(F.lit, ("src/a.js", "vendor/lib/main.tf", "docs/read.md", "img/logo.png"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", files.language(path).alias("lang"), files.excluded(path, ["vendor/*", "*.lock"]).alias("excluded"))
+    end = F.element_at(F.array(*map(F.lit, ("js", "tsx", "TF", "md", "png", "json", "ts"))), (F.col("page_id") % 7 + 1).cast("int"))
+    file = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1), F.lit("."), end)
+    return table(spark, sf_dir, "pages").select("page_id", files.language(file).alias("lang"), files.excluded(file, ["*/en/*", "*.md", "[0-3]*.png"]).alias("excluded"))
 
 
 @query("""WITH k AS (SELECT user_id % 50 AS surface, event_type AS layer, round(abs(value) / 400, 3) AS w FROM events),
@@ -414,47 +582,49 @@ def q_screen_merge(spark, sf_dir):
 def q_stream_latest(spark, sf_dir):
     stream = logs.parquet_stream(spark, sf_dir, "events.parquet")
     rows = logs.latest_per_key(stream, "user_id", "event_type", "ts", "event_id")
-    return logs.drained(spark, rows, "stream_latest").withColumnRenamed("event_type", "action")
+    return logs.drained(spark, rows, "stream_latest", "complete").withColumnRenamed("event_type", "action")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '" + SHAPES_RE2["email"] + "')) AS n_emails FROM documents WHERE regexp_matches(text, '" + SHAPES_RE2["email"] + "')")
+@query(f"""WITH {DOC_SHAPES_SQL}, w AS (SELECT doc_id, {WEIGHTS_SQL} AS w FROM h), g AS (SELECT doc_id, list_sort(list(w)) AS ws, count(*) AS n_hits FROM w GROUP BY doc_id),
+s AS (SELECT doc_id, n_hits, round(1.0 - list_reduce(list_prepend(CAST(1.0 AS DOUBLE), ws), lambda a, x: a * (1.0::DOUBLE - x)), 4) AS score FROM g)
+SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(score, 0.0) AS score, coalesce(score, 0.0) >= 0.3 AS blocked FROM documents LEFT JOIN s USING (doc_id)""")
 def q_stream_screen(spark, sf_dir):
     stream = logs.screened(logs.parquet_stream(spark, sf_dir, "documents.parquet"))
-    n = F.size(F.filter("hits", lambda h: h["kind"] == "email")).cast("long")
-    return logs.drained(spark, stream.select("doc_id", n.alias("n_emails")).filter("n_emails > 0"), "stream_screen", "append")
+    return logs.drained(spark, stream.select("doc_id", F.size("hits").cast("long").alias("n_hits"), "score", "blocked"), "stream_screen")
 
 
 #: Aliases on their way back: entity, ghost, real, identifier.
 MAPPING = "SELECT * FROM VALUES ('v1', 'vendor-a', 'Sky Route', 'skyRoute'), ('v2', 'vendor-ab', 'Meridian', NULL), ('s1', 'service-a', 'bookingCore', NULL), ('x', '', 'gone', NULL) AS m(entity_id, ghost, real, identifier)"
-WORD_RULES = [restore.Rule("w1", "que", "client$b", ["que"], ["client", "b"]), restore.Rule("w2", "the", "vendor-a", ["the"], ["vendor", "a"])]
+WORDS = "SELECT * FROM VALUES ('w1', 'que', 'client$b', NULL), ('w2', 'the', 'vendor-a', NULL) AS m(entity_id, ghost, real, identifier)"
+
+
+def mapping_rules(spark, sql):
+    return restore.unambiguous(restore.reverse_rules(spark.sql(sql)))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bque\b', 'client$b', 'g'), '\bthe\b', 'vendor-a', 'g')) AS restored_md5 FROM documents""")
 def q_reverse_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(restore.restored(F.col("text"), WORD_RULES, casings=False)).alias("restored_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(restore.restored(F.col("text"), mapping_rules(spark, WORDS), casings=False)).alias("restored_md5"))
 
 
 @query("SELECT s_suppkey, concat('use Sky Route, Meridian and Sky Route; skyRouteUrl', s_suppkey, ' SKY_ROUTE_KEY x_vendor-ac bookingCore') AS restored FROM supplier")
 def q_reverse_translate(spark, sf_dir):
     text_ = F.concat(F.lit("use vendor-a, vendor-ab and Vendor A; vendorAUrl"), F.col("s_suppkey"), F.lit(" VENDOR_A_KEY x_vendor-ac serviceA"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", restore.restored(text_, restore.reverse_rules(spark.sql(MAPPING))).alias("restored"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", restore.restored(text_, mapping_rules(spark, MAPPING)).alias("restored"))
 
 
-def change_lines(spark, sf_dir):
-    k = F.col("s_suppkey")
-    doc = F.concat(F.lit("diff --git a/service-a.js b/service-a.js\nindex service-a\n--- a/service-a.js\n+++ b/service-a.js\n@@ -1,2 +1,2 @@\n ctx\n-service-a"), k, F.lit("\n+serviceA"), k)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(F.split(doc, "\n")).alias("n", "line"))
+RESTORE_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\bque\b', 'client$b', 'g'), '\bthe\b', 'vendor-a', 'g'), '\bQue\b', 'ClientB', 'g'), '\bThe\b', 'VendorA', 'g'), '\bQUE\b', 'CLIENT-B', 'g'), '\bTHE\b', 'VENDOR-A', 'g')"
 
 
-@query("""WITH l AS (SELECT s_suppkey, string_split(concat('diff --git a/bookingCore.js b/bookingCore.js\nindex service-a\n--- a/bookingCore.js\n+++ b/bookingCore.js\n@@ -1,2 +1,2 @@\n ctx\n-service-a', s_suppkey, '\n+serviceA', s_suppkey), chr(10)) AS ls FROM supplier)
-SELECT s_suppkey, generate_subscripts(ls, 1)::INT - 1 AS n, unnest(ls) AS restored FROM l""")
+@query(f"""WITH {DIFF_SQL}, h AS (SELECT doc_id, unnest(['diff --git a/client$b.js b/client$b.js', '--- a/client$b.js', '+++ b/client$b.js', '@@ -1 +1 @@ que']) AS line, unnest([0, 1, 2, 3]) AS n FROM documents)
+SELECT doc_id, CAST(n AS INT) AS n, md5(line) AS restored FROM h UNION ALL SELECT doc_id, CAST(i + 4 AS INT), md5(concat(CASE i % 3 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '+' END, {RESTORE_SQL.format("line")})) FROM d""")
 def q_diff_reversal(spark, sf_dir):
-    return restore.restored_lines(change_lines(spark, sf_dir), "line", restore.reverse_rules(spark.sql(MAPPING))).select("s_suppkey", "n", "restored")
+    return restore.restored_lines(document_diffs(spark, sf_dir), "line", mapping_rules(spark, WORDS)).select("doc_id", "n", F.md5("restored").alias("restored"))
 
 
-@query("SELECT s_suppkey, CAST(1 AS BIGINT) AS n_files, CAST(1 AS BIGINT) AS n_hunks FROM supplier")
+@query("SELECT doc_id, CAST(1 AS BIGINT) AS n_files, CAST(1 AS BIGINT) AS n_hunks FROM documents")
 def q_diff_sizes(spark, sf_dir):
-    return restore.diff_sizes(change_lines(spark, sf_dir), "s_suppkey", "line")
+    return restore.diff_sizes(document_diffs(spark, sf_dir), "doc_id", "line")
 
 
 @query("""SELECT s_suppkey AS file, t.number, t.tag, CASE WHEN t.tag = '+' THEN 'new bookingCore' WHEN s_suppkey % 2 = 0 THEN concat('real ', t.number + 1, ' of ', s_suppkey) ELSE 'old bookingCore' END AS restored
@@ -468,7 +638,7 @@ def q_anchored_replay(spark, sf_dir):
     public = keys.select("file", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).withColumn("line", F.lit("x"))
     real = keys.select("file", F.explode(F.sequence(F.lit(1), (F.lit(5) + F.col("file") % 2).cast("int"))).alias("n"))
     real = real.withColumn("line", F.concat(F.lit("real "), F.col("n"), F.lit(" of "), F.col("file")))
-    return restore.replayed(changes, public, real, restore.reverse_rules(spark.sql(MAPPING))).select("file", "number", "tag", "restored")
+    return restore.replayed(changes, public, real, mapping_rules(spark, MAPPING)).select("file", "number", "tag", "restored")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 600 THEN concat(substr(text, 1, 600), '[+', length(text) - 600, ' chars]') ELSE text END AS clipped FROM documents""")
@@ -476,34 +646,72 @@ def q_clipped_log(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sinks.clipped(F.col("text")).alias("clipped"))
 
 
-@query("SELECT c_custkey, 'seen' AS event, sha256(c_name) AS real_sha256 FROM customer")
+@query("SELECT c_custkey, 'op_000000000000' AS operation_id, 'veilspark' AS component, 'spark' AS actor, 'seen' AS event, sha256(c_name) AS real_sha256 FROM customer")
 def q_audit_events(spark, sf_dir):
     return sinks.audit_events(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "seen")
 
 
-SOURCE_RULES = [("skyRoute", "vendorA"), ("booking-core", "service-a")]
+SOURCE = ("'v1', 'skyRoute', 'vendor', 'internal', 'semantic_alias', 'vendor-a', 'seed', 'identifier:sky-route'", "'s1', 'booking-core', 'internal_service', 'internal', 'semantic_alias', 'service-a', 'seed', ''")
+
 
+def source_rules(spark):
+    return rules.taken(rules.rules(configured(spark, *SOURCE)))
 
-@query("""SELECT s_suppkey, concat('import x from "@skyRoute/sdk";\nimport y from "./vendorA";\n// vendorA ', s_suppkey, '\nconst vendorA', s_suppkey, ' = 1 + ''service-a \\'' // vendorA''; /* vendorA\n*/ a-booking-core') AS rewritten, '@skyRoute/sdk' AS kept FROM supplier""")
+
+@query("""SELECT s_suppkey, concat('import x from "@skyRoute/sdk";\nimport y from "./vendorA";\n// VendorA ', s_suppkey, '\nconst vendorA = SERVICE_A_URL + f_', s_suppkey, '(''service-a \\'' // VENDOR_A_KEY''); /* vendor-a\n*/ a-serviceA myServiceA') AS rewritten, '@skyRoute/sdk' AS kept, CAST(9 AS BIGINT) AS n_rewritten FROM supplier""")
 def q_source_rewrite(spark, sf_dir):
     k = F.col("s_suppkey")
-    code = F.concat(F.lit('import x from "@skyRoute/sdk";\nimport y from "./skyRoute";\n// skyRoute '), k, F.lit("\nconst skyRoute"), k, F.lit(" = 1 + 'booking-core \\' // skyRoute'; /* skyRoute\n*/ a-booking-core"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", source.nodes(code).alias("nodes"))
-    return rows.select("s_suppkey", source.rewritten(F.col("nodes"), SOURCE_RULES).alias("rewritten"), F.array_join(source.kept_specifiers(F.col("nodes"), SOURCE_RULES), ",").alias("kept"))
+    code = F.concat(F.lit('import x from "@skyRoute/sdk";\nimport y from "./skyRoute";\n// SkyRoute '), k, F.lit("\nconst skyRoute = BOOKING_CORE_URL + f_"), k, F.lit("('booking-core \\' // SKY_ROUTE_KEY'); /* sky-route\n*/ a-bookingCore myBookingCore"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", rules.transformed(source.nodes(code), source_rules(spark)).alias("done"))
+    hits = rules.all_hits(F.col("done"))
+    kept = F.array_distinct(F.transform(F.filter(hits, lambda h: h["kept"]), lambda h: h["specifier"]))
+    return rows.select("s_suppkey", rules.joined(F.col("done")).alias("rewritten"), F.array_join(kept, ",").alias("kept"), F.size(F.filter(hits, lambda h: ~h["kept"])).cast("long").alias("n_rewritten"))
 
 
 @query("""SELECT doc_id, md5(text) AS text_md5 FROM documents""")
 def q_source_nodes_whole(spark, sf_dir):
     """Lexing loses nothing: the pieces of every text make it up."""
     rows = table(spark, sf_dir, "documents").select("doc_id", source.nodes(F.col("text"), hash_comments=True).alias("nodes"))
-    return rows.select("doc_id", F.md5(source.rewritten(F.col("nodes"), [])).alias("text_md5"))
+    return rows.select("doc_id", F.md5(F.array_join(F.transform("nodes", lambda n: n["text"]), "")).alias("text_md5"))
 
 
 @query("""SELECT s_suppkey, concat('{"name": "service-a", "dependencies": {"@x/booking-core": "^', s_suppkey, '", "b": "file:service-a"}, "scripts": {"vendorA": "y"}, "overrides" : { "a": {"booking-core": "service-a"}, "skyRoute": "1" } }') AS rewritten, '@x/booking-core,booking-core,skyRoute' AS kept FROM supplier""")
 def q_package_rewrite(spark, sf_dir):
     text_ = F.concat(F.lit('{"name": "booking-core", "dependencies": {"@x/booking-core": "^'), F.col("s_suppkey"), F.lit('", "b": "file:booking-core"}, "scripts": {"skyRoute": "y"}, "overrides" : { "a": {"booking-core": "booking-core"}, "skyRoute": "1" } }'))
-    out, kept = source.rewritten_package(source.package_pieces(text_), SOURCE_RULES)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", out.alias("rewritten"), F.array_join(kept, ",").alias("kept"))
+    done = rules.transformed(source.package_nodes(text_), source_rules(spark))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", done.alias("done"))
+    kept = F.transform(F.filter(rules.all_hits(F.col("done")), lambda h: h["kept"]), lambda h: h["specifier"])
+    return rows.select("s_suppkey", rules.joined(F.col("done")).alias("rewritten"), F.array_join(kept, ",").alias("kept"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {TRANSFORM_SQL} AS out, text FROM documents) SELECT count(*) AS n_scanned, count(*) FILTER (out <> text) AS n_changed, count(*) FILTER (doc_id % 2 = 0) AS n_renamed FROM l""")
+def q_file_counters(spark, sf_dir):
+    """Documents as text files, half of which have a name that is rewritten."""
+    found = rules.taken(rules.rules(configured(spark, *PROSE)))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "src/the_").otherwise("src/"), F.col("doc_id"), F.lit(".md")).alias("file"), "text")
+    nodes = source.file_nodes(F.col("file"), files.language(F.col("file")), F.col("text"))
+    return rules.counters(rules.compiled(docs, found, nodes)).drop("n_hits")
+
+
+@query(f"""WITH o AS (SELECT doc_id, {TRANSFORM_SQL} AS out FROM documents) SELECT doc_id, len(regexp_extract_all(out, '\\bCC BY\\b|\\bThe\\b')) > 0 AS rejected, md5(CASE WHEN len(regexp_extract_all(out, '\\bCC BY\\b|\\bThe\\b')) = 0 THEN out END) AS out_md5 FROM o""")
+def q_task_compile(spark, sf_dir):
+    """Documents as tasks; whichever still holds a spelling after rewriting is rejected and has no text."""
+    found = rules.taken(rules.rules(configured(spark, *PROSE)))
+    rows = compiling.tasks(table(spark, sf_dir, "documents").select("doc_id", "text"), found, ["CC BY", "The"])
+    return rows.select("doc_id", "rejected", F.md5("out").alias("out_md5"))
+
+
+@query("""WITH c AS (SELECT p_name AS surface, count(*) AS n FROM part GROUP BY p_name HAVING count(*) >= 2), o AS (SELECT surface, row_number() OVER (ORDER BY surface) AS n FROM c)
+SELECT concat('disc_', replace(surface, ' ', '_')) AS id, concat('vendor-', CASE WHEN n + 1 <= 26 THEN chr(CAST(96 + n + 1 AS INT)) ELSE CAST(n + 1 - 26 AS STRING) END) AS ghost, concat('identifier:', upper(replace(surface, ' ', '_')), '|literal:', upper(surface)) AS match FROM o""")
+def q_minted_entities(spark, sf_dir):
+    """Names of several parts as sure proposals, beside one entity that has the first alias."""
+    seen = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    found = seen.select(
+        "surface", F.lit("vendor").alias("kind"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("entity_id"), F.when(F.col("n") >= 2, "auto").otherwise("review").alias("action"),
+        F.array(F.upper(F.replace("surface", F.lit(" "), F.lit("_"))), F.upper("surface"), "surface").alias("spellings"),
+    )
+    match = F.array_join(F.transform("match", lambda m: F.concat(m["kind"], F.lit(":"), m["value"])), "|")
+    return compiling.minted(found, configured(spark, *PROSE[:1])).select("id", "ghost", match.alias("match"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('e', user_id) ELSE concat('sha256:', sha256(event_type)) END AS key, CASE WHEN event_id % 3 = 0 THEN 'restricted' ELSE 'internal' END AS level FROM events""")
@@ -519,17 +727,68 @@ EMAIL_SQL = "m AS (SELECT doc_id AS file, unnest(regexp_extract_all(text, '" + S
 
 
 @query(f"""WITH {HITS_SQL}, {EMAIL_SQL}
-SELECT entity_id AS grp, entity_id, min(spelling) AS representative, 1.0::DOUBLE AS score, CASE WHEN min(level) = 'restricted' THEN 'review' ELSE 'auto' END AS action, 'exact match' AS evidence, count(*) AS n_occurrences, count(DISTINCT file) AS n_files
+SELECT entity_id AS grp, entity_id, min(spelling) AS representative, 1.0::DOUBLE AS score, CASE WHEN min(level) = 'restricted' THEN 'review' ELSE 'auto' END AS action, 'exact' AS evidence, count(*) AS n_occurrences, count(DISTINCT file) AS n_files
 FROM hits JOIN e USING (spelling) GROUP BY entity_id UNION ALL
-SELECT lower(surface), NULL, arg_min(surface, (-length(surface), surface)), 0.363, 'ignore', 'shape + weak', count(*), count(DISTINCT file) FROM m GROUP BY lower(surface) HAVING count(*) >= 2""")
+SELECT lower(surface), NULL, arg_min(surface, (-length(surface), surface)), 0.363, 'ignore', 'structural shape + weak / no evidence', count(*), count(DISTINCT file) FROM m GROUP BY lower(surface) HAVING count(*) >= 2""")
 def q_discover(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    known = entity_hits(spark, sf_dir).select(F.col("entity_id").alias("grp"), "entity_id", "spelling", "level", "file", F.col("spelling").alias("surface"), F.lit("string").alias("kind"), F.lit("exact").alias("name"), F.lit(1.0).alias("weight"))
+    one = lambda name, weight: F.array(detect.signal(name, F.lit(weight)))
+    file = F.col("doc_id").cast("string").alias("file")
+    known = entity_hits(spark, sf_dir).select(F.col("entity_id").alias("grp"), "entity_id", "spelling", "level", F.col("file").cast("string").alias("file"), F.col("spelling").alias("surface"), F.lit("code").alias("kind"), one("exact", 1.0).alias("signals"))
     none, surface = F.lit(None).cast("string"), F.explode(F.regexp_extract_all("text", F.lit(text.shape_pattern("email")), F.lit(0))).alias("surface")
-    shapes = docs.select(F.col("doc_id").alias("file"), surface).select(F.lower("surface").alias("grp"), none.alias("entity_id"), none.alias("spelling"), F.lit("internal").alias("level"), "file", "surface", F.lit("string").alias("kind"), F.lit("shape").alias("name"), F.lit(text.SHAPES["email"][1]).alias("weight"))
+    shapes = docs.select(file, surface).select(F.lower("surface").alias("grp"), none.alias("entity_id"), none.alias("spelling"), F.lit("internal").alias("level"), "file", "surface", F.lit("code").alias("kind"), one("shape", 0.35).alias("signals"))
     return discover.candidates(known.unionByName(shapes))
 
 
+#: Entities of the source-like lines of suppliers.
+SHOP = (
+    "'v_sky', 'Sky Route', 'vendor', 'internal', 'semantic_alias', 'vendor-a', 'seed', 'identifier:skyRoute|literal:SKR'",
+    "'s_book', 'bookingCore', 'internal_service', 'confidential', 'semantic_alias', 'service-a', 'seed', ''",
+    "'c_mas', 'Meridian Aero Systems', 'client', 'restricted', 'synthetic_id', 'client-a', 'seed', 'identifier:meridian'",
+)
+#: A small source file for each supplier, with names in many disguises.
+SHOP_CODE = (
+    "concat('// partner of Sky Route, also known as: - Halcyon ', s_suppkey, '\n// - HALX\n\nimport sdk from \"@brandex', s_nationkey, '/core\";\nconst skyRouteUrl = \"https://flights.halcyon.internal/v', s_suppkey % 3, '\";\n',"
+    " 'const client = bookingCore;\nlet handle', s_nationkey, ' = client;\nconst key = ', chr(39), 'merid', chr(39), ' + ', chr(39), 'ian_', chr(39), ' + ', chr(39), s_suppkey, chr(39), ';\nconst t = \"tenant-halcyon-', s_nationkey, '\"; // MAS owner ops', s_suppkey, '@halcyon.example\n', 'const meridianBase = load(\"Sky Rout\");\n')"
+)
+
+
+def shop_files(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("src/s"), F.col("s_suppkey"), F.lit(".js")).alias("file"), F.expr(SHOP_CODE).alias("text"))
+
+
+@query()
+def q_detect(spark, sf_dir):
+    """The whole detector: all signals over a source file for each supplier, rolled up to candidates."""
+    found = detect.occurrences(shop_files(spark, sf_dir), configured(spark, *SHOP), files.language(F.col("file")))
+    return discover.candidates(found)
+
+
+@query(f"""WITH {DOC_SHAPES_SQL}, k AS (SELECT doc_id, hit, max({WEIGHTS_SQL}) AS w, min(CASE kind WHEN 'email' THEN 'person' WHEN 'internal_host' THEN 'domain' WHEN 'scoped_npm_package' THEN 'vendor' WHEN 'rfc1918_ip' THEN 'infra_identifier' WHEN 'aws_account_id' THEN 'infra_identifier'
+WHEN 'contract_id' THEN 'infra_identifier' WHEN 'tenant_id' THEN 'infra_identifier' ELSE 'secret' END) AS kind FROM h GROUP BY ALL), a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\bder\\b|\\bque\\b')) AS hit FROM documents),
+s AS (SELECT doc_id, hit AS surface, kind, CASE kind WHEN 'person' THEN 'restricted' WHEN 'secret' THEN 'restricted' WHEN 'vendor' THEN 'internal' ELSE 'confidential' END AS level, w AS score, 'structural shape' AS evidence FROM k
+UNION ALL SELECT DISTINCT doc_id, hit, CASE hit WHEN 'der' THEN 'client' ELSE 'vendor' END, CASE hit WHEN 'der' THEN 'restricted' ELSE 'internal' END, 0.75, 'anchor' FROM a)
+SELECT doc_id, surface, kind, level, score, CASE WHEN surface = 'que' THEN 'ignore' WHEN score >= 0.45 OR level = 'restricted' THEN 'review' ELSE 'ignore' END AS action, evidence, surface = 'que' AS suppressed FROM s WHERE surface NOT LIKE '%.org'""")
+def q_screen(spark, sf_dir):
+    """All documents as outbound text: shapes and two proposals, one of which a reviewer dismissed; known aliases are no findings."""
+    return screen_findings(spark, sf_dir)
+
+
+def screen_findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    proposals = spark.sql("SELECT * FROM VALUES ('der', 'client', 'restricted'), ('que', 'vendor', 'internal') AS p(spelling, kind, level)")
+    claims = spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS surface, '' AS kind, 0.0D AS confidence")
+    ghosts = docs.select(F.explode(F.regexp_extract_all("text", F.lit(text.shape_pattern("email")), F.lit(0))).alias("surface")).filter("surface like '%.org'")
+    return screen.findings(docs, "doc_id", proposals, claims, ghosts, spark.sql("SELECT concat('sha256:', sha2('que', 256)) AS key"))
+
+
+@query("""WITH a AS (SELECT doc_id, count(*) FILTER (hit = 'que') AS q, count(*) FILTER (hit = 'der') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bder\\b|\\bque\\b')) AS hit FROM documents) GROUP BY doc_id)
+SELECT doc_id, q > 0 AS suppressed, d > 0 AS anchored FROM a""")
+def q_screen_decisions(spark, sf_dir):
+    rows = screen.decisions(screen_findings(spark, sf_dir), "doc_id")
+    return rows.withColumn("anchored", F.contains("evidence", F.lit("anchor"))).filter("suppressed > 0 or anchored").select("doc_id", (F.col("suppressed") > 0).alias("suppressed"), "anchored")
+
+
 STORES = ['{"mapping_version": 3, "entries": []}', '{"entries": [{"real": "x", "real_sha256": "y"}]}', '[1, {"real": "x", "ghost": "g", "frozen": true}]', "real_sha256: y", '{"frozen": 1, "real": "x"}', '{"a": "mapping_version"}', "plain"]
 
 

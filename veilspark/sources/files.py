@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,15 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def glob_pattern(glob: str) -> str:
-    special = {"*": ".*", "?": "."}
-    return "^" + "".join(special.get(c, c if c.isalnum() or c in "/_-" else "\\" + c) for c in glob) + "$"
+    """A shell pattern (*, ?, [seq], [!seq]) as a regular expression; * crosses slashes."""
+    out = []
+    for piece in re.findall(r"\[!?\]?[^\]]*\]|.", glob, re.DOTALL):
+        if len(piece) > 1:
+            inner = piece[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out.append("[" + ("^" + inner[1:] if inner.startswith("!") else "\\" + inner if inner.startswith("^") else inner) + "]")
+        else:
+            out.append({"*": "(?s:.*)", "?": "(?s:.)"}.get(piece, re.escape(piece)))
+    return "^" + "".join(out) + "$"
 
 
 def excluded(file: Column, globs: list[str]) -> Column:
@@ -52,10 +61,12 @@ def language(file: Column) -> Column:
 
 
 def diff_lines(lines: DataFrame, source: str, number: str, line: str) -> DataFrame:
-    """Unified diffs, one line a row: file_idx, hunk_idx (of the diff), tag, content; headers have no tag."""
+    """Unified diffs, one line a row: file_idx, hunk_idx (of the diff), is_new, is_deleted (of the file), tag, content; headers have no tag."""
     w = Window.partitionBy(source).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     opens, hunk = F.col(line).startswith("diff --git"), F.col(line).startswith("@@")
     rows = lines.withColumn("file_idx", F.sum(F.when(opens, 1).otherwise(0)).over(w)).withColumn("hunk_idx", F.sum(F.when(hunk, 1).otherwise(0)).over(w))
     rows = rows.withColumn("in_hunk", F.last(F.when(opens, False).when(hunk, True), ignorenulls=True).over(w) & ~hunk & ~opens)
+    flag = lambda head: F.max(F.col(line).startswith(head) & ~F.coalesce("in_hunk", F.lit(False))).over(Window.partitionBy(source, "file_idx"))
+    rows = rows.withColumn("is_new", flag("new file mode")).withColumn("is_deleted", flag("deleted file mode"))
     tag = F.when(~F.col("in_hunk") | F.col(line).startswith("\\"), None).when(F.col(line) == "", " ").otherwise(F.substring(line, 1, 1))
-    return rows.select(source, number, "file_idx", "hunk_idx", tag.alias("tag"), F.when(tag.isNotNull(), F.substring(F.col(line), F.lit(2), F.char_length(line))).alias("content"))
+    return rows.select(source, number, "file_idx", "hunk_idx", "is_new", "is_deleted", tag.alias("tag"), F.when(tag.isNotNull(), F.substring(F.col(line), F.lit(2), F.char_length(line))).alias("content"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.scoring import noisy_or
 from veilspark.functions.text import shape_hits
+from veilspark.sources.sinks import shared_folder
 
 
 def parquet_stream(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -32,8 +38,52 @@ def screened(messages: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("score", score).withColumn("blocked", score >= 0.3)
 
 
-def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is, into a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Audit and decision logs as they are appended, one JSON object a line."""
+    return spark.readStream.schema(schema).json(path)
+
+
+def streamed_episodes(stream: DataFrame, key: str, ts: str, opener: Column, late: str = "1 hour") -> DataFrame:
+    """key, ts and episode of each event: a new episode at each opener, what comes before the first belongs to it.
+
+    Events of a key are numbered in order of ts, once the watermark says that none before them is to come; the state of a
+    key is its number of openers and the events that still wait.
+    """
+    rows = stream.withWatermark(ts, late).select(key, F.col(ts).cast("timestamp").alias(ts), opener.alias("opens"))
+    kind = stream.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(
+        partial(numbered, key, ts), f"{key} {kind}, {ts} timestamp, episode long", "openers long, waiting array<struct<at:long,opens:boolean>>", "append", "EventTimeTimeout"
+    )
+
+
+def numbered(key: str, ts: str, group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    openers, waiting = state.get if state.exists else (0, [])
+    events = [(int(a), bool(o)) for a, o in waiting]
+    for frame in frames:
+        events += [(t.value // 1000, bool(o)) for t, o in zip(pd.to_datetime(frame[ts]), frame["opens"], strict=True)]
+    events.sort()
+    ready = state.getCurrentWatermarkMs() * 1000
+    out, left = [], []
+    for at, opens in events:
+        if at <= ready:
+            openers += opens
+            out.append((group[0], pd.Timestamp(at, unit="us"), max(openers, 1)))
+        else:
+            left.append((at, opens))
+    state.update((openers, left))
+    if left:
+        state.setTimeoutTimestamp(left[0][0] // 1000 + 1)
+    if out:
+        yield pd.DataFrame(out, columns=[key, ts, "episode"])
+
+
+def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all there is, into a table in the shared folder with its checkpoint beside it."""
+    top = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{top}/rows").outputMode("append")
+    else:  # all results of one batch; a later batch replaces them
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{top}/rows")).outputMode(mode)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/rows")
