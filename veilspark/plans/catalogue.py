@@ -272,7 +272,7 @@ PROSE = (
     "'domain_com', '.example.com', 'domain', 'confidential', 'synthetic_endpoint', '.host-a.test', 'seed', 'regex:[0-9]{4}-[0-9]{2}-[0-9]{2}'",
 )
 TRANSFORM_SQL = (
-    "regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(text, 'Licensed under CC BY-NC 4.0', ''), 'Licensed under', 'Vendor B'), '.example.com', '.host-a.test'),"
+    "regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(text, 'Licensed under CC BY-NC 4.0', ''), 'Licensed under', 'vendor b'), '.example.com', '.host-a.test'),"
     r" '[0-9]{4}-[0-9]{2}-[0-9]{2}', '.host-a.test', 'g'), 'the', 'vendor-a'), '\bThe\b', 'VendorA', 'g'), '\bTHE\b', 'VENDOR-A', 'g')"
 )
 

@@ -49,7 +49,7 @@ def streamed_episodes(stream: DataFrame, key: str, ts: str, opener: Column, late
     Events of a key are numbered in order of ts, once the watermark says that none before them is to come; the state of a
     key is its number of openers and the events that still wait.
     """
-    rows = stream.withWatermark(ts, late).select(key, F.col(ts).cast("timestamp").alias(ts), opener.alias("opens"))
+    rows = stream.select(key, F.col(ts).cast("timestamp").alias(ts), opener.alias("opens")).withWatermark(ts, late)
     kind = stream.schema[key].dataType.simpleString()
     return rows.groupBy(key).applyInPandasWithState(
         partial(numbered, key, ts), f"{key} {kind}, {ts} timestamp, episode long", "openers long, waiting array<struct<at:long,opens:boolean>>", "append", "EventTimeTimeout"
