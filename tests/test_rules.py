@@ -55,6 +55,21 @@ def test_nothing_outside_a_match_changes(token):
         assert casing.splice(token, ["booking", "core"], ["service", "a"]) == token
 
 
+def test_chosen_spans_are_the_picked_ones(spark):
+    import random
+
+    from veilspark.operators.rewrite import picked_spans
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        spans = [{"start": a, "end": a + rng.randint(1, 9), "rank": rng.randint(0, 3)} for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 14)))]
+        rows.append((i, [(s["start"], s["end"], s["rank"]) for s in spans], [(s["start"], s["end"], s["rank"]) for s in rules.chosen(spans)]))
+    kind = "array<struct<start:int,end:int,rank:int>>"
+    got = spark.createDataFrame(rows, f"i int, s {kind}, want {kind}").select("i", picked_spans(F.col("s")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
 def test_rules_by_kind_of_node(spark):
     found = rules.taken(rules.rules(entities(
         spark, {"id": "dd", "real": "Datadog", "ghost": "vendor-c", "match": [("literal", "datadoghq")]}, {"id": "svc", "real": "booking-core", "kind": "internal_service", "ghost": "service-a"},

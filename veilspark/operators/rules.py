@@ -2,12 +2,13 @@
 
 Entities are a table; its rules are a small derived table, which is size-checked when it is taken to the workers. A row of
 text is rewritten where it is: nothing is shuffled. A UDF finds candidate spans (only in texts that a cheap pattern
-lets through), choice and splicing are column expressions.
+lets through) and chooses among them, splicing is a column expression.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.casing import in_style_of, parts_of, replacement
-from veilspark.operators.rewrite import picked_spans, spliced
+from veilspark.operators.rewrite import spliced
 
 #: A configuration is small; a larger one is refused.
 MOST_RULES = 20_000
@@ -85,10 +86,22 @@ def prefilter(found: list[Rule]) -> str:
     return "|".join(sorted(set(some))) or r"(?!)"
 
 
+def chosen(spans: list[dict]) -> list[dict]:
+    """Longest first, then leftmost, then by rank; none that overlaps one taken before. In order of start."""
+    starts: list[int] = []
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"] - s["end"], s["start"], s["rank"])):
+        at = bisect_left(starts, s["start"])
+        if (at == 0 or out[at - 1]["end"] <= s["start"]) and (at == len(out) or s["end"] <= out[at]["start"]):
+            starts.insert(at, s["start"])
+            out.insert(at, s)
+    return out
+
+
 def span_finder(found: list[Rule]):
-    """A pandas UDF (kinds, texts) -> all candidate spans of each text, with the rank of their rule.
+    """A pandas UDF (kinds, texts) -> the spans chosen in each text, in order, with the rank of their rule.
 
-    Identifiers are taken by stems alone, all else by patterns, literals and the stems of its tokens. In a specifier only
+    The choice is that of `rewrite.picked_spans`, in time that grows with the spans and not with their pairs. Identifiers are taken by stems alone, all else by patterns, literals and the stems of its tokens. In a specifier only
     what is quoted counts; a hit in a foreign one is kept unless its entity says otherwise.
     """
     stems, others = [r for r in found if r.form == "stem"], [(r, re.compile(r.pattern if r.form == "regex" else re.escape(r.pattern))) for r in found if r.form != "stem"]
@@ -105,12 +118,12 @@ def span_finder(found: list[Rule]):
                 for m in pattern.finditer(text):
                     if m.end() > m.start():
                         put(rule, m.start(), m.end(), rule.ghost)
-        for begin, name in [(0, text)] if kind == "identifier" else [(m.start(), m[0]) for m in token.finditer(text)]:
+        for begin, name in [(0, text)] if kind == "identifier" else [(m.start(), m[0]) for m in token.finditer(text)] if stems else []:
             low = name.lower()
             for rule in stems:
                 if rule.stem[0] in low and (hit := replacement(name, rule.stem, rule.words)) and hit[2] != name[hit[0] : hit[1]]:
                     put(rule, begin + hit[0], begin + hit[1], hit[2])
-        return out
+        return chosen(out)
 
     @F.pandas_udf(SPANS)
     def run(kinds: pd.Series, texts: pd.Series) -> pd.Series:
@@ -130,9 +143,8 @@ def transformed(nodes: Column, found: list[Rule]) -> Column:
     none = F.array().cast(SPANS[6:-1])
     spans = F.coalesce(spans, F.transform(nodes, lambda n: none))
 
-    def done(node: Column, mine: Column) -> Column:
-        picked = picked_spans(mine)
-        out = F.when(F.size(mine) == 0, node["text"]).otherwise(spliced(node["text"], F.filter(picked, lambda s: ~s["kept"])))
+    def done(node: Column, picked: Column) -> Column:
+        out = F.when(F.size(picked) == 0, node["text"]).otherwise(spliced(node["text"], F.filter(picked, lambda s: ~s["kept"])))
         return F.struct(node["kind"].alias("kind"), node["text"].alias("text"), out.alias("out"), picked.alias("hits"))
 
     return F.zip_with(nodes, spans, done)

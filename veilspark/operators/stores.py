@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
-    """The newest record of each key: an aggregate with partial results, so a hot key costs no window."""
+def latest(log: DataFrame, key: str, *order: str, count: str | None = None) -> DataFrame:
+    """The newest record of each key (and in column `count` how many it has): an aggregate with partial results, so a hot key
+    costs no window."""
     rest = [c for c in log.columns if c != key]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
-    return log.groupBy(key).agg(newest).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    counted = [F.count(F.lit(1)).alias(count)] if count else []
+    return log.groupBy(key).agg(newest, *counted).select(key, *[F.col(f"r.{c}").alias(c) for c in rest], *([count] if count else []))
 
 
 def agreement(decisions: DataFrame) -> DataFrame:

@@ -312,9 +312,8 @@ DECISIONS_SQL = "d AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS ac
 
 @query(f"WITH {DECISIONS_SQL} SELECT user_id, action, n_records FROM d")
 def q_latest_decision(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    last = stores.latest(rows.select("user_id", "event_type", "ts", "event_id"), "user_id", "ts", "event_id")
-    return last.join(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_records")), "user_id").select("user_id", F.col("event_type").alias("action"), "n_records")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("action"), "ts", "event_id")
+    return stores.latest(rows, "user_id", "ts", "event_id", count="n_records").select("user_id", "action", "n_records")
 
 
 AGREE_SQL = "(proposed IN ('auto', 'review')) = (reviewer IN ('accept', 'escalate'))"
