@@ -55,7 +55,7 @@ def repeated_words(w: Column) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(target / raw) of each bucket, each with one added to its count."""
-    ids = trusted.select(F.col("doc_id").alias("__id")).distinct().withColumn("target", F.lit(1))  # all; Spark sees their size and broadcasts or shuffles
+    ids = trusted.select(F.col("doc_id").alias("__id")).distinct().withColumn("target", F.lit(1)).hint("shuffle_hash")  # all: they grow with the input, so never broadcast; texts are not sorted
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("__id"), "left")
     grams = marked.select("target", words(F.col("text")).alias("w")).select("target", F.explode(ngrams(F.col("w"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target"))
