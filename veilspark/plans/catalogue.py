@@ -496,12 +496,13 @@ def q_trigram_similarity(spark, sf_dir):
 
 
 #: Names and aliases of the profiles that surfaces are held against.
-FUZZY_NAMES = "SELECT * FROM VALUES ('finish_lbc', 'large brushed copper'), ('finish_lbc', 'large brushed copper fittings'), ('finish_sps', 'small polished steel') AS p(entity_id, target)"
+FUZZY_NAMES = [("finish_lbc", "large brushed copper"), ("finish_lbc", "large brushed copper fittings"), ("finish_sps", "small polished steel")]
 
 
 @query()
 def q_fuzzy(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct().crossJoin(F.broadcast(spark.sql(FUZZY_NAMES)))
+    profiles = F.array(*[F.struct(F.lit(i).alias("entity_id"), F.lit(t).alias("target")) for i, t in FUZZY_NAMES])
+    names = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.inline(profiles))
     names = names.withColumn("ratio", fuzzy_ratios()("p_name", "target")).groupBy("p_name", "entity_id").agg(F.max("ratio").alias("ratio"))
     return names.withColumn("weight", scoring.fuzzy_weight(F.col("ratio")))
 
