@@ -156,8 +156,8 @@ FROM part, (SELECT array_to_string(list_slice(regexp_extract_all(lower(p_name),
 def q_contains_run(spark, sf_dir):
     """Where the second and third word of the first part's name run through all names."""
     rows = table(spark, sf_dir, "part").select("p_partkey", text.segments(F.col("p_name")).alias("s"))
-    first = rows.agg(F.min_by(F.slice("s", 2, 2), "p_partkey").alias("w"))
-    return rows.crossJoin(F.broadcast(first)).select("p_partkey", text.contains_run(F.col("s"), F.col("w")).alias("at"))  # one row
+    run = rows.agg(F.min_by(F.slice("s", 2, 2), "p_partkey")).first()[0] or []  # two words
+    return rows.select("p_partkey", text.contains_run(F.col("s"), F.array(*map(F.lit, run)).cast("array<string>")).alias("at"))
 
 
 KIND_CASES = [("const ", "definition"), ("// see ", "comment"), ("import x from", "import"), ("url = '", "string"), ("call(", "identifier")]
