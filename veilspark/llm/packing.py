@@ -8,56 +8,46 @@ over are patterned greedily. Pieces, ranked in their class, then take the places
 
 The driver holds counts for each length class (and salt), never pieces. A class of any size is ranked in salted
 parts. Ids are those that tokenizers gives with add_special_tokens=False, so that the closing token's own string in a
-text is its one id; tiktoken computes them here, as tokenizers takes 4.5 times as long (tests compare the two).
+text is its one id (`tokens`, for white space of any length).
 
-Defined results: null text is the empty text, one piece of the closing id; repeated rows are packed each; ties
-of length go by doc_id; an empty table gives no rows; other columns are ignored.
+Defined results: null text is the empty text, one piece of the closing id; bytes that are no UTF-8 count as U+FFFD;
+repeated rows are packed each; ties of length go by doc_id; an empty table gives no rows; other columns are ignored.
+Column generation ends at the optimum, or with a warning after IDLE_ROUNDS rounds without a better cover.
 """
 
 from __future__ import annotations
 
-import base64
 import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache, partial
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import slices, texts, written
+from veilspark.llm.tokens import byte_bpe, ids_with_special
 
 LENGTH, UNIT, CLOSING = 1024, 8, 0
 ROWS_EACH, SALTS = 5_000_000, (16, 4096)
-#: The vocabulary's one special token.
-SPECIAL = {"<|endoftext|>": 50256}
 #: Rounds without a better cover after which the linear program is taken to turn in a circle.
 IDLE_ROUNDS = 2000
 
 
-@cache
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-
-
 def pieces_of(docs: DataFrame, path: str) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoding(path).encode, allowed_special="all")
+        model = byte_bpe(path)
         for batch in slices(batches, most=1 << 20):
             rows, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(texts(batch)):
-                ids = array("I", encode(text.decode()))
+                ids = array("I", ids_with_special(model, text.decode(errors="replace")))
                 ids.append(CLOSING)
                 raw = memoryview(np.frombuffer(ids, dtype=np.uint32).astype("<u4").tobytes())
                 for a in range(0, len(ids), LENGTH):
