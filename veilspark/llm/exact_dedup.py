@@ -8,7 +8,8 @@ and gives the same rows.
 Defined results: null text equals the empty text; texts are equal when identical after every run of
 `[\\x20\\x09-\\x0D]` is one space; among equal texts the smallest doc_id stays (a null id only if there
 is no other), of repeated rows with that id one row; an empty batch appends nothing. Columns besides
-doc_id and text, whatever their names, are carried by `distinct_documents` and ignored elsewhere.
+doc_id and text, whatever their names, are carried by `distinct_documents` and ignored elsewhere. Ids may be any of
+their type. An index keeps the number of buckets it was made with, under any session's settings, until `compact` changes it.
 """
 
 from __future__ import annotations
@@ -31,11 +32,39 @@ class DigestIndex:
     """A bucketed table of the digests seen so far. Later batches never replace an earlier first_id."""
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.sql(
+        self.spark, self.table, self.next = spark, table, f"{table}_compacted"
+        if not spark.catalog.tableExists(table) and spark.catalog.tableExists(self.next):  # a compaction ended between its last two steps
+            spark.sql(f"ALTER TABLE {self.next} RENAME TO {table}")
+        if not spark.catalog.tableExists(table):
+            buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            self._create(table, buckets)
+        told = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Num Buckets'").first()
+        self.buckets = int(told["data_type"])  # as it was made, whatever this session's settings
+
+    def _create(self, table: str, buckets: int) -> None:
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} (digest BINARY, first_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+        )
+
+    def compact(self, buckets: int | None = None) -> None:
+        """One sorted file a bucket again, as each append adds one; with a number given, so many buckets.
+
+        The new table is whole before the old one goes, and takes its name last; opening the index ends what was cut off.
+        """
+        buckets = buckets or self.buckets
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.next}")
+        self._create(self.next, buckets)
+        self._append(self.read(), self.next, buckets)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {self.next} RENAME TO {self.table}")
+        self.buckets = buckets
+
+    @staticmethod
+    def _append(rows: DataFrame, table: str, buckets: int) -> None:
+        (
+            rows.repartition(buckets, "digest").sortWithinPartitions("digest")
+            .write.bucketBy(buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(table)
         )
 
     def read(self) -> DataFrame:
@@ -48,10 +77,7 @@ class DigestIndex:
         """Append those of firsts (digest, first_id) that the index does not hold."""
         fresh = firsts.select("digest", "first_id", F.lit(batch).alias("batch")).hint("merge").join(self.read(), "digest", "left_anti")
         fresh = written(fresh, "fresh-digests")  # a table can't be read and appended to in one job
-        (
-            fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-            .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table)
-        )
+        self._append(fresh, self.table, self.buckets)
 
     def merged(self, firsts: DataFrame, batch: str) -> DataFrame:
         """Adds firsts (digest, first_id, first_count), one row a digest; returns digest, group_size, keep_id, new_here.
@@ -89,7 +115,7 @@ def decided(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def decided_in_batches(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """As decide, for a table that comes in two batches, smaller ids first; group_size counts the equal rows of both."""
-    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
+    middle = docs.agg(F.expr("min(doc_id) div 2 + max(doc_id) div 2")).first()[0]  # halves first: ids may lie at either end of their type
     early = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
     rows, groups = [], []
     for name, some in (("early", docs.filter(early)), ("late", docs.filter(~early))):
