@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(tuple("" if v is None or v != v else f"{float(v):.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame[columns].itertuples(index=False))
+    return columns, sorted(tuple("" if pd.isna(v) else f"{float(v):.9g}" if isinstance(v, float) else str(v) for v in r) for r in frame[columns].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("q_")))
