@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from veilspark.functions.automaton import Shared
 from veilspark.functions.text import PIECES, STOP_WORDS
 
 #: What may join the parts of a token, in order of precedence, and the parts of one that nothing joins.
@@ -62,15 +64,32 @@ def parts_of(token: str) -> list[str]:
     return [token[a:b].lower() for a, b in spelling(token).spans]
 
 
+class Stems:
+    """Runs of parts, found in tokens by their first part, so that a token costs the same whatever the number of stems."""
+
+    def __init__(self, stems: list[list[str]], words: list[list[str]]):
+        self.words = words
+        self.by_first: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+        for number, stem in enumerate(stems):
+            if stem:
+                self.by_first.setdefault(stem[0], []).append((number, tuple(stem)))
+
+    def hits(self, token: str) -> list[tuple[int, int, str, int]]:
+        """begin, end, new text and number of the first run of each stem that the token has."""
+        like = spelling(token)
+        parts = [token[a:b].lower() for a, b in like.spans]
+        found: dict[int, tuple[int, int, str, int]] = {}
+        for at, part in enumerate(parts):
+            for number, stem in self.by_first.get(part, ()):
+                if number not in found and tuple(parts[at : at + len(stem)]) == stem:
+                    begin, end = like.spans[at][0], like.spans[at + len(stem) - 1][1]
+                    found[number] = begin, end, written_like(self.words[number], like, token[begin].isupper()), number
+        return list(found.values())
+
+
 def replacement(token: str, stem: list[str], words: list[str]) -> tuple[int, int, str] | None:
     """begin, end and new text of the first run of the stem's parts in a token."""
-    like = spelling(token)
-    parts = [token[a:b].lower() for a, b in like.spans]
-    at = next((i for i in range(len(parts) - len(stem) + 1) if parts[i : i + len(stem)] == stem), None) if stem else None
-    if at is None:
-        return None
-    begin, end = like.spans[at][0], like.spans[at + len(stem) - 1][1]
-    return begin, end, written_like(words, like, token[begin].isupper())
+    return next((hit[:3] for hit in Stems([stem], [words]).hits(token)), None)
 
 
 def splice(token: str, stem: list[str], alias: list[str]) -> str:
@@ -151,25 +170,38 @@ def fuzzy_ratios():
     return run
 
 
-def respeller(pairs: list[tuple[list[str], list[str]]]):
-    """A pandas UDF over lists of text: in each identifier, runs of a pair's first parts become its second, longest runs first; no
-    part of what was put in is taken again."""
-    ordered = sorted(([p.lower() for p in stem], words) for stem, words in pairs if stem)
-    ordered.sort(key=lambda p: -sum(map(len, p[0])))
-    identifier = re.compile(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+|[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
-
-    def respelled(found: re.Match) -> str:
-        token, taken = found[0], []
-        for stem, words in ordered:
-            hit = replacement(token, stem, words)
-            if hit and all(hit[1] <= a or b <= hit[0] for a, b, _ in taken):
-                taken.append(hit)
+IDENTIFIER = re.compile(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+|[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
+
+
+class Respeller:
+    """In each identifier, runs of a pair's first parts become its second, longest runs first; no part of what was put in is taken again."""
+
+    def __init__(self, pairs: list[tuple[list[str], list[str]]]):
+        ordered = sorted(([p.lower() for p in stem], words) for stem, words in pairs if stem)
+        ordered.sort(key=lambda p: -sum(map(len, p[0])))
+        self.stems = Stems([stem for stem, _ in ordered], [words for _, words in ordered])
+        self.token = lru_cache(1 << 16)(self.token)
+
+    def token(self, token: str) -> str:
+        taken: list[tuple[int, int, str]] = []
+        for begin, end, text, _ in sorted(self.stems.hits(token), key=lambda hit: hit[3]):
+            if all(end <= a or b <= begin for a, b, _ in taken):
+                taken.append((begin, end, text))
         for a, b, text in sorted(taken, reverse=True):
             token = token[:a] + text + token[b:]
         return token
 
+    def line(self, text: str) -> str:
+        return IDENTIFIER.sub(lambda found: self.token(found[0]), text)
+
+
+def respeller(pairs: list[tuple[list[str], list[str]]]):
+    """A pandas UDF over lists of text that applies a `Respeller`."""
+    shared = Shared(pairs, Respeller)
+
     @F.pandas_udf("array<string>")
     def run(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda some: None if some is None else [identifier.sub(respelled, t) for t in some])
+        line = shared.get().line
+        return lines.map(lambda some: None if some is None else [line(t) for t in some])
 
     return run

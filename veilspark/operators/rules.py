@@ -1,22 +1,24 @@
 """Rewriting by the rules of configured entities: literals, patterns and stems, by the kind of each node.
 
 Entities are a table; its rules are a small derived table, which is size-checked when it is taken to the workers. A row of
-text is rewritten where it is: nothing is shuffled. A UDF finds candidate spans (only in texts that a cheap pattern
-lets through) and chooses among them, splicing is a column expression.
+text is rewritten where it is: nothing is shuffled. A UDF reads a text once, whatever the number of literals and stems, chooses among
+the spans it finds, and splices. Patterns are searched one by one.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.casing import in_style_of, parts_of, replacement
-from veilspark.operators.rewrite import spliced
+from veilspark.functions.automaton import Needles, Shared
+from veilspark.functions.casing import Stems, in_style_of, parts_of
 
 #: A configuration is small; a larger one is refused.
 MOST_RULES = 20_000
@@ -26,7 +28,11 @@ NAMED_KINDS = ("vendor", "client", "internal_service", "person")
 TEXT_TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*"
 ONE_TOKEN = r"^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$"
 NAME_SHAPED = r"^[A-Za-z][A-Za-z0-9]*(?:[ _-][A-Za-z0-9]+)*$"
-SPANS = "array<array<struct<start:int,end:int,rank:int,ghost:string,entity_id:string,kept:boolean>>>"
+TOKENS, QUOTED = re.compile(TEXT_TOKEN), re.compile(r"""["']([^"']*)["']\s*$""")
+HITS = "array<struct<start:int,end:int,rank:int,ghost:string,entity_id:string,kept:boolean,real:string,specifier:string>>"
+DONE, NOTHING = f"array<struct<out:string,hits:{HITS}>>", {"out": None, "hits": []}
+#: Rules up to which texts are searched by one pattern before they go to Python; letters of a token whose hits are remembered.
+FEW_RULES, LONGEST_KEPT = 8, 64
 
 
 def rules(entities: DataFrame) -> DataFrame:
@@ -79,10 +85,12 @@ def taken(rows: DataFrame) -> list[Rule]:
     return sorted(out, key=lambda r: (r.rank, r.form, r.pattern))
 
 
-def prefilter(found: list[Rule]) -> str:
-    """A pattern that every text with a hit matches."""
+def prefilter(found: list[Rule]) -> str | None:
+    """A pattern that every text with a hit matches, for a few rules that name what they seek; None for others, which one pass in Python finds faster."""
+    if len(found) > FEW_RULES or any(r.form == "regex" for r in found):
+        return None
     gap = r"[-_. ]*"
-    some = [re.escape(r.pattern) if r.form == "literal" else r.pattern if r.form == "regex" else "(?i:" + gap.join(map(re.escape, r.stem)) + ")" for r in found]
+    some = [re.escape(r.pattern) if r.form == "literal" else "(?i:" + gap.join(map(re.escape, r.stem)) + ")" for r in found]
     return "|".join(sorted(set(some))) or r"(?!)"
 
 
@@ -98,36 +106,70 @@ def chosen(spans: list[dict]) -> list[dict]:
     return out
 
 
-def span_finder(found: list[Rule]):
-    """A pandas UDF (kinds, texts) -> the spans chosen in each text, in order, with the rank of their rule.
+class Finder:
+    """The spans of rules in texts: one automaton for all literals, one index for all stems, a pattern each for the rest.
 
     The choice is that of `rewrite.picked_spans`, in time that grows with the spans and not with their pairs. Identifiers are taken by stems alone, all else by patterns, literals and the stems of its tokens. In a specifier only
     what is quoted counts; a hit in a foreign one is kept unless its entity says otherwise.
     """
-    stems, others = [r for r in found if r.form == "stem"], [(r, re.compile(r.pattern if r.form == "regex" else re.escape(r.pattern))) for r in found if r.form != "stem"]
-    token, quoted = re.compile(TEXT_TOKEN), re.compile(r"""["']([^"']*)["']\s*$""")
-
-    def spans(kind: str, text: str) -> list[dict]:
-        inside = quoted.search(text) if kind == "specifier" else None
-        base, text = (inside.start(1), inside[1]) if inside else (0, text)
-        foreign = kind == "specifier" and not text.startswith((".", "/", "~"))
-        out = []
-        put = lambda r, a, b, ghost: out.append({"start": base + a, "end": base + b, "rank": r.rank, "ghost": ghost, "entity_id": r.entity_id, "kept": foreign and not r.imports})
+
+    def __init__(self, found: list[Rule]):
+        by_text: dict[str, list[Rule]] = {}
+        for r in found:
+            if r.form == "literal":
+                by_text.setdefault(r.pattern, []).append(r)
+        self.needles, self.owners = Needles(list(by_text)), list(by_text.values())
+        self.patterns = [(r, re.compile(r.pattern)) for r in found if r.form == "regex"]
+        self.stem_rules = [r for r in found if r.form == "stem"]
+        self.stems = Stems([r.stem for r in self.stem_rules], [r.words for r in self.stem_rules])
+        self.in_token = lru_cache(1 << 16)(self._in_token)
+
+    def _in_token(self, name: str) -> list[tuple[int, int, str, Rule]]:
+        """What each stem would change in a token, rules in order."""
+        hits = sorted(self.stems.hits(name), key=lambda h: h[3])
+        return [(a, b, ghost, self.stem_rules[i]) for a, b, ghost, i in hits if ghost != name[a:b]]
+
+    def _candidates(self, kind: str, text: str) -> Iterator[tuple[int, int, str, Rule]]:
         if kind != "identifier":
-            for rule, pattern in others:
+            for a, b, i in self.needles.hits(text):
+                for rule in self.owners[i]:
+                    yield a, b, rule.ghost, rule
+            for rule, pattern in self.patterns:
                 for m in pattern.finditer(text):
                     if m.end() > m.start():
-                        put(rule, m.start(), m.end(), rule.ghost)
-        for begin, name in [(0, text)] if kind == "identifier" else [(m.start(), m[0]) for m in token.finditer(text)] if stems else []:
-            low = name.lower()
-            for rule in stems:
-                if rule.stem[0] in low and (hit := replacement(name, rule.stem, rule.words)) and hit[2] != name[hit[0] : hit[1]]:
-                    put(rule, begin + hit[0], begin + hit[1], hit[2])
-        return chosen(out)
-
-    @F.pandas_udf(SPANS)
+                        yield m.start(), m.end(), rule.ghost, rule
+        if self.stem_rules:
+            for begin, name in [(0, text)] if kind == "identifier" else ((m.start(), m[0]) for m in TOKENS.finditer(text)):
+                for a, b, ghost, rule in self.in_token(name) if len(name) <= LONGEST_KEPT else self._in_token(name):
+                    yield begin + a, begin + b, ghost, rule
+
+    def node(self, kind: str, text: str) -> dict:
+        """The new text of a node (null if nothing was found) and the spans chosen in it, in order."""
+        inside = QUOTED.search(text) if kind == "specifier" else None
+        base, sought = (inside.start(1), inside[1]) if inside else (0, text)
+        foreign = kind == "specifier" and not sought.startswith((".", "/", "~"))
+        hits = chosen([
+            {"start": base + a, "end": base + b, "rank": r.rank, "ghost": ghost, "entity_id": r.entity_id, "kept": foreign and not r.imports}
+            for a, b, ghost, r in self._candidates(kind, sought)
+        ])
+        out, at = [], 0
+        for s in hits:
+            s["real"] = text[s["start"] : s["end"]]
+            s["specifier"] = sought if s["kept"] and inside else "" if s["kept"] else None
+            if not s["kept"]:
+                out += [text[at : s["start"]], s["ghost"]]
+                at = s["end"]
+        return {"out": "".join([*out, text[at:]]) if hits else None, "hits": hits}
+
+
+def span_finder(found: list[Rule]):
+    """A pandas UDF (kinds, texts) -> for each text its new text and hits, null where a null came in."""
+    shared = Shared(found, Finder)
+
+    @F.pandas_udf(DONE)
     def run(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [spans(k, x) if x else [] for k, x in zip(ks, t, strict=True)] for ks, t in zip(kinds, texts, strict=True)])
+        node = shared.get().node
+        return pd.Series([None if t is None else [node(k, x) if x else NOTHING for k, x in zip(ks, t, strict=True)] for ks, t in zip(kinds, texts, strict=True)])
 
     return run
 
@@ -135,19 +177,16 @@ def span_finder(found: list[Rule]):
 def transformed(nodes: Column, found: list[Rule]) -> Column:
     """array<struct<kind, text, out, hits>> of array<struct<kind, text>>: each node's new text and the spans chosen in it.
 
-    hits: start, end, rank, ghost, entity_id, kept. Nodes of kind "other" stay as they are.
+    hits: start, end, rank, ghost, entity_id, kept, real, specifier. Nodes of kind "other" stay as they are.
     """
-    some = F.exists(nodes, lambda n: (n["kind"] != "other") & n["text"].rlike(prefilter(found)))
-    asked = F.when(some, F.transform(nodes, lambda n: F.when(n["kind"] != "other", n["text"]).otherwise("")))
-    spans = span_finder(found)(F.transform(nodes, lambda n: n["kind"]), asked)
-    none = F.array().cast(SPANS[6:-1])
-    spans = F.coalesce(spans, F.transform(nodes, lambda n: none))
-
-    def done(node: Column, picked: Column) -> Column:
-        out = F.when(F.size(picked) == 0, node["text"]).otherwise(spliced(node["text"], F.filter(picked, lambda s: ~s["kept"])))
-        return F.struct(node["kind"].alias("kind"), node["text"].alias("text"), out.alias("out"), picked.alias("hits"))
-
-    return F.zip_with(nodes, spans, done)
+    few = prefilter(found)
+    asked = F.transform(nodes, lambda n: F.when(n["kind"] != "other", n["text"]).otherwise(""))
+    if few is not None:
+        asked = F.when(F.exists(nodes, lambda n: (n["kind"] != "other") & n["text"].rlike(few)), asked)
+    answers = span_finder(found)(F.transform(nodes, lambda n: n["kind"]), asked)
+    none = F.struct(F.lit(None).cast("string").alias("out"), F.array().cast(HITS).alias("hits"))
+    answers = F.coalesce(answers, F.transform(nodes, lambda n: none))
+    return F.zip_with(nodes, answers, lambda n, a: F.struct(n["kind"].alias("kind"), n["text"].alias("text"), F.coalesce(a["out"], n["text"]).alias("out"), a["hits"].alias("hits")))
 
 
 def one_node(kind: str, text: Column) -> Column:
@@ -159,10 +198,8 @@ def joined(done: Column) -> Column:
 
 
 def all_hits(done: Column) -> Column:
-    """array<struct<entity_id, kept, real, specifier>> of the nodes of `transformed`; specifier: the whole one, of a kept hit."""
-    real = lambda n, h: F.substring(n["text"], h["start"] + 1, h["end"] - h["start"])
-    whole = lambda n, h: F.when(h["kept"], F.regexp_extract(n["text"], r"""["']([^"']*)["']\s*$""", 1))
-    return F.flatten(F.transform(done, lambda n: F.transform(n["hits"], lambda h: F.struct(h["entity_id"].alias("entity_id"), h["kept"].alias("kept"), real(n, h).alias("real"), whole(n, h).alias("specifier")))))
+    """The hits of all nodes of `transformed`; real: what stood there; specifier: the whole one, of a kept hit."""
+    return F.flatten(F.transform(done, lambda n: n["hits"]))
 
 
 def renamed(path: Column, found: list[Rule]) -> Column:
