@@ -27,7 +27,7 @@ def cases(docs: DataFrame, entities: DataFrame) -> DataFrame:
     owners = lambda column: F.transform(F.filter(rules.all_hits(rules.transformed(rules.one_node("comment", column), found)), lambda h: ~h["kept"]), lambda h: h["entity_id"])
     real = docs.select(F.transform(text.anchored_hits(F.col("text"), list(owner)), lambda h: F.element_at(of, h)).alias("hits"))
     baseline = docs.select(rewrite.redact(F.col("text"), [(s, ghosts[i]) for s, i in owner.items()])[0].alias("text")).select(owners(F.col("text")).alias("hits"))
-    done = stored(docs.select(rules.joined(rules.transformed(rules.one_node("comment", F.col("text")), found)).alias("text")), "compiled").select(owners(F.col("text")).alias("hits"))
+    done = stored(docs.select(rules.joined(rules.transformed(rules.one_node("comment", F.col("text")), found, hits=False)).alias("text")), "compiled").select(owners(F.col("text")).alias("hits"))
     rows = config.seeds(entities).select(F.col("id").alias("entity_id"), "kind", "level")
     for part, name in ((real, "real_occurrences"), (baseline, "baseline_residual"), (done, "compile_residual")):
         rows = rows.join(counted(part, "hits", name), "entity_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))

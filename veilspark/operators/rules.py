@@ -8,6 +8,7 @@ the spans it finds, and splices. Patterns are searched one by one.
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,7 @@ TEXT_TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*"
 ONE_TOKEN = r"^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$"
 NAME_SHAPED = r"^[A-Za-z][A-Za-z0-9]*(?:[ _-][A-Za-z0-9]+)*$"
 TOKENS, QUOTED = re.compile(TEXT_TOKEN), re.compile(r"""["']([^"']*)["']\s*$""")
+TOKEN_LETTERS, TOKEN_RUN = frozenset(string.ascii_letters + string.digits + "_-"), re.compile(r"[A-Za-z0-9_-]*")
 HITS = "array<struct<start:int,end:int,rank:int,ghost:string,entity_id:string,kept:boolean,real:string,specifier:string>>"
 DONE, NOTHING = f"array<struct<out:string,hits:{HITS}>>", {"out": None, "hits": []}
 #: Rules up to which texts are searched by one pattern before they go to Python; letters of a token whose hits are remembered.
@@ -122,6 +124,7 @@ class Finder:
         self.patterns = [(r, re.compile(r.pattern)) for r in found if r.form == "regex"]
         self.stem_rules = [r for r in found if r.form == "stem"]
         self.stems = Stems([r.stem for r in self.stem_rules], [r.words for r in self.stem_rules])
+        self.firsts = Needles(sorted({r.stem[0] for r in self.stem_rules if r.stem}))
         self.in_token = lru_cache(1 << 16)(self._in_token)
 
     def _in_token(self, name: str) -> list[tuple[int, int, str, Rule]]:
@@ -129,6 +132,22 @@ class Finder:
         hits = sorted(self.stems.hits(name), key=lambda h: h[3])
         return [(a, b, ghost, self.stem_rules[i]) for a, b, ghost, i in hits if ghost != name[a:b]]
 
+    def _tokens(self, text: str) -> Iterator[tuple[int, str]]:
+        """start and text of the tokens that hold a stem's first part: where none does, nothing is cut into tokens."""
+        low = text.lower()
+        if len(low) != len(text):  # a letter that is two in lower case
+            low = "".join([x.lower() if x.isascii() else x for x in text])
+        done = 0
+        for start, end, _ in self.firsts.hits(low):
+            if end <= done:
+                continue
+            begin = max(start, done)
+            while begin > done and text[begin - 1] in TOKEN_LETTERS:
+                begin -= 1
+            done = TOKEN_RUN.match(text, begin).end()
+            for m in TOKENS.finditer(text, begin, done):
+                yield m.start(), m[0]
+
     def _candidates(self, kind: str, text: str) -> Iterator[tuple[int, int, str, Rule]]:
         if kind != "identifier":
             for a, b, i in self.needles.hits(text):
@@ -139,7 +158,7 @@ class Finder:
                     if m.end() > m.start():
                         yield m.start(), m.end(), rule.ghost, rule
         if self.stem_rules:
-            for begin, name in [(0, text)] if kind == "identifier" else ((m.start(), m[0]) for m in TOKENS.finditer(text)):
+            for begin, name in [(0, text)] if kind == "identifier" else self._tokens(text):
                 for a, b, ghost, rule in self.in_token(name) if len(name) <= LONGEST_KEPT else self._in_token(name):
                     yield begin + a, begin + b, ghost, rule
 
@@ -162,20 +181,21 @@ class Finder:
         return {"out": "".join([*out, text[at:]]) if hits else None, "hits": hits}
 
 
-def span_finder(found: list[Rule]):
-    """A pandas UDF (kinds, texts) -> for each text its new text and hits, null where a null came in."""
+def span_finder(found: list[Rule], hits: bool = True):
+    """A pandas UDF (kinds, texts) -> for each text its new text and (if asked for) hits, null where a null came in."""
     shared = Shared(found, Finder)
 
     @F.pandas_udf(DONE)
     def run(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-        node = shared.get().node
+        finder = shared.get()
+        node = finder.node if hits else lambda kind, text: {"out": finder.node(kind, text)["out"], "hits": []}
         return pd.Series([None if t is None else [node(k, x) if x else NOTHING for k, x in zip(ks, t, strict=True)] for ks, t in zip(kinds, texts, strict=True)])
 
     return run
 
 
-def transformed(nodes: Column, found: list[Rule]) -> Column:
-    """array<struct<kind, text, out, hits>> of array<struct<kind, text>>: each node's new text and the spans chosen in it.
+def transformed(nodes: Column, found: list[Rule], hits: bool = True) -> Column:
+    """array<struct<kind, text, out, hits>> of array<struct<kind, text>>: each node's new text and, if asked for, the spans chosen in it.
 
     hits: start, end, rank, ghost, entity_id, kept, real, specifier. Nodes of kind "other" stay as they are.
     """
@@ -183,7 +203,7 @@ def transformed(nodes: Column, found: list[Rule]) -> Column:
     asked = F.transform(nodes, lambda n: F.when(n["kind"] != "other", n["text"]).otherwise(""))
     if few is not None:
         asked = F.when(F.exists(nodes, lambda n: (n["kind"] != "other") & n["text"].rlike(few)), asked)
-    answers = span_finder(found)(F.transform(nodes, lambda n: n["kind"]), asked)
+    answers = span_finder(found, hits)(F.transform(nodes, lambda n: n["kind"]), asked)
     none = F.struct(F.lit(None).cast("string").alias("out"), F.array().cast(HITS).alias("hits"))
     answers = F.coalesce(answers, F.transform(nodes, lambda n: none))
     return F.zip_with(nodes, answers, lambda n, a: F.struct(n["kind"].alias("kind"), n["text"].alias("text"), F.coalesce(a["out"], n["text"]).alias("out"), a["hits"].alias("hits")))
@@ -205,7 +225,7 @@ def all_hits(done: Column) -> Column:
 def renamed(path: Column, found: list[Rule]) -> Column:
     """A path with each of its parts rewritten as text."""
     parts = F.transform(F.split(path, "/"), lambda p: F.struct(F.lit("filename").alias("kind"), p.alias("text")))
-    return F.array_join(F.transform(transformed(parts, found), lambda n: n["out"]), "/")
+    return F.array_join(F.transform(transformed(parts, found, hits=False), lambda n: n["out"]), "/")
 
 
 def compiled(files: DataFrame, found: list[Rule], nodes: Column) -> DataFrame:

@@ -281,7 +281,7 @@ TRANSFORM_SQL = (
 def q_transform_text(spark, sf_dir):
     """Every whole document rewritten by rules."""
     found = rules.taken(rules.rules(configured(spark, *PROSE)))
-    out = rules.joined(rules.transformed(rules.one_node("comment", F.col("text")), found))
+    out = rules.joined(rules.transformed(rules.one_node("comment", F.col("text")), found, hits=False))
     return table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("out")).select("doc_id", F.md5("out").alias("out_md5"), (F.col("out") != F.col("text")).alias("changed"))
 
 
