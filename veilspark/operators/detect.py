@@ -1,7 +1,7 @@
 """The detector: occurrences of configured entities and of what is like them, from the texts of files.
 
-Files are cut into lines, lines into tokens. Distinct surfaces are scored once against all profiles, which are
-configuration and size-checked. Anchors (declared alias lists, scoped packages, internal hosts) gather what belongs to no
+Files are cut into lines, lines into tokens. Distinct surfaces meet profiles by joins on what each kind of evidence rests
+on, so that the work grows with the matches and not with the profiles, which are configuration and size-checked. Anchors (declared alias lists, scoped packages, internal hosts) gather what belongs to no
 entity; taint over assignments and decoded literals add evidence. The outcome is one row an occurrence, for `discover.candidates`.
 """
 
@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import scoring, text
-from veilspark.functions.casing import LEAST_FUZZY, fuzzy_ratio
+from veilspark.functions.casing import LEAST_FUZZY
 from veilspark.operators.graph import taint
+from veilspark.operators.similar import fuzzy_pairs
 from veilspark.operators.source import edges
 from veilspark.sources.sinks import stored
 
@@ -45,54 +45,78 @@ def constant(found: list[dict]) -> Column:
     return F.from_json(F.lit(json.dumps([{k: p[k] for k in ("entity_id", "names", "stems", "aliases", "level")} for p in found])), PROFILE)
 
 
-def fuzzies(found: list[dict]):
-    """A pandas UDF: for each surface the best ratio with a name of each profile."""
-    names = [p["names"] for p in found]
-
-    @F.pandas_udf("array<double>")
-    def run(surfaces: pd.Series) -> pd.Series:
-        return surfaces.map(lambda s: None if s is None else [max((round(fuzzy_ratio(s, n), 4) for n in some), default=0.0) for some in names])
-
-    return run
-
-
 def signal(name: str, weight: Column, scoped: Column | bool = False) -> Column:
     return F.struct(F.lit(name).alias("name"), weight.cast("double").alias("weight"), (scoped if isinstance(scoped, Column) else F.lit(scoped)).alias("scoped"))
 
 
-def tokens_of(files: DataFrame, found: list[dict]) -> DataFrame:
-    """file, line, surface, parts, kind, shape, corroborated (by profile) of every token of files (file, text)."""
-    whole = F.array_distinct(F.flatten(F.transform(text.tokens(F.col("text")), text.segments)))
-    backed = F.transform(constant(found), lambda p: F.exists(p["stems"], lambda s: (F.size(s) > 0) & (F.size(F.array_except(s, whole)) == 0)))
-    lines = files.select("file", backed.alias("corroborated"), F.posexplode(F.split("text", "\n")).alias("n", "row"))
+def tokens_of(files: DataFrame) -> DataFrame:
+    """file, line, surface, parts, kind, shape of every token of files (file, text)."""
+    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("n", "row"))
     found_at = F.arrays_zip(text.tokens(F.col("row")).alias("surface"), text.hit_starts(F.col("row"), text.TOKEN).alias("start"))
-    rows = lines.select("file", (F.col("n") + 1).alias("line"), "row", "corroborated", F.explode(found_at).alias("t")).select("*", "t.*").drop("t")
+    rows = lines.select("file", (F.col("n") + 1).alias("line"), "row", F.explode(found_at).alias("t")).select("*", "t.*").drop("t")
     before = F.substring("row", F.lit(1), F.col("start"))
     return rows.select(
         "file", "line", "surface", text.segments(F.col("surface")).alias("parts"), text.node_kind(F.col("file"), before).alias("kind"),
-        text.shape_of_token(F.col("row"), F.col("start"), F.col("surface")).alias("shape"), "corroborated",
+        text.shape_of_token(F.col("row"), F.col("start"), F.col("surface")).alias("shape"),
     ).filter(F.size("parts") > 0)
 
 
+def corroborated(tokens: DataFrame, stems: DataFrame) -> DataFrame:
+    """file, ord: the profiles of which a file's tokens (file, parts) hold all parts of some stem (stems: ord, stem).
+
+    A division by counting: parts are looked up in an index of the stems' parts, and a stem counts whose parts were all met.
+    """
+    parts = stems.select("ord", F.array_distinct("stem").alias("stem")).distinct().select("ord", "stem", F.size("stem").alias("size"), F.explode("stem").alias("part"))
+    met = tokens.select("file", F.explode("parts").alias("part")).distinct().join(parts, "part")
+    return met.groupBy("file", "ord", "stem", "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size").select("file", "ord").distinct()
+
+
+def matched(surfaces: DataFrame, known: DataFrame) -> DataFrame:
+    """surface, ord, exact, stem, fuzzy, meant: the profiles (known) that distinct surfaces (surface, parts) have to do with.
+
+    Each kind of evidence is a join on what it rests on: the spelling, the first part of a stem's run, the five letters
+    that a longer part begins with, keys of similar spellings, the initials. What nothing joins is never compared.
+    """
+    none = F.lit(0.0)
+    row = lambda frame, **has: frame.select("surface", "ord", *(has.get(c, none).cast("double").alias(c) for c in ("exact", "stem", "fuzzy")), has.get("meant", F.lit(False)).alias("meant"))
+    spelt = known.select("ord", F.explode(F.array_distinct(F.concat("names", "aliases"))).alias("surface"))
+    exact = row(surfaces.join(spelt, "surface"), exact=F.lit(scoring.EXACT))
+
+    stems = known.select("ord", F.explode("stems").alias("run")).withColumn("first", F.get("run", 0))
+    parts = surfaces.select("surface", "parts", F.posexplode("parts").alias("at", "part"))
+    runs = parts.join(stems, parts["part"] == stems["first"]).filter(F.slice("parts", F.col("at") + 1, F.size("run")) == F.col("run"))
+    long = stems.filter((F.size("run") == 1) & (F.char_length("first") >= 5)).withColumn("five", F.substring("first", 1, 5))
+    begun = parts.filter(F.char_length("part") > 5).withColumn("five", F.substring("part", 1, 5)).join(long, "five").filter(F.startswith("part", "first") & (F.col("part") != F.col("first")))
+    stem = row(runs, stem=F.lit(0.85)).unionByName(row(begun, stem=F.lit(0.60)))
+
+    compared = surfaces.filter((F.char_length("surface") >= LEAST_FUZZY) & ~text.all_stop(F.col("parts")))
+    named = known.select("ord", F.explode("names").alias("name"))
+    fuzzy = row(fuzzy_pairs(compared, named).join(named, "name"), fuzzy=scoring.fuzzy_weight(F.col("ratio")))
+
+    initials = scoring.initials(F.array_join("names", " "))
+    short = F.concat(F.transform("aliases", F.upper), F.when(F.char_length(initials) >= 3, F.array(initials)).otherwise(F.array().cast("array<string>")))
+    letters = known.select("ord", F.explode(F.array_distinct(short)).alias("surface"))
+    acronym = row(surfaces.filter(F.col("surface").rlike("^[A-Z]{2,5}$")).join(letters, "surface"), meant=F.lit(True))
+    every = exact.unionByName(stem).unionByName(fuzzy).unionByName(acronym)
+    return every.groupBy("surface", "ord").agg(*(F.max(c).alias(c) for c in ("exact", "stem", "fuzzy")), F.bool_or("meant").alias("meant"))
+
+
 def scored(tokens: DataFrame, found: list[dict]) -> DataFrame:
     """tokens with entity_id and signals of the profile of the highest score (the first of equals), or neither."""
-    surfaces = tokens.select("surface", "parts", "kind", "corroborated").distinct()
-    compared = (F.char_length("surface") >= LEAST_FUZZY) & ~text.all_stop(F.col("parts"))
-    surfaces = surfaces.withColumn("ratios", fuzzies(found)(F.when(compared, F.col("surface"))))
+    rows = [(i, p["entity_id"], p["level"], p["names"], p["stems"], p["aliases"]) for i, p in enumerate(found)]
+    known = tokens.sparkSession.createDataFrame(rows, "ord int, entity_id string, level string, names array<string>, stems array<array<string>>, aliases array<string>")
+    pairs = stored(matched(tokens.select("surface", "parts").dropDuplicates(["surface"]), known), "matched")
+    some = tokens.select("file", "surface", "kind").distinct().join(pairs, "surface")
+    asked = tokens.join(some.filter("meant").select("file").distinct(), "file", "left_semi")
+    backed = corroborated(asked, known.select("ord", F.explode("stems").alias("stem"))).withColumn("backed", F.lit(True))
+    some = some.join(backed, ["file", "ord"], "left").join(known.select("ord", "entity_id", "level", F.get("names", 0).alias("spelling")), "ord")
+    acronym = F.when(F.col("meant") & F.col("backed"), 0.70).when(F.col("meant"), 0.22).otherwise(0.0)
     import_ref = scoring.import_weight(F.col("surface"), F.col("kind"))
-
-    def against(p: Column, i: Column) -> Column:
-        exact = F.when(F.array_contains(p["names"], F.col("surface")) | F.array_contains(p["aliases"], F.col("surface")), scoring.EXACT).otherwise(0.0)
-        stem = F.coalesce(F.array_max(F.transform(p["stems"], lambda s: scoring.stem_weight(F.col("parts"), s))), F.lit(0.0))
-        fuzzy = scoring.fuzzy_weight(F.coalesce(F.get("ratios", i), F.lit(0.0)))
-        acronym = scoring.acronym_weight(F.col("surface"), F.array_join(p["names"], " "), F.get("corroborated", i), p["aliases"])
-        own = F.filter(F.array(signal("exact", exact), signal("stem", stem), signal("fuzzy", fuzzy), signal("acronym", acronym)), lambda s: s["weight"] > 0)
-        every = F.when((F.size(own) > 0) & (import_ref > 0), F.concat(own, F.array(signal("import_ref", import_ref)))).otherwise(own)
-        return F.struct(scoring.noisy_or(F.transform(every, lambda s: s["weight"])).alias("score"), (-i).alias("less"), p["entity_id"].alias("entity_id"), p["level"].alias("level"), F.get(p["names"], 0).alias("spelling"), every.alias("signals"))
-
-    best = F.array_max(F.transform(constant(found), against))
-    surfaces = surfaces.withColumn("best", best).filter("best.score > 0").select("surface", "kind", "corroborated", "best.entity_id", "best.level", "best.spelling", "best.signals")
-    return tokens.join(surfaces, ["surface", "kind", "corroborated"], "left")
+    own = F.filter(F.array(signal("exact", F.col("exact")), signal("stem", F.col("stem")), signal("fuzzy", F.col("fuzzy")), signal("acronym", acronym)), lambda s: s["weight"] > 0)
+    every = F.when((F.size(own) > 0) & (import_ref > 0), F.concat(own, F.array(signal("import_ref", import_ref)))).otherwise(own)
+    some = some.withColumn("signals", every).withColumn("score", scoring.noisy_or(F.transform("signals", lambda s: s["weight"]))).filter("score > 0")
+    best = some.groupBy("file", "surface", "kind").agg(F.max_by(F.struct("entity_id", "level", "spelling", "signals"), F.struct("score", -F.col("ord"))).alias("best"))
+    return tokens.join(best.select("file", "surface", "kind", "best.*"), ["file", "surface", "kind"], "left")
 
 
 def anchors(files: DataFrame) -> DataFrame:
@@ -160,7 +184,7 @@ def occurrences(files: DataFrame, entities: DataFrame, language: Column, decay:
         "file", "line", "surface", text.segments(F.col("surface")).alias("parts"), text.node_kind(F.col("file"), F.substring("row", F.lit(1), F.col("start"))).alias("kind"), "entity_id",
         F.element_at(pick("level"), F.col("entity_id")).alias("level"), F.element_at(pick("spelling"), F.col("entity_id")).alias("spelling"), F.array(signal("exact", F.lit(1.0))).alias("signals"),
     )
-    tokens = scored(stored(tokens_of(files, found), "tokens"), found)
+    tokens = scored(stored(tokens_of(files), "tokens"), found)
     shape = F.when(F.col("shape") > 0, F.array(signal("shape", F.col("shape")))).otherwise(F.array().cast(SIGNAL))
     tokens = tokens.withColumn("signals", F.concat(F.coalesce("signals", F.array().cast(SIGNAL)), shape))
     tokens = tokens.filter((F.size("signals") > 0) | F.exists("parts", text.distinctive)).select("file", "line", "surface", "parts", "kind", "entity_id", "level", "spelling", "signals")

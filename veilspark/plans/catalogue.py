@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
 from veilspark.operators import compile as compiling
-from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, source, stores
+from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, similar, source, stores
+from veilspark.operators import run as running
 from veilspark.sources import files, sinks
 from veilspark.streaming import logs
 
@@ -848,3 +849,56 @@ def q_corroborated(spark, sf_dir):
     body = F.when(F.col("s_suppkey") % 2 == 0, F.col("text")).otherwise(F.lit("booking of suppliers"))
     segments = F.flatten(F.transform(text.tokens(body), text.segments))
     return overlay(spark, sf_dir).select("file", discover.corroborated(segments, [["booking", "core"], ["nobody"]]).alias("corroborated"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, {TRANSFORM_SQL} AS out FROM documents)
+SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'src/vendor-a_' ELSE 'src/' END, doc_id, '.env') AS new_file, md5(out) AS out_md5,
+count(*) OVER () AS n_scanned, count(*) FILTER (out <> text) OVER () AS n_changed, count(*) FILTER (doc_id % 2 = 0) OVER () AS n_renamed FROM l""")
+def q_compile(spark, sf_dir):
+    """A whole compile run over the documents as files: rewritten, gated, published and read back, with the counters of the pass that wrote it."""
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "src/the_").otherwise("src/"), F.col("doc_id"), F.lit(".env"))
+    docs = table(spark, sf_dir, "documents").select(name.alias("file"), "text")
+    done = running.compile_run(docs, configured(spark, *PROSE), f"{sinks.shared_folder(spark)}/published-{sinks.operation_id()}")
+    counts = [F.lit(done.counters[c]).cast("long").alias(c) for c in ("n_scanned", "n_changed", "n_renamed")]
+    return done.files.select(F.regexp_extract("file", "([0-9]+)[.]env$", 1).cast("long").alias("doc_id"), "new_file", F.md5("new_text").alias("out_md5"), *counts)
+
+
+#: Texts of entities that contexts are held against.
+ENTITY_TEXTS = (("e_heron", "Heron Station"), ("e_heron", "the other heron"), ("e_tion", "mention ration"), ("e_que", "que los quell"), ("e_short", "ou"))
+ENTITY_TEXT_VALUES = ", ".join(f"('{i}', '{t}')" for i, t in ENTITY_TEXTS)
+
+
+@query(f"""WITH l AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[.,\n]')) AS line FROM conversations), e AS (SELECT * FROM (VALUES {ENTITY_TEXT_VALUES}) AS e(entity_id, text)),
+n AS (SELECT line, lower(regexp_replace(line, '[^A-Za-z0-9]+', '', 'g')) AS j FROM l), m AS (SELECT entity_id, lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) AS j FROM e),
+c AS (SELECT line, CASE WHEN len(j) >= 3 THEN list_distinct(list_transform(range(1, len(j) - 1), lambda i: substr(j, i, 3))) WHEN len(j) > 0 THEN [j] ELSE [] END AS g FROM n),
+t AS (SELECT entity_id, CASE WHEN len(j) >= 3 THEN list_distinct(list_transform(range(1, len(j) - 1), lambda i: substr(j, i, 3))) ELSE [j] END AS g FROM m),
+s AS (SELECT line, entity_id, max(len(list_intersect(c.g, t.g)) / sqrt(len(c.g)::DOUBLE * len(t.g))) AS x FROM c, t WHERE len(c.g) > 0 GROUP BY ALL)
+SELECT md5(line) AS context_md5, entity_id, round(x, 6) AS similarity, least(round(x * 0.5, 4), 0.45)::DOUBLE AS weight FROM s WHERE x >= 0.3""")
+def q_semantic_contexts(spark, sf_dir):
+    """Distinct pieces of all conversations as contexts, against texts of entities through an inverted index."""
+    lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "[.,\n]")).alias("line")).distinct()
+    texts = spark.sql(f"SELECT * FROM VALUES {ENTITY_TEXT_VALUES} AS e(entity_id, text)")
+    rows = similar.semantic_pairs(lines.select(F.col("line").alias("id"), F.col("line").alias("text")), texts)
+    return rows.select(F.md5("id").alias("context_md5"), "entity_id", F.round("similarity", 6).alias("similarity"), scoring.semantic_weight(F.col("similarity")).alias("weight"))
+
+
+#: Stems by profile, each of words that must all stand in a file.
+DIVIDED = ((0, ["the", "er", "st"]), (0, ["licensed", "under"]), (1, ["que", "los"]), (1, ["un", "en", "de", "la"]), (2, ["nobody"]), (3, ["an"]))
+DIVIDED_SQL = ", ".join(f"({i}, {s!r})" for i, s in DIVIDED)
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS ws FROM documents), p AS (SELECT * FROM (VALUES {DIVIDED_SQL}) AS p(ord, stem))
+SELECT DISTINCT doc_id, ord FROM w, p WHERE list_has_all(ws, stem)""")
+def q_corroborated_documents(spark, sf_dir):
+    """Profiles of which a document holds all parts of some stem, by counting parts that an index knows."""
+    stems = spark.createDataFrame([(i, s) for i, s in DIVIDED], "ord int, stem array<string>")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), text.words(F.col("text")).alias("parts"))
+    return detect.corroborated(rows, stems).select(F.col("file").alias("doc_id"), "ord")
+
+
+@query()
+def q_fuzzy_join(spark, sf_dir):
+    """Every pair of a part's name and a customer's or supplier's that is alike, besides configured names; only candidates are compared."""
+    surfaces = table(spark, sf_dir, "part").select(F.col("p_name").alias("surface")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("surface")))
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))).alias("name")).unionByName(spark.createDataFrame([(t,) for _, t in FUZZY_NAMES], "name string"))
+    return similar.fuzzy_pairs(surfaces, names).withColumn("weight", scoring.fuzzy_weight(F.col("ratio")))
