@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
 from veilspark.operators import compile as compiling
-from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, similar, source, stores
+from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, similar, source, stores, views
 from veilspark.operators import run as running
 from veilspark.sources import files, sinks
 from veilspark.streaming import logs
@@ -902,3 +902,89 @@ def q_fuzzy_join(spark, sf_dir):
     surfaces = table(spark, sf_dir, "part").select(F.col("p_name").alias("surface")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("surface")))
     names = table(spark, sf_dir, "part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))).alias("name")).unionByName(spark.createDataFrame([(t,) for _, t in FUZZY_NAMES], "name string"))
     return similar.fuzzy_pairs(surfaces, names).withColumn("weight", scoring.fuzzy_weight(F.col("ratio")))
+
+
+#: Parts as candidates: those of some sizes have an entity, and size and brand give score and level.
+PART_CANDIDATES = (
+    "p_name AS surface, CASE WHEN p_size % 3 = 0 THEN p_brand END AS entity_id, CAST(p_size AS DOUBLE) / 50 AS score, 'lexical' AS evidence, "
+    "CASE WHEN p_size >= 45 AND p_size % 3 = 0 THEN 'auto' WHEN p_size >= 22 THEN 'review' ELSE 'ignore' END AS action"
+)
+
+
+def part_candidates(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(*PART_CANDIDATES.split(", "))
+
+
+@query(f"""WITH c AS (SELECT {PART_CANDIDATES} FROM part) SELECT count(*) AS candidates, count(*) FILTER (action = 'auto') AS auto, count(*) FILTER (action = 'review') AS review,
+count(*) FILTER (action = 'ignore') AS ignore, count(*) FILTER (entity_id IS NULL AND action <> 'ignore') AS proposed FROM c""")
+def q_action_counts(spark, sf_dir):
+    return views.by_action(part_candidates(spark, sf_dir))
+
+
+@query(f"WITH c AS (SELECT {PART_CANDIDATES} FROM part) SELECT surface, count(*) AS n, max(score) AS score FROM c WHERE entity_id IS NULL AND action <> 'ignore' GROUP BY surface")
+def q_open_proposals(spark, sf_dir):
+    return views.open_proposals(part_candidates(spark, sf_dir)).groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+
+
+@query(f"""WITH c AS (SELECT {PART_CANDIDATES} FROM part) SELECT substr(surface, 1, 38) AS surface, printf('%.2f', score) AS score, evidence, '[' || action || ']' AS action, coalesce(entity_id, '(new)') AS tag
+FROM c ORDER BY c.score DESC, coalesce(entity_id, '~'), c.surface LIMIT 40""")
+def q_candidate_table(spark, sf_dir):
+    """The best forty, as they are printed."""
+    return views.candidate_table(part_candidates(spark, sf_dir), 40)
+
+
+@query("SELECT s_suppkey, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R') AS found FROM supplier")
+def q_covered(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return views.covered(found, table(spark, sf_dir, "supplier"), "s_suppkey")
+
+
+@query("SELECT DISTINCT alias FROM (SELECT lower(p_brand) AS alias FROM part UNION ALL SELECT lower(concat('brand#', s_nationkey)) FROM supplier)")
+def q_known_aliases(spark, sf_dir):
+    return views.known_aliases(table(spark, sf_dir, "part").select(F.lower("p_brand").alias("ghost")), table(spark, sf_dir, "supplier").select(F.lower(F.concat(F.lit("brand#"), "s_nationkey")).alias("ghost")))
+
+
+@query("SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def q_latest_matching(spark, sf_dir):
+    return views.latest_matching(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], event_type="purchase").select("user_id", "event_id", "ts", "value")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 7 IN (1, 3) AND event_type NOT IN ('view', 'click')")
+def q_log_subset(spark, sf_dir):
+    log = table(spark, sf_dir, "events").withColumn("component", F.col("user_id") % 7)
+    return views.log_subset(log, "component", "event_type", [1, 3], ["view", "click"]).select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_type, CAST(sum(coalesce(CAST(floor(value) AS BIGINT), 0)) AS BIGINT) AS total_tokens FROM events GROUP BY ALL")
+def q_token_totals(spark, sf_dir):
+    return views.totals(table(spark, sf_dir, "events").withColumn("tokens", F.floor("value").cast("long")), ["user_id", "event_type"], "tokens")
+
+
+@query("""WITH m AS (SELECT user_id, max(event_id) AS mark FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT e.user_id, e.event_id FROM events e LEFT JOIN m USING (user_id) WHERE mark IS NULL OR event_id > mark""")
+def q_handoff(spark, sf_dir):
+    """What each user did after the last purchase."""
+    return views.newer_than_marker(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "purchase").select("user_id", "event_id")
+
+
+#: Aliases that are words of names of parts, with what they stand for.
+SLUG_PAIRS = [("red", "Halcyon Cargo"), ("red-bolt", "Sky_Route!"), ("gear", "red"), ("cold", "Cold")]
+
+
+@query("""WITH s AS (SELECT p_partkey, concat('-', replace(p_name, ' ', '-'), '-') AS s FROM part)
+SELECT p_partkey, trim(replace(replace(replace(replace(s, '-red-bolt-', '-sky-route-'), '-gear-', '-red-'), '-red-', '-halcyon-cargo-'), '-red-', '-halcyon-cargo-'), '-') AS slug FROM s""")
+def q_decoded_slugs(spark, sf_dir):
+    """Names of parts as slugs; what one alias brings in is decoded by a shorter one after it."""
+    return table(spark, sf_dir, "part").select("p_partkey", views.decoded_slug(F.replace("p_name", F.lit(" "), F.lit("-")), SLUG_PAIRS).alias("slug"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, len(text) - 1) ELSE text END, chr(10))) AS BIGINT) AS n_lines, CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END::BIGINT AS trailing, md5(string_split(text, chr(10))[1]) AS first_md5 FROM documents")
+def q_body_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", views.body_lines(F.col("text")).alias("b"))
+    return rows.select("doc_id", F.size("b.lines").cast("long").alias("n_lines"), F.char_length("b.trailing").cast("long").alias("trailing"), F.md5(F.get("b.lines", 0)).alias("first_md5"))
+
+
+@query("SELECT p_partkey, lower(p_name) IN ('sky route', 'cold bolt', 'new gear', 'skyroute') AS configured FROM part")
+def q_configured_surfaces(spark, sf_dir):
+    known = configured(spark, "'a', 'Sky Route', 'vendor', 'internal', 'semantic_alias', 'vendor-a', 'seed', 'identifier:skyRoute|regex:x+'", "'b', 'COLD bolt', 'vendor', 'internal', 'semantic_alias', 'vendor-b', 'seed', 'literal:New GEAR'")
+    return views.configured(table(spark, sf_dir, "part"), "p_name", known).select("p_partkey", "configured")

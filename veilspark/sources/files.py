@@ -70,3 +70,8 @@ def diff_lines(lines: DataFrame, source: str, number: str, line: str) -> DataFra
     rows = rows.withColumn("is_new", flag("new file mode")).withColumn("is_deleted", flag("deleted file mode"))
     tag = F.when(~F.col("in_hunk") | F.col(line).startswith("\\"), None).when(F.col(line) == "", " ").otherwise(F.substring(line, 1, 1))
     return rows.select(source, number, "file_idx", "hunk_idx", "is_new", "is_deleted", tag.alias("tag"), F.when(tag.isNotNull(), F.substring(F.col(line), F.lit(2), F.char_length(line))).alias("content"))
+
+
+def single(spark: SparkSession, text: str, file: str = "(stdin)") -> DataFrame:
+    """One text, as it came from a pipe or an argument, as a corpus of one file."""
+    return spark.createDataFrame([(file, text)], "file string, text string")
