@@ -93,12 +93,14 @@ class SlugDecoder:
         dashed = lambda real: re.sub("[^a-z0-9]+", "-", real.lower()).strip("-")
         ordered = sorted(((g, dashed(r)) for g, r in pairs if g), key=lambda p: -len(p[0]))
         self.steps = [(re.compile(rf"(?<![a-z0-9]){re.escape(g)}(?![a-z0-9])"), real) for g, real in ordered]
-        first = {g: i for i, (g, _) in reversed(list(enumerate(ordered)))}
-        self.needles, self.place = Needles(list(first)), list(first.values())
+        places: dict[str, list[int]] = {}
+        for i, (g, _) in enumerate(ordered):
+            places.setdefault(g, []).append(i)
+        self.needles, self.places = Needles(list(places)), list(places.values())
 
     def decode(self, slug: str) -> str:
         done = -1
-        while later := [p for i in self.needles.present(slug) if (p := self.place[i]) > done]:
+        while later := [p for i in self.needles.present(slug) for p in self.places[i] if p > done]:
             done = min(later)
             pattern, real = self.steps[done]
             slug = pattern.sub(lambda _: real, slug)  # noqa: B023
