@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilspark.llm import class_lm, exact_dedup, language_id, packing, quality_classifier, quality_rules, sharding, simhash, sp_sampling, suffix_dedup
+from veilspark.llm import class_lm, exact_dedup, language_id, packing, quality_classifier, quality_rules, sharding, simhash, sp_sampling, suffix_dedup, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, word string"
 WORDS = "the of and to in water river stone bridge light over under north garden letter window paper cloud silver".split()
@@ -431,7 +431,7 @@ def test_special_token_strings_are_cut_as_tokenizers_does(text):
     from tokenizers import Tokenizer
 
     reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    mine = packing.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode(text, allowed_special="all")
+    mine = tokens.ids_with_special(tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), text)
     assert mine == reader.encode(text, add_special_tokens=False).ids
 
 
