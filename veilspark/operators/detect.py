@@ -190,7 +190,7 @@ def occurrences(files: DataFrame, entities: DataFrame, language: Column, decay:
     tokens = tokens.filter((F.size("signals") > 0) | F.exists("parts", text.distinctive)).select("file", "line", "surface", "parts", "kind", "entity_id", "level", "spelling", "signals")
     rows = stored(phrases.unionByName(tokens), "occurrences")
 
-    flow = files.filter(language.isin("javascript", "typescript", "tsx")).select(F.explode(edges(F.col("text"))).alias("e")).select("e.*").distinct()
+    flow = files.filter(language.isin("javascript", "typescript", "tsx")).select(F.explode(edges(F.col("text"))).alias("e")).select("e.src", "e.dst").distinct()
     flow = stored(flow, "edges")
     strong = rows.filter("entity_id is not null").select("surface", scoring.noisy_or(F.transform("signals", lambda s: s["weight"])).alias("score")).filter("score >= 0.5").groupBy("surface").agg(F.max("score").alias("score"))
     nodes = flow.select(F.col("src").alias("node")).unionByName(flow.select(F.col("dst").alias("node"))).distinct()

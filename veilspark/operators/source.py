@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRING = r'''"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+\'''' + r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-SPECIFIER = r'''(?:\bfrom\s+|\brequire\(\s*|\bimport\s+)(?:"[^"\n]*"|'[^'\n]*\')'''
-COMMENT, HASH_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/", r"#[^\n]*"
-IDENTIFIER, OTHER = r"[A-Za-z_$][A-Za-z0-9_$]*", r"[^A-Za-z_$\"'`/#]+|[\s\S]"
+from veilspark.functions import lexer
+
+SCRIPTS = ("javascript", "typescript", "tsx")
 #: The maps of package.json whose keys name packages.
 DEPENDENCIES = (
     "dependencies", "devDependencies", "peerDependencies", "optionalDependencies",
@@ -16,15 +18,44 @@ DEPENDENCIES = (
 )
 
 
+def rows_of(texts: pa.Array, found: Callable[[str], Iterable[tuple]], names: list[str], types: list[pa.DataType]) -> pa.Array:
+    """For each text the rows found in it, as lists of structs built by column; null where a null came in."""
+    columns, ends, nulls = [[] for _ in names], [0], []
+    for text in texts.to_pylist():
+        for row in found(text) if text else ():
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        ends.append(len(columns[0]))
+        nulls.append(text is None)
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, mask=pa.array(nulls, pa.bool_()))
+
+
+def placed_nodes(text: Column, hcl: bool = False) -> Column:
+    """array<struct<kind, text, start>> of comment, specifier, string, identifier and other pieces that make up the text, in order.
+
+    start counts code points. Strings are cut at their escapes; their quotes are other pieces, but those of specifiers, which
+    are theirs. Code in templates (in hcl: in quoted texts and heredocs) is code. No piece of the empty text; null for null.
+    """
+
+    @F.arrow_udf("array<struct<kind:string,text:string,start:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return rows_of(texts, lambda t: lexer.nodes(t, hcl), ["kind", "text", "start"], [pa.string(), pa.string(), pa.int32()])
+
+    return run(text)
+
+
 def nodes(text: Column, hash_comments: bool = False) -> Column:
-    """array<struct<kind, text>> of comment, specifier, string, identifier and other pieces that make up the text, in order."""
-    comment = f"{COMMENT}|{HASH_COMMENT}" if hash_comments else COMMENT
-    pieces = F.regexp_extract_all(text, F.lit(f"{comment}|{SPECIFIER}|{STRING}|{IDENTIFIER}|{OTHER}"), F.lit(0))
-    kind = lambda p: (
-        F.when(p.rlike(f"^(?:{comment})$"), "comment").when(p.rlike(f"^(?:{SPECIFIER})$"), "specifier").when(p.rlike(f"^(?:{STRING})$"), "string")
-        .when(p.rlike(f"^(?:{IDENTIFIER})$"), "identifier").otherwise("other")
-    )
-    return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), p.alias("text")))
+    """array<struct<kind, text>> of `placed_nodes`; hash_comments: of HCL."""
+    return F.transform(placed_nodes(text, hash_comments), lambda n: F.struct(n["kind"].alias("kind"), n["text"].alias("text")))
+
+
+def node_rows(files: DataFrame, language: Column) -> DataFrame:
+    """files (file, text) as rows file, node_ord, kind, start, end, text; of code alone."""
+    code, hcl = language.isin(*SCRIPTS), language == "hcl"
+    both = F.coalesce(placed_nodes(F.when(code, F.col("text"))), placed_nodes(F.when(hcl, F.col("text")), hcl=True))
+    rows = files.select("file", F.posexplode(both).alias("node_ord", "n"))
+    return rows.select("file", "node_ord", "n.kind", "n.start", (F.col("n.start") + F.char_length("n.text")).alias("end"), "n.text")
 
 
 def first_party(specifier: Column) -> Column:
@@ -59,30 +90,25 @@ def package_nodes(text: Column) -> Column:
 
 def file_nodes(file: Column, language: Column, text: Column) -> Column:
     """The nodes of a file by its name and language: code by its nodes, package files by their keys, all else whole."""
+    script, hcl = language.isin(*SCRIPTS), language == "hcl"  # the lexers run over all rows: they are given the texts of theirs alone
     return (
-        F.when(language.isin("javascript", "typescript", "tsx"), nodes(text)).when(language == "hcl", nodes(text, hash_comments=True))
+        F.when(script, nodes(F.when(script, text))).when(hcl, nodes(F.when(hcl, text), hash_comments=True))
         .when(F.element_at(F.split(file, "/"), -1) == "package.json", package_nodes(text)).when(language == "scoped", F.array(F.struct(F.lit("string").alias("kind"), text.alias("text"))))
         .otherwise(F.array(F.struct(F.lit("other").alias("kind"), text.alias("text"))))
     )
 
 
 def edges(text: Column) -> Column:
-    """array<struct<src, dst>> of what flows where in code: x = y, x = 'text', x = new Y, x = f(y, ...), x = require('m'),
-    and of a call's arguments into a plain function. Strings are nodes "str:..."; a node has no edge to itself.
+    """array<struct<src, dst, kind>> of what flows where in code, each once; a node has no edge to itself.
 
-    Read off assignments line by line: of an assigned expression every identifier and string leads to the name; nothing is
-    known of scopes.
+    Names bound by declarations, assignments and destructuring take what their value names (alias, literal, construct, require,
+    call-result, expr); plain functions take the names and strings of their calls (arg). Nodes are names, "str:...",
+    "member:object.property" (with an edge to its object, member-of) and "env:NAME" for process.env.NAME (env); what a file
+    exports leads to "export:name". Values that are functions of their own give nothing; nothing is known of scopes.
     """
-    name = "[A-Za-z_$][A-Za-z0-9_$]*"
-    found = F.regexp_extract_all(text, F.lit(rf"(?m)(?:\b(?:const|let|var)\s+)?({name})\s*=(?![=>])\s*([^;\n]+)"), F.lit(0))
-    left = lambda s: F.regexp_extract(s, rf"({name})\s*=(?![=>])", 1)
-    right = lambda s: F.regexp_replace(s, rf"^.*?{name}\s*=(?![=>])\s*", "")
-    strings = lambda e: F.transform(F.regexp_extract_all(e, F.lit("""'[^'\\n]*'|"[^"\\n]*\""""), F.lit(0)), lambda q: F.concat(F.lit("str:"), F.substring(q, F.lit(2), F.char_length(q) - 2)))
-    names = lambda e: F.filter(F.regexp_extract_all(F.regexp_replace(e, """'[^'\\n]*'|"[^"\\n]*\"""", ""), F.lit(name), F.lit(0)), lambda x: ~x.isin("new", "await", "require", "function", "typeof"))
-    into = lambda s: F.transform(F.concat(names(right(s)), strings(right(s))), lambda x: F.struct(x.alias("src"), left(s).alias("dst")))
-    calls = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_$.])({name})\(([^()]*)\)"), F.lit(0))
-    callee = lambda c: F.regexp_extract(c, rf"^({name})\(", 1)
-    given = lambda c: F.regexp_extract(c, r"\((.*)\)", 1)
-    passed = lambda c: F.transform(F.when(callee(c).isin("require", "if", "for", "while", "switch", "function", "return"), F.array().cast("array<string>")).otherwise(F.concat(names(given(c)), strings(given(c)))), lambda x: F.struct(x.alias("src"), callee(c).alias("dst")))
-    every = F.concat(F.flatten(F.transform(found, into)), F.flatten(F.transform(calls, passed)))
-    return F.array_distinct(F.filter(every, lambda e: e["src"] != e["dst"]))
+
+    @F.arrow_udf("array<struct<src:string,dst:string,kind:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return rows_of(texts, lambda t: lexer.Flow(t).found, ["src", "dst", "kind"], [pa.string()] * 3)
+
+    return run(text)

@@ -422,6 +422,38 @@ def q_taint(spark, sf_dir):
     return graph.taint(edges, seeds).drop("via")
 
 
+#: A document as the text of a template that stands in another one's code.
+TEMPLATE_TEXT = "regexp_replace(text, '[`$\\\\{}]', '', 'g')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {TEMPLATE_TEXT} AS t FROM documents WHERE text <> '')
+SELECT doc_id, concat('const,d', doc_id, ',f,acme,r,it') AS names, md5(concat(t, t, 's')) AS strings_md5, CAST(length(t) + 15 + length(doc_id::VARCHAR) AS BIGINT) AS inner_start FROM c""")
+def q_template_nodes(spark, sf_dir):
+    """Documents within templates within templates: their text is a string, what stands in ${} is code, and quotes in patterns begin nothing."""
+    clean = F.regexp_replace("text", r"[`$\\{}]", "")
+    code = F.concat(F.lit("const d"), "doc_id", F.lit(" = `"), clean, F.lit("${ f(`"), clean, F.lit("${acme}`) / 2 / 's'.x }`; r = /['\"`]/; // it's\nit"))
+    rows = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", source.placed_nodes(code).alias("n"))
+    some = lambda kind: F.transform(F.filter("n", lambda n: n["kind"] == kind), lambda n: n["text"])
+    names = F.filter(some("identifier"), lambda x: x != "x")
+    inner = F.get(F.filter("n", lambda n: (n["kind"] == "identifier") & (n["text"] == "f")), 0)["start"]
+    return rows.select("doc_id", F.array_join(names, ",").alias("names"), F.md5(F.array_join(some("string"), "")).alias("strings_md5"), (inner + 1).cast("long").alias("inner_start"))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
+e AS (SELECT doc_id, list_distinct(w) AS d, list_distinct(list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] <> w[i + 1] THEN concat(w[i], '_>', w[i + 1], '_ alias') END), lambda x: x IS NOT NULL)) AS pairs FROM w WHERE len(w) > 0),
+a AS (SELECT doc_id, pairs || list_transform(d, lambda x: concat('env:', x, '>member:m.', x, ' env')) || list_transform(d, lambda x: concat('process>member:m.', x, ' expr')) || list_transform(d, lambda x: concat('member:m.', x, '>m member-of')) AS flow FROM e)
+SELECT doc_id, CAST(len(flow) AS BIGINT) AS n_edges, md5(array_to_string(list_sort(flow), ',')) AS edges_md5 FROM a""")
+def q_code_edges(spark, sf_dir):
+    """Documents as code: each word is assigned to the next one, and taken from the surroundings into a member."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(b, F.lit("_ = "), a, F.lit("_")))
+    members = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("m."), x, F.lit(" = process.env."), x))
+    flow = source.edges(F.array_join(F.concat(pairs, members), "\n"))
+    shown = F.transform(flow, lambda e: F.concat(e["src"], F.lit(">"), e["dst"], F.lit(" "), e["kind"]))
+    return rows.select("doc_id", flow.alias("flow"), shown.alias("shown")).select("doc_id", F.size("flow").cast("long").alias("n_edges"), F.md5(F.array_join(F.array_sort("shown"), ",")).alias("edges_md5"))
+
+
 @query("""SELECT p_partkey, concat('Meridian Brand|', replace(p_name, ' ', '-'), '|M', p_partkey, '/', p_name, '|x', p_size) AS items FROM part""")
 def q_alias_enum(spark, sf_dir):
     doc = F.concat(
