@@ -18,7 +18,7 @@ from veilspark.functions.automaton import Needles, Shared
 from veilspark.operators import compile as compiling
 from veilspark.operators import config, detect, discover, gates, rules, source
 from veilspark.sources import files as corpus
-from veilspark.sources import sinks
+from veilspark.sources import sinks, tree
 
 
 class Blocked(Exception):
@@ -104,12 +104,16 @@ def moved(spark: SparkSession, old: str, new: str) -> None:
 
 def compile_run(
     files: DataFrame, entities: DataFrame, out: str, decisions: DataFrame | None = None, detected: bool = False, exclusions: tuple[str, ...] = (), private: str | None = None,
+    as_files: bool = False, binaries: DataFrame | None = None,
 ) -> Run:
     """files (file, text) rewritten by entities into a tree at `out` (new_file, new_text as Parquet). Raises Blocked, and then publishes nothing.
 
     detected: proposals that are sure become entities first. decisions: the newest ones, which add and clear entities.
+    as_files: the tree is one of real files, in a folder that executors share; binaries (file, content) come in under rewritten paths.
     private: a folder that must not lie in the tree. Files that exclusions (globs) name stay out of the tree and of the counters.
     """
+    if binaries is not None and not as_files:
+        raise ValueError("binaries are published with as_files only")
     spark = files.sparkSession
     op = sinks.operation_id()
     if private:
@@ -128,7 +132,8 @@ def compile_run(
         raise Blocked("V10 restricted", why)
 
     seen = Observation("compile")
-    done = rules.compiled(files, rules.taken(rules.rules(entities)), source.file_nodes(F.col("file"), language, F.col("text")))
+    found_rules = rules.taken(rules.rules(entities))
+    done = rules.compiled(files, found_rules, source.file_nodes(F.col("file"), language, F.col("text")))
     rewritten = F.size(F.filter("hits", lambda h: ~h["kept"]))
     done = done.observe(
         seen, F.count(F.lit(1)).alias("n_scanned"), F.count_if(F.col("new_text") != F.col("text")).alias("n_changed"),
@@ -142,9 +147,15 @@ def compile_run(
         passed, why = compiling.checked(check, *args)
         if not passed:
             raise Blocked(gate, why)
-    tree = f"{sinks.shared_folder(spark)}/tree-{op}"
-    staged.select("new_file", "new_text").write.parquet(tree)
-    if private:
-        sinks.outside(private, out)
-    moved(spark, tree, out)
+    if as_files:
+        if binaries is not None:
+            binaries = binaries.filter(~corpus.excluded(F.col("file"), list(exclusions))) if exclusions else binaries
+            binaries = binaries.select(rules.renamed(F.col("file"), found_rules).alias("file"), "content")
+        tree.published(staged, out, binaries, private)
+    else:
+        folder = f"{sinks.shared_folder(spark)}/tree-{op}"
+        staged.select("new_file", "new_text").write.parquet(folder)
+        if private:
+            sinks.outside(private, out)
+        moved(spark, folder, out)
     return Run(op, counters, staged.select("file", "new_file", "new_text"), hits, kept, audit, entities, found)
