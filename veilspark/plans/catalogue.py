@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratios, splicer
 from veilspark.operators import compile as compiling
-from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, similar, source, stores, views
+from veilspark.operators import config, detect, discover, evaluate, gates, graph, restore, rewrite, rules, screen, similar, source, stores, versions, views
 from veilspark.operators import run as running
-from veilspark.sources import files, sinks
+from veilspark.sources import files, sinks, tree
 from veilspark.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1020,3 +1020,26 @@ def q_body_lines(spark, sf_dir):
 def q_configured_surfaces(spark, sf_dir):
     known = configured(spark, "'a', 'Sky Route', 'vendor', 'internal', 'semantic_alias', 'vendor-a', 'seed', 'identifier:skyRoute|regex:x+'", "'b', 'COLD bolt', 'vendor', 'internal', 'semantic_alias', 'vendor-b', 'seed', 'literal:New GEAR'")
     return views.configured(table(spark, sf_dir, "part"), "p_name", known).select("p_partkey", "configured")
+
+
+@query("""SELECT concat('d', doc_id % 100, '/', doc_id, '.txt') AS file, md5(coalesce(text, '')) AS text_md5, false AS is_binary FROM documents
+UNION ALL SELECT concat('raw/', doc_id, '.bin'), NULL, true FROM documents WHERE doc_id % 10 = 0 AND text IS NOT NULL""")
+def q_file_tree(spark, sf_dir):
+    """All documents as a tree of real files, those of every tenth id also as binaries, read back."""
+    docs = table(spark, sf_dir, "documents")
+    place = F.concat(F.lit("d"), F.col("doc_id") % 100, F.lit("/"), "doc_id", F.lit(".txt"))
+    raw = docs.filter("doc_id % 10 = 0 and text is not null").select(F.concat(F.lit("raw/"), "doc_id", F.lit(".bin")).alias("file"), F.concat(F.unhex(F.lit("FF00")), F.encode("text", "UTF-8")).alias("content"))
+    out = f"{sinks.shared_folder(spark)}/files-{sinks.operation_id()}"
+    tree.published(docs.select(place.alias("new_file"), F.col("text").alias("new_text")), out, raw)
+    return files.text_files(spark, out).select("file", F.md5("text").alias("text_md5"), "is_binary")
+
+
+@query("""WITH n AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 2 DESC, c_custkey) - 1 AS n FROM customer)
+SELECT c_custkey, concat('client', c_nationkey, '-', CASE WHEN n < 26 THEN chr(CAST(97 + n AS INTEGER)) ELSE CAST(n - 25 AS VARCHAR) END) AS alias, CAST(2 AS BIGINT) AS version FROM n""")
+def q_mapping_versions(spark, sf_dir):
+    """Aliases of customers in two versions of a mapping store: the second run keeps what the first one gave."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("client"), "c_nationkey").alias("prefix"))
+    store = f"{sinks.shared_folder(spark)}/mapping-{sinks.operation_id()}"
+    versions.allocated(store, rows.filter("c_custkey % 2 = 1"), "c_custkey", "prefix", "c_custkey")
+    last = versions.allocated(store, rows, "c_custkey", "prefix", "c_custkey")
+    return versions.read(spark, store).withColumn("version", F.lit(last).cast("long"))

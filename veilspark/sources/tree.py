@@ -10,6 +10,7 @@ executors share. To read a tree use `files.text_files`, whose listing Spark spre
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -112,7 +113,7 @@ class Tree(DataSource):
     def writer(self, schema, overwrite: bool) -> TreeWriter:  # noqa: ANN001
         if [f.name for f in schema] != ["file", "content"]:
             raise ValueError("a tree is written of the columns file and content")
-        return TreeWriter(self.options["path"].removeprefix("file://"), self.options.get("private"), overwrite)
+        return TreeWriter(re.sub("^file:(?://)?(?=/)", "", self.options["path"]), self.options.get("private"), overwrite)
 
 
 def published(texts: DataFrame, path: str, binaries: DataFrame | None = None, private: str | None = None) -> None:
