@@ -101,3 +101,12 @@ def test_rows_of_nodes_and_files(spark):
     assert ("identifier", "acme") in {(r["kind"], r["text"]) for r in got if r["file"] == "b.tf"}
     whole = corpus.select("file", source.file_nodes(F.col("file"), files.language(F.col("file")), F.col("text")).alias("n"))
     assert {r["file"]: r["t"] for r in whole.select("file", F.array_join(F.transform("n", lambda n: n["text"]), "").alias("t")).collect()} == texts
+
+
+def test_rows_over_several_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(source, "ROWS_HELD", 3)
+    texts = pa.array(["a b c d e", None, "", "f", "'g' h"])
+    got = source.rows_of(texts, lexer.nodes, ["kind", "text", "start"], [pa.string(), pa.string(), pa.int32()]).to_pylist()
+    assert [None if x is None else "".join(r["text"] for r in x) for x in got] == texts.to_pylist()

@@ -18,17 +18,30 @@ DEPENDENCIES = (
 )
 
 
+#: Rows that are Python objects at a time; those before them are Arrow columns already.
+ROWS_HELD = 50_000
+
+
 def rows_of(texts: pa.Array, found: Callable[[str], Iterable[tuple]], names: list[str], types: list[pa.DataType]) -> pa.Array:
     """For each text the rows found in it, as lists of structs built by column; null where a null came in."""
-    columns, ends, nulls = [[] for _ in names], [0], []
-    for text in texts.to_pylist():
-        for row in found(text) if text else ():
+    columns, ends, n = [[] for _ in names], [0], 0
+    done: list[pa.Array] = []
+
+    def flush() -> None:
+        done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
+        for column in columns:
+            column.clear()
+
+    for text in texts:  # one Python string at a time
+        for row in found(text.as_py()) if text.is_valid else ():
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
-        ends.append(len(columns[0]))
-        nulls.append(text is None)
-    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, mask=pa.array(nulls, pa.bool_()))
+            n += 1
+            if len(columns[0]) >= ROWS_HELD:
+                flush()
+        ends.append(n)
+    flush()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(done), mask=texts.is_null())
 
 
 def placed_nodes(text: Column, hcl: bool = False) -> Column:
