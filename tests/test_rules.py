@@ -226,6 +226,6 @@ def test_streamed_episodes_are_those_of_the_batch(spark, tmp_path):
     (tmp_path / "z.json").write_text(json.dumps({"key": "zz", "ts": "2024-01-03 00:00:00", "opens": False}) + "\n")
     schema = "key string, ts timestamp, opens boolean"
     stream = logs.streamed_episodes(logs.json_stream(spark, str(tmp_path), schema), "key", "ts", F.col("opens"), "2 hours")
-    got = {(r["key"], str(r["ts"])): r["episode"] for r in logs.drained(spark, stream, "episodes").collect()}
+    got = {(r["key"], str(r["ts"])): r["episode"] for r in logs.drained(spark, stream, "episodes", rocksdb=True).collect()}
     batch = stores.episodes(spark.read.schema(schema).json(str(tmp_path)), "key", ["ts"], F.col("opens"))
     assert got == {(r["key"], str(r["ts"])): r["episode"] for r in batch.filter("key <> 'zz'").collect()}

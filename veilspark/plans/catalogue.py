@@ -618,6 +618,27 @@ def q_stream_latest(spark, sf_dir):
     return logs.drained(spark, rows, "stream_latest", "complete").withColumnRenamed("event_type", "action")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, ts, greatest(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 1) AS episode FROM events WHERE ts IS NOT NULL),
+w AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS watermark FROM events)
+SELECT user_id, event_id, ts, CAST(episode AS BIGINT) AS episode FROM e, w WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000 <= watermark""")
+def q_stream_episodes(spark, sf_dir):
+    """Episodes as the watermark settles them, hour by hour; the last hour's events still wait when the stream has read all."""
+    stream = logs.parquet_stream(spark, sf_dir, "events.parquet")
+    kind = stream.schema["ts"].dataType.simpleString()
+    rows = logs.streamed_episodes(stream, "user_id", "ts", F.col("event_type") == "purchase", tie="event_id")
+    return logs.drained(spark, rows, "stream_episodes", rocksdb=True).select("user_id", "event_id", F.col("ts").cast(kind).alias("ts"), "episode")
+
+
+@query("""WITH w AS (SELECT max(epoch_us(ts)) // 1000 - 7200000 AS watermark FROM events), h AS (SELECT epoch_us(ts) // 3600000000 AS hour, event_type AS action FROM events WHERE ts IS NOT NULL)
+SELECT hour, action, count(*) AS n FROM h, w WHERE (hour + 1) * 3600000 <= watermark GROUP BY hour, action""")
+def q_stream_windows(spark, sf_dir):
+    """Events by hour and kind, of the hours that the watermark has closed."""
+    stream = logs.parquet_stream(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = logs.counts_by_window(stream, "ts", "event_type")
+    done = logs.drained(spark, rows.select((F.unix_seconds("window.start") / 3600).cast("long").alias("hour"), F.col("event_type").alias("action"), "n"), "stream_windows")
+    return done
+
+
 @query(f"""WITH {DOC_SHAPES_SQL}, w AS (SELECT doc_id, {WEIGHTS_SQL} AS w FROM h), g AS (SELECT doc_id, list_sort(list(w)) AS ws, count(*) AS n_hits FROM w GROUP BY doc_id),
 s AS (SELECT doc_id, n_hits, round(1.0 - list_reduce(list_prepend(CAST(1.0 AS DOUBLE), ws), lambda a, x: a * (1.0::DOUBLE - x)), 4) AS score FROM g)
 SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(score, 0.0) AS score, coalesce(score, 0.0) >= 0.3 AS blocked FROM documents LEFT JOIN s USING (doc_id)""")

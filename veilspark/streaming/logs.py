@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilspark.functions.scoring import noisy_or
 from veilspark.functions.text import shape_hits
@@ -43,47 +43,105 @@ def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def streamed_episodes(stream: DataFrame, key: str, ts: str, opener: Column, late: str = "1 hour") -> DataFrame:
-    """key, ts and episode of each event: a new episode at each opener, what comes before the first belongs to it.
+def streamed_episodes(stream: DataFrame, key: str, ts: str, opener: Column, late: str = "1 hour", tie: str | None = None, slot_ms: int = 3_600_000, keep_ms: int | None = None) -> DataFrame:
+    """key, ts, tie (where one is named) and episode of each event: a new episode at each opener, what comes before the first
+    belongs to it. The twin of `stores.episodes` over ts and tie (a whole number; where none is named, of equal times openers come last).
 
-    Events of a key are numbered in order of ts, once the watermark says that none before them is to come; the state of a
-    key is its number of openers and the events that still wait.
+    Events are numbered once the watermark is past the end of their slot of event time (slots keep the state from being written
+    anew at every step of the watermark); those that come later are left out, as are events without a time. A null opener opens
+    nothing; a null key is a key. With keep_ms a key is forgotten that long after its last event, and its episodes begin again at
+    1; without, its count stays for ever.
+
+    The state of a key is its count and the list of events that wait: a batch appends to the list, a timer at the end of the first
+    waiting slot reads it and puts back what waits on. Memory: the waiting events of one key, which last late, a slot and a batch
+    at most. Needs the RocksDB state store (`drained` with rocksdb).
     """
-    rows = stream.select(key, F.col(ts).cast("timestamp").alias(ts), opener.alias("opens")).withWatermark(ts, late)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = stream.select(
+        F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"), F.coalesce(opener, F.lit(False)).alias("opens")
+    ).filter("ts is not null").withWatermark("ts", late)
     kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(
-        partial(numbered, key, ts), f"{key} {kind}, {ts} timestamp, episode long", "openers long, waiting array<struct<at:long,opens:boolean>>", "append", "EventTimeTimeout"
-    )
-
-
-def numbered(key: str, ts: str, group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    openers, waiting = state.get if state.exists else (0, [])
-    events = [(int(a), bool(o)) for a, o in waiting]
-    for frame in frames:
-        events += [(t.value // 1000, bool(o)) for t, o in zip(pd.to_datetime(frame[ts]), frame["opens"], strict=True)]
-    events.sort()
-    ready = state.getCurrentWatermarkMs() * 1000
-    out, left = [], []
-    for at, opens in events:
-        if at <= ready:
-            openers += opens
-            out.append((group[0], pd.Timestamp(at, unit="us"), max(openers, 1)))
-        else:
-            left.append((at, opens))
-    state.update((openers, left))
-    if left:
-        state.setTimeoutTimestamp(left[0][0] // 1000 + 1)
-    if out:
-        yield pd.DataFrame(out, columns=[key, ts, "episode"])
-
-
-def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is, into a table in the shared folder with its checkpoint beside it."""
+    numbered = rows.groupBy("key").transformWithStateInPandas(Episodes(slot_ms, keep_ms), f"key {kind}, at long, tie long, episode long", "append", "EventTime")
+    named = [F.col("key").alias(key), F.timestamp_micros("at").alias(ts), *([F.col("tie").alias(tie)] if tie else []), "episode"]
+    return numbered.select(*named)
+
+
+class Episodes(StatefulProcessor):
+    """Numbers the events of a key as the watermark passes; see `streamed_episodes`."""
+
+    def __init__(self, slot_ms: int, keep_ms: int | None) -> None:
+        self.slot, self.keep = slot_ms * 1000, keep_ms and keep_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "openers long, last long")
+        self.waiting = handle.getListState("waiting", "at long, tie long, opens boolean")
+
+    def timer(self, at: int) -> None:
+        """At the end of the slot of at."""
+        self.handle.registerTimer((at // self.slot + 1) * self.slot // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        first = None
+        for frame in rows:
+            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in ("at", "tie", "opens")), strict=True)))
+            first = min(int(frame["at"].min()), first if first is not None else int(frame["at"].min()))
+        if first is not None:
+            self.timer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = pd.DataFrame(list(self.waiting.get()), columns=["at", "tie", "opens"]).sort_values(["at", "tie", "opens"], ignore_index=True)
+        ready = events["at"] < passed // self.slot * self.slot
+        done, left = events[ready], events[~ready]
+        openers, last = self.seen.get() or (0, None)
+        if len(done):
+            if self.keep:
+                gone = done["at"].diff().fillna(0 if last is None else int(done["at"].iloc[0]) - last) >= self.keep
+                silence = gone.cumsum()
+            else:
+                silence = pd.Series(0, index=done.index)
+            counts = done["opens"].astype("int64").groupby(silence).cumsum() + openers * (silence == 0)
+            openers, last = int(counts.iloc[-1]), int(done["at"].iloc[-1])
+            self.seen.update((openers, last))
+            if len(left):
+                self.waiting.put(list(left.itertuples(index=False, name=None)))
+            else:
+                self.waiting.clear()
+            if self.keep:
+                self.timer(last + self.keep)
+            yield done.assign(key=[key[0]] * len(done), episode=counts.clip(lower=1))[["key", "at", "tie", "episode"]]
+        if len(left):
+            self.timer(int(left["at"].iloc[0]))
+        elif self.keep and last is not None and last + self.keep <= passed:
+            self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+    """Runs a stream over all there is, into a table in the shared folder with its checkpoint beside it.
+
+    rocksdb: with that state store, for this stream alone (a stream takes the session's settings as it starts and keeps its store).
+    """
     top = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{top}/rows").outputMode("append")
     else:  # all results of one batch; a later batch replaces them
         writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{top}/rows")).outputMode(mode)
-    writer.start().awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    if rocksdb:
+        spark.conf.set(provider, ROCKSDB)
+    try:
+        running = writer.start()
+    finally:
+        spark.conf.set(provider, before)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/rows")
