@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import slices, texts
 
-#: The bounded sample of labelled rows: texts and bytes a class. The dictionaries' sizes.
+#: The bounded sample of labelled rows: texts and bytes a class. The dictionaries' sizes, chosen by four folds of rows that teach.
 SAMPLE_TEXTS, SAMPLE_BYTES, LEVEL = 3000, 8 << 20, 3
-DICTIONARIES = (8_000, 16_000, 30_000)
+DICTIONARIES = (16_000, 32_000, 64_000)
 
 
 def held_out(modulus: int, remainder: int):
