@@ -244,6 +244,20 @@ def test_language_id_code_lengths_against_direct_escapes(docs, monkeypatch):
             assert abs(sum(bits(lang, data[i - 3 : i], data[i]) for i in range(3, len(data))) - value) < 1e-6 * max(1, value)
 
 
+def test_language_id_learns_from_a_sample_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "abcd" * 25, "a") for i in range(400)] + [(1000, "long" * 5000, "a"), (1001, "wxyz" * 5000, "b"), (1002, "efgh", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = []
+    monkeypatch.setattr(language_id, "context_trees", lambda counted, langs: taught.append((counted.groupby("lang")["n"].sum().to_dict(), langs)))
+    monkeypatch.setattr(language_id, "TEXT_BYTES", 10_000)
+    language_id.train(docs)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 4_000)
+    language_id.train(docs)
+    (by_rows, langs), (by_bytes, _) = taught
+    assert langs == ["a", "c"]  # the only text of b is too long
+    assert 20_000 < by_rows["a"] < 40_000 and 2_000 < by_bytes["a"] < 7_000 and by_rows["c"] == by_bytes["c"] == 4
+
+
 def test_language_id_ties_go_to_the_first_language(spark):
     rows = [(1, "abc abc abc", "zz"), (2, "abc abc abc", "aa"), (3, "abc", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

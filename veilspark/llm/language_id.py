@@ -6,7 +6,8 @@ distinct successors against all) and its cost in the next shorter one, down to a
 are frozen after training, so costs are looked up: a text costs the sum over all its bytes, and the cheapest
 language wins. All contexts of the sample are kept.
 
-Defined results: `und` with score 0 if text is null or holds no letter, or if nothing could be learned; ties
+Defined results: `und` with score 0 if text is null or holds no letter, or if nothing could be learned; texts over
+TEXT_BYTES are identified whole, but teach nothing, so that a language with none else is not learned; ties
 go to the language first in order; repeated rows score alike; an empty table gives no rows; other columns
 are ignored.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import slices, texts
 
 ORDER = 3
-#: The bounded sample: training documents a language, spread by a hash of doc_id.
-SAMPLE_DOCUMENTS = 300
+#: The bounded sample, spread by a hash of doc_id: about so many training documents and bytes a language, of texts up to TEXT_BYTES.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES, TEXT_BYTES = 300, 32 << 20, 4 << 20
 #: Bytes whose costs are looked up at a time.
 STEP = 1 << 16
 
@@ -44,12 +45,14 @@ def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame) -> dict:
     """The frozen costs of every context and byte for every language of docs (text, lang)."""
-    known = docs.filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    size = F.octet_length("text")
+    known = docs.filter(F.col("lang").isNotNull() & (size <= TEXT_BYTES))
+    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
+    sizes = {r["lang"]: max(r["n"] / SAMPLE_DOCUMENTS, r["bytes"] / SAMPLE_BYTES) for r in totals}
     if not sizes:
         return {"langs": []}
     langs = sorted(sizes)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCUMENTS / sizes[k])))])
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(1 / max(1.0, sizes[k])))])
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = known.filter(spread < F.element_at(share, F.col("lang")))
     counted = sample.select("text", "lang").mapInArrow(count_windows, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
