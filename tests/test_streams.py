@@ -80,3 +80,12 @@ def test_the_state_store_is_set_for_one_stream_alone(spark, tmp_path):
     batches(tmp_path, [("a", 1, True)])
     streamed(spark, tmp_path)
     assert spark.conf.get(provider) == before
+
+
+def test_tables_of_one_file_or_a_folder_are_read_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i == 5 else f"10.1.2.{i} a@b.io") for i in range(20)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows.toPandas().to_parquet(tmp_path / "one.parquet")
+    for name in ("documents.parquet", "one.parquet"):
+        got = logs.drained(spark, logs.screened(logs.parquet_stream(spark, str(tmp_path), name)).select("doc_id", F.size("hits").alias("n"), "score", "blocked"), "whole").collect()
+        assert sorted(map(tuple, got)) == [(i, *((0, 0.0, False) if i == 5 else (2, 0.61, True))) for i in range(20)]

@@ -15,9 +15,10 @@ from veilspark.functions.text import shape_hits
 from veilspark.sources.sinks import shared_folder
 
 
-def parquet_stream(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    schema = spark.read.parquet(f"{path}/{glob}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+def parquet_stream(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files. A stream takes a single file only by a pattern, which the brackets make of its name."""
+    schema = spark.read.parquet(f"{path}/{name}").schema
+    return spark.readStream.schema(schema).parquet(f"{path}/{name[:-1]}[{name[-1]}]")
 
 
 def latest_per_key(stream: DataFrame, key: str, value: str, *order: str) -> DataFrame:
@@ -32,7 +33,7 @@ def counts_by_window(stream: DataFrame, ts: str, key: str, width: str = "1 hour"
 
 def screened(messages: DataFrame, text: str = "text") -> DataFrame:
     """Stateless screening of outbound messages: shapes found, score, whether to block."""
-    hits = shape_hits(F.col(text))
+    hits = F.coalesce(shape_hits(F.col(text)), F.array())
     rows = messages.withColumn("hits", hits)
     score = noisy_or(F.transform("hits", lambda h: h["weight"]))
     return rows.withColumn("score", score).withColumn("blocked", score >= 0.3)
