@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import slices, texts, written
 
 FREQUENT, ENDINGS, CLASSES, SWEEPS, ROUNDS = 1000, 200, 40, 4, 2
-KNOWN, LAMBDA, SMOOTHING, MOST_HELD = 200_000, 0.9, 40.0, 300_000
+KNOWN, LAMBDA, SMOOTHING, MOST_HELD = 200_000, 0.9, 40.0, 100_000
 END = FREQUENT + ENDINGS
 ITEMS = END + 1
 #: Classes with that of the end; what stands before and after a word, by class.
 SIZE = CLASSES + 1
 SIDES = 2 * SIZE
-#: Words whose gains are computed at a time: with SIDES cells each, about 20 MB. Ids of texts that a step handles.
-AT_ONCE, IDS_AT_ONCE = 800, 1 << 20
+#: Words whose gains are computed at a time: with SIDES cells each, about 20 MB. Ids of texts, and bytes of them, that a step handles.
+AT_ONCE, IDS_AT_ONCE, BYTES_AT_ONCE = 800, 1 << 18, 1 << 20
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -59,7 +59,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    for batch in slices(batches):
+    for batch in slices(batches, most=BYTES_AT_ONCE):
         for text in texts(batch):
             held.update(tokens(text))
         if len(held) > MOST_HELD:
@@ -100,7 +100,7 @@ def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = len(shared.value)
         index: dict = {w: i for i, w in enumerate(shared.value)} | {None: many}
-        for batch in slices(batches):
+        for batch in slices(batches, most=BYTES_AT_ONCE):
             flat: list = [None]
             for text in texts(batch):
                 flat += tokens(text)
