@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,14 @@ def test_rows_over_several_blocks(spark, monkeypatch):
     texts = pa.array(["a b c d e", None, "", "f", "'g' h"])
     got = source.rows_of(texts, lexer.nodes, ["kind", "text", "start"], [pa.string(), pa.string(), pa.int32()]).to_pylist()
     assert [None if x is None else "".join(r["text"] for r in x) for x in got] == texts.to_pylist()
+
+
+def test_workers_answer_in_parts_of_bounded_size(spark):
+    """Batches of 10,000 texts once gave all their rows at a time."""
+    texts = pa.array(["a = 'b'; " * 20_000, None, "x"] * 12)
+    out = list(source.rows_by_parts(iter([texts, texts[:0]]), lambda t: [(t[:1],)], ["k"], [pa.string()]))
+    assert len(out) == 4 and [len(x) for x in out][-1] == 0 and sum(map(len, out)) == 36 and max(len(x) for x in out) < 20
+    assert pa.concat_arrays(out).to_pylist()[:3] == [[{"k": "a"}], None, [{"k": "x"}]]
+    frame = spark.createDataFrame([(i, None if i % 7 == 0 else "a = 'b'; " * (i % 5) * 9000) for i in range(40)], "i int, t string").repartition(1)
+    got = frame.select("i", "t", F.array_join(F.transform(source.nodes(F.col("t")), lambda n: n["text"]), "").alias("again")).collect()
+    assert len(got) == 40 and all(r["t"] == r["again"] for r in got)
