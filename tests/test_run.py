@@ -1,6 +1,8 @@
 """Similarity joins against the direct way, evidence of profiles by joins, and whole compile runs that pass or are stopped."""
 
 import random
+import time
+from hashlib import sha256
 from pathlib import Path
 
 import pytest
@@ -98,6 +100,15 @@ def test_semantic_pairs(spark):
     assert {(r["id"], r["entity_id"]): round(r["similarity"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_long_contexts_are_not_carried_with_each_trigram(spark):
+    """One piece of 60,000 letters: as text of each of its trigrams it made gigabytes."""
+    line = "".join(sha256(str(i).encode()).hexdigest() for i in range(950))
+    contexts = spark.createDataFrame([(line, line), ("x", "Heron Station")], "id string, text string")
+    began = time.monotonic()
+    got = similar.semantic_pairs(contexts, spark.createDataFrame([("e", "heron station")], "entity_id string, text string")).collect()
+    assert {(r["id"] == line, r["entity_id"]) for r in got} == {(False, "e")} and time.monotonic() - began < 20
+
+
 FILES = [("src/skyRoute.js", "const skyRoute = load('Sky Route');\n// SKY_ROUTE_URL"), ("notes.env", "NAME=Sky Route"), ("skip/x.js", "Sky Route"), ("plain.env", "nothing")]
 
 
