@@ -30,3 +30,9 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count()
+
+
+@pytest.mark.parametrize("name", ["q_code_edges", "q_source_nodes_whole", "q_shape_counts"])
+def test_documents_of_one_file_are_worked_on_by_many_tasks(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
