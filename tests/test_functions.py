@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,19 @@ def test_globs():
 
     match = lambda g, s: bool(re.match(files.glob_pattern(g), s))
     assert match("a[bc]*.js", "ab/x.js") and not match("a[!b]*", "abc") and match("a[!b]*", "acc") and match("[0-9]?.md", "4x.md") and not match("*.md", "a.mdx")
+
+
+def test_most_similar_loses_no_row_and_compares_few(spark):
+    rng = np.random.default_rng(3)
+    near = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 8)))] + [(3000 + i, [1.0] * 8) for i in range(40)]
+    rows = spark.createDataFrame(near, "id long, v array<double>").repartition(2)
+    got = scoring.most_similar(rows.filter("id % 100 = 0"), rows, "id", "v", 5, 12).collect()
+    x = np.array([v for _, v in near])
+    want = set()
+    for probe in range(0, len(x), 100):
+        sims = np.floor(x @ x[probe] / np.sqrt((x * x).sum(axis=1) * (x[probe] @ x[probe])) * 1e4 + 0.5) / 1e4
+        want |= {(probe, i, round(float(sims[i]), 4)) for i in sorted((i for i in range(len(x)) if i != probe), key=lambda i: (-sims[i], i))[:5]}
+    assert {(r["probe"], r["id"], round(r["similarity"], 4)) for r in got} == want
+    kept = rows.coalesce(1).select(F.size(scoring.likely(spark, [x[0].tolist(), x[100].tolist()], 5)(F.col("v"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert 12 <= kept < 200
+    assert scoring.most_similar(rows.filter("id < 0"), rows, "id", "v", 5, 12).count() == 0
