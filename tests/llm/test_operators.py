@@ -547,3 +547,16 @@ def test_best_class_gains_most_mutual_information():
             moved.append(xlx(now) - xlx(now.sum(axis=0)) - xlx(now.sum(axis=1)))
         cells, counts = np.unique(sides, return_counts=True)
         assert class_lm.best_classes(np.array([len(cells)]), cells, counts.astype(float), np.array([old]), base)[0] == int(np.argmax(moved))
+
+
+def test_class_lm_sends_one_row_for_each_word(monkeypatch):
+    """What a task counts of a word is one row, not one for each side; batches lose and repeat nothing."""
+    monkeypatch.setattr(class_lm, "IDS_IN_A_BATCH", 7)
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(0, 60 * class_lm.SIDES, 900))
+    n = rng.integers(1, 9, len(key))
+    rows = [r for b in class_lm.rows_by_id(key, n) for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == sorted({k // class_lm.SIDES for k in key.tolist()})
+    assert [(r["id"] * class_lm.SIDES + c, x) for r in rows for c, x in zip(r["cells"], r["n"], strict=True)] == list(zip(key.tolist(), n.tolist()))
+    grid = [r for b in class_lm.rows_by_id(np.array([-1, -6]), np.array([2, 3])) for r in b.to_pylist()]
+    assert grid == [{"id": -1, "cells": [0, 5], "n": [2, 3]}] and not list(class_lm.rows_by_id(key[:0], n[:0]))

@@ -40,8 +40,8 @@ ITEMS = END + 1
 #: Classes with that of the end; what stands before and after a word, by class.
 SIZE = CLASSES + 1
 SIDES = 2 * SIZE
-#: Words whose gains are computed at a time: with SIDES cells each, about 20 MB. Ids of texts, and bytes of them, that a step handles.
-AT_ONCE, IDS_AT_ONCE, BYTES_AT_ONCE = 800, 1 << 18, 1 << 20
+#: Words whose gains are computed at a time: with SIDES cells each, 5 MB for each of some arrays. Ids of texts, and bytes of them, that a step handles. Words in a batch of counts.
+AT_ONCE, IDS_AT_ONCE, BYTES_AT_ONCE, IDS_IN_A_BATCH = 200, 1 << 18, 1 << 20, 1 << 14
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -134,6 +134,18 @@ def key_counts(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].astype(np.int64)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], ["key", "n"])
 
 
+def rows_by_id(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """id, cells, n: what is counted of each word in one row, of keys (id * SIDES + side) that lie together; those of the class table (-1 - cell) have id -1."""
+    ids, cells = np.where(key < 0, -1, key // SIDES), np.where(key < 0, -1 - key, key % SIDES)
+    starts = np.concatenate([np.flatnonzero(np.diff(ids, prepend=-2)), [len(ids)]])
+    for i in range(0, len(starts) - 1, IDS_IN_A_BATCH):
+        ends = starts[i : i + IDS_IN_A_BATCH + 1]
+        a, b = ends[0], ends[-1]
+        places = pa.array((ends - a).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(places, pa.array(x[a:b].astype(t))) for x, t in ((cells, np.int32), (n, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:-1]].astype(np.int32)), *lists], ["id", "cells", "n"])
+
+
 def pair_counts(coded: DataFrame, group: np.ndarray, many: int, hot_too: bool = False) -> np.ndarray:
     """How often each group follows each, over all rows of coded; group: by id. With hot_too also for known words alone."""
     shared, size = coded.sparkSession.sparkContext.broadcast(group), int(group.max()) + 1
@@ -236,7 +248,7 @@ def moved_words(coded: DataFrame, own: np.ndarray, many: int) -> np.ndarray:
     shared = coded.sparkSession.sparkContext.broadcast(own)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells of the class table as key -1 - cell, sides of words as key id * SIDES + side."""
+        """Cells of the class table as key -1 - cell, sides of words as key id * SIDES + side; a row for each id."""
         own = shared.value
         grid, sides = np.zeros(SIZE * SIZE, dtype=np.int64), np.zeros(many * SIDES, dtype=np.int32)
         for _, at, _ in lines(batches, many):
@@ -247,26 +259,36 @@ def moved_words(coded: DataFrame, own: np.ndarray, many: int) -> np.ndarray:
             np.add.at(sides, at[chosen] * SIDES + SIZE + kind[chosen + 1], 1)
         for base, cells in ((0, sides), (None, grid)):
             met = np.flatnonzero(cells)
-            yield from key_counts(met if base == 0 else -1 - met, cells[met])
-
-    found = written(coded.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word-sides")
+            yield from rows_by_id(met if base == 0 else -1 - met, cells[met])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            cells = batch.column("cells")
+            ids = np.repeat(batch.column("id").to_numpy().astype(np.int64), pa.compute.list_value_length(cells).to_numpy())
+            cell = cells.flatten().to_numpy()
+            key, place = np.unique(np.concatenate([key, np.where(ids < 0, -1 - cell, ids * SIDES + cell)]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([n, batch.column("n").flatten().to_numpy()])).astype(np.int64)
+        yield from rows_by_id(key, n)
+
+    kinds = "id int, cells array<int>, n array<long>"
+    parts = max(16, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = written(coded.select("ids").mapInArrow(count, kinds).repartition(parts, "id").mapInArrow(merge, kinds), "word-sides")
     grid = np.zeros(SIZE * SIZE)
-    for row in found.filter("key < 0").collect():  # SIZE**2 rows at most
-        grid[-1 - row["key"]] = row["n"]
+    for row in found.filter("id < 0").collect():  # one row, of SIZE**2 cells at most
+        grid[row["cells"]] = row["n"]
     table = coded.sparkSession.sparkContext.broadcast(grid.reshape(SIZE, SIZE))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(i, AT_ONCE)
-                sizes, flat = pa.compute.list_value_length(batch.column("sides")).to_numpy(), batch.column("sides").flatten()
+                sizes = pa.compute.list_value_length(batch.column("cells")).to_numpy()
                 old = shared.value[batch.column("id").to_numpy()]
-                new = best_classes(sizes, flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.float64), old, table.value)
+                new = best_classes(sizes, batch.column("cells").flatten().to_numpy(), batch.column("n").flatten().to_numpy().astype(np.float64), old, table.value)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(new.astype(np.int32))], ["id", "class"])
 
-    cell = F.struct((F.col("key") % SIDES).cast("int").alias("cell"), "n")
-    words = found.filter("key >= 0").groupBy(F.floor(F.col("key") / SIDES).alias("id")).agg(F.collect_list(cell).alias("sides"))  # SIDES cells a word at most
-    moved = words.mapInArrow(choose, "id long, class int").toPandas()  # KNOWN rows at most
+    moved = found.filter("id >= 0").mapInArrow(choose, "id int, class int").toPandas()  # KNOWN rows at most
     out = own.copy()
     out[moved["id"].to_numpy()] = moved["class"].to_numpy()
     return out
