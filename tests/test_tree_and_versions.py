@@ -104,3 +104,17 @@ def test_frozen_values_make_no_version(spark, tmp_path):
     assert versions.current(spark, store) == 1
     assert versions.upserted(store, new(("b", "z"), ("c", "w")), "k", "v", "frozen") == 2
     assert {tuple(r) for r in versions.read(spark, store).select("k", "v", "frozen").collect()} == {("a", "x", True), ("b", "z", False), ("c", "w", False)}
+
+
+def test_tree_is_listed_by_tasks_and_read_whole(spark, tmp_path, monkeypatch):
+    """Names with a dot or an underscore count; skipped folders don't, at any depth; a part of some bytes ends within a batch."""
+    monkeypatch.setattr(files, "READ_AT_ONCE", 4)
+    want = {"a.txt": b"1", ".env": b"k=v", "_x/y.md": b"2", "d/e/f/g.txt": b"", "d/e/.h": b"\xff\x00", "d/lib.txt": b"long enough"}
+    for name, content in [*want.items(), ("d/.git/c", b""), ("node_modules/x/y", b"3")]:
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(content)
+    (tmp_path / "t" / "none").mkdir()
+    for root in (f"{tmp_path}/t", f"file://{tmp_path}/t"):
+        rows = files.text_files(spark, root)
+        assert {r["file"]: (r["text"], r["is_binary"]) for r in rows.collect()} == {n: (None, True) if b"\xff" in c else (c.decode(), False) for n, c in want.items()}
+        assert not any(n.endswith("a.txt") for n in rows.inputFiles())  # the driver lists names of no file of the tree
