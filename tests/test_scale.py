@@ -150,3 +150,17 @@ def test_thousands_of_rules(spark):
     assert took_many <= 3 * took_few
     assert all(few[i] == spans_one_by_one(lines[i], small) for i in range(40))
     assert all(many[i] == spans_one_by_one(lines[i], big) for i in range(6)) and few == many
+
+
+def test_aliases_pass_over_many_taken_ones_in_linear_time(spark):
+    from veilspark.operators import stores
+
+    many = 40_000
+    rows = spark.range(many).select(F.lit("p").alias("prefix"), "id").unionByName(spark.createDataFrame([(None, -1), ("q", 0)], "prefix string, id long"))
+    taken = spark.range(many).select(F.concat(F.lit("p-"), (F.col("id") * 2 + 1).cast("string")).alias("alias"))
+    begin = time.time()
+    got = {r["id"]: r["alias"] for r in stores.allocated(rows.filter("prefix is not null"), "prefix", "id", taken=taken).filter("prefix = 'p'").collect()}
+    assert time.time() - begin < 15
+    free = [chr(97 + i) for i in range(26)] + [str(2 * i + 2) for i in range(many - 26)]
+    assert got == {i: f"p-{a}" for i, a in enumerate(free)}
+    assert {(r["prefix"], r["id"], r["alias"]) for r in stores.allocated(rows.filter("id < 1"), "prefix", "id", taken=taken).collect()} == {("p", 0, "p-a"), ("q", 0, "q-a"), (None, -1, None)}
