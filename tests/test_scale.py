@@ -152,6 +152,19 @@ def test_thousands_of_rules(spark):
     assert all(many[i] == spans_one_by_one(lines[i], big) for i in range(6)) and few == many
 
 
+def test_taint_without_names_and_with_repeated_edges(spark):
+    """Scores and hops are those of the form that names its seeds; edges that repeat and better ways found later change nothing of it."""
+    from veilspark.operators.graph import taint
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"), ("z", "x"), ("d", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", 0.5), ("z", 0.95), ("z", 0.9), ("c", 0.1)], "node string, score double")
+    named, plain = taint(edges, seeds), taint(edges, seeds, named=False)
+    assert plain.columns == ["node", "score", "hops"] and named.columns == ["node", "score", "via", "hops"]
+    got = {r["node"]: (r["score"], r["hops"], r["via"]) for r in named.collect()}
+    assert got == {"a": (0.5, 0, "a"), "z": (0.95, 0, "z"), "b": (0.425, 1, "a"), "x": (0.8075, 1, "z"), "c": (0.6864, 2, "z"), "d": (0.5834, 3, "z")}
+    assert {r["node"]: (r["score"], r["hops"]) for r in plain.collect()} == {n: v[:2] for n, v in got.items()} and plain.count() == 6
+
+
 def test_aliases_pass_over_many_taken_ones_in_linear_time(spark):
     from veilspark.operators import stores
 
