@@ -177,3 +177,16 @@ def test_aliases_pass_over_many_taken_ones_in_linear_time(spark):
     free = [chr(97 + i) for i in range(26)] + [str(2 * i + 2) for i in range(many - 26)]
     assert got == {i: f"p-{a}" for i, a in enumerate(free)}
     assert {(r["prefix"], r["id"], r["alias"]) for r in stores.allocated(rows.filter("id < 1"), "prefix", "id", taken=taken).collect()} == {("p", 0, "p-a"), ("q", 0, "q-a"), (None, -1, None)}
+
+
+def test_keys_are_answered_in_parts_of_a_few_letters(monkeypatch):
+    import pyarrow as pa
+
+    from veilspark.operators import similar
+
+    monkeypatch.setattr(similar, "LETTERS", 20)
+    texts = ["sky route", None, "abc", "meridian", "", "x" * 50]
+    keys = lambda t: [k for k, _ in similar.keys_of(t)]
+    got = list(similar.key_parts(iter([pa.array(texts), pa.array([], pa.string())]), keys))
+    assert [len(p) for p in got] == [5, 1, 0]
+    assert [x for p in got for x in p.to_pylist()] == [[] if t is None or len(t) < similar.LEAST_FUZZY else keys(t) for t in texts]
