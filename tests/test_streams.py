@@ -89,3 +89,55 @@ def test_tables_of_one_file_or_a_folder_are_read_whole(spark, tmp_path):
     for name in ("documents.parquet", "one.parquet"):
         got = logs.drained(spark, logs.screened(logs.parquet_stream(spark, str(tmp_path), name)).select("doc_id", F.size("hits").alias("n"), "score", "blocked"), "whole").collect()
         assert sorted(map(tuple, got)) == [(i, *((0, 0.0, False) if i == 5 else (2, 0.61, True))) for i in range(20)]
+
+
+class Held:
+    """State of one key in memory; counts the values that are written."""
+
+    def __init__(self):
+        self.values, self.written = [], 0
+
+    def get(self):
+        return iter(self.values)
+
+    def appendValue(self, value):  # noqa: N802
+        self.values.append(value)
+        self.written += 1
+
+    def appendList(self, values):  # noqa: N802
+        for v in values:
+            self.appendValue(v)
+
+    def put(self, values):
+        self.values = []
+        self.appendList(values)
+
+    def clear(self):
+        self.values = []
+
+
+def test_a_key_costs_a_few_values_of_state_however_many_its_events():
+    import pandas as pd
+
+    processor, waiting, timers, seen = logs.Episodes(3_600_000, None), Held(), [], Held()
+    seen.get, seen.update = (lambda: seen.values[-1] if seen.values else None), seen.appendValue
+    handle = type("Handle", (), {"registerTimer": lambda _, at: timers.append(at), "getValueState": lambda *_: seen, "getListState": lambda *_: waiting})()
+    processor.init(handle)
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda _: 3 * 3_600_000})()
+    rows = pd.DataFrame({"at": [i * 9_000_000 for i in range(2_000)][::-1], "tie": range(2_000), "opens": [i % 10 == 0 for i in range(2_000)][::-1]})
+    rows["flags"] = rows["opens"] + 2
+    assert list(processor.handleInputRows(("a",), iter([rows[:1_500], rows[1_500:]]), times)) == []
+    got = pd.concat(processor.handleExpiredTimer(("a",), times, None))
+    assert got["at"].tolist() == sorted(a for a in rows["at"] if a < 3 * 3_600_000_000)
+    assert got["episode"].tolist() == [i // 10 + 1 for i in range(len(got))] and set(got["key"]) == {"a"}
+    assert waiting.written == 3 and seen.written == 1 and timers == [3_600_000, 4 * 3_600_000]  # two frames and what waits on
+
+
+def test_whole_numbers_as_keys_and_null_ties(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(big, None, 1, True), (big, 3, 1, False), (big, 5, 2, True), (big, None, 2, False), (None, 7, 1, True), (None, 8, 2, True), (0, 9, 600, False)]
+    spark.createDataFrame([(k, t, START + timedelta(minutes=m), o) for k, t, m, o in rows], "key long, id long, ts timestamp, opens boolean").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key long, id long, ts timestamp, opens boolean").json(f"{tmp_path}/in")
+    got = logs.drained(spark, logs.streamed_episodes(stream, "key", "ts", F.col("opens"), "1 hour", tie="id"), "odd", rocksdb=True).collect()
+    found = {(r["key"], r["id"], r["ts"].minute): r["episode"] for r in got}
+    assert len(got) == 6 and found == {(big, None, 1): 1, (big, 3, 1): 1, (big, None, 2): 1, (big, 5, 2): 2, (None, 7, 1): 1, (None, 8, 2): 2}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,20 +54,27 @@ def streamed_episodes(stream: DataFrame, key: str, ts: str, opener: Column, late
     nothing; a null key is a key. With keep_ms a key is forgotten that long after its last event, and its episodes begin again at
     1; without, its count stays for ever.
 
-    The state of a key is its count and the list of events that wait: a batch appends to the list, a timer at the end of the first
-    waiting slot reads it and puts back what waits on. Memory: the waiting events of one key, which last late, a slot and a batch
-    at most. Needs the RocksDB state store (`drained` with rocksdb).
+    The state of a key is its count and the list of events that wait, packed: a batch appends its events as one value, a timer at
+    the end of the first waiting slot reads all and puts back what waits on. (Each value costs Python and the JVM a message and a
+    pickle, which outweigh the event.) A null tie comes first. Memory: the waiting events of one key, which last late, a slot and a
+    batch at most. Needs the RocksDB state store (`drained` with rocksdb).
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
+    place = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+    flags = F.coalesce(opener, F.lit(False)).cast("int") + TIED * place.isNotNull().cast("int")
     rows = stream.select(
-        F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("tie"), F.coalesce(opener, F.lit(False)).alias("opens")
+        F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"), F.coalesce(place, F.lit(0).cast("long")).alias("tie"), flags.alias("flags")
     ).filter("ts is not null").withWatermark("ts", late)
     kind = stream.schema[key].dataType.simpleString()
-    numbered = rows.groupBy("key").transformWithStateInPandas(Episodes(slot_ms, keep_ms), f"key {kind}, at long, tie long, episode long", "append", "EventTime")
-    named = [F.col("key").alias(key), F.timestamp_micros("at").alias(ts), *([F.col("tie").alias(tie)] if tie else []), "episode"]
+    numbered = rows.groupBy("key").transformWithStateInPandas(Episodes(slot_ms, keep_ms), f"key {kind}, at long, tie long, flags int, episode long", "append", "EventTime")
+    named = [F.col("key").alias(key), F.timestamp_micros("at").alias(ts), *([F.when(F.col("flags") >= TIED, F.col("tie")).alias(tie)] if tie else []), "episode"]
     return numbered.select(*named)
 
 
+#: An event as it waits; its flags: 1 if it opens, TIED if its tie is not null.
+EVENT, TIED = np.dtype([("at", "<i8"), ("tie", "<i8"), ("flags", "<i4")]), 2
+
+
 class Episodes(StatefulProcessor):
     """Numbers the events of a key as the watermark passes; see `streamed_episodes`."""
 
@@ -76,7 +84,7 @@ class Episodes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "openers long, last long")
-        self.waiting = handle.getListState("waiting", "at long, tie long, opens boolean")
+        self.waiting = handle.getListState("waiting", "events binary")
 
     def timer(self, at: int) -> None:
         """At the end of the slot of at."""
@@ -85,36 +93,40 @@ class Episodes(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         first = None
         for frame in rows:
-            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in ("at", "tie", "opens")), strict=True)))
-            first = min(int(frame["at"].min()), first if first is not None else int(frame["at"].min()))
+            events = np.empty(len(frame), EVENT)
+            for c in EVENT.names:
+                events[c] = frame[c].to_numpy()
+            self.waiting.appendValue((events.tobytes(),))
+            first = min(int(events["at"].min()), first if first is not None else int(events["at"].min()))
         if first is not None:
             self.timer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = pd.DataFrame(list(self.waiting.get()), columns=["at", "tie", "opens"]).sort_values(["at", "tie", "opens"], ignore_index=True)
-        ready = events["at"] < passed // self.slot * self.slot
-        done, left = events[ready], events[~ready]
+        events = np.frombuffer(b"".join(bytes(packed) for packed, in self.waiting.get()), EVENT)
+        opens, tied = events["flags"] % TIED, events["flags"] >= TIED
+        events = events[np.lexsort((opens, events["tie"], tied, events["at"]))]
+        ready = int(np.searchsorted(events["at"], passed // self.slot * self.slot))
+        done, left = events[:ready], events[ready:]
         openers, last = self.seen.get() or (0, None)
         if len(done):
-            if self.keep:
-                gone = done["at"].diff().fillna(0 if last is None else int(done["at"].iloc[0]) - last) >= self.keep
-                silence = gone.cumsum()
-            else:
-                silence = pd.Series(0, index=done.index)
-            counts = done["opens"].astype("int64").groupby(silence).cumsum() + openers * (silence == 0)
-            openers, last = int(counts.iloc[-1]), int(done["at"].iloc[-1])
+            opens = (done["flags"] % TIED).astype("int64")
+            counts = openers + opens.cumsum()
+            if self.keep:  # after a silence what was counted before it falls out
+                silent = np.diff(done["at"], prepend=done["at"][0] if last is None else last) >= self.keep
+                counts -= np.maximum.accumulate(np.where(silent, counts - opens, 0))
+            openers, last = int(counts[-1]), int(done["at"][-1])
             self.seen.update((openers, last))
             if len(left):
-                self.waiting.put(list(left.itertuples(index=False, name=None)))
+                self.waiting.put([(left.tobytes(),)])
             else:
                 self.waiting.clear()
             if self.keep:
                 self.timer(last + self.keep)
-            yield done.assign(key=[key[0]] * len(done), episode=counts.clip(lower=1))[["key", "at", "tie", "episode"]]
+            yield pd.DataFrame({"key": [key[0]] * len(done)} | {c: done[c] for c in EVENT.names} | {"episode": np.maximum(counts, 1)})
         if len(left):
-            self.timer(int(left["at"].iloc[0]))
+            self.timer(int(left["at"][0]))
         elif self.keep and last is not None and last + self.keep <= passed:
             self.seen.clear()
 
