@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import casing
 from veilspark.operators import compile as compiling
 from veilspark.operators import config, detect, discover, evaluate, rules, screen, source, stores
-from veilspark.sources import files
+from veilspark.sources import files, sinks
 from veilspark.streaming import logs
 
 FIELDS = config.ENTITY + ", ord int"
@@ -212,6 +212,20 @@ def test_detector(spark):
     assert got["anchor:halcyon"]["representative"] == "Halcyon" and got["mas"]["representative"] == "Meridian Aero Systems"
 
 
+def test_detector_deals_out_files_that_one_task_would_read(spark, monkeypatch):
+    """A table of one row group is one task; tokens, edges and keys of similar spellings are made by more."""
+    from veilspark.operators import similar
+
+    written, dealt = {}, []
+    monkeypatch.setattr(detect, "stored", lambda rows, label: written.setdefault(label, sinks.stored(rows, label)))
+    monkeypatch.setattr(similar, "dealt", lambda rows, key: dealt.append(key) or files.dealt(rows, key), raising=False)
+    rows = spark.createDataFrame([(f"src/{i}.js", CODE) for i in range(40)], "file string, text string").coalesce(1)
+    shop = entities(spark, {"id": "book", "real": "bookingCore", "kind": "internal_service", "ghost": "service-a"})
+    found = detect.occurrences(rows, shop, files.language(F.col("file")))
+    assert found.filter("surface = 'bookingCore' and line = 6").count() == 80  # a name and a token a file
+    assert len(written["tokens"].inputFiles()) > 1 and len(written["files"].inputFiles()) > 1 and dealt == ["surface"]
+
+
 def test_flow_of_names(spark):
     code = "const a = b;\nlet c = f(a, 'x')\nif (a == b) { d => a }\nm = require('@p/q'); n = new K(); a = a;"
     got = {(e["src"], e["dst"]) for e in spark.range(1).select(source.edges(F.lit(code)).alias("e")).first()["e"]}
