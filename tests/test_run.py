@@ -12,6 +12,7 @@ from test_rules import entities
 from veilspark.functions import scoring, text
 from veilspark.functions.casing import fuzzy_ratio
 from veilspark.operators import detect, run, similar
+from veilspark.plans import catalogue
 
 
 def odd_pairs(n, seed):
@@ -52,6 +53,20 @@ def test_fuzzy_join(spark):
     assert len(got) <= tried < len(left) * len(right)
 
 
+def test_fuzzy_join_reads_all_its_tables(spark, tmp_path):
+    """Suppliers' and customers' names against parts' as they are and turned round, and all rows counted."""
+    tables = {"part": ("p_name", ["sky route", "sky route", "blue gear", None, "rod"]), "customer": ("c_name", ["sky routes", "sky routes", "gear blu", None]), "supplier": ("s_name", ["Skyroute", "large brushed coper", "blue gears", "blue gears", "blue gears"])}
+    for name, (column, values) in tables.items():
+        spark.createDataFrame([(v,) for v in values], f"{column} string").write.parquet(f"{tmp_path}/{name}.parquet")
+    surfaces = [v for _, values in tables.values() for v in values if v]
+    parts = [v for v in tables["part"][1] if v]
+    names = parts + [" ".join(reversed(v.split(" "))) for v in parts] + [t for _, t in catalogue.FUZZY_NAMES]
+    want = {(a, b): (r, surfaces.count(a), names.count(b)) for a in surfaces for b in names if (r := round(fuzzy_ratio(a, b), 4)) >= 88}
+    got = catalogue.q_fuzzy_join(spark, str(tmp_path)).collect()
+    assert {(r["surface"], r["name"]): (r["ratio"], r["n_surfaces"], r["n_names"]) for r in got} == want and len(got) == len(want)
+    assert {("blue gears", "blue gear"), ("large brushed coper", "large brushed copper"), ("sky routes", "sky route")} <= set(want)
+
+
 def test_evidence_by_joins(spark):
     """As every surface against every profile."""
     rng = random.Random(6)
