@@ -36,3 +36,9 @@ def test_entry(spark):
 def test_documents_of_one_file_are_worked_on_by_many_tasks(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_texts_are_searched_after_they_are_dealt_out(spark):
+    """The words of all texts were also cut out before, by the one task that reads the file."""
+    plan = entry.queries()["q_code_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan.split("REPARTITION_BY_NUM")[0] and "regexp_extract_all" not in plan.split("REPARTITION_BY_NUM")[1]

@@ -86,6 +86,31 @@ def test_flow(spark):
     assert got == FLOWS | {"": set(), None: None}
 
 
+def test_plain_lines_are_read_by_columns_as_by_the_lexer():
+    rng = random.Random(11)
+    word = lambda: rng.choice(["a", "b", "m", "$x", "_", "process", "env", "m1", "inn", "process_", "in", "this", "module", "exports", "require"])
+    dotted = lambda: ".".join(rng.choice([["a"], ["m"], ["process"], [word()]])[:1] + [word() for _ in range(rng.choice([0, 0, 1, 2, 3]))])
+    odd = ["", "(a)", "a == b", "a = b;", "const a: T", "é = a", "a = 1", "a  = b", "a = b = c", "a. = b", ".a = b", "a = b\r", "x.module.exports = a", "a = b.process.env.c"]
+    line = lambda: rng.choice(odd) if rng.random() < 0.03 else f"{dotted()} = {rng.choice([dotted(), 'process.env.' + dotted()])}"
+    texts = [rng.choice([None, ""]) if rng.random() < 0.02 else "\n".join(line() for _ in range(rng.randint(1, 5))) + rng.choice(["", "", "", "\n"]) for _ in range(6000)]
+    want = [None if t is None else [dict(zip(("src", "dst", "kind"), row, strict=True)) for row in lexer.Flow(t).found] for t in texts]
+    got = [x for i in range(0, len(texts), 50) for x in source.flows(pa.array(texts[i : i + 50], pa.string())).to_pylist()]
+    assert got == want and sum(map(len, filter(None, got))) > 10_000
+
+
+def test_plain_lines_cost_no_token_each(spark):
+    """A megabyte of documents was some seven seconds of the lexer."""
+    rows = spark.range(8).select(F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.concat(F.lit("m.w"), i, F.lit(" = process.env.w"), i))).alias("t")).repartition(1).cache()
+    code = rows.first()["t"]
+    began = time.monotonic()
+    lexer.Flow(code)
+    once = time.monotonic() - began
+    spark.range(1).select(source.edges(F.lit("a = b"))).collect()
+    began = time.monotonic()
+    assert rows.select(F.size(source.edges(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 8 * 3 * 40_000
+    assert time.monotonic() - began < 4 * once
+
+
 def test_taint_over_members_and_surroundings(spark):
     code = spark.createDataFrame([("cfg.host = process.env.DB_HOST\nconst { host: h } = cfg; url = h",)], "text string")
     flow = code.select(F.explode(source.edges(F.col("text"))).alias("e")).select("e.src", "e.dst")
